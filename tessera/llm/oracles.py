@@ -9,7 +9,7 @@ NEAR_DUP = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) = 1 THEN w
-    ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS s FROM w),
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
 x AS (SELECT doc_id, len(s) AS n, unnest(s) AS sh FROM s),
 e AS (
   SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.sh = b.sh AND a.doc_id < b.doc_id
@@ -19,3 +19,47 @@ reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, b.v F
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.v) AS component_id, s.doc_id = min(r.v) AS kept
 FROM s JOIN reach r ON r.u = s.doc_id GROUP BY s.doc_id, s.s
 """
+
+_ESCAPED = r"regexp_replace(replace({}, '\', '\\'), '(<|\[)(/?(?:s>|INST\]))', '\1\\\2', 'g')"
+
+CHAT = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n + 9 + CASE WHEN role = 'assistant' THEN 4 ELSE 7 END) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+MIXING = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s0),
+s2 AS (SELECT *, CAST([5, 2, 1][(rank - 1) % 3 + 1] AS BIGINT) AS weight FROM s1),
+s3 AS (
+  SELECT *, CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS remaining,
+    CAST(sum(weight) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS among FROM s2),
+k AS (SELECT source_size / weight AS level, rank AS k_rank, remaining AS k_remaining, among AS k_among FROM s3
+      WHERE 3 * source_size * among > remaining * weight ORDER BY 1, 2 LIMIT 1),
+s4 AS (
+  SELECT source, source_size, rank, CAST(CASE WHEN k_rank IS NULL OR source_size / weight < level OR (source_size / weight = level AND rank < k_rank)
+    THEN 3 * source_size ELSE (weight * k_remaining) / k_among END AS DOUBLE) AS target FROM s3 LEFT JOIN k ON true),
+s5 AS (SELECT *, CAST(round(target) AS BIGINT) AS share FROM s4),
+s6 AS (SELECT *, CAST(sum(share) OVER (ORDER BY rank) AS BIGINT) AS upto, CAST(sum(share) OVER () AS BIGINT) AS everything FROM s5),
+iv AS (SELECT rank, CAST(floor((upto - share) / everything * 2147483648.0::DOUBLE) AS BIGINT) AS lo, CAST(floor(upto / everything * 2147483648.0::DOUBLE) AS BIGINT) AS hi FROM s6 WHERE everything > 0),
+t AS (SELECT slot, (slot % 2147483648) * 1327217885 % 2147483648 AS p FROM range(0, CAST((SELECT (sum(size) + 63) // 64 FROM d) AS BIGINT)) r(slot)),
+slots AS (SELECT rank, count(*) AS slots FROM t JOIN iv ON lo <= p AND p < hi GROUP BY rank),
+pos AS (
+  SELECT d.*, rank, s4.source_size, target, coalesce(slots, 0) AS slots,
+    CAST(sum(d.size) OVER (PARTITION BY rank ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS a
+  FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source LEFT JOIN slots USING (rank))
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(a + size, 64 * slots) - a) + greatest(0, least(a + source_size + size, 64 * slots) - a - source_size)
+  + greatest(0, least(a + 2 * source_size + size, 64 * slots) - a - 2 * source_size) AS BIGINT) AS taken
+FROM pos
+"""

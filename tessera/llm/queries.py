@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import oracles
-from tessera.llm.common import table
+from tessera.llm import chat, mixing, oracles
+from tessera.llm.common import stored, table
 from tessera.llm.near_dup import near_duplicates
 
 QUERIES: dict = {}
@@ -24,3 +25,23 @@ def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op9_minhash_near_dup"] = oracles.NEAR_DUP
+
+
+@query
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and conversation -1 whose two texts are made of control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
+    )
+    formatted = stored(chat.render(chat.fold(chat.row_events(rows.unionByName(probe)))))
+    return chat.digest(chat.parse(formatted))
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE_SQL["op6_chat_formatting"] = oracles.CHAT
+ORACLE_SQL["op3_mixing"] = oracles.MIXING
