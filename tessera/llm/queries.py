@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, mixing, oracles, secret_scan
+from tessera.llm import chat, decontaminate, mixing, oracles, secret_scan
 from tessera.llm.common import stored, table
 from tessera.llm.near_dup import near_duplicates
 
@@ -51,3 +51,8 @@ ORACLE_SQL["op3_mixing"] = oracles.MIXING
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.document_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
