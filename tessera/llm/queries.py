@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, mixing, oracles, secret_scan
-from tessera.llm.common import stored, table
+from tessera.llm import chat, decontaminate, language_id, mixing, oracles, quality, secret_scan
+from tessera.llm.common import crc_mod, stored, table
 from tessera.llm.near_dup import near_duplicates
 
 QUERIES: dict = {}
@@ -56,3 +56,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    model = language_id.fit(docs, ~held_out)
+    found = language_id.identified(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    chain = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    predicted = F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0)
+    return quality.scored(docs, chain).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
