@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, language_id, mixing, oracles, quality, secret_scan
+from tessera.llm import ann, chat, decontaminate, language_id, mixing, oracles, quality, secret_scan
 from tessera.llm.common import crc_mod, stored, table
 from tessera.llm.near_dup import near_duplicates
 
@@ -74,3 +74,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
     predicted = F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0)
     return quality.scored(docs, chain).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
+ORACLE_SQL["op8_ann"] = oracles.ANN
