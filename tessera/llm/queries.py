@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, decontaminate, language_id, mixing, oracles, quality, secret_scan
+from tessera.llm import ann, chat, decontaminate, language_id, lm, mixing, oracles, quality, secret_scan, warc
 from tessera.llm.common import crc_mod, stored, table
 from tessera.llm.near_dup import near_duplicates
 
@@ -83,3 +83,19 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op8_ann"] = oracles.ANN
+
+
+@query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 5) == 1
+    found = lm.scored(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, archives = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(archives, folder)
+
+
+ORACLE_SQL["op2_warc"] = oracles.WARC
