@@ -1,6 +1,430 @@
-"""Name -> query, and name -> DuckDB SQL, of every retrieval operator."""
+"""Name -> query, and name -> DuckDB SQL, of every retrieval operator.
+
+Each query reads the driver's tables, or corpora that Spark derives from them, whole. The SQL is
+in :mod:`tessera.plans.oracles`, under the same names.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import text as fx
+from tessera.operators import answer, chunking, extraction, fusion, graph, layout, metrics, vector
+from tessera.plans.oracles import ORACLE_SQL as _SQL
+from tessera.sources.tables import document_pages, reports, table, trade_graph
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict = dict(_SQL)
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+# --- carriers ---------------------------------------------------------------------------------
+
+
+def lexicon_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capitalised words of documents, each document a chunk of its own."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)))).alias("canonical_name"))
+    return words.select(F.col("doc_id").alias("chunk_id"), "doc_id", "canonical_name", F.lit(1.0).alias("confidence"))
+
+
+def benchmark_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_id, ord, seed``: up to four capitalised words of each benchmark item."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(fx.seeds_by_capitals(F.col("text"))).alias("ord", "seed"))
+    return items.filter("seed <> ''")
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question per nation, about its company and a tool: ``query_id, question, chunk_id, doc_id, text``."""
+    n = table(spark, sf_dir, "nation")
+    from tessera.sources.tables import TOOLS, letters
+
+    tool = F.element_at(F.array(*map(F.lit, TOOLS)), (F.col("n_nationkey") % len(TOOLS) + 1).cast("int"))
+    q = F.concat(F.lit("Who works with Nation"), letters(F.col("n_nationkey")), F.lit(" Systems LLC, and does it use "), tool, F.lit("?"))
+    return n.select(F.col("n_nationkey").cast("long").alias("query_id"), q.alias("question"))
+
+
+def question_seeds(q: DataFrame) -> DataFrame:
+    """Entities that the patterns find in a question, else its capitalised words."""
+    found = extraction.entity_arrays(q.withColumn("text", F.col("question"))).withColumn(
+        "seeds", F.when(F.size("known") > 0, F.col("known")).otherwise(fx.seeds_by_capitals(F.col("question")))
+    )
+    return found.select("query_id", F.posexplode("seeds").alias("ord", "seed"))
+
+
+def _trade_entities(spark, sf_dir):
+    return trade_graph(spark, sf_dir)
+
+
+def _regions(spark, sf_dir):
+    return table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("seed"))
+
+
+# --- vectors ----------------------------------------------------------------------------------
+
+
+def _vector_queries(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query
+def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.top_k(_vector_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), k=5)
+
+
+@query
+def vector_topk_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = vector.top_k(_vector_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), k=5)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.left("text", F.lit(200)).alias("text"))
+    return vector.with_payload(hits, docs).select("query_id", "rank", "chunk_id", "score", "text")
+
+
+@query
+def vector_missing_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = vector.top_k(_vector_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), k=5)
+    items = table(spark, sf_dir, "pages").select(F.col("page_id").alias("chunk_id"), F.left("url", F.lit(1000)).alias("text"))
+    return vector.with_payload(hits, items, keep_missing=True).select("query_id", "rank", "chunk_id", "score", "text")
+
+
+@query
+def vector_upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.left("event_type", F.lit(1000)).alias("event_type"))
+    return vector.upsert(e.filter("event_type <> 'click'"), e.filter("event_type = 'click'"), "user_id", "event_id")
+
+
+@query
+def pseudo_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embed = vector.pseudo_embedding(8)
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.transform(embed("text"), lambda x: F.round(x, 6).cast("string")), ",").alias("embedding"))
+
+
+@query
+def query_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "conversations").filter("role = 'user'").select(fx.cache_key(F.col("text")).alias("cache_key"))
+    return q.groupBy("cache_key").agg(F.count("*").alias("n_asked"))
+
+
+# --- chunks -----------------------------------------------------------------------------------
+
+
+@query
+def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.lines(document_pages(spark, sf_dir)).select("doc_id", "line_no", "n_words", F.md5(F.encode("line", "UTF-8")).alias("line_md5"))
+
+
+@query
+def heading_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = chunking.headings(chunking.lines(reports(spark, sf_dir)))
+    return h.select("doc_id", "page_number", "line_no", "section_title", F.array_join("section_path", " / ").alias("section_path"))
+
+
+@query
+def chunk_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_ranges(chunking.lines(document_pages(spark, sf_dir))).select("doc_id", "chunk_no", "start_word", "token_count")
+
+
+@query
+def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chunking.chunks(document_pages(spark, sf_dir))
+    return c.select("doc_id", "chunk_no", "token_count", "section_title", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
+@query
+def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunks(reports(spark, sf_dir), size=16, overlap=4).select("doc_id", "page_number", "chunk_no", "token_count", "section_title", "text")
+
+
+@query
+def chunk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.links(table(spark, sf_dir, "conversations"), "conv_id", "turn", key="turn").select("conv_id", "turn", "prev_turn", "next_turn")
+
+
+@query
+def chunk_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.left("text", F.lit(100)).alias("text"))
+    return chunking.links(short, "conv_id", "turn", key="text")
+
+
+# --- extraction -------------------------------------------------------------------------------
+
+
+def _extracted(spark, sf_dir, kind: str) -> DataFrame:
+    m = extraction.mentions(reports(spark, sf_dir)).filter(F.col("entity_type") == kind)
+    return m.select("chunk_id", "canonical_name", "name", "entity_type", "confidence")
+
+
+@query
+def extract_org(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir, "ORGANIZATION")
+
+
+@query
+def extract_tech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir, "TECHNOLOGY")
+
+
+@query
+def extract_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir, "METRIC").filter("confidence > 0.85")
+
+
+@query
+def canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    endings = F.array(*map(F.lit, (" Inc", " Corp.", " LLC.", " Ltd", " Co.", ".", "!?", "")))
+    raw = F.concat(F.lit(" ("), F.initcap(F.split("p_name", " ")[0]), F.lit("  "), F.col("p_brand"), F.element_at(endings, (F.col("p_partkey") % 8 + 1).cast("int")), F.lit(" "))
+    alias = F.element_at(F.array(*map(F.lit, (" google ", "Apple", "NVIDIA", "meta.", "other"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", fx.canonical(raw).alias("canonical_name"), fx.canonical(alias).alias("alias_name"))
+
+
+@query
+def relation_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = extraction.relations(reports(spark, sf_dir))
+    return r.select("chunk_id", "source", "target", "relation_type", "position", "description", "weight", "confidence")
+
+
+@query
+def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.merge_entities(extraction.mentions(reports(spark, sf_dir))).select("canonical_name", "entity_type", "confidence", "n_chunks", "n_docs", "first_chunk")
+
+
+@query
+def relation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.merge_relations(extraction.relations(reports(spark, sf_dir)))
+
+
+@query
+def query_seeds_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_seeds(spark, sf_dir)
+
+
+# --- graph ------------------------------------------------------------------------------------
+
+
+@query
+def grounded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.grounded_chunks(benchmark_seeds(spark, sf_dir), lexicon_mentions(spark, sf_dir))
+
+
+@query
+def grounded_chunks_conf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = question_seeds(questions(spark, sf_dir))
+    return graph.grounded_chunks(seeds, extraction.mentions(reports(spark, sf_dir)), by_confidence=True)
+
+
+@query
+def multi_doc_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return graph.bridges(benchmark_seeds(spark, sf_dir), lexicon_mentions(spark, sf_dir), docs)
+
+
+@query
+def multi_doc_bridges_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = reports(spark, sf_dir)
+    return graph.bridges(question_seeds(questions(spark, sf_dir)), extraction.mentions(pages), pages, both_orders=True).drop("chunk1_text", "chunk2_text")
+
+
+@query
+def neighbors_1hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, relations = trade_graph(spark, sf_dir)
+    seeds = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.col("s_name").alias("seed"))
+    return graph.neighbours(seeds, entities, relations)
+
+
+@query
+def subgraph_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, relations = trade_graph(spark, sf_dir)
+    return graph.two_hop_edges(_regions(spark, sf_dir), entities, relations)
+
+
+@query
+def bfs_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, relations = trade_graph(spark, sf_dir)
+    return graph.bfs(_regions(spark, sf_dir), graph.undirected(relations), entities, max_hops=2)
+
+
+@query
+def bfs_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = extraction.mentions(reports(spark, sf_dir))
+    entities = extraction.merge_entities(m)
+    seeds = question_seeds(questions(spark, sf_dir)).filter("ord = 0")
+    return graph.bfs(seeds, graph.mention_edges(m), entities, max_hops=2)
+
+
+@query
+def bfs_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, relations = trade_graph(spark, sf_dir)
+    nodes = graph.bfs(_regions(spark, sf_dir), graph.undirected(relations), entities, max_hops=2)
+    return graph.induced_edges(nodes, relations, limit=25)
+
+
+@query
+def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, relations = trade_graph(spark, sf_dir)
+    starts = _regions(spark, sf_dir).select(F.col("seed").alias("start"))
+    ends = entities.filter("entity_type = 'CUSTOMER'").select(F.col("canonical_name").alias("end"))
+    return graph.shortest_paths(starts, ends, relations, most=4)
+
+
+@query
+def dangling_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, relations = trade_graph(spark, sf_dir)
+    return graph.dangling_entities(entities.filter("entity_type <> 'NATION'"), relations)
+
+
+@query
+def mention_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"))
+    return graph.guarded_mentions(lexicon_mentions(spark, sf_dir), known).groupBy("doc_id").agg(F.count("*").alias("n_mentions"))
+
+
+@query
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = reports(spark, sf_dir)
+    e = graph.all_edges(pages, extraction.mentions(pages), extraction.relations(pages))
+    return e.groupBy("rel_type", "explicit_rel").agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_src"), F.countDistinct("dst").alias("n_dst"))
+
+
+# --- fusion and answers -----------------------------------------------------------------------
+
+
+def _retrieved(spark: SparkSession, sf_dir: str, k: int | None = 5):
+    """Questions, chunks, fused hits and edges of the batch over the reports."""
+    pages, q = reports(spark, sf_dir), questions(spark, sf_dir)
+    mentions = extraction.mentions(pages)
+    entities = extraction.merge_entities(mentions)
+    relations = extraction.merge_relations(extraction.relations(pages))
+    seeds = question_seeds(q)
+    e = table(spark, sf_dir, "embeddings")
+    q_vectors = e.join(q, F.col("vec_id") == F.col("query_id"), "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    known = e.join(pages, F.col("vec_id") == F.col("chunk_id"), "left_semi")
+    hits = vector.top_k(q_vectors, known, k=5).withColumnRenamed("vec_id", "chunk_id")
+    nodes = graph.bfs(seeds.select("query_id", "seed"), graph.undirected(relations), entities, max_hops=1)
+    edges = graph.induced_edges(nodes, relations, limit=25)
+    fused = fusion.fuse(hits, graph.grounded_chunks(seeds, mentions), nodes, k=k)
+    return q, pages, fused, edges
+
+
+@query
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = vector.top_k(_vector_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), k=5).withColumnRenamed("vec_id", "chunk_id")
+    docs = table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.posexplode(fx.seeds_by_capitals(F.col("text"))).alias("ord", "seed"))
+    hits = hits.join(docs.select("query_id").distinct(), "query_id", "left_semi")
+    fused = fusion.fuse(hits, graph.grounded_chunks(docs.filter("seed <> ''"), lexicon_mentions(spark, sf_dir)), k=None)
+    return fused.select("query_id", "chunk_id", "vector_score", "graph_score", "keyword_score", "fused_score", "rank")
+
+
+@query
+def rrf_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = _retrieved(spark, sf_dir)[2]
+    return fused.select("query_id", "chunk_id", "vector_score", "graph_score", "keyword_score", "fused_score", "overlap", "rank", "graph_provenance")
+
+
+@query
+def triples_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer.triples_context(bfs_edges(spark, sf_dir))
+
+
+@query
+def multi_hop_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer.multi_hop_paths(bfs_edges(spark, sf_dir))
+
+
+@query
+def provenance_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, pages, fused, _ = _retrieved(spark, sf_dir)
+    return answer.provenance(fused, pages)
+
+
+@query
+def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, pages, fused, edges = _retrieved(spark, sf_dir)
+    return answer.answers(q, fused, edges, pages)
+
+
+@query
+def llm_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, pages, fused, edges = _retrieved(spark, sf_dir)
+    return answer.prompts(q, fused, edges, pages).select("query_id", F.length("prompt").cast("long").alias("prompt_chars"), F.md5(F.encode("prompt", "UTF-8")).alias("prompt_md5"))
+
+
+# --- metrics and layout -----------------------------------------------------------------------
+
+
+@query
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.latency_summary(table(spark, sf_dir, "events"), F.col("value"), "event_type", budget=40.0)
+
+
+@query
+def latency_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.latency_summary(table(spark, sf_dir, "events").filter("event_type = 'no such type'"), F.col("value"))
+
+
+@query
+def sla_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumns({"compliant": F.col("value") <= 40.0, "exceeds": F.col("value") > 40.0})
+    return e.groupBy("user_id").agg(F.count(F.when(F.col("compliant"), 1)).alias("n_compliant"), F.count(F.when(F.col("exceeds"), 1)).alias("n_exceeding"))
+
+
+@query
+def stage_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    log = e.select(*(F.when(F.col("event_id") % len(metrics.STAGES) == n, F.col("value")).alias(s) for n, s in enumerate(metrics.STAGES)))
+    return metrics.stage_breakdown(log)
+
+
+@query
+def latency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.summary_lines(latency_percentiles(spark, sf_dir))
+
+
+@query
+def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = reports(spark, sf_dir)
+    m = extraction.mentions(pages)
+    c = chunking.chunk_ranges(chunking.lines(pages))
+    return metrics.ingest_stats(pages, c, extraction.merge_entities(m), extraction.relations(pages), elapsed=12.5, ocr=F.length("text") < 150)
+
+
+def _spans(spark, sf_dir):
+    """Words of each page's title as spans of sizes that depend on their places."""
+    title = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
+    w = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split(title, " ")).alias("n", "text"))
+    n, p = F.col("n"), F.col("page_id")
+    size = F.when((n + p) % 7 == 0, 20.0).when((n + p) % 5 == 0, 16.0).otherwise(10.0)
+    return w.select(
+        "page_id", F.floor(n / 4).cast("int").alias("block_no"), F.floor(n % 4 / 2).cast("int").alias("line_no"), (n % 2).alias("span_no"),
+        ((F.floor(n / 4) * 37) % 50).cast("double").alias("x"), ((F.floor(n / 4) * 53) % 97).cast("double").alias("y"), size.alias("size"), "text",
+    )
+
+
+@query
+def heading_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.heading_levels(_spans(spark, sf_dir))
+
+
+@query
+def layout_blocks_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.reading_order(layout.heading_levels(_spans(spark, sf_dir)))
+
+
+@query
+def ocr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(60)).alias("text"), F.left("text", F.lit(55)).alias("ocr"))
+    short = d.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.left("text", F.lit(20))).otherwise(F.col("text")))
+    return short.select("doc_id", layout.with_ocr(F.col("text"), F.col("ocr")).alias("text"))
+
+
+@query
+def metadata_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = reports(spark, sf_dir).groupBy("doc_id").agg(F.min("title").alias("title"), F.min("filename").alias("filename"))
+    return r.select("doc_id", fx.or_else(F.col("title"), F.col("filename")).alias("title"), F.left(fx.or_else(F.col("title"), F.lit("General")), F.lit(12)).alias("section"))
+
+
+@query
+def synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports(spark, sf_dir)
