@@ -34,13 +34,18 @@ KEEPS_DOT = r"(Inc|Corp|Ltd|Co)\.$"
 
 def canonical(name: Column, aliases: dict[str, str] = ALIASES) -> Column:
     """Canonical form of a name: trimmed, legal form normalised, final dots off, aliases resolved."""
-    for pattern, by in NAME_RULES:
-        name = F.regexp_replace(name, pattern, by)
-    name = F.when(name.rlike(KEEPS_DOT), name).otherwise(F.regexp_replace(name, r"\.+$", ""))
-    if not aliases:
-        return name
-    known = F.create_map(*map(F.lit, chain.from_iterable(aliases.items())))
-    return F.coalesce(F.try_element_at(known, F.lower(name)), name)
+
+    def ruled(x: Column) -> Column:
+        for pattern, by in NAME_RULES:
+            x = F.regexp_replace(x, pattern, by)
+        return x
+
+    # one-element arrays: each step is evaluated once, however often the next one uses it
+    steps = F.transform(F.transform(F.array(name), ruled), lambda x: F.when(x.rlike(KEEPS_DOT), x).otherwise(F.regexp_replace(x, r"\.+$", "")))
+    if aliases:
+        known = F.create_map(*map(F.lit, chain.from_iterable(aliases.items())))
+        steps = F.transform(steps, lambda x: F.coalesce(F.try_element_at(known, F.lower(x)), x))
+    return F.get(steps, F.lit(0))
 
 
 def or_else(value: Column, default: Column) -> Column:

@@ -21,6 +21,17 @@ TRIGGERS = (
     ("REPORTED_METRIC", 0.9, r"(?i)([A-Z][A-Za-z0-9\s]+?(?:\s+(?:Inc\.?|Corp\.?|LLC|Ltd\.?))?)\s+(?:reported revenue of|generated)\s+(\$[0-9]+[\w\s]*)"),
     ("LOCATED_IN", 0.9, r"(?i)([A-Z][A-Za-z0-9\s]+?(?:\s+(?:Inc\.?|Corp\.?|LLC|Ltd\.?))?)\s+(?:is located in|headquartered in|based in)\s+([A-Z][A-Za-z0-9\s]+)"),
 )
+# The words of which a trigger needs one; a cheap test before its pattern runs.
+TRIGGER_WORDS = {
+    "ACQUIRED": "acquired|purchased|bought",
+    "SUBSIDIARY_OF": "is a subsidiary of|owned by",
+    "PARTNERS_WITH": "partnered with|collaborated with|signed agreement with",
+    "DEVELOPS_AND_OWNS": "developed|built|launched|created|released|owns|controls|powers",
+    "DEPENDS_ON": "depends on|relies on|integrates with",
+    "INCREASED_BY": "increased by|grew by|surged",
+    "REPORTED_METRIC": "reported revenue of|generated",
+    "LOCATED_IN": "is located in|headquartered in|based in",
+}
 CONFIDENCE = {"ORGANIZATION": 0.92, "TECHNOLOGY": 0.95, "METRIC": 0.88}
 INFERRED = 0.80
 
@@ -56,14 +67,16 @@ def relations(chunks: DataFrame) -> DataFrame:
         return F.coalesce(hit, canonical(raw))
 
     def of_trigger(nth: int, kind: str, confidence: float, pattern: str) -> Column:
-        ends = F.arrays_zip(*(F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(c) for g, c in ((1, "s"), (2, "t"))))
+        # the groups are read from the matched parts, which are short
+        whole = F.when(F.col("text").rlike(f"(?i){TRIGGER_WORDS[kind]}"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
-        def one(e: Column, i: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
             return F.struct(
-                (F.lit(1000 * nth) + i).alias("position"), F.lit(kind).alias("relation_type"), _trim(e["s"]).alias("source_raw"), _trim(e["t"]).alias("target_raw"), F.lit(confidence).alias("confidence")
-            )
+                (F.lit(1000 * nth) + i).alias("position"), F.lit(kind).alias("relation_type"), _trim(F.regexp_extract(m, pattern, 1)).alias("source_raw"),
+                _trim(F.regexp_extract(m, pattern, 2)).alias("target_raw"), F.lit(confidence).alias("confidence"),
+            )
 
-        return F.transform(ends, one)
+        return F.transform(whole, one)
 
     found = [of_trigger(n, *t) for n, t in enumerate(TRIGGERS)]
     rows = entity_arrays(chunks).withColumn("r", F.explode(F.concat(*found)))

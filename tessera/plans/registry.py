@@ -294,9 +294,9 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _retrieved(spark: SparkSession, sf_dir: str, k: int | None = 5):
     """Questions, chunks, fused hits and edges of the batch over the reports."""
     pages, q = reports(spark, sf_dir), questions(spark, sf_dir)
-    mentions = extraction.mentions(pages)
+    mentions = extraction.mentions(pages).persist()  # read by three branches of the plan
     entities = extraction.merge_entities(mentions)
-    relations = extraction.merge_relations(extraction.relations(pages))
+    relations = extraction.merge_relations(extraction.relations(pages)).persist()
     seeds = question_seeds(q)
     e = table(spark, sf_dir, "embeddings")
     q_vectors = e.join(q, F.col("vec_id") == F.col("query_id"), "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
