@@ -9,9 +9,12 @@ candidates are confirmed on their full shingle sets, computed again from the tex
 A pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^38 = 3e-7.
 
 No bucket is expanded into all its pairs. Documents with equal shingle sets are one class. First
-every class is held against the smallest class of each of its buckets only. Then a bucket whose
-classes already are in one component has no more to tell; in the others the pairs between
-different components are compared, which finds every link that can still join two components.
+every class is held against one class of each of its buckets only: that with most company in its
+own buckets, which in a family of copies lies close to the original. A bucket whose classes are
+in one component then has no more to tell. For the classes of the other buckets, pairs between
+different components are looked up by prefix: at similarity t two sets share one of the
+``n - ceil(t n) + 1`` rarest shingles of each, so that members of one family, whose rare shingles
+are their own edits, don't meet again. Neither step loses a link that joins two components.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ LANES = 32  # two-bit lanes of a long
 LONGS = PERMUTATIONS // LANES
 #: Five standard deviations of the estimate at similarity 0.8.
 SLACK = 0.17
+#: Counters of the sketch of shingle frequencies.
+CELLS = 1 << 18
 
 
 def _family() -> tuple[np.ndarray, np.ndarray]:
@@ -132,12 +137,92 @@ def _confirm(shingle: int, num: int, den: int):
     return run
 
 
+def _cell_counts(shingle: int):
+    """``(cell, n)``: how many of a task's sets hold a shingle of each cell of the sketch."""
+
+    def run(batches):
+        hashes, count = WordHashes(), np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for text in batch.column("text"):
+                count += np.bincount((shingle_set(text.as_py(), shingle, hashes) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        cell = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count[cell])], ["cell", "n"])
+
+    return run
+
+
+def _packed_cells(batches):
+    for batch in batches:
+        both = np.stack([batch.column(c).to_numpy() for c in ("cell", "n")])
+        yield pa.RecordBatch.from_arrays([pa.array([both.tobytes()], pa.binary())], ["cells"])
+
+
+def _prefixes(shingle: int, num: int, den: int, sketch):
+    def run(batches):
+        hashes, count = WordHashes(), sketch.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                sets = [shingle_set(t, shingle, hashes) for t in part.column("text").to_pylist()]
+                out = []
+                for s in sets:
+                    s = s[np.lexsort((s, count[(s % np.uint64(CELLS)).astype(np.int64)]))]
+                    out.append(s[: len(s) + (-num * len(s)) // den + 1])
+                size = [len(x) for x in out]
+                of = lambda values: pa.array(np.repeat(np.array(values, np.int64), size))
+                place = np.concatenate([np.arange(k, dtype=np.int64) for k in size])
+                yield pa.RecordBatch.from_arrays(
+                    [of(part.column("node").to_pylist()), of(part.column("comp").to_pylist()), of([len(s) for s in sets]), pa.array(place), pa.array(np.concatenate(out).view(np.int64))],
+                    ["node", "comp", "n", "pos", "sh"],
+                )
+
+    return run
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / F.lit(float(np.log(1.05)))).cast("int")
+
+
+def _between(rest: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """Pairs ``(u, v)`` of ``rest(node, comp)`` from different components that share a rare shingle.
+
+    Shingles are ordered by a sketch of their numbers of sets (``CELLS`` counters, broadcast), then
+    by hash; any order that is the same for all sets loses nothing, and in a large family of copies
+    the shingles of the original stand out of the sketch. A pair's first common shingle, at places
+    p and q of the two sets, leaves at most ``min(n_u - p, n_v - q)`` common ones; it must reach
+    the overlap that the similarity asks for. Of the sets with a prefix shingle those outside its
+    largest component are held against all others, by classes of the partner's size, for which the
+    bound is known before the join.
+    """
+    held = texts.join(rest, "node")
+    cells = held.select("text").mapInArrow(_cell_counts(shingle), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    count = np.zeros(CELLS, np.int64)
+    for r in cells.mapInArrow(_packed_cells, "cells binary").collect():
+        cell, n = np.frombuffer(r[0], np.int64).reshape(2, -1)
+        count[cell] = n
+    sketch = rest.sparkSession.sparkContext.broadcast(count)
+    pre = stored(held.select("node", "comp", "text").mapInArrow(_prefixes(shingle, num, den, sketch), "node long, comp long, n long, pos long, sh long"))
+    per = pre.groupBy("sh", "comp").agg(F.count("*").alias("n")).groupBy("sh").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps"))
+    pre = pre.join(per.filter("comps > 1").select("sh", F.col("top.comp").alias("major")), "sh")
+
+    n, least = F.col("u_n"), F.ceil(F.pow(F.lit(1.05), F.col("size"))) - 1
+    least = F.greatest(least, F.ceil(num * n / F.lit(den)))
+    sizes = F.sequence(_size_class(F.ceil(num * n / F.lit(den))), _size_class(F.floor(den * n / F.lit(num))))
+    probe = pre.filter("comp != major").select("sh", F.col("node").alias("u"), F.col("comp").alias("u_comp"), F.col("n").alias("u_n"), F.col("pos").alias("u_pos"))
+    probe = probe.withColumn("size", F.explode(sizes)).filter((num + den) * (F.col("u_n") - F.col("u_pos")) >= num * (F.col("u_n") + least))
+    index = pre.select("sh", _size_class(F.col("n")).alias("size"), F.col("node").alias("v"), F.col("comp").alias("v_comp"), F.col("n").alias("v_n"), F.col("pos").alias("v_pos"))
+    left = F.least(F.col("u_n") - F.col("u_pos"), F.col("v_n") - F.col("v_pos"))
+    pairs = probe.join(index, ["sh", "size"]).filter((F.col("u_comp") != F.col("v_comp")) & ((num + den) * left >= num * (F.col("u_n") + F.col("v_n"))))
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per document: ``doc_id, tkey, n_shingles, component_id, kept``.
+    """One row per document: ``doc_id, tkey, n_shingles, component_id, kept, group``.
 
     Documents are linked if ``den * |A and B| >= num * |A or B|`` for their sets of distinct
     ``shingle``-word shingles; ``component_id`` is the smallest doc_id of a document's connected
-    component. ``tkey`` is xxhash64 of the text and tells rows of one doc_id apart.
+    component. ``tkey`` is xxhash64 of the text and tells rows of one doc_id apart; ``group`` is a
+    number of the component, equal for its rows only.
 
     Null or wordless texts have no shingles and are alone in their component. Rows without
     doc_id take part in links; a component of such rows only has a null ``component_id`` and
@@ -153,54 +238,61 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     classes = stored(sigs.filter("n_shingles > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_doc")))
     reps = sigs.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
     band = reps.select(F.col("row").alias("node"), F.explode("bands").alias("band"))
-    shared = band.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    member = stored(band.join(shared, "band"))
-
+    shared = band.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    # these sides grow with the corpus: no plan that fits small inputs only
+    member = stored(band.join(shared.hint("merge"), "band"))
+    company = member.groupBy("node").agg(F.sum("n").alias("company"))
     light = stored(
-        reps.join(member.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select(
-            F.col("row").alias("node"), "doc_id", "tkey", F.col("n_shingles").alias("n"), "sig"
+        reps.join(company.withColumnRenamed("node", "row"), "row").select(
+            F.col("row").alias("node"), "doc_id", "tkey", F.col("n_shingles").alias("n"), "sig", "company"
         )
     )
+    want = light.select("node", F.col("doc_id").alias("w_id"), F.col("tkey").alias("w_key"))
+    texts = base.join(want.hint("merge"), (F.col("tkey") == F.col("w_key")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
+    texts = stored(texts.select("node", "text").dropDuplicates(["node"]))
 
     def sided(x: str) -> DataFrame:
         return light.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sig").alias(f"{x}_sig"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs)
-        need = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        want = light.join(need, "node", "left_semi").select("node", F.col("doc_id").alias("w_id"), F.col("tkey").alias("w_key"))
-        texts = base.join(want, (F.col("tkey") == F.col("w_key")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-        texts = stored(texts.select("node", "text").dropDuplicates(["node"]))
-        both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("u_text")), "u").join(
-            texts.select(F.col("node").alias("v"), F.col("text").alias("v_text")), "v"
-        )
+        side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")).hint("merge")
+        both = pairs.join(side("u"), "u").join(side("v"), "v")
         return stored(both.mapInArrow(_confirm(shingle, num, den), "u long, v long"))
 
-    # every class against the first class of its buckets
-    stars = member.filter("node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
+    # every class against the one with most company of each of its buckets
+    leader = member.join(light.select("node", "company"), "node").groupBy("band").agg(F.max(F.struct("company", -F.col("node"))).alias("top"))
+    stars = member.join(leader.select("band", (-F.col("top.col2")).alias("leader")), "band").filter("node != leader")
+    stars = stars.select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
     links = confirmed(stars.join(sided("u"), "u").join(sided("v"), "v").filter(_plausible("u", "v", num, den)).select("u", "v"))
     comps = stored(connected_components(links))
 
-    # buckets that still hold several components: pairs between them
-    placed = member.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # classes of buckets that still hold several components: pairs between them
+    placed = member.join(comps, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
-    rest = stored(placed.join(mixed, "band", "left_semi").join(light.select("node", "n", "sig"), "node"))
-
-    def named(x: str) -> DataFrame:
-        return rest.select("band", F.col("node").alias(x), F.col("leader").alias(f"{x}_leader"), F.col("comp").alias(f"{x}_comp"), F.col("n").alias(f"{x}_n"), F.col("sig").alias(f"{x}_sig"))
-
-    across = named("u").join(named("v"), "band").filter(
-        (F.col("u") < F.col("v")) & (F.col("u_comp") != F.col("v_comp")) & (F.col("u") != F.col("u_leader")) & _plausible("u", "v", num, den)
-    )
-    more = confirmed(across.select("u", "v").distinct())
+    rest = stored(placed.join(mixed, "band", "left_semi").select("node", "comp").distinct())
+    across = _between(rest, texts, shingle, num, den)
+    more = confirmed(across.join(sided("u"), "u").join(sided("v"), "v").filter(_plausible("u", "v", num, den)).select("u", "v"))
     if not more.isEmpty():
         comps = stored(connected_components(comps.filter("node != comp").select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(more)))
 
     named_class = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = named_class.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
-    by_key = stored(named_class.join(first, "comp").select("key", "component_id"))
-    out = sigs.select("doc_id", "tkey", "n_shingles", "key").join(by_key, "key", "left")
+    by_key = stored(named_class.join(first, "comp").select("key", "component_id", F.col("comp").alias("group")))
+    out = sigs.select("row", "doc_id", "tkey", "n_shingles", "key").join(by_key, "key", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "tkey", "n_shingles", own.alias("component_id")).withColumn(
+    return out.select("doc_id", "tkey", "n_shingles", own.alias("component_id"), F.coalesce("group", "row").alias("group")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each component the one with the smallest id.
+
+    Rows without id come last; among rows of one id the smallest ``tkey`` decides, and of rows
+    that repeat id and text one stays.
+    """
+    found = near_duplicates(docs, shingle, num, den)
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("k2"), F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("tkey").alias("k3"))).alias("k"))
+    keys = first.select("k.k1", "k.k2", "k.k3")
+    named = docs.withColumns({"k1": F.coalesce("doc_id", F.lit(0)), "k2": F.col("doc_id").isNull(), "k3": F.xxhash64("text")})
+    return named.join(keys, ["k1", "k2", "k3"], "left_semi").dropDuplicates(["k1", "k2", "k3"]).select(*docs.columns)
