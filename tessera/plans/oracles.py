@@ -371,6 +371,14 @@ SELECT doc_id, CASE WHEN length(trim(t)) < 50 AND length(trim(o)) > length(trim(
     "metadata_defaults": f"""WITH {REPORTS}
 SELECT doc_id, coalesce(nullif(min(title), ''), min(filename)) AS title, left(coalesce(nullif(min(title), ''), 'General'), 12) AS section FROM reports GROUP BY doc_id""",
     "synthetic_corpus": f"WITH {REPORTS} SELECT * FROM reports",
-    "multi_doc_bridges_ordered": f"""WITH {EXTRACTED}, {QUESTIONS}, {BRIDGES.format(mentions="mentions", seeds="seeds", order="")}
+    # with an entity in two documents every chunk has a partner, so the first pairs start at its first chunks
+    "multi_doc_bridges_ordered": f"""WITH {EXTRACTED}, {QUESTIONS},
+hit AS (SELECT DISTINCT chunk_id, doc_id, canonical_name FROM mentions WHERE canonical_name IN (SELECT seed FROM seeds)),
+several AS (SELECT canonical_name FROM hit GROUP BY canonical_name HAVING count(DISTINCT doc_id) > 1),
+starts AS (SELECT * FROM hit WHERE canonical_name IN (SELECT canonical_name FROM several) QUALIFY row_number() OVER (PARTITION BY canonical_name ORDER BY chunk_id) <= 5),
+ranked AS (
+  SELECT s.query_id, row_number() OVER (PARTITION BY s.query_id ORDER BY s.ord, a.chunk_id, b.chunk_id) AS nth, s.seed AS shared_entity,
+    a.doc_id AS doc1, a.chunk_id AS chunk1_id, b.doc_id AS doc2, b.chunk_id AS chunk2_id
+  FROM seeds s JOIN starts a ON a.canonical_name = s.seed JOIN hit b ON b.canonical_name = s.seed AND a.doc_id <> b.doc_id)
 SELECT query_id, CAST(nth AS INTEGER) AS nth, shared_entity, doc1, chunk1_id, doc2, chunk2_id FROM ranked WHERE nth <= 5""",
 }
