@@ -198,11 +198,16 @@ def viterbi(text: np.ndarray, score: np.ndarray, penalty: float) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, learn: Column) -> list[tuple[str, str]]:
-    """``SAMPLE`` labelled rows of each language, those with the smallest hash of id and text."""
-    key = F.xxhash64("doc_id", "text")
-    some = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", key.alias("k"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("k", "text"))
-    return [(r[0], r[1]) for r in some.withColumn("n", first).filter(F.col("n") <= SAMPLE).select("text", "lang").collect()]
+    """``SAMPLE`` labelled rows of each language, those with the smallest hash of id and text.
+
+    The rows are chosen by their hashes alone, so that no task gathers more texts than the sample
+    holds; rows that repeat id, text and language count once.
+    """
+    known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("doc_id", "text").alias("k"), "text")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("k"))
+    chosen = known.select("lang", "k").distinct().withColumn("n", rank).filter(F.col("n") <= SAMPLE).drop("n")
+    rows = known.join(F.broadcast(chosen), ["lang", "k"]).dropDuplicates(["lang", "k"]).orderBy("lang", "k")
+    return [(r.text, r.lang) for r in rows.collect()]
 
 
 def fit(docs: DataFrame, learn: Column | None = None) -> Model:
