@@ -56,10 +56,10 @@ def entity_arrays(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("found", found).withColumn("known", F.array_distinct(F.transform("found", lambda e: e["canonical_name"])))
 
 
-def relations(chunks: DataFrame) -> DataFrame:
-    """``chunk_id, doc_id, source, target, relation_type, position, description, weight, confidence`` and raw ends.
+def annotated(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with ``found``, ``known`` and ``triples``: all that the patterns find, evaluated once.
 
-    An end that holds the name of an entity found in the chunk is the first such entity.
+    An end of a triple that holds the name of an entity found in the chunk is the first such entity.
     """
 
     def named(raw: Column) -> Column:
@@ -78,9 +78,16 @@ def relations(chunks: DataFrame) -> DataFrame:
 
         return F.transform(whole, one)
 
-    found = [of_trigger(n, *t) for n, t in enumerate(TRIGGERS)]
-    rows = entity_arrays(chunks).withColumn("r", F.explode(F.concat(*found)))
-    rows = rows.select("chunk_id", "doc_id", "known", "r.*").withColumn("source", named(F.col("source_raw"))).withColumn("target", named(F.col("target_raw")))
+    def with_names(r: Column) -> Column:
+        return F.struct(*(r[c].alias(c) for c in ("position", "relation_type", "source_raw", "target_raw", "confidence")), named(r["source_raw"]).alias("source"), named(r["target_raw"]).alias("target"))
+
+    raw = F.concat(*(of_trigger(n, *t) for n, t in enumerate(TRIGGERS)))
+    return entity_arrays(chunks).withColumn("triples", F.transform(raw, with_names))
+
+
+def relations(chunks: DataFrame) -> DataFrame:
+    """``chunk_id, doc_id, source, target, relation_type, position, description, weight, confidence`` and raw ends."""
+    rows = annotated(chunks).select("chunk_id", "doc_id", F.explode("triples").alias("r")).select("chunk_id", "doc_id", "r.*")
     return rows.select(
         "chunk_id", "doc_id", "source", "target", "relation_type", "position", F.concat_ws(" ", "source", "relation_type", "target").alias("description"),
         F.lit(1.0).alias("weight"), "confidence", "source_raw", "target_raw",
@@ -93,17 +100,22 @@ def mentions(chunks: DataFrame) -> DataFrame:
     Of equal names in one chunk the first counts: organisations, technologies, metrics, then the
     ends of relations that are long enough.
     """
-    direct = entity_arrays(chunks).select("chunk_id", "doc_id", F.posexplode("found").alias("ord", "e")).select("chunk_id", "doc_id", "ord", "e.*")
-    ends = relations(chunks).select(
-        "chunk_id", "doc_id",
-        F.posexplode(F.array(
-            F.struct(F.col("source").alias("canonical_name"), F.col("source_raw").alias("name"), F.lit("CONCEPT").alias("entity_type"), F.lit(3).alias("least")),
-            F.struct(F.col("target").alias("canonical_name"), F.col("target_raw").alias("name"), F.when(F.startswith("target", F.lit("$")), "METRIC").otherwise("CONCEPT").alias("entity_type"), F.lit(2).alias("least")),
-        )).alias("end", "e"),
-        "position",
-    ).filter(F.length("e.canonical_name") >= F.col("e.least"))
-    ends = ends.select("chunk_id", "doc_id", (F.lit(1_000_000) + 2 * F.col("position") + F.col("end")).alias("ord"), "e.canonical_name", "e.name", "e.entity_type", F.lit(INFERRED).alias("confidence"))
-    first = direct.unionByName(ends).groupBy("chunk_id", "doc_id", "canonical_name").agg(F.min(F.struct("ord", "name", "entity_type", "confidence")).alias("e"))
+
+    def entry(ord_: Column, name: Column, raw: Column, kind: Column, confidence: Column) -> Column:
+        return F.struct(name.alias("canonical_name"), ord_.cast("int").alias("ord"), raw.alias("name"), kind.alias("entity_type"), confidence.alias("confidence"))
+
+    direct = F.transform("found", lambda e, i: entry(i, e["canonical_name"], e["name"], e["entity_type"], e["confidence"]))
+
+    def ends(r: Column) -> Column:
+        at = F.lit(1_000_000) + 2 * r["position"]
+        target_kind = F.when(F.startswith(r["target"], F.lit("$")), "METRIC").otherwise("CONCEPT")
+        return F.concat(
+            F.filter(F.array(entry(at, r["source"], r["source_raw"], F.lit("CONCEPT"), F.lit(INFERRED))), lambda e: F.length(e["canonical_name"]) > 2),
+            F.filter(F.array(entry(at + 1, r["target"], r["target_raw"], target_kind, F.lit(INFERRED))), lambda e: F.length(e["canonical_name"]) > 1),
+        )
+
+    rows = annotated(chunks).select("chunk_id", "doc_id", F.explode(F.concat(direct, F.flatten(F.transform("triples", ends)))).alias("e"))
+    first = rows.groupBy("chunk_id", "doc_id", F.col("e.canonical_name").alias("canonical_name")).agg(F.min(F.struct("e.ord", "e.name", "e.entity_type", "e.confidence")).alias("e"))
     return first.select("chunk_id", "doc_id", "canonical_name", "e.name", "e.entity_type", "e.confidence", "e.ord")
 
 
