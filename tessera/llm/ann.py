@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import stored
+from tessera.llm.common import handing_back, stored
 
 BITS = 512
 EPSILON = 2.5
@@ -169,14 +169,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     for r in sample:
         groups.setdefault(len(r[0]), []).append(r[0])
     centres = spark.sparkContext.broadcast({d: np.mean(np.array(v, np.float32), axis=0) for d, v in groups.items()})
-    codes = stored(classes.mapInArrow(_encode(centres), "dim long, ids binary, codes binary, norm binary, own binary, vectors binary"))
+    codes = stored(classes.mapInArrow(handing_back(_encode(centres)), "dim long, ids binary, codes binary, norm binary, own binary, vectors binary"))
 
     asked = stored(valid(queries).dropDuplicates().withColumn("block", F.floor(F.abs(F.xxhash64("vec_id") / 2) % 1e6)))
     chunks = -(-asked.count() // (BROADCAST_QUERIES // 2)) or 1  # half full on average
     pairs = None
     for c in range(chunks):
-        part = asked.filter(F.col("block") % chunks == c).mapInArrow(_queries(centres), "dim long, q_ids binary, q binary, q_vectors binary")
-        got = codes.join(F.broadcast(part), "dim").mapInArrow(_rerank(k), "query_id long, class_id long")
+        part = asked.filter(F.col("block") % chunks == c).mapInArrow(handing_back(_queries(centres)), "dim long, q_ids binary, q binary, q_vectors binary")
+        got = codes.join(F.broadcast(part), "dim").mapInArrow(handing_back(_rerank(k)), "query_id long, class_id long")
         pairs = got if pairs is None else pairs.unionByName(got)
 
     exact = pairs.join(classes, "class_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")

@@ -52,6 +52,27 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def handing_back(run):
+    """``run`` for mapInArrow, which at its end gives free memory back to the system.
+
+    Python workers serve one task after another, and what allocators keep from one stage would
+    come on top of the next one's needs.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)(0)
+
+    return wrapped
+
+
 def words(text: str | None) -> list[bytes]:
     """Words of ``text`` with A-Z lower-cased; bytes.split and bytes.lower are ASCII-only."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

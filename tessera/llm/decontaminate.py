@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import handing_back
+
 Q = 8
 RATE = 0.1
 BLOCK_CHARS = 16_000_000
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 _B = 0x9E3779B97F4A7C15 | 1
 
 
@@ -246,7 +248,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     out = None
     for block in _blocks(benchmark):
-        part = docs.select("doc_id", "text").mapInArrow(search(block), "doc_id long, item_id long, edits long, start long, end long")
+        part = docs.select("doc_id", "text").mapInArrow(handing_back(search(block)), "doc_id long, item_id long, edits long, start long, end long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -265,5 +267,5 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     for block in _blocks(benchmark):
-        docs = docs.mapInArrow(keep(block), docs.schema)
+        docs = docs.mapInArrow(handing_back(keep(block)), docs.schema)
     return docs

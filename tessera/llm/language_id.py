@@ -19,14 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import crc_mod
+from tessera.llm.common import crc_mod, handing_back
 
 SAMPLE = 400
 SIZES = (2, 3, 4)
 CELLS = 1 << 15
 PENALTY = 12.0
-CHUNK_CHARS = 1_000_000
-VITERBI_CHARS = 8_000_000
+CHUNK_CHARS = 250_000
+VITERBI_CHARS = 4_000_000
 
 #: First code point, end and script; letters elsewhere are "other".
 SCRIPTS = (
@@ -131,7 +131,7 @@ class Model:
         parts, offset, base = [], 0, 0
         for at, upto in _runs(texts, CHUNK_CHARS):
             w = Words(texts[at:upto])
-            parts.append((w.text + at, w.begin + base, w.stop + base, self.score(w)))
+            parts.append((*((x + n).astype(np.int32) for x, n in ((w.text, at), (w.begin, base), (w.stop, base))), self.score(w)))
             base += sum(1 + len(t or "") for t in texts[at:upto])
         text, begin, stop, score = (np.concatenate(x) for x in zip(*parts))
         return text, begin, stop, viterbi(text, score, PENALTY)
@@ -247,14 +247,14 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     """
     emit = lambda part, pred, score: pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(_predict(shared, emit), "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(handing_back(_predict(shared, emit)), "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known for ``least`` of their letters."""
     emit = lambda part, pred, score: part.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score)], pa.bool_()))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_predict(shared, emit), docs.schema)
+    return docs.mapInArrow(handing_back(_predict(shared, emit)), docs.schema)
 
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:
@@ -279,6 +279,6 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
                 )
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, end long, lang string")
+    return docs.select("doc_id", "text").mapInArrow(handing_back(run), "doc_id long, start long, end long, lang string")
 
 

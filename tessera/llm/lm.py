@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, words
+from tessera.llm.common import handing_back, stored, words
 
 END = b"\n"  # no word has white space
 HEAD = 1 << 17
@@ -56,7 +56,7 @@ def _count(batches):
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """``(word, c)`` of all tokens of ``docs``, written to the shared folder."""
-    partial = docs.select("text").mapInArrow(_count, "word binary, c long")
+    partial = docs.select("text").mapInArrow(handing_back(_count), "word binary, c long")
     return stored(partial.groupBy("word").agg(F.sum("c").alias("c")))
 
 
@@ -196,7 +196,7 @@ def train(docs: DataFrame, v: Vocabulary) -> list[np.ndarray]:
     params = start(v)
     shared = docs.sparkSession.sparkContext.broadcast((v, params))
     schema = "sums binary, tokens long"
-    parts = stored(docs.select("text").mapInArrow(_train(shared), schema)).repartition(8).mapInArrow(_add, schema).collect()
+    parts = stored(docs.select("text").mapInArrow(handing_back(_train(shared)), schema)).repartition(8).mapInArrow(handing_back(_add), schema).collect()
     tokens = sum(r[1] for r in parts)
     if not tokens:
         return params
@@ -263,7 +263,7 @@ def scored(docs: DataFrame, learn: Column) -> DataFrame:
     v = Vocabulary([(bytes(r[0]), r[1]) for r in counts.filter(F.col("c") >= bound).collect()], n_all, n_distinct)
     shared = context.broadcast((v, log_tables(train(training, v))))
     schema = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, tail array<binary>, times array<long>"
-    first = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_score(shared, bound), schema))
+    first = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(handing_back(_score(shared, bound)), schema))
     tail = first.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("m"))
     tail = tail.join(counts.filter(F.col("c") < bound), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     log = lambda n, d: F.col("m") * F.log10((F.col("c") + 0.5) / F.lit(float(n + 0.5 * (d + 1))))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, mix64, shingle_set, stored
+from tessera.llm.common import WordHashes, handing_back, mix64, shingle_set, stored
 from tessera.llm.components import connected_components
 
 BANDS, ROWS, PERMUTATIONS = 38, 5, 192
@@ -144,7 +144,7 @@ def _cell_counts(shingle: int):
         hashes, count = WordHashes(), np.zeros(CELLS, np.int64)
         for batch in batches:
             for text in batch.column("text"):
-                count += np.bincount((shingle_set(text.as_py(), shingle, hashes) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+                np.add.at(count, (shingle_set(text.as_py(), shingle, hashes) % np.uint64(CELLS)).astype(np.int64), 1)
         cell = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count[cell])], ["cell", "n"])
 
@@ -195,13 +195,13 @@ def _between(rest: DataFrame, texts: DataFrame, shingle: int, num: int, den: int
     bound is known before the join.
     """
     held = texts.join(rest, "node")
-    cells = held.select("text").mapInArrow(_cell_counts(shingle), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = held.select("text").mapInArrow(handing_back(_cell_counts(shingle)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     count = np.zeros(CELLS, np.int64)
-    for r in cells.mapInArrow(_packed_cells, "cells binary").collect():
+    for r in cells.mapInArrow(handing_back(_packed_cells), "cells binary").collect():
         cell, n = np.frombuffer(r[0], np.int64).reshape(2, -1)
         count[cell] = n
     sketch = rest.sparkSession.sparkContext.broadcast(count)
-    pre = stored(held.select("node", "comp", "text").mapInArrow(_prefixes(shingle, num, den, sketch), "node long, comp long, n long, pos long, sh long"))
+    pre = stored(held.select("node", "comp", "text").mapInArrow(handing_back(_prefixes(shingle, num, den, sketch)), "node long, comp long, n long, pos long, sh long"))
     per = pre.groupBy("sh", "comp").agg(F.count("*").alias("n")).groupBy("sh").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps"))
     pre = pre.join(per.filter("comps > 1").select("sh", F.col("top.comp").alias("major")), "sh")
 
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     sigs = stored(
         base.withColumn("row", F.monotonically_increasing_id())
         .select("row", "doc_id", "tkey", "text")
-        .mapInArrow(_signatures(shingle), "row long, doc_id long, tkey long, n_shingles long, key binary, sig array<long>, bands array<long>")
+        .mapInArrow(handing_back(_signatures(shingle)), "row long, doc_id long, tkey long, n_shingles long, key binary, sig array<long>, bands array<long>")
     )
     classes = stored(sigs.filter("n_shingles > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_doc")))
     reps = sigs.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")).hint("merge")
         both = pairs.join(side("u"), "u").join(side("v"), "v")
-        return stored(both.mapInArrow(_confirm(shingle, num, den), "u long, v long"))
+        return stored(both.mapInArrow(handing_back(_confirm(shingle, num, den)), "u long, v long"))
 
     # every class against the one with most company of each of its buckets
     leader = member.join(light.select("node", "company"), "node").groupBy("band").agg(F.max(F.struct("company", -F.col("node"))).alias("top"))

@@ -13,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import handing_back
+
 SAMPLE = 4000
 ROUNDS, RATE, DECAY = 150, 0.1, 1e-3
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 THRESHOLD = 0.7
 
 _CLASSES: np.ndarray | None = None
@@ -220,4 +222,4 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
                 score = np.concatenate([m.score(texts[lo:hi]) for lo, hi in _runs(texts)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(handing_back(run), "doc_id long, score double")

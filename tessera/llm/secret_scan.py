@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import handing_back, stored
 
 # The rules of the contract; group to measure, and its least length.
 _ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -89,7 +89,7 @@ def scan(spark: SparkSession, versions: DataFrame, ledger: DataFrame | None = No
         known = ledger.join(F.broadcast(current), ["kind", "version"], "left_semi").groupBy("blob").agg(F.collect_set("kind").alias("known"))
         left = F.array_except(F.array(*map(F.lit, rules)), F.coalesce("known", F.array().cast("array<string>")))
         todo = texts.join(known, "blob", "left").withColumn("rules", left).drop("known").filter(F.size("rules") > 0)
-    scanned = todo.mapInArrow(_scan(rules), "blob binary, spans array<struct<kind: string, start: long, end: long>>")
+    scanned = todo.mapInArrow(handing_back(_scan(rules)), "blob binary, spans array<struct<kind: string, start: long, end: long>>")
     if ledger is not None:
         # which kinds were due is needed for the ledger as well
         scanned = scanned.join(known, "blob", "left")

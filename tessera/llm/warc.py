@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir, stored
+from tessera.llm.common import handing_back, shared_dir, stored
 
 REVISIT_BYTES = 1000  # least payload of a revisit record
 ARCHIVE_BYTES = 16 << 20
@@ -159,7 +159,7 @@ def write(pages: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
     are responses. A null html is an empty payload, a null url an empty address.
     """
     folder = folder or shared_dir(pages.sparkSession)
-    written = with_targets(pages).mapInArrow(_write(folder), "path string, records long, bytes long")
+    written = with_targets(pages).mapInArrow(handing_back(_write(folder)), "path string, records long, bytes long")
     return folder, stored(written)
 
 
@@ -183,4 +183,4 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
                             rows = []
                     yield pa.RecordBatch.from_pylist(rows, kinds).select(names)
 
-    return archives.select("path").repartition("path").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.select("path").repartition("path").mapInArrow(handing_back(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
