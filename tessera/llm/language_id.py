@@ -250,8 +250,11 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(handing_back(_predict(shared, emit)), "doc_id long, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known for ``least`` of their letters."""
+def accepted(docs: DataFrame, model: Model, least: float = 0.25) -> DataFrame:
+    """The rows of ``docs``, all columns, one language of which has at least ``least`` of the letters.
+
+    Texts without letters go; texts of two or three languages stay.
+    """
     emit = lambda part, pred, score: part.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score)], pa.bool_()))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(handing_back(_predict(shared, emit)), docs.schema)
