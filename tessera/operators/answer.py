@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import or_else
 
+# Texts and limits of the answer's format, here and in the functions below.
 NOT_FOUND = "No relevant information found in the knowledge base."
 FACTS, EXCERPTS, EXCERPT_CHARS = 8, 3, 250
 INTRO = "Based on hybrid multi-document retrieval for"
