@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as fx
 from tessera.operators import answer, chunking, extraction, fusion, graph, layout, metrics, vector
 from tessera.plans.oracles import ORACLE_SQL as _SQL
-from tessera.sources.tables import document_pages, reports, table, trade_graph
+from tessera.sources.tables import TOOLS, document_pages, letters, reports, table, trade_graph
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = dict(_SQL)
@@ -39,10 +39,8 @@ def benchmark_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question per nation, about its company and a tool: ``query_id, question, chunk_id, doc_id, text``."""
+    """A question per nation, about its company and a tool: ``query_id, question``."""
     n = table(spark, sf_dir, "nation")
-    from tessera.sources.tables import TOOLS, letters
-
     tool = F.element_at(F.array(*map(F.lit, TOOLS)), (F.col("n_nationkey") % len(TOOLS) + 1).cast("int"))
     q = F.concat(F.lit("Who works with Nation"), letters(F.col("n_nationkey")), F.lit(" Systems LLC, and does it use "), tool, F.lit("?"))
     return n.select(F.col("n_nationkey").cast("long").alias("query_id"), q.alias("question"))
@@ -56,10 +54,6 @@ def question_seeds(q: DataFrame) -> DataFrame:
     return found.select("query_id", F.posexplode("seeds").alias("ord", "seed"))
 
 
-def _trade_entities(spark, sf_dir):
-    return trade_graph(spark, sf_dir)
-
-
 def _regions(spark, sf_dir):
     return table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("seed"))
 
@@ -224,7 +218,8 @@ def multi_doc_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def multi_doc_bridges_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = reports(spark, sf_dir)
-    return graph.bridges(question_seeds(questions(spark, sf_dir)), extraction.mentions(pages), pages, both_orders=True).drop("chunk1_text", "chunk2_text")
+    m = extraction.mentions(pages).persist()
+    return graph.bridges(question_seeds(questions(spark, sf_dir)), m, pages, both_orders=True).drop("chunk1_text", "chunk2_text")
 
 
 @query
@@ -248,7 +243,7 @@ def bfs_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bfs_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = extraction.mentions(reports(spark, sf_dir))
+    m = extraction.mentions(reports(spark, sf_dir)).persist()
     entities = extraction.merge_entities(m)
     seeds = question_seeds(questions(spark, sf_dir)).filter("ord = 0")
     return graph.bfs(seeds, graph.mention_edges(m), entities, max_hops=2)
