@@ -29,7 +29,7 @@ from tessera.llm.common import handing_back, stored, words
 END = b"\n"  # no word has white space
 HEAD = 1 << 17
 CLASSES, WIDTH = 1024, 16
-NOISE, BATCH, RATE = 64, 4096, 0.1
+NOISE, BATCH, RATE = 32, 4096, 0.1
 COUNTER = 300_000  # distinct words that a task counts before it hands them on
 CHUNK_TOKENS = 500_000
 
@@ -95,8 +95,11 @@ class Vocabulary:
         """Token ids of the texts one after the other, where each begins, and their words."""
         lists = [words(t) for t in texts]
         get = self.place.get
-        flat = np.fromiter((i for ws in lists for i in (*[get(w, -1) for w in ws], self.end)), np.int64)
-        return flat, np.append(0, np.cumsum([len(ws) + 1 for ws in lists]))[:-1], lists
+        flat: list[int] = []
+        for ws in lists:
+            flat += [get(w, -1) for w in ws]
+            flat.append(self.end)
+        return np.array(flat, np.int64), np.append(0, np.cumsum([len(ws) + 1 for ws in lists]))[:-1], lists
 
     def contexts(self, ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Classes of the tokens and of the first and second token before each; before a text, ends."""
