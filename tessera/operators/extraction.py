@@ -87,7 +87,8 @@ def annotated(chunks: DataFrame) -> DataFrame:
 
 def relations(chunks: DataFrame) -> DataFrame:
     """``chunk_id, doc_id, source, target, relation_type, position, description, weight, confidence`` and raw ends."""
-    rows = annotated(chunks).select("chunk_id", "doc_id", F.explode("triples").alias("r")).select("chunk_id", "doc_id", "r.*")
+    # an outer explode: for an inner one a filter on the array's size would evaluate the patterns again
+    rows = annotated(chunks).select("chunk_id", "doc_id", F.explode_outer("triples").alias("r")).filter("r IS NOT NULL").select("chunk_id", "doc_id", "r.*")
     return rows.select(
         "chunk_id", "doc_id", "source", "target", "relation_type", "position", F.concat_ws(" ", "source", "relation_type", "target").alias("description"),
         F.lit(1.0).alias("weight"), "confidence", "source_raw", "target_raw",
@@ -114,7 +115,7 @@ def mentions(chunks: DataFrame) -> DataFrame:
             F.filter(F.array(entry(at + 1, r["target"], r["target_raw"], target_kind, F.lit(INFERRED))), lambda e: F.length(e["canonical_name"]) > 1),
         )
 
-    rows = annotated(chunks).select("chunk_id", "doc_id", F.explode(F.concat(direct, F.flatten(F.transform("triples", ends)))).alias("e"))
+    rows = annotated(chunks).select("chunk_id", "doc_id", F.explode_outer(F.concat(direct, F.flatten(F.transform("triples", ends)))).alias("e")).filter("e IS NOT NULL")
     first = rows.groupBy("chunk_id", "doc_id", F.col("e.canonical_name").alias("canonical_name")).agg(F.min(F.struct("e.ord", "e.name", "e.entity_type", "e.confidence")).alias("e"))
     return first.select("chunk_id", "doc_id", "canonical_name", "e.name", "e.entity_type", "e.confidence", "e.ord")
 

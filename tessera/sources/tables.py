@@ -42,6 +42,8 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
             "amount": F.floor(F.col("o_totalprice") / 1000).cast("string"),
         }
     )
+    # the patterns that read the texts are heavier than the rows' bytes tell: keep all partitions
+    o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     text = F.concat(
         F.lit("# Order review "), F.col("page_number").cast("string"), F.lit("\n\n## Summary.\nThis year, "), "org", F.lit(" "), "verb", F.lit(" "), "partner",
         F.lit(".\nIts platform runs on "), "tool", F.lit(".\n\n## Results.\nIn total, "), "org", F.lit(" reported revenue of $"), "amount", F.lit(" million, and margins rose by "),
