@@ -1,12 +1,13 @@
 """Near duplicates by b-bit MinHash (Li and Koenig 2010).
 
 One pass over the texts computes ``PERMUTATIONS`` minima per document. Rows of ``ROWS`` full
-minima are hashed to band keys; of the minima themselves only the low two bits stay, packed in
+minima are hashed to band keys; of the minima themselves only two bits of a mix stay, packed in
 six longs. Documents that share a band key are candidates. Bit counts of the packed signatures
 give their collision-corrected similarity, and what lies far below the threshold goes; all other
 candidates are confirmed on their full shingle sets, computed again from the texts.
 
-A pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^38 = 3e-7.
+A pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^38 = 3e-7, and its bit
+counts fall short by more than ``SLACK`` with probability 2.3e-6.
 
 No bucket is expanded into all its pairs. Documents with equal shingle sets are one class. First
 every class is held against one class of each of its buckets only: that with most company in its
@@ -63,7 +64,8 @@ def _bands(low: np.ndarray) -> np.ndarray:
 
 
 def _packed(low: np.ndarray) -> np.ndarray:
-    two = (low & np.uint32(3)).astype(np.uint64).reshape(LONGS, LANES)
+    # mixed: the low bits of a * x + b, a odd, agree in all lanes alike
+    two = (mix64(low.astype(np.uint64)) & np.uint64(3)).reshape(LONGS, LANES)
     return (two << (np.arange(LANES, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 

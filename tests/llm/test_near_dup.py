@@ -51,6 +51,17 @@ def test_families_equal_brute_force(spark, size):
     assert {r.doc_id for r in deduplicated(docs(spark, rows), size).collect()} == {d for d, _, _, kept in brute(rows, size) if kept}
 
 
+def test_short_pairs_at_the_threshold(spark):
+    """Nine words and the first eight of them: 4 of 5 shingles are common."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(4000):
+        ws = [f"w{rng.randrange(10**9)}" for _ in range(9)]
+        rows += [(2 * i, " ".join(ws)), (2 * i + 1, " ".join(ws[:8]))]
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs(spark, rows)).collect()}
+    assert [d for d, _ in rows if got[d] != d - d % 2] == []
+
+
 def test_null_and_repeated_ids(spark):
     text = "a b c d e f g"
     rows = [(5, text), (5, text), (5, "other words here and more"), (None, text), (None, "alone in this group"), (None, "alone in this group")]
