@@ -27,6 +27,9 @@ CELLS = 1 << 15
 PENALTY = 12.0
 CHUNK_CHARS = 250_000
 VITERBI_CHARS = 4_000_000
+#: A text fits if the mean of its grams reaches this share of what nearly all labelled texts
+#: reach; of few grams it may fall short by ``SLACK`` over the root of their number.
+FIT, SLACK = 0.4, 4.0
 
 #: First code point, end and script; letters elsewhere are "other".
 SCRIPTS = (
@@ -83,8 +86,9 @@ class Words:
 
 
 class Model:
-    def __init__(self, langs: list[str], tables: list[np.ndarray], scripts: np.ndarray):
-        self.langs, self.tables, self.scripts = langs, tables, scripts
+    def __init__(self, langs: list[str], tables: list[np.ndarray], levels: list[np.ndarray], scripts: np.ndarray):
+        self.langs, self.tables, self.levels, self.scripts = langs, tables, levels, scripts
+        self.least = -np.inf
 
     @staticmethod
     def fit(rows: list[tuple[str, str]]) -> Model:
@@ -102,13 +106,16 @@ class Model:
                     at_ = _spans(inside, n, len(cells))
                     table[:, k] += np.bincount(cells[at_], minlength=CELLS)
                 scripts[:, k] += np.bincount(w.word_script, minlength=len(NAMES))
-        out = []
+        out, levels = [], []
         for table in tables:
             p = np.log(table / table.sum(axis=0))
-            out.append((p - p.mean(axis=1, keepdims=True)).astype(np.float32))
+            mean = p.mean(axis=1, keepdims=True)
+            out.append((p - mean).astype(np.float32))
+            # above the background, for which all cells are equally likely
+            levels.append((mean[:, 0] + np.log(CELLS)).astype(np.float32))
         # a language is written in the scripts of at least a hundredth of its words
         share = scripts / np.maximum(scripts.sum(axis=0), 1)
-        return Model(langs, out, share >= 0.01)
+        return Model(langs, out, levels, share >= 0.01)
 
     def score(self, w: Words) -> np.ndarray:
         """Score of each word for each language; languages of other scripts are out of reach."""
@@ -126,6 +133,35 @@ class Model:
         out[~known & known.any(axis=1, keepdims=True)] -= 1e4
         return out
 
+    def level(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word: what its score leaves out of log-likelihood over the background, and its number of grams."""
+        out, grams = np.zeros(len(w.begin)), np.zeros(len(w.begin))
+        for level, n in zip(self.levels, SIZES):
+            lo, hi = w.begin - 1, np.maximum(w.stop - n + 2, w.begin)
+            total = np.append(0.0, np.cumsum(level[w.cells(n)], dtype=np.float64))
+            out += total[hi] - total[lo]
+            grams += hi - lo
+        return out, grams
+
+    def fits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text: log-likelihood over the background of its words, each in the language it is labelled with, and the number of their grams."""
+        parts = []
+        for at, upto in _runs(texts, CHUNK_CHARS):
+            w = Words(texts[at:upto])
+            parts.append((w.text + at, self.score(w), *self.level(w)))
+        text, score, level, grams = (np.concatenate(x) for x in zip(*parts))
+        label = viterbi(text, score, PENALTY)
+        own = score[np.arange(len(label)), label] if self.langs else np.zeros(len(label))
+        return np.bincount(text, own + level, len(texts)), np.bincount(text, grams, len(texts))
+
+    def accepts(self, texts: list[str | None]) -> np.ndarray:
+        """Which texts have letters and words that fit the languages they are labelled with."""
+        if not self.langs:
+            return np.zeros(len(texts), bool)
+        total, grams = self.fits(texts)
+        some = np.maximum(grams, 1)
+        return (grams > 0) & (total / some >= self.least - SLACK / np.sqrt(some))
+
     def label(self, texts: list[str | None]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Words' texts, begins and ends (in the run of texts), and labels."""
         parts, offset, base = [], 0, 0
@@ -214,6 +250,26 @@ def fit(docs: DataFrame, learn: Column | None = None) -> Model:
     return Model.fit(training_rows(docs, F.lit(True) if learn is None else learn))
 
 
+def calibrated(docs: DataFrame) -> Model:
+    """A model of all labelled rows that knows how well texts of its languages fit.
+
+    Each half of the sample is held against a model of the other half, so that no text is measured
+    by its own n-grams.
+    """
+    rows = training_rows(docs, F.lit(True))
+    model, means = Model.fit(rows), []
+    for k in (0, 1):
+        texts = [t for t, _ in rows[k::2]]
+        if texts and len(rows) > 1:
+            total, grams = Model.fit(rows[1 - k :: 2]).fits(texts)
+            means.append(total[grams > 0] / grams[grams > 0])
+    means = np.concatenate([np.empty(0), *means])
+    if len(means):
+        low = np.quantile(means, 0.01)
+        model.least = float(low - (1 - FIT) * abs(low))
+    return model
+
+
 def _predict(model, emit):
     def run(batches):
         m = model.value
@@ -250,14 +306,25 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(handing_back(_predict(shared, emit)), "doc_id long, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.25) -> DataFrame:
-    """The rows of ``docs``, all columns, one language of which has at least ``least`` of the letters.
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns, whose words fit the languages they are labelled with.
 
-    Texts without letters go; texts of two or three languages stay.
+    Texts without letters go, and those of random letters, encoded data or languages that were
+    not learned; texts of several learned languages stay. A model that isn't ``calibrated``
+    rejects only texts without letters.
     """
-    emit = lambda part, pred, score: part.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score)], pa.bool_()))
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                texts = part.column("text").to_pylist()
+                for lo, hi in _runs(texts, VITERBI_CHARS):
+                    yield part.slice(lo, hi - lo).filter(pa.array(m.accepts(texts[lo:hi])))
+
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(handing_back(_predict(shared, emit)), docs.schema)
+    return docs.mapInArrow(handing_back(run), docs.schema)
 
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:

@@ -41,6 +41,22 @@ def test_language_spans_scripts_and_odd_texts(spark):
     assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")] and sorted(r.doc_id for r in kept.collect()) == [4, 5, 5, 6]
 
 
+def test_language_stage_rejects_what_fits_no_learned_language(spark, sf):
+    import corpus_pipeline
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null and lang is not null")
+    rng = random.Random(8)
+    one = {lang: max(t for (t,) in d.filter(F.col("lang") == lang).select("text").collect() if len(t) < 3000) for lang in ("en", "de", "fr", "es")}
+    mixed = [" ".join(one[g][:600] for g in gs) for gs in (["en", "de"], ["fr", "es", "de"], list(one))]
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 10))) for _ in range(n)) for n in (30, 300)]
+    odd = ["все люди рождаются свободными и равными в своем достоинстве и правах", "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/", k=800)), "12 .. 34", None]
+    planted = [(10**9 + i, t, None) for i, t in enumerate(mixed + noise + odd)]
+    rows = d.select("doc_id", "text", "lang", "source", "n_chars", F.lit("clash").alias("score")).unionByName(docs(spark, planted).withColumn("n_chars", F.lit(0).cast("long")))
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, rows, sf).select("doc_id").collect()}
+    assert {i for i, _, _ in planted if i in kept} == {10**9 + i for i in range(len(mixed))}
+    assert kept >= {r.doc_id for r in d.select("doc_id").collect()}
+
+
 def test_language_without_training_or_rows(spark):
     none = language_id.fit(docs(spark, []))
     assert [r.lang_pred for r in language_id.identified(docs(spark, [(1, "abc", None)]), none).collect()] == ["und"]
