@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import scratch, shared_dir, stored  # noqa: F401  used by the operators
+
 #: A word is a run of anything but ASCII white space (space and U+0009 to U+000D).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,34 +16,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder, visible to all executors, below ``spark.checkpoint.dir``.
+HOT_ROWS, HOT_KEYS = 2_000, 10_000
 
-    Only a local session without that setting gets one below the temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = made.get() if made.isDefined() else None
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(base)
-    if "://" not in base and base.startswith("/"):
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
-
-    Cuts the lineage: what a lost executor held is read again, not computed again.
+
+def fresh(df: DataFrame, name: str = "x") -> str:
+    """A column name that ``df`` lacks."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """``key, parts`` of the keys of very many rows, and over how many tasks to deal each.
+
+    Those are over ``HOT_ROWS`` rows and over one in ``HOT_KEYS`` of all, so that there are less than
+    ``HOT_KEYS`` of them at any size and they may be broadcast. ``rows`` is a stored table.
     """
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    most = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    n = rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    return n.select(key, F.ceil(F.col("n") / most).cast("int").alias("parts"))
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``many`` joined to ``one``, which holds each key at most once; rows of hot keys are dealt over tasks."""
+    parts = F.coalesce("parts", F.lit(1))
+    left = many.join(F.broadcast(hot), key, "left").withColumn("salt", (F.monotonically_increasing_id() % parts).cast("int")).drop("parts")
+    right = one.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right.hint("merge"), [key, "salt"], how).drop("salt")
 
 
 def crc_mod(col: Column, n: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import scratch, stored
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -13,15 +13,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round rewires the graph with two grouped minima and two joins, and is written to the
     shared folder; a graph of diameter d needs O(log d) rounds. Nodes without an edge (or only
-    with an edge to themselves) are not returned. No adjacency list is ever collected.
+    with an edge to themselves) are not returned. No adjacency list is ever collected. Rows of a
+    hub are pairs of longs; the joins are sort-merge joins between exchanges, whose skewed
+    partitions adaptive execution splits.
     """
-    e = stored(_ordered(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))))
-    for _ in range(max_rounds):
-        if _is_star_forest(e):
-            break
-        e = stored(_small_star(_large_star(e)))
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    with scratch(edges.sparkSession) as s:
+        e = stored(_ordered(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))))
+        for _ in range(max_rounds):
+            if _is_star_forest(e):
+                break
+            e = stored(_small_star(_large_star(e)))
+        else:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        s.keep(e)
     roots = e.select(F.col("b").alias("node")).distinct().withColumn("comp", F.col("node"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)
 

@@ -16,6 +16,9 @@ in one component then has no more to tell. For the classes of the other buckets,
 different components are looked up by prefix: at similarity t two sets share one of the
 ``n - ceil(t n) + 1`` rarest shingles of each, so that members of one family, whose rare shingles
 are their own edits, don't meet again. Neither step loses a link that joins two components.
+
+A class that very many others are held against (a hub) has its text on several tasks, over which
+the others are dealt.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, handing_back, mix64, shingle_set, stored
+from tessera.llm.common import WordHashes, fresh, handing_back, hot_keys, mix64, salted_join, scratch, shingle_set, stored
 from tessera.llm.components import connected_components
 
 BANDS, ROWS, PERMUTATIONS = 38, 5, 192
@@ -127,7 +130,7 @@ def _confirm(shingle: int, num: int, den: int):
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                u, v, tu, tv = (batch.column(c).slice(at, 256).to_pylist() for c in ("u", "v", "u_text", "v_text"))
+                u, v, tu, tv = (batch.column(c).slice(at, 256).to_pylist() for c in ("hub", "other", "hub_text", "other_text"))
                 out = []
                 for i in range(len(u)):
                     s, t = full(u[i], tu[i]), full(v[i], tv[i])
@@ -204,6 +207,7 @@ def _between(rest: DataFrame, texts: DataFrame, shingle: int, num: int, den: int
         count[cell] = n
     sketch = rest.sparkSession.sparkContext.broadcast(count)
     pre = stored(held.select("node", "comp", "text").mapInArrow(handing_back(_prefixes(shingle, num, den, sketch)), "node long, comp long, n long, pos long, sh long"))
+    sketch.unpersist()
     per = pre.groupBy("sh", "comp").agg(F.count("*").alias("n")).groupBy("sh").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps"))
     pre = pre.join(per.filter("comps > 1").select("sh", F.col("top.comp").alias("major")), "sh")
 
@@ -231,6 +235,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     keeps them all. Repeated rows come back as often as they went in. Columns besides ``doc_id``
     and ``text`` are ignored. An empty table gives an empty result.
     """
+    with scratch(docs.sparkSession) as s:
+        sigs, by_key = _components(docs, shingle, num, den)
+        s.keep(sigs, by_key)
+    rows = sigs.select("row", "doc_id", "tkey", "n_shingles", "key")
+    placed = salted_join(rows.filter("n_shingles > 0"), by_key, "key", hot_keys(rows, "key")).select("doc_id", "tkey", "n_shingles", "component_id", "group")
+    alone = rows.filter("n_shingles = 0").select("doc_id", "tkey", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("group"))
+    return placed.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _components(docs: DataFrame, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``row, doc_id, tkey, n_shingles, key, ...`` and components ``key, component_id, group``, both stored."""
     base = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
     sigs = stored(
         base.withColumn("row", F.monotonically_increasing_id())
@@ -257,15 +272,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         return light.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sig").alias(f"{x}_sig"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")).hint("merge")
-        both = pairs.join(side("u"), "u").join(side("v"), "v")
-        return stored(both.mapInArrow(handing_back(_confirm(shingle, num, den)), "u long, v long"))
+        """Those of ``pairs(hub, other)`` that reach the similarity, as ``(u, v)``."""
+        pairs = stored(pairs)
+        hot = hot_keys(pairs, "hub").persist()
+        near = salted_join(pairs.join(sided("other").hint("merge"), "other"), sided("hub"), "hub", hot).filter(_plausible("hub", "other", num, den)).select("hub", "other")
+        side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text"))
+        both = salted_join(near.join(side("other").hint("merge"), "other"), side("hub"), "hub", hot)
+        out = stored(both.mapInArrow(handing_back(_confirm(shingle, num, den)), "u long, v long"))
+        hot.unpersist()
+        return out
 
     # every class against the one with most company of each of its buckets
     leader = member.join(light.select("node", "company"), "node").groupBy("band").agg(F.max(F.struct("company", -F.col("node"))).alias("top"))
     stars = member.join(leader.select("band", (-F.col("top.col2")).alias("leader")), "band").filter("node != leader")
-    stars = stars.select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
-    links = confirmed(stars.join(sided("u"), "u").join(sided("v"), "v").filter(_plausible("u", "v", num, den)).select("u", "v"))
+    # two classes may lead each other in different buckets
+    low, high = F.least("node", "leader"), F.greatest("node", "leader")
+    stars = stars.groupBy(low.alias("u"), high.alias("v")).agg(F.min("leader").alias("hub"))
+    links = confirmed(stars.select("hub", F.when(F.col("hub") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("other")))
     comps = stored(connected_components(links))
 
     # classes of buckets that still hold several components: pairs between them
@@ -273,28 +296,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
     rest = stored(placed.join(mixed, "band", "left_semi").select("node", "comp").distinct())
     across = _between(rest, texts, shingle, num, den)
-    more = confirmed(across.join(sided("u"), "u").join(sided("v"), "v").filter(_plausible("u", "v", num, den)).select("u", "v"))
+    more = confirmed(across.select(F.col("u").alias("hub"), F.col("v").alias("other")))
     if not more.isEmpty():
         comps = stored(connected_components(comps.filter("node != comp").select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(more)))
 
-    named_class = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named_class = stored(classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     first = named_class.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
-    by_key = stored(named_class.join(first, "comp").select("key", "component_id", F.col("comp").alias("group")))
-    out = sigs.select("row", "doc_id", "tkey", "n_shingles", "key").join(by_key, "key", "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "tkey", "n_shingles", own.alias("component_id"), F.coalesce("group", "row").alias("group")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    by_key = stored(salted_join(named_class, first, "comp", hot_keys(named_class, "comp")).select("key", "component_id", F.col("comp").alias("group")))
+    return sigs, by_key
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of each component the one with the smallest id.
 
     Rows without id come last; among rows of one id the smallest ``tkey`` decides, and of rows
-    that repeat id and text one stays.
+    that repeat id and text one stays. Of texts without words all stay but such repetitions.
+    Columns may have any names besides ``doc_id`` and ``text``; an empty table stays empty.
     """
     found = near_duplicates(docs, shingle, num, den)
-    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("k2"), F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("tkey").alias("k3"))).alias("k"))
-    keys = first.select("k.k1", "k.k2", "k.k3")
-    named = docs.withColumns({"k1": F.coalesce("doc_id", F.lit(0)), "k2": F.col("doc_id").isNull(), "k3": F.xxhash64("text")})
-    return named.join(keys, ["k1", "k2", "k3"], "left_semi").dropDuplicates(["k1", "k2", "k3"]).select(*docs.columns)
+    place = lambda key: F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), key.alias("text"))
+    name = fresh(docs, "place")
+    first = found.groupBy("group").agg(F.min(place(F.col("tkey"))).alias(name)).select(name)
+    named = docs.withColumn(name, place(F.xxhash64("text")))
+    return named.join(first, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -6,11 +6,11 @@ import pytest
 from tessera.llm.components import connected_components
 from tessera.llm.near_dup import deduplicated, near_duplicates
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, k1 string, place string, salt long, hub long"
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(d, t, "en", "s", 0, "clash") for d, t in rows], SCHEMA)
+    return spark.createDataFrame([(d, t, "en", "s", 0, "clash", "mine", "own", 5, 6) for d, t in rows], SCHEMA)
 
 
 def shingles(text, size):
@@ -67,7 +67,9 @@ def test_null_and_repeated_ids(spark):
     rows = [(5, text), (5, text), (5, "other words here and more"), (None, text), (None, "alone in this group"), (None, "alone in this group")]
     got = near_duplicates(docs(spark, rows)).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (-1, -1, True), (-1, 5, False), (5, 5, True), (5, 5, True), (5, 5, True)]
-    assert sorted((r.doc_id or -1, r.text) for r in deduplicated(docs(spark, rows)).collect()) == [(-1, "alone in this group"), (5, text), (5, "other words here and more")]
+    kept = deduplicated(docs(spark, rows)).collect()
+    assert {(r.key, r.k1, r.place, r.salt, r.hub) for r in kept} == {("clash", "mine", "own", 5, 6)}
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == [(-1, "alone in this group"), (5, text), (5, "other words here and more")]
 
 
 def test_empty_table(spark):
@@ -79,3 +81,21 @@ def test_components_of_chain_star_and_ring(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200 + i, 200 + (i + 1) % 7) for i in range(7)] + [(300, 300), (5, 4)]
     got = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {(r.node, r.comp) for r in got} == {(i, 0) for i in range(41)} | {(i, 100) for i in range(100, 130)} | {(i, 200) for i in range(200, 207)}
+
+
+def test_hub_and_copies_are_dealt_over_tasks(spark, monkeypatch):
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    rows = [(i, " ".join(base[:k] + [f"edit{i}"] + base[k + 1 :])) for i, k in ((i, rng.randrange(80)) for i in range(60))]
+    rows += [(100 + i, " ".join(base)) for i in range(40)] + [(200 + i, "") for i in range(30)] + [(300, "some other text that stays alone")]
+    got = near_duplicates(docs(spark, rows))
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute(rows, 5)
+    pairs = spark.createDataFrame([(1, i) for i in range(100)] + [(2, 1)], "k long, v long")
+    hot = common.hot_keys(pairs, "k")
+    assert [(r.k, r.parts) for r in hot.collect()] == [(1, 10)]
+    one = spark.createDataFrame([(1, "a"), (3, "c")], "k long, t string")
+    assert sorted(r.v for r in common.salted_join(pairs, one, "k", hot).collect()) == list(range(100))
+    assert common.salted_join(pairs, one, "k", hot, "left").count() == 101
