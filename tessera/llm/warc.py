@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import handing_back, shared_dir, stored
+from tessera.llm.common import handing_back, scratch, shared_dir, stored
 
 REVISIT_BYTES = 1000  # least payload of a revisit record
 ARCHIVE_BYTES = 16 << 20
+BROADCAST_ROWS = 200_000  # revisits of about 60 bytes each
+READ_BYTES = 64 << 20  # archived bytes that a task reads
 DICT_BYTES, SAMPLE_BYTES = 32 << 10, 2 << 20
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"  # pages carry no time of capture
@@ -143,12 +145,24 @@ def _write(folder: str):
 
 
 def with_targets(pages: DataFrame) -> DataFrame:
-    """``page_id, url, html, refers_to``: the page whose equal payload a page revisits, or null."""
+    """``page_id, url, html, refers_to``: the page whose equal payload a page revisits, or null.
+
+    Groups of equal payloads are found on ids and digests alone. Where the list of revisits is of at
+    most ``BROADCAST_ROWS`` rows it goes to the pages; beyond that the pages of large payloads, and
+    no others, are shuffled once by id and digest, which no group of copies shares.
+    """
     payload = F.coalesce("html", F.lit(""))
-    named = pages.select("page_id", "url", "html", F.sha1(F.encode(payload, "UTF-8")).alias("digest"), F.octet_length(payload).alias("size"))
-    same = named.filter(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).filter("n > 1")
-    joined = named.join(same, ["digest", "size"], "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("page_id") != F.col("target"), F.col("target")).alias("refers_to"))
+    digest, large = F.unhex(F.sha1(F.encode(payload, "UTF-8"))), F.octet_length(payload) >= REVISIT_BYTES
+    keyed = stored(pages.filter(large & F.col("page_id").isNotNull()).select("page_id", digest.alias("digest"), F.octet_length(payload).alias("size")))
+    same = keyed.groupBy("digest", "size").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).filter("n > 1").select("digest", "size", "target")
+    revisits = stored(keyed.join(same, ["digest", "size"]).filter("page_id <> target").select("page_id", "digest", "target").distinct())
+    named = pages.select("page_id", "url", "html", digest.alias("digest"))
+    none = F.lit(None).cast("long").alias("refers_to")
+    if revisits.count() <= BROADCAST_ROWS:
+        return named.join(F.broadcast(revisits), ["page_id", "digest"], "left").select("page_id", "url", "html", F.col("target").alias("refers_to"))
+    known = large & F.col("page_id").isNotNull()
+    moved = named.filter(known).join(revisits.hint("merge"), ["page_id", "digest"], "left").select("page_id", "url", "html", F.col("target").alias("refers_to"))
+    return moved.unionByName(named.filter(~known).select("page_id", "url", "html", none))
 
 
 def write(pages: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
@@ -156,15 +170,22 @@ def write(pages: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
 
     Of pages with equal payloads of at least ``REVISIT_BYTES`` the one with the largest page_id is
     a response and the others revisit it; rows that repeat the largest id, and rows without id,
-    are responses. A null html is an empty payload, a null url an empty address.
+    are responses. A null html is an empty payload, a null url an empty address. Other columns are
+    ignored; an empty table makes no archive.
     """
     folder = folder or shared_dir(pages.sparkSession)
-    written = with_targets(pages).mapInArrow(handing_back(_write(folder)), "path string, records long, bytes long")
-    return folder, stored(written)
+    with scratch(pages.sparkSession) as s:
+        archives = stored(with_targets(pages).mapInArrow(handing_back(_write(folder)), "path string, records long, bytes long"))
+        s.keep(archives)
+    return folder, archives
 
 
 def read(archives: DataFrame, folder: str) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of all archived records."""
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of all archived records.
+
+    ``archives(path, bytes)`` are dealt evenly over tasks of about ``READ_BYTES``, and over as many
+    as run at once where there are fewer bytes.
+    """
 
     def run(batches):
         from pyarrow import fs
@@ -183,4 +204,6 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
                             rows = []
                     yield pa.RecordBatch.from_pylist(rows, kinds).select(names)
 
-    return archives.select("path").repartition("path").mapInArrow(handing_back(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    n, size = archives.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(n, archives.sparkSession.sparkContext.defaultParallelism), -(-size // READ_BYTES))
+    return archives.select("path").repartition(tasks).mapInArrow(handing_back(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
