@@ -1,14 +1,17 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts are lower-cased, with each run of white space as one space. An item of m characters is in
-a document if some region of it is within ``k = m * RATE`` edits of the item. Such a region
-shares at least ``m + 1 - Q * (k + 1)`` q-grams with the item, on diagonals (position in the
-document less position in the item) at most k apart. So shared q-grams are counted in diagonal
+a document if some region of it is within ``k = m * RATE`` edits (rounded down) of the item. Such
+a region shares at least ``m + 1 - q * (k + 1)`` q-grams with the item, on diagonals (position in
+the document less position in the item) at most k apart. So shared q-grams are counted in diagonal
 bands of 2 (k + 1) that overlap by half; bands that reach the bound are verified by a banded
-alignment of the item against their region. The filter loses no region within the budget.
+alignment of the item against their region. An item's q is ``Q``, or less where the bound would
+be below 1: ``min(Q, m // (k + 1))``. The filter loses no region within the budget. Items of less
+than ``Q`` characters, for which k is 0, are looked for as whole words.
 
 The index of the benchmark is broadcast in blocks of at most ``BLOCK_CHARS`` characters, so that
-its size is bounded however long the benchmark is; documents are mapped without a shuffle.
+its size is bounded however long the benchmark is; documents are mapped without a shuffle. With
+several blocks each one's result is written before the next is built.
 """
 
 from __future__ import annotations
@@ -18,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import handing_back
+from tessera.llm.common import handing_back, stored
 
 Q = 8
 RATE = 0.1
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 CHUNK_CHARS = 500_000
 _B = 0x9E3779B97F4A7C15 | 1
 
@@ -35,47 +38,66 @@ def _codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _grams(c: np.ndarray) -> np.ndarray:
-    """64-bit hash of each window of Q = 8 code points."""
-    if len(c) < Q:
+def _grams(c: np.ndarray, q: int) -> np.ndarray:
+    """64-bit hash of each window of q code points."""
+    if len(c) < q:
         return np.empty(0, np.uint64)
-    x = c.astype(np.uint64)
-    for n in (1, 2, 4):
-        x = x[:-n] * np.uint64(pow(_B, n, 2**64)) + x[n:]
+    x = c[: len(c) - q + 1].astype(np.uint64)
+    if q == 8:  # three doublings
+        x = c.astype(np.uint64)
+        for n in (1, 2, 4):
+            x = x[:-n] * np.uint64(pow(_B, n, 2**64)) + x[n:]
+    else:
+        for n in range(1, q):
+            x = x * np.uint64(_B) + c[n : len(c) - q + 1 + n]
     return x * np.uint64(0xD6E8FEB86659FD93)
 
 
 class Index:
-    """Q-grams of a block of items, by classes of similar length."""
+    """Q-grams of a block of items, by their q and by classes of similar length."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, t, len(t), min(int(len(t) * RATE), len(t) // Q - 1)) for i, t in items if len(t) >= Q]
+        self.items = [(i, t, len(t), int(len(t) * RATE)) for i, t in items if t]
+        self.budget = np.array([k for *_, k in self.items], np.int64)
+        self.length = np.array([m for _, _, m, _ in self.items], np.int64)
+        by_q: dict[int, list[int]] = {}
+        for n, (_, _, m, k) in enumerate(self.items):
+            by_q.setdefault(min(Q, m // (k + 1)), []).append(n)
+        self.parts = [Part(self, q, members) for q, members in sorted(by_q.items())]
+
+    def candidates(self, c: np.ndarray):
+        """``(item number, lowest diagonal)`` of the bands that reach their bound; c: code points."""
+        for part in self.parts:
+            yield from part.candidates(c, self)
+
+
+class Part:
+    """The items of one q."""
+
+    def __init__(self, index: Index, q: int, numbers: list[int]):
+        self.q = q
         classes: dict[int, list[int]] = {}
-        for n, (_, t, m, _) in enumerate(self.items):
-            classes.setdefault(int(np.log(m) / np.log(1.25)), []).append(n)
+        for n in numbers:
+            classes.setdefault(int(np.log(index.items[n][2]) / np.log(1.25)), []).append(n)
         self.classes, every = [], [np.empty(0, np.uint64)]
         for members in classes.values():
-            g = [_grams(_codes(self.items[n][1])) for n in members]
+            g = [_grams(_codes(index.items[n][1]), q) for n in members]
             grams = np.concatenate(g)
             item = np.repeat(np.array(members, np.int64), [len(x) for x in g])
             pos = np.concatenate([np.arange(len(x), dtype=np.int64) for x in g])
             order = np.argsort(grams, kind="stable")
-            m = max(self.items[n][2] for n in members)
-            k = max(self.items[n][3] for n in members)
-            least = min(self.items[n][2] + 1 - Q * (self.items[n][3] + 1) for n in members)
-            self.classes.append((grams[order], item[order], pos[order], m + k - Q + 1, least))
+            m, k = max(index.items[n][2] for n in members), max(index.items[n][3] for n in members)
+            least = min(index.items[n][2] + 1 - q * (index.items[n][3] + 1) for n in members)
+            self.classes.append((grams[order], item[order], pos[order], m + k - q + 1, least))
             every.append(grams)
         self.grams = np.unique(np.concatenate(every))
         bits = max(16, int(np.ceil(np.log2(64 * max(1, len(self.grams))))))
         self.shift = np.uint64(64 - min(bits, 26))
         self.seen = np.zeros(1 << min(bits, 26), bool)
         self.seen[self.grams >> self.shift] = True
-        self.budget = np.array([k for *_, k in self.items], np.int64)
-        self.length = np.array([m for _, _, m, _ in self.items], np.int64)
 
-    def candidates(self, c: np.ndarray):
-        """``(item number, lowest diagonal)`` of the bands that reach their bound; c: code points."""
-        g = _grams(c)
+    def candidates(self, c: np.ndarray, index: Index):
+        g = _grams(c, self.q)
         at = np.flatnonzero(self.seen[g >> self.shift])
         h = g[at]
         if len(self.grams):
@@ -100,7 +122,7 @@ class Index:
                 continue
             entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
             it = item[entry]
-            width = self.budget[it] + 1
+            width = index.budget[it] + 1
             cell = (np.repeat(a, n) - pos[entry] + len(c)) // width
             key, where = it << np.int64(40) | cell, pos[entry]
             order = np.lexsort((where, key))
@@ -113,9 +135,9 @@ class Index:
             alone = np.append(True, ~follows)
             key, count = np.append(key, key[alone] - 1), np.append(pair, count[alone])
             i = key >> np.int64(40)
-            enough = count >= self.length[i] + 1 - Q * (self.budget[i] + 1)
+            enough = count >= index.length[i] + 1 - self.q * (index.budget[i] + 1)
             for i, band in zip(i[enough].tolist(), (key[enough] & ((1 << 40) - 1)).tolist()):
-                yield i, band * int(self.budget[i] + 1) - len(c)
+                yield i, band * int(index.budget[i] + 1) - len(c)
 
 
 def banded(item: np.ndarray, region: np.ndarray, k: int, low: int, width: int) -> tuple[int, int, int]:
@@ -153,6 +175,18 @@ def banded(item: np.ndarray, region: np.ndarray, k: int, low: int, width: int) -
     return (int(cost[b]), int(start[b]), int(j[b])) if cost[b] <= k else (big, 0, 0)
 
 
+def _whole_words(row: str, text: str, lo: int, hi: int) -> int:
+    """Where ``text`` stands in the row, neither within a run of letters and digits; -1 if nowhere."""
+    at = row.find(text, lo, hi)
+    while at >= 0:
+        end = at + len(text)
+        inside = at > 0 and row[at - 1].isalnum() and text[0].isalnum() or end < len(row) and row[end].isalnum() and text[-1].isalnum()
+        if not inside:
+            return at
+        at = row.find(text, at + 1, hi)
+    return -1
+
+
 def find(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int, int]]:
     """``(row, item_id, edits, start, end)``, the best region of each item in each text.
 
@@ -179,9 +213,11 @@ def find(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int
                 lo, hi = max(s, low - k), min(e, low + 2 * (k + 1) + m + k)
                 if hi - lo < m - k or found.get((at + r, item_id), (m,))[0] == 0:
                     continue
-                exact = rows[at + r].find(text, lo - s, hi - s)
+                exact = _whole_words(rows[at + r], text, lo - s, hi - s) if m < Q else rows[at + r].find(text, lo - s, hi - s)
                 if exact >= 0:
                     hit = (0, exact, exact + m)
+                elif not k:
+                    continue
                 else:
                     edits, b, f = banded(item, c[lo:hi], k, low - k - lo, 2 * (k + 1) + 2 * k)
                     hit = (edits, b + lo - s, f + lo - s)
@@ -208,27 +244,24 @@ def original_span(text: str, start: int, end: int) -> tuple[int, int]:
     return where[start], where[end - 1] + 1
 
 
-def _blocks(benchmark: DataFrame) -> list:
-    """Broadcast indexes of the benchmark, each over a block of bounded size."""
+def _blocks(benchmark: DataFrame):
+    """Numbers of blocks, and of each block the broadcast index, built when its turn comes."""
     items = benchmark.select("item_id", "text").filter("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-chars // BLOCK_CHARS) or 1
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * n - 1))  # about half full each
-    context = benchmark.sparkSession.sparkContext
-    out = []
-    for b in range(2 * n - 1):
+    n = 2 * (-(-chars // BLOCK_CHARS) or 1) - 1  # about half full each
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    for b in range(n):
         rows = items.filter(block == b).collect()
-        out.append(context.broadcast(Index([(r[0], normal(r[1])) for r in rows])))
-    return out
+        yield n, benchmark.sparkSession.sparkContext.broadcast(Index([(r[0], normal(r[1])) for r in rows]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, edits, start, end``: each item found in each document row, and where.
 
     ``start`` and ``end`` are positions in the document's own text. Null and empty texts hold no
-    item. Null items, and items of fewer than Q characters, are not looked for. Rows that repeat
-    a document, and items that repeat a text, are reported each; of several regions the one with
-    fewest edits, then the first, is given. Columns besides ids and texts are ignored.
+    item; null and blank items are not looked for. Rows that repeat a document, and items that
+    repeat a text, are reported each; of several regions the one with fewest edits, then the
+    first, is given. Columns besides ids and texts are ignored. Empty tables give an empty result.
     """
 
     def search(block):
@@ -247,14 +280,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     out = None
-    for block in _blocks(benchmark):
+    for n, block in _blocks(benchmark):
         part = docs.select("doc_id", "text").mapInArrow(handing_back(search(block)), "doc_id long, item_id long, edits long, start long, end long")
+        if n > 1:
+            part = stored(part)
+            block.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no item of the benchmark is found."""
+    """The rows of ``docs``, all columns, in which no item of the benchmark is found.
+
+    Null and empty texts stay, repeated rows stay or go alike, and columns may have any names
+    besides ``text``. An empty benchmark rejects nothing; an empty table stays empty.
+    """
 
     def keep(block):
         def run(batches):
@@ -266,6 +306,9 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    for block in _blocks(benchmark):
+    for n, block in _blocks(benchmark):
         docs = docs.mapInArrow(handing_back(keep(block)), docs.schema)
+        if n > 1:
+            docs = stored(docs)
+            block.destroy()
     return docs
