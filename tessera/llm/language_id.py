@@ -6,12 +6,14 @@ language, the sum of hashed character n-gram log-probabilities within it and its
 Viterbi with a switching penalty labels the words of a text with spans of languages.
 
 The model is counted from a bounded sample of labelled rows (``SAMPLE`` per language, those with
-the smallest hash of their ids), in numpy on the driver, and broadcast; its size is fixed by the
+the smallest hash of id and text, of texts of at most ``LONGEST`` characters), in numpy on the driver, and broadcast; its size is fixed by the
 table of n-grams and the number of languages.
 """
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import crc_mod, handing_back
+from tessera.llm.common import handing_back, scratch, stored
 
 SAMPLE = 400
+LONGEST = 200_000  # characters of a text of the sample
 SIZES = (2, 3, 4)
 CELLS = 1 << 15
+HASH_BITS = 12
 PENALTY = 12.0
 CHUNK_CHARS = 250_000
 VITERBI_CHARS = 4_000_000
@@ -36,14 +40,15 @@ SCRIPTS = (
     (0x0041, 0x0250, "latin"), (0x0370, 0x0400, "greek"), (0x0400, 0x0530, "cyrillic"), (0x0590, 0x0600, "hebrew"),
     (0x0600, 0x0780, "arabic"), (0x0900, 0x0980, "devanagari"), (0x0E00, 0x0E80, "thai"), (0x1E00, 0x1F00, "latin"),
     (0x1F00, 0x2000, "greek"), (0x3040, 0x3100, "kana"), (0x3400, 0xA000, "han"), (0xAC00, 0xD7B0, "hangul"),
+    (0x20000, 0x33480, "han"),
 )
 NAMES = ["none", "other", *dict.fromkeys(s for *_, s in SCRIPTS)]
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Per code point below 0x20000: the lower-case letter (or space), and the script."""
-    lower, script = np.full(0x20000, 0x20, np.uint32), np.zeros(0x20000, np.uint8)
-    for p in range(0x20000):
+    """Per code point: the lower-case letter (or space), and the script."""
+    lower, script = np.full(sys.maxunicode + 1, 0x20, np.uint32), np.zeros(sys.maxunicode + 1, np.uint8)
+    for p in range(sys.maxunicode + 1):
         if chr(p).isalpha():
             lo = chr(p).lower()
             lower[p], script[p] = ord(lo[0]), 1
@@ -62,7 +67,6 @@ class Words:
         if Words.lower is None:
             Words.lower, Words.script = _tables()
         raw = np.frombuffer("".join(" " + (t or "") for t in texts).encode("utf-32-le", "surrogatepass") + b"\x20\0\0\0" * 5, np.uint32)
-        raw = np.where(raw < 0x20000, raw, 0x20)
         ends = np.cumsum([1 + len(t or "") for t in texts])
         c = Words.lower[raw]
         letter = c != 0x20
@@ -236,14 +240,24 @@ def viterbi(text: np.ndarray, score: np.ndarray, penalty: float) -> np.ndarray:
 def training_rows(docs: DataFrame, learn: Column) -> list[tuple[str, str]]:
     """``SAMPLE`` labelled rows of each language, those with the smallest hash of id and text.
 
-    The rows are chosen by their hashes alone, so that no task gathers more texts than the sample
-    holds; rows that repeat id, text and language count once.
+    The rows are chosen by their hashes alone. Hashes are counted in 2^``HASH_BITS`` cells
+    a language, and only those in the first cells that hold a sample are ranked, so that no task
+    reads all of a language's; rows that repeat id, text and language count once. Texts of more
+    than ``LONGEST`` characters are not learned from.
     """
-    known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("doc_id", "text").alias("k"), "text")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("k"))
-    chosen = known.select("lang", "k").distinct().withColumn("n", rank).filter(F.col("n") <= SAMPLE).drop("n")
-    rows = known.join(F.broadcast(chosen), ["lang", "k"]).dropDuplicates(["lang", "k"]).orderBy("lang", "k")
-    return [(r.text, r.lang) for r in rows.collect()]
+    fine = learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST)
+    known = docs.filter(fine).select("lang", F.xxhash64("doc_id", "text").alias("k"), "text")
+    with scratch(docs.sparkSession):
+        keys = stored(known.select("lang", "k").distinct())
+        cell = F.shiftrightunsigned(F.col("k").bitwiseXOR(F.lit(-(2**63))), 64 - HASH_BITS)
+        cells = keys.groupBy("lang", cell.alias("cell")).agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("lang").orderBy("cell")) - F.col("n")
+        upto = cells.withColumn("before", before).filter(F.col("before") < SAMPLE).groupBy("lang").agg(F.max("cell").alias("upto"))
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("k"))
+        near = keys.join(F.broadcast(upto), "lang").filter(cell <= F.col("upto")).drop("upto")
+        chosen = stored(near.withColumn("n", rank).filter(F.col("n") <= SAMPLE).drop("n"))
+        rows = known.join(F.broadcast(chosen), ["lang", "k"]).dropDuplicates(["lang", "k"]).orderBy("lang", "k")
+        return [(r.text, r.lang) for r in rows.collect()]
 
 
 def fit(docs: DataFrame, learn: Column | None = None) -> Model:
@@ -311,8 +325,10 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
 
     Texts without letters go, and those of random letters, encoded data or languages that were
     not learned; texts of several learned languages stay. A model that isn't ``calibrated``
-    rejects only texts without letters.
+    rejects only texts without letters. A null ``lang``, if there is that column, becomes the
+    language of most letters. Rows that repeat are judged alike; an empty table stays empty.
     """
+    kinds = [f for f in docs.schema if f.name == "lang" and f.dataType.simpleString() == "string"]
 
     def run(batches):
         m = shared.value
@@ -321,7 +337,14 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(at, 2048)
                 texts = part.column("text").to_pylist()
                 for lo, hi in _runs(texts, VITERBI_CHARS):
-                    yield part.slice(lo, hi - lo).filter(pa.array(m.accepts(texts[lo:hi])))
+                    fine = np.flatnonzero(m.accepts(texts[lo:hi])) + lo
+                    kept = part.take(pa.array(fine))
+                    where = kept.schema.get_field_index("lang")
+                    if kinds and kept.column(where).null_count:
+                        lang = kept.column(where).to_pylist()
+                        pred = _document(m, [texts[i] if g is None else None for i, g in zip(fine, lang)])[0]
+                        kept = kept.set_column(where, kept.schema.field(where), pa.array([g or p for g, p in zip(lang, pred)], kept.schema.field(where).type))
+                    yield kept
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(handing_back(run), docs.schema)
