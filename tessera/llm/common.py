@@ -40,10 +40,12 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
     """``many`` joined to ``one``, which holds each key at most once; rows of hot keys are dealt over tasks."""
-    parts = F.coalesce("parts", F.lit(1))
-    left = many.join(F.broadcast(hot), key, "left").withColumn("salt", (F.monotonically_increasing_id() % parts).cast("int")).drop("parts")
-    right = one.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    return left.join(right.hint("merge"), [key, "salt"], how).drop("salt")
+    n, salt = fresh(many, "parts"), fresh(many, "salt")
+    hot = F.broadcast(hot.withColumnRenamed("parts", n))
+    parts = F.coalesce(n, F.lit(1))
+    left = many.join(hot, key, "left").withColumn(salt, (F.monotonically_increasing_id() % parts).cast("int")).drop(n)
+    right = one.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), parts - 1))).drop(n)
+    return left.join(right.hint("merge"), [key, salt], how).drop(salt)
 
 
 def crc_mod(col: Column, n: int) -> Column:

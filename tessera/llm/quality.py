@@ -2,12 +2,14 @@
 
 Each line is good or bad; its features are shape statistics of its own and of the lines before
 and after it. The chain is fitted by gradient ascent in numpy on the driver, on a bounded sample
-of labelled documents (``SAMPLE``), each line with its document's label. A document's score is
+of labelled documents (``SAMPLE``, of at most ``LONGEST`` characters), each line with its document's label. A document's score is
 the mean of its lines' forward-backward marginals, weighted by the lines' lengths.
 """
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import handing_back
 
 SAMPLE = 4000
+LONGEST = 100_000  # characters of a text of the sample
 ROUNDS, RATE, DECAY = 150, 0.1, 1e-3
 CHUNK_CHARS = 500_000
 THRESHOLD = 0.7
@@ -25,11 +28,11 @@ _SPACE, _LETTER, _UPPER, _DIGIT, _STOP, _MARK = 1, 2, 4, 8, 16, 32
 
 
 def _classes() -> np.ndarray:
-    """Bits of each code point below 0x20000."""
+    """Bits of each code point."""
     global _CLASSES
     if _CLASSES is None:
-        out = np.zeros(0x20000, np.uint8)
-        for p in range(0x20000):
+        out = np.zeros(sys.maxunicode + 1, np.uint8)
+        for p in range(sys.maxunicode + 1):
             ch = chr(p)
             out[p] = (
                 _SPACE * ch.isspace() | _LETTER * ch.isalpha() | _UPPER * ch.isupper() | _DIGIT * ch.isdigit()
@@ -50,7 +53,7 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     begins = np.append(0, ends[:-1] + 1)
     text_end = np.cumsum([len(t or "") + 1 for t in texts]) - 1
     text = np.searchsorted(text_end, ends, "left")
-    bits = _classes()[np.where(c < 0x20000, c, 0)]
+    bits = _classes()[c]
     total = lambda mask: (lambda s: s[ends] - s[begins])(np.append(0, np.cumsum(mask)).astype(np.int64))
     space = (bits & _SPACE) > 0
     solid = total(~space)
@@ -195,13 +198,17 @@ def _runs(texts: list[str | None]):
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Chain:
-    """A chain fitted on the ``SAMPLE`` labelled documents with the smallest hash of their id.
+    """A chain fitted on ``SAMPLE`` labelled documents, those with the smallest hash of their id.
 
-    Labels without doc_id or quality don't count; of several labels of a document the lowest does.
+    Labels without doc_id or quality don't count; of several labels of a document the lowest does,
+    and of several documents of one id the one with the least hash of its text. Texts that are
+    null or longer than ``LONGEST`` are not learned from.
     """
     known = labels.filter(learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "quality").collect()
+    texts = docs.select("doc_id", "text").filter(F.length("text") <= LONGEST).join(F.broadcast(some), "doc_id")
+    once = texts.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("k"), "text")).alias("t"))
+    rows = once.orderBy("doc_id").select("t.text", "quality").collect()
     return Chain.fit([r[0] for r in rows], [int(r[1] >= 1) for r in rows])
 
 

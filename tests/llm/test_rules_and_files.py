@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm import ann, chat, decontaminate, mixing, secret_scan, warc
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kind string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kind string, cuts string, blob string, salt int"
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(d, t, "en", "s", len(t or ""), "clash") for d, t in rows], SCHEMA)
+    return spark.createDataFrame([(d, t, "en", "s", len(t or ""), "clash", "mine", "own", 1) for d, t in rows], SCHEMA)
 
 
 # --- decontamination ---
@@ -21,7 +21,7 @@ def test_decontamination_finds_edited_passages(spark):
     rng = random.Random(4)
     vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(400)]
     words = lambda n: " ".join(rng.choices(vocabulary, k=n))
-    items = [(i, words(30)) for i in range(20)] + [(20, None), (21, ""), (22, "short")]
+    items = [(i, words(30)) for i in range(20)] + [(20, None), (21, ""), (22, "xyz")]
     rows, want = [(1000, None), (1001, ""), (1002, words(9000)), (1003, "the " * 3000)], set()
     for i, t in items[:20]:
         x, k = list(t), int(len(t) * decontaminate.RATE)
@@ -57,6 +57,54 @@ def test_banded_alignment_equals_full_table():
         assert edits == best and 0 <= start <= end <= len(region)
 
 
+def _edits(item, text):
+    """Fewest edits between the item and any region of the text, by the full table."""
+    row = np.zeros(len(text) + 1, int)
+    for ch in item:
+        new = np.minimum(np.append(row[0] + 1, row[:-1] + np.array([ch != x for x in text], int)), row + 1)
+        steps = np.arange(len(new))
+        row = np.minimum.accumulate(new - steps) + steps
+    return row.min()
+
+
+def test_every_length_equals_brute_force(spark):
+    """All rows against all items, by full tables: items of 1 to 70 characters, regions at and over the budget."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnop "
+    text = lambda n: decontaminate.normal("".join(rng.choices(letters, k=n)))
+    items = [(i, text(n) or "z") for i, n in enumerate([*range(1, 45), 60, 70] * 2)]
+    rows = []
+    for d in range(260):
+        x = list(rng.choice(items)[1])
+        for _ in range(rng.randrange(0, int(len(x) * 0.1) + 2)):
+            p = rng.randrange(len(x)) if x else 0
+            x[p : p + 1] = rng.choice([[], ["#"], x[p : p + 1] + ["#"]])
+        rows.append((d, text(rng.randrange(0, 40)) + rng.choice([" ", ""]) + "".join(x) + rng.choice([" ", ""]) + text(rng.randrange(0, 40))))
+    want = set()
+    for d, t in rows:
+        t = decontaminate.normal(t)
+        for i, item in items:
+            m = len(item)
+            if m < 8:
+                hit = re.search((r"(?<![^\W_])" if item[0].isalnum() else "") + re.escape(item) + (r"(?![^\W_])" if item[-1].isalnum() else ""), t)
+                want |= {(d, i)} if hit else set()
+            elif _edits(item, t) <= m // 10:
+                want.add((d, i))
+    got = decontaminate.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert {len(items[i][1]) for _, i in want} >= {12, 22}
+
+
+def test_several_blocks_equal_one(spark, monkeypatch):
+    rows = [(i, f"the quick brown fox number {i} jumps over the lazy dog") for i in range(30)] + [(99, None)]
+    items = spark.createDataFrame([(i, f"brown fox number {i} jumps") for i in range(10)], "item_id long, text string")
+    one = sorted(decontaminate.contaminated(docs(spark, rows), items).collect())
+    kept = sorted(r.doc_id for r in decontaminate.uncontaminated(docs(spark, rows), items).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60)
+    assert sorted(decontaminate.contaminated(docs(spark, rows), items).collect()) == one
+    assert sorted(r.doc_id for r in decontaminate.uncontaminated(docs(spark, rows), items).collect()) == kept
+
+
 def test_original_span_points_at_the_passage():
     text = "  Über\n\nden  FLUSS gehen "
     norm = decontaminate.normal(text)
@@ -73,7 +121,8 @@ def test_secret_rules_and_ledger(spark):
     texts = ["password=short", 'API_KEY" : "abcdef.', "AKIA" + "A" * 16 + "b", "f" * 24 + " " + "e" * 23, "secret=token:abcdefgh", "", None, long, "-----BEGIN RSA PRIVATE KEY-----", "paſſword=abcdefgh", "é token = 'abcdefgh'"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(50, texts[0]), (2, texts[2]), (None, texts[2])]
     got = secret_scan.document_secrets(docs(spark, rows)).collect()
-    rules = [("assign", re.compile(secret_scan._ASSIGN, re.I | re.A), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
+    assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    rules = [("assign", re.compile(assign, re.I | re.A), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
     want = []
     for d, t in rows:
         s = sorted((m.start(), n, k, m.end()) for n, (k, p, g, least) in enumerate(rules) for m in p.finditer(t or "") if len(m.group(g)) >= least)
@@ -83,19 +132,47 @@ def test_secret_rules_and_ledger(spark):
     assert next(r.spans for r in got if r.doc_id == 8) == "pem:0:31"
     assert secret_scan.document_secrets(docs(spark, [])).count() == 0
 
-    first, ledger = secret_scan.scan(spark, docs(spark, rows[:4]))
-    assert ledger.count() == 4 * len(secret_scan.RULES)
-    again, none = secret_scan.scan(spark, docs(spark, rows[:4]), ledger)
-    assert again.count() == 0 and none.count() == 0
+
+
+def test_ledger_scans_only_what_is_new(spark, tmp_path, monkeypatch):
+    texts = ["password=abcdefgh", "AKIA" + "A" * 16, "f" * 23, "clean", None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(9, texts[0])]
+    ledger = f"file://{tmp_path}/ledger"
+    assert secret_scan.scan(docs(spark, rows[:3]), ledger) == 3
+    assert secret_scan.scan(docs(spark, rows[:3]), ledger) == 0
+    assert secret_scan.scan(docs(spark, rows), ledger) == 2  # "clean" and the empty text
+    found = lambda rules: {r.doc_id: r.spans for r in secret_scan.document_secrets(docs(spark, rows), rules, ledger).collect()}
+    now = found(secret_scan.RULES)
+    assert now == {0: "assign:0:17", 1: "access:0:20", 2: "", 3: "", 4: "", 9: "assign:0:17"}
     newer = secret_scan.RULES | {"hex": (2, "[0-9a-f]+", 0, 0, 23)}
-    more, added = secret_scan.scan(spark, docs(spark, rows[:5]), ledger, newer)
-    assert {r.kind for r in more.collect()} >= {"hex"} and added.groupBy("kind").count().filter("kind = 'hex'").first()["count"] == 5 and added.count() == 4 + len(newer)
+    assert found(newer) == now | {2: "hex:0:23"}  # the new version on all blobs, the old findings still there
+    assert secret_scan.scan(docs(spark, rows), ledger, newer) == 0
+    both = secret_scan.document_secrets(docs(spark, rows), increments=2).collect()
+    assert {r.doc_id: r.spans for r in both} == now
+    monkeypatch.setattr(secret_scan, "BROADCAST_SPANS", 0)
+    assert {r.doc_id: r.text for r in secret_scan.redacted(docs(spark, rows)).collect()} == {0: "[assign]", 1: "[access]", 2: "f" * 23, 3: "clean", 4: None, 9: "[assign]"}
+
+
+def test_patterns_are_linear():
+    import time
+
+    body = "eyJ" + "a" * 12 + "." + "b" * 12 + ".c"
+    assert secret_scan.scan_text(f"x {body}. y") == [("jwt", 2, 2 + len(body))]
+    assert secret_scan.scan_text("-----BEGIN RSA PRIVATE KEY-----\nAAAA/+=\n-----END RSA PRIVATE KEY----- x") == [("pem", 0, 69)]
+    for text in ("eyJ" * 350_000, "eyJ" + "a" * 500_000 + "." + "b" * 500_000, "-----BEGIN " * 90_000, "-----BEGIN " + "A" * 1_000_000, "token " * 170_000, "token" + " " * 1_000_000, "AKIA" * 250_000, "abc123" * 170_000):
+        began = time.perf_counter()
+        secret_scan.scan_text(text)
+        assert time.perf_counter() - began < 1, text[:20]
 
 
 def test_redaction(spark):
     rows = [(1, "a token=abcdefgh b"), (2, "clean"), (3, None), (4, "password=" + "a" * 30 + " AKIA" + "Z" * 16)]
     got = {r.doc_id: (r.text, r.n_chars) for r in secret_scan.redacted(docs(spark, rows)).collect()}
     assert got == {1: ("a [assign] b", 12), 2: ("clean", 5), 3: (None, 0), 4: ("[assign] [access]", 17)}
+    same = secret_scan.redacted(docs(spark, rows)).collect()
+    assert {(r.kind, r.cuts, r.blob, r.salt) for r in same} == {("clash", "mine", "own", 1)}
+    short = secret_scan.redacted(docs(spark, rows).select("text", "cuts"))
+    assert short.columns == ["text", "cuts"] and short.count() == 4
 
 
 # --- chat ---
@@ -186,7 +263,7 @@ def test_neighbours_equal_brute_force_on_ties_and_odd_vectors(spark):
 # --- archives ---
 
 
-def test_archives_round_trip(spark, tmp_path):
+def test_archives_round_trip(spark, tmp_path, monkeypatch):
     big = "<p>é</p>" * 300
     rows = [(1, "http://a", big), (5, "http://b\r\nX: y", big), (3, None, big), (4, "u", "tiny"), (6, "u", "tiny"), (7, "u", None), (8, "u", "z" * 200_000), (5, "http://b", big), (None, "n", big)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
@@ -198,6 +275,9 @@ def test_archives_round_trip(spark, tmp_path):
         revisit = data == big.encode() and p in (1, 3)
         want.append((p or -1, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", 5 if revisit else None))
     assert got == sorted(want, key=lambda x: x[:4])
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    again, list_ = warc.write(pages, f"file://{tmp_path}/v")
+    assert sorted((r.page_id or -1, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(list_, again).collect()) == got
     name = archives.first().path
     with open(name, "rb") as f:
         assert f.read(4) == b"\x5d\x2a\x4d\x18"

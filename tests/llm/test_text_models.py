@@ -31,14 +31,16 @@ def test_language_spans_scripts_and_odd_texts(spark):
     rng = random.Random(1)
     train = docs(spark, [(i, sample(g, rng), g) for i, g in enumerate(list(WORDS) * 20)] + [(900, None, "en"), (901, "x", None)])
     model = language_id.fit(train)
-    odd = [(1, None, "en"), (2, "", None), (3, "12 .. 34\n", "en"), (4, sample("el", rng), None), (5, sample("en", rng, 30) + " " + sample("de", rng, 60), None), (5, "nothing", None), (6, "thing " * 9000, None)]
+    odd = [(1, None, "en"), (2, "", None), (3, "12 .. 34\n", "en"), (4, sample("el", rng), None), (5, sample("en", rng, 30) + " " + sample("de", rng, 60), None), (5, "nothing", None), (6, "thing " * 9000, None), (7, "𠀀𠀁𠀂", None)]
     got = sorted((r.doc_id, r.lang_pred, round(r.score, 2)) for r in language_id.identified(docs(spark, odd), model).collect())
     assert got[:4] == [(1, "und", 0.0), (2, "und", 0.0), (3, "und", 0.0), (4, "el", 1.0)]
-    assert [g[:2] for g in got[4:]] == [(5, "de"), (5, "en"), (6, "en")]
+    assert [g[:2] for g in got[4:7]] == [(5, "de"), (5, "en"), (6, "en")]
+    assert got[7][1] in WORDS  # letters of all planes are letters
     spans = [(r.start, r.end, r.lang) for r in language_id.spans(docs(spark, odd[4:5]), model).orderBy("start").collect()]
     assert [s[2] for s in spans] == ["en", "de"] and spans[0][0] == 0 and spans[1][1] == len(odd[4][1])
     kept = language_id.accepted(docs(spark, odd), model)
-    assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")] and sorted(r.doc_id for r in kept.collect()) == [4, 5, 5, 6]
+    assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")] and sorted(r.doc_id for r in kept.collect()) == [4, 5, 5, 6, 7]
+    assert {r.doc_id: r.lang for r in kept.collect()}[4] == "el"  # a null language is filled in
 
 
 def test_language_stage_rejects_what_fits_no_learned_language(spark, sf):
