@@ -10,13 +10,20 @@ and the normalisers of all contexts are one matrix product, ``exp(T1 + bias) @ e
 ``T = r C q.T``, so that every token's log-probability is normalised.
 
 Words are counted over all training texts. The ``HEAD`` most frequent are broadcast, a bounded
-table; the counts of others are joined to the texts that have them. Training goes over all
-training texts as well: each task runs stochastic gradient steps over its own, from the same
-start, and the tasks' parameters are averaged by their numbers of tokens.
+table; the counts of others are joined to the texts that have them. Each text is then kept as its
+tokens' classes, two bytes each, and training and scoring read those.
+
+Training goes over all training texts, in shards of about ``SHARD_TOKENS`` tokens that hashes of
+the texts and ids make up. In each round all shards take gradient steps from the same start, and
+their parameters are averaged by numbers of tokens, as integers, so that the result is the same
+for any partitioning. There are as many rounds as give each shard ``SEEN_TOKENS`` tokens, at
+least ``LEAST_ROUNDS``.
 """
 
 from __future__ import annotations
 
+import copy
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -24,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import handing_back, stored, words
+from tessera.llm.common import handing_back, scratch, stored, words
 
 END = b"\n"  # no word has white space
 HEAD = 1 << 17
-CLASSES, WIDTH = 1024, 16
-NOISE, BATCH, RATE = 64, 4096, 0.1
+CLASSES, WIDTH = 2048, 16
+NOISE, BATCH, RATE = 64, 1024, 0.3
+SHARD_TOKENS, SEEN_TOKENS = 2_000_000, 4_000_000
+LEAST_ROUNDS, MOST_ROUNDS = 2, 12
+UNIT = 2**20  # parameters are averaged as multiples of 1 / UNIT
 COUNTER = 300_000  # distinct words that a task counts before it hands them on
-CHUNK_TOKENS = 500_000
 
 
 # --- counts -----------------------------------------------------------------------------------
@@ -91,6 +100,12 @@ class Vocabulary:
         share = np.append(top, max(self.rest_all, 0) + 0.5) + 0.5
         self.noise = share / share.sum()
 
+    def training(self) -> Vocabulary:
+        """What training needs of it, without the words."""
+        out = copy.copy(self)
+        out.place, out.count = {}, None
+        return out
+
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
         """Token ids of the texts one after the other, where each begins, and their words."""
         lists = [words(t) for t in texts]
@@ -101,37 +116,44 @@ class Vocabulary:
             flat.append(self.end)
         return np.array(flat, np.int64), np.append(0, np.cumsum([len(ws) + 1 for ws in lists]))[:-1], lists
 
-    def contexts(self, ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Classes of the tokens and of the first and second token before each; before a text, ends."""
+    def classes_of(self, ids: np.ndarray) -> np.ndarray:
+        last = self.classes - 1
+        return np.where((ids < 0) | (ids > last), last, ids)
+
+    @property
+    def end_class(self) -> int:
         last = self.classes - 1
-        w = np.where((ids < 0) | (ids > last), last, ids)
-        end = last if self.end < 0 or self.end > last else self.end
-        a = np.append(end, w[:-1])
-        a[begins] = end
-        b = np.append(end, a[:-1])
-        b[begins] = end
-        return w, a, b
+        return last if self.end < 0 or self.end > last else self.end
+
+
+def contexts(w: np.ndarray, begins: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the first and second token before each; before a text, ends."""
+    a = np.append(end, w[:-1])
+    a[begins] = end
+    b = np.append(end, a[:-1])
+    b[begins] = end
+    return a, b
 
 
 def start(v: Vocabulary) -> list[np.ndarray]:
     """r, q, C1, C2 and bias before training: the unigram model."""
     rng = np.random.RandomState(11)
     n = v.classes
-    return [0.1 * rng.randn(n, WIDTH), 0.1 * rng.randn(n, WIDTH), np.eye(WIDTH), 0.5 * np.eye(WIDTH), np.log(v.noise)]
+    return [x.astype(np.float32) for x in (0.1 * rng.randn(n, WIDTH), 0.1 * rng.randn(n, WIDTH), np.eye(WIDTH), 0.5 * np.eye(WIDTH), np.log(v.noise))]
 
 
 def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(at, rows[:, k], n) for k in range(rows.shape[1])], axis=1)
+    d = rows.shape[1]
+    return np.bincount((at[:, None] * d + np.arange(d)).ravel(), rows.ravel(), n * d).reshape(n, d).astype(np.float32)
 
 
 class Trainer:
     """Noise-contrastive steps with Adagrad; all tokens of a batch share ``NOISE`` noise tokens."""
 
-    def __init__(self, params: list[np.ndarray], noise: np.ndarray, seed: int):
-        self.params = [p.copy() for p in params]
-        self.memory = [np.full_like(p, 1e-2) for p in params]
-        self.noise, self.cut = noise, np.cumsum(noise)
-        self.log_noise = np.log(NOISE * noise)
+    def __init__(self, params: list[np.ndarray], memory: list[np.ndarray], noise: np.ndarray, seed: int):
+        self.params, self.memory = [p.copy() for p in params], [m.copy() for m in memory]
+        self.cut = np.cumsum(noise)
+        self.log_noise = np.log(NOISE * noise).astype(np.float32)
         self.rng = np.random.RandomState(seed % 2**32)
 
     def step(self, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -144,137 +166,211 @@ class Trainer:
         true = 1 / (1 + np.exp(np.clip((h * qw).sum(axis=1) + bias[w] - self.log_noise[w], -30, 30)))
         false = -1 / (1 + np.exp(-np.clip(h @ qx.T + (bias[x] - self.log_noise[x]), -30, 30)))
         dh = true[:, None] * qw + false @ qx
-        dq = _scatter(w, true[:, None] * h, n)
-        np.add.at(dq, x, false.T @ h)
-        db = np.bincount(w, true, n)
-        np.add.at(db, x, false.sum(axis=0))
-        dr = _scatter(a, dh @ c1.T, n) + _scatter(b, dh @ c2.T, n)
+        both = np.append(w, x)
+        dq = _scatter(both, np.vstack([true[:, None] * h, false.T @ h]), n)
+        db = np.bincount(both, np.append(true, false.sum(axis=0)), n).astype(np.float32)
+        dr = _scatter(np.append(a, b), np.vstack([dh @ c1.T, dh @ c2.T]), n)
         for p, m, g in zip(self.params, self.memory, (dr, dq, ra.T @ dh, rb.T @ dh, db)):
-            g = g / len(w)
+            g /= np.float32(len(w))
             m += g * g
-            p += RATE * g / np.sqrt(m)
+            p += np.float32(RATE) * g / np.sqrt(m)
 
 
-def _train(shared):
+def _encode(shared):
+    """Of each text its tokens' classes, its sums over known words, and the words outside the head."""
+
     def run(batches):
-        import xxhash
+        v = shared.value
+        base = np.log10((v.count + 0.5) / (v.n_all + 0.5 * (v.n_distinct + 1)))
+        rest = np.log10((v.count + 0.5) / (v.rest_all + 0.5 * (v.rest_distinct + 1)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids, begins, lists = v.ids(part.column("text").to_pylist())
+                w = v.classes_of(ids)
+                known = ids >= 0
+                inside = np.where((w == v.classes - 1) & known, rest[ids], 0.0)
+                sums = [np.add.reduceat(x, begins) for x in (np.where(known, base[ids], 0.0), inside, known.astype(np.int64))]
+                place = v.place
+                tails = [Counter(x for x in ws if x not in place) for ws in lists]
+                if v.end < 0:  # no training text at all
+                    for t in tails:
+                        t[END] += 1
+                bounds = np.append(begins, len(ids))
+                w = w.astype(np.uint16)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(part.column(c) for c in ("row", "doc_id", "k", "learn")), pa.array(np.diff(bounds)), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]),
+                        pa.array([w[lo:hi].tobytes() for lo, hi in zip(bounds, bounds[1:])], pa.binary()),
+                        pa.array([list(t) for t in tails], pa.list_(pa.binary())), pa.array([list(t.values()) for t in tails], pa.list_(pa.int64())),
+                    ],
+                    ["row", "doc_id", "k", "learn", "n_tokens", "n_known", "base_score", "inside", "classes", "tail", "times"],
+                )
+
+    return run
+
+
+def encoded(docs: DataFrame, learn: Column) -> tuple[DataFrame, Vocabulary, DataFrame, int]:
+    """Rows of all texts as classes, the vocabulary, the stored counts, and the least count of its head."""
+    counts = token_counts(docs.filter(learn).select("text"))
+    n_all, n_distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    bound = head_bound(counts.filter("c > 0"))
+    v = Vocabulary([(bytes(r[0]), r[1]) for r in counts.filter(F.col("c") >= max(bound, 1)).collect()], n_all, n_distinct)
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+    schema = "row long, doc_id long, k long, learn boolean, n_tokens long, n_known long, base_score double, inside double, classes binary, tail array<binary>, times array<long>"
+    named = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("k"), F.coalesce(learn, F.lit(False)).alias("learn"), "text")
+    return stored(named.mapInArrow(handing_back(_encode(shared)), schema)), v, counts, bound
+
+
+def _pack(batches):
+    """Consecutive rows of one shard as one row: ``shard, classes, sizes``."""
+    held: list[tuple[bytes, int]] = []
+    now = None
+
+    def out():
+        return pa.RecordBatch.from_arrays(
+            [pa.array([now], pa.int64()), pa.array([b"".join(c for c, _ in held)], pa.binary()), pa.array([np.array([n for _, n in held], np.int64).tobytes()], pa.binary())], ["shard", "classes", "sizes"]
+        )
+
+    for batch in batches:
+        for shard, classes, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "classes", "n_tokens"))):
+            if held and shard != now:
+                yield out()
+                held = []
+            now = shard
+            held.append((classes, n))
+    if held:
+        yield out()
 
-        v, params = shared.value
-        trainer, tokens = None, 0
-        left = [np.empty(0, np.int64)] * 3
 
+def _round(shared, turn: int):
+    """The sum over a task's shards of parameters times tokens, in units."""
+
+    def run(batches):
+        v, params, memory = shared.value
+        total, weight = None, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                texts = batch.column("text").slice(at, 512).to_pylist()
-                if trainer is None:
-                    trainer = Trainer(params, v.noise, xxhash.xxh32_intdigest((texts[0] or "").encode("utf-8", "surrogatepass")))
-                ids, begins, _ = v.ids(texts)
-                left = [np.append(x, y) for x, y in zip(left, v.contexts(ids, begins))]
-                full = len(left[0]) // BATCH * BATCH
-                for lo in range(0, full, BATCH):
-                    trainer.step(*(x[lo : lo + BATCH] for x in left))
-                left = [x[full:] for x in left]
-                tokens += len(ids)
-        if trainer is not None:
-            if len(left[0]):
-                trainer.step(*left)
-            flat = np.concatenate([p.ravel() for p in trainer.params]) * tokens
-            yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], ["sums", "tokens"])
+            for shard, classes, sizes in zip(*(batch.column(c) for c in ("shard", "classes", "sizes"))):
+                w = np.frombuffer(classes.as_py(), np.uint16).astype(np.int64)
+                begins = np.append(0, np.cumsum(np.frombuffer(sizes.as_py(), np.int64)))[:-1]
+                a, b = contexts(w, begins, v.end_class)
+                t = Trainer(params, memory, v.noise, 7919 * shard.as_py() + turn)
+                for lo in range(0, len(w), BATCH):
+                    t.step(w[lo : lo + BATCH], a[lo : lo + BATCH], b[lo : lo + BATCH])
+                n = max(1, len(w) >> 10)
+                flat = np.rint(np.concatenate([x.ravel() for x in t.params + t.memory]).astype(np.float64) * UNIT).astype(np.int64) * n
+                total, weight = flat if total is None else total + flat, weight + n
+        if weight:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([weight], pa.int64())], ["sums", "weight"])
 
     return run
 
 
 def _add(batches):
-    flat, tokens = None, 0
+    flat, weight = None, 0
     for batch in batches:
-        for s, n in zip(batch.column("sums"), batch.column("tokens").to_pylist()):
-            x = np.frombuffer(s.as_py())
-            flat, tokens = x if flat is None else flat + x, tokens + n
+        for s, n in zip(batch.column("sums"), batch.column("weight").to_pylist()):
+            x = np.frombuffer(s.as_py(), np.int64)
+            flat, weight = x if flat is None else flat + x, weight + n
     if flat is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], ["sums", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([weight], pa.int64())], ["sums", "weight"])
 
 
-def train(docs: DataFrame, v: Vocabulary) -> list[np.ndarray]:
-    """Parameters averaged over tasks; without training texts those of the unigram model."""
+def train(rows: DataFrame, v: Vocabulary) -> list[np.ndarray]:
+    """Parameters after all rounds over the training rows; without any those of the unigram model.
+
+    A round's sums are added by trees of 32 to a node, so that no task and not the driver reads
+    more than 32 times the parameters.
+    """
     params = start(v)
-    shared = docs.sparkSession.sparkContext.broadcast((v, params))
-    schema = "sums binary, tokens long"
-    parts = stored(docs.select("text").mapInArrow(handing_back(_train(shared)), schema)).repartition(8).mapInArrow(handing_back(_add), schema).collect()
-    tokens = sum(r[1] for r in parts)
+    memory = [np.full_like(p, 1e-2) for p in params]
+    tokens = rows.filter("learn").agg(F.sum("n_tokens")).first()[0] or 0
     if not tokens:
         return params
-    flat = sum(np.frombuffer(r[0]) for r in parts) / tokens
-    cuts = np.cumsum([p.size for p in params])[:-1]
-    return [x.reshape(p.shape) for x, p in zip(np.split(flat, cuts), params)]
+    shards = -(-tokens // SHARD_TOKENS)
+    rounds = min(MOST_ROUNDS, max(LEAST_ROUNDS, -(-SEEN_TOKENS * shards // tokens)))
+    dealt = rows.filter("learn").select(F.pmod(F.xxhash64("k"), F.lit(shards)).alias("shard"), "k", "classes", "n_tokens")
+    parts = int(min(shards, 20_000))
+    context, schema = rows.sparkSession.sparkContext, "sums binary, weight long"
+    with scratch(rows.sparkSession):
+        packed = stored(dealt.repartition(parts, "shard").sortWithinPartitions("shard", "k", "n_tokens").mapInArrow(handing_back(_pack), "shard long, classes binary, sizes binary"))
+        for turn in range(rounds):
+            shared = context.broadcast((v.training(), params, memory))
+            sums, n = packed.mapInArrow(handing_back(_round(shared, turn)), schema), parts
+            while n > 1:
+                n = -(-n // 32)
+                sums = sums.repartition(n).mapInArrow(_add, schema)
+            flat, weight = np.zeros(0), 0
+            for s, k in sums.collect():
+                flat, weight = np.frombuffer(s, np.int64) + (flat if weight else 0), weight + k
+            cuts = np.cumsum([p.size for p in params + memory])[:-1]
+            mean = [x.reshape(p.shape).astype(np.float32) for x, p in zip(np.split(flat / weight / UNIT, cuts), params + memory)]
+            params, memory = mean[: len(params)], [np.maximum(m, np.float32(1e-3)) for m in mean[len(params) :]]
+            shared.destroy()
+    return params
 
 
 def log_tables(params: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``T1 + bias``, ``T2`` and ``log Z`` over all classes; natural logarithms."""
-    r, q, c1, c2, bias = params
+    r, q, c1, c2, bias = (p.astype(np.float32) for p in params)
     one, two = r @ c1 @ q.T + bias, r @ c2 @ q.T
     top, top2 = one.max(axis=1, keepdims=True), two.max(axis=1, keepdims=True)
     z = np.log(np.exp(one - top) @ np.exp(two - top2).T) + top + top2.T
-    return one.astype(np.float32), two.astype(np.float32), z.astype(np.float32)
+    return one, two, z
 
 
 # --- scores -----------------------------------------------------------------------------------
 
+_TABLES: dict = {}  # of the model that this worker used last
 
-def _score(shared, bound: int):
+
+def _score(shared):
     def run(batches):
-        v, (one, two, z) = shared.value
-        base = np.log10((v.count + 0.5) / (v.n_all + 0.5 * (v.n_distinct + 1)))
-        rest = np.log10((v.count + 0.5) / (v.rest_all + 0.5 * (v.rest_distinct + 1)))
+        end, key, params = shared.value
+        if key not in _TABLES:
+            _TABLES.clear()
+            _TABLES[key] = log_tables(params)
+        one, two, z = _TABLES[key]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids, begins, lists = v.ids(part.column("text").to_pylist())
-                w, a, b = v.contexts(ids, begins)
+                w = np.frombuffer(b"".join(part.column("classes").to_pylist()), np.uint16).astype(np.int64)
+                begins = np.append(0, np.cumsum(part.column("n_tokens").to_numpy()))[:-1]
+                a, b = contexts(w, begins, end)
                 logp = (one[a, w] + two[b, w] - z[a, b]).astype(np.float64) / np.log(10)
-                known = ids >= 0
-                logp += np.where((w == v.classes - 1) & known, rest[ids], 0.0)
-                sums = [np.add.reduceat(x, begins) for x in (np.where(known, base[ids], 0.0), logp, known.astype(np.int64))]
-                place = v.place
-                tails = [Counter(x for x in ws if x not in place) for ws in lists]
-                if v.end < 0:  # no training text at all
-                    for t in tails:
-                        t[END] += 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("row"), part.column("doc_id"), pa.array(np.diff(np.append(begins, len(ids)))), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]),
-                        pa.array([list(t) for t in tails], pa.list_(pa.binary())), pa.array([list(t.values()) for t in tails], pa.list_(pa.int64())),
-                    ],
-                    ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "tail", "times"],
-                )
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "n_tokens", "n_known", "base_score", "inside")), pa.array(np.add.reduceat(logp, begins))], ["row", "doc_id", "n_tokens", "n_known", "base_score", "inside", "model"])
 
     return run
 
 
+def scores(rows: DataFrame, v: Vocabulary, params: list[np.ndarray], counts: DataFrame, bound: int) -> DataFrame:
+    """The scores of encoded rows; words outside the head are joined to their counts."""
+    shared = rows.sparkSession.sparkContext.broadcast((v.end_class, uuid.uuid4().hex, params))
+    schema = "row long, doc_id long, n_tokens long, n_known long, base_score double, inside double, model double"
+    first = rows.select("row", "doc_id", "n_tokens", "n_known", "base_score", "inside", "classes").mapInArrow(handing_back(_score(shared)), schema)
+    tail = rows.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("m"))
+    tail = tail.join(counts.filter((F.col("c") > 0) & (F.col("c") < bound)), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    log = lambda n, d: F.col("m") * F.log10((F.col("c") + 0.5) / F.lit(float(n + 0.5 * (d + 1))))
+    more = tail.groupBy("row").agg(
+        F.sum(log(v.n_all, v.n_distinct)).alias("t_base"), F.sum(log(v.rest_all, v.rest_distinct)).alias("t_score"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("t_known")
+    )
+    out = first.join(more, "row", "left").fillna(0, ["t_base", "t_score", "t_known"])
+    return out.select(
+        "doc_id", "n_tokens", (F.col("n_known") + F.col("t_known")).alias("n_known"), F.lit(v.n_all).cast("long").alias("train_tokens"),
+        (F.col("base_score") + F.col("t_base")).alias("base_score"), (F.col("inside") + F.col("model") + F.col("t_score")).alias("score"),
+    )
+
+
 def scored(docs: DataFrame, learn: Column) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``.
 
     The rows that ``learn`` holds for are the training texts. A null text is empty: its one token
     is the end. Rows that repeat are counted, and scored, each. Without training texts all counts
-    are 0 and the model is uniform. Columns besides ``doc_id`` and ``text`` are ignored.
+    are 0 and the model is uniform. Columns besides ``doc_id`` and ``text`` are ignored. An empty
+    table gives an empty result. Results don't depend on how ``docs`` is partitioned.
     """
-    context = docs.sparkSession.sparkContext
-    training = docs.filter(learn).select("text")
-    counts = token_counts(training)
-    n_all, n_distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    counts = counts.filter("c > 0")
-    bound = head_bound(counts)
-    v = Vocabulary([(bytes(r[0]), r[1]) for r in counts.filter(F.col("c") >= bound).collect()], n_all, n_distinct)
-    shared = context.broadcast((v, log_tables(train(training, v))))
-    schema = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, tail array<binary>, times array<long>"
-    first = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(handing_back(_score(shared, bound)), schema))
-    tail = first.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("m"))
-    tail = tail.join(counts.filter(F.col("c") < bound), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    log = lambda n, d: F.col("m") * F.log10((F.col("c") + 0.5) / F.lit(float(n + 0.5 * (d + 1))))
-    more = tail.groupBy("row").agg(
-        F.sum(log(n_all, n_distinct)).alias("t_base"), F.sum(log(v.rest_all, v.rest_distinct)).alias("t_score"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("t_known")
-    )
-    out = first.drop("tail", "times").join(more, "row", "left").fillna(0, ["t_base", "t_score", "t_known"])
-    return out.select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.col("t_known")).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.col("t_base")).alias("base_score"), (F.col("score") + F.col("t_score")).alias("score"),
-    )
+    with scratch(docs.sparkSession) as s:
+        rows, v, counts, bound = encoded(docs, learn)
+        params = train(rows, v)
+        s.keep(rows, counts)
+    return scores(rows, v, params, counts, bound)

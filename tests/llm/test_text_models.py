@@ -133,16 +133,48 @@ def test_lm_counts_and_normalisation(spark):
     assert lm.scored(docs(spark, []), F.lit(True)).count() == 0
 
 
-def test_lm_tables_are_normalised_and_learn_order():
-    v = lm.Vocabulary([(b"a", 500), (b"b", 500), (lm.END, 50)], 1050, 3)
-    ids, begins, _ = v.ids([" ".join(["a b"] * 200)] * 50)
-    w, a, b = v.contexts(ids, begins)
-    t = lm.Trainer(lm.start(v), v.noise, 1)
-    for _ in range(12):
-        for lo in range(0, len(w), lm.BATCH):
-            t.step(w[lo : lo + lm.BATCH], a[lo : lo + lm.BATCH], b[lo : lo + lm.BATCH])
-    one, two, z = lm.log_tables(t.params)
+def test_lm_tables_are_normalised_and_learn_order(spark):
+    rows, v, counts, bound = lm.encoded(docs(spark, [(i, " ".join(["a b"] * 200), None) for i in range(50)]), F.lit(True))
+    one, two, z = lm.log_tables(lm.train(rows, v))
     p = np.exp(one[:, None, :] + two[None, :, :] - z[:, :, None])
     assert np.allclose(p.sum(axis=2), 1, atol=1e-4)
     x, y = v.place[b"a"], v.place[b"b"]
     assert p[x, y, y] > 0.8 and p[y, x, x] > 0.8
+
+
+def test_lm_scores_equal_brute_force_for_any_partitioning(spark, monkeypatch):
+    """Whole texts against plain sums of normalised probabilities; 1 and 8 partitions, several shards."""
+    monkeypatch.setattr(lm, "CLASSES", 12)
+    monkeypatch.setattr(lm, "HEAD", 20)
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 300)
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choices(vocabulary, weights=range(30, 0, -1), k=rng.randrange(0, 60))), None) for i in range(60)] + [(90, None, None), (91, "unseen words w1", None)]
+    d, learn = docs(spark, rows), crc_mod(F.col("doc_id"), 5) != 1
+    encoded, v, counts, bound = lm.encoded(d.coalesce(1), learn)
+    params = lm.train(encoded, v)
+    got = {r.doc_id: r.score for r in lm.scores(encoded, v, params, counts, bound).collect()}
+    r, q, c1, c2, bias = (p.astype(float) for p in params)
+    c = Counter(w for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in (t or "").encode().split() + [b"\n"])
+    ranked = sorted(c, key=lambda w: (-c[w], w))
+    top = ranked[:11]
+    rest = sum(c[w] for w in ranked[11:])
+    place = lambda w: top.index(w) if w in top else 11
+    for i, t, _ in rows:
+        ws, total, a, b = (t or "").encode().split() + [b"\n"], 0.0, place(b"\n"), place(b"\n")
+        for w in ws:
+            u = (r[a] @ c1 + r[b] @ c2) @ q.T + bias
+            total += u[place(w)] - math.log(np.exp(u).sum())
+            if w not in top:
+                total += math.log((c[w] + 0.5) / (rest + 0.5 * (len(c) - 11 + 1)))
+            a, b = place(w), a
+        assert math.isclose(got[i], total / math.log(10), rel_tol=1e-5, abs_tol=1e-4), i
+    again = {x.doc_id: x.score for x in lm.scored(d.repartition(8), learn).collect()}
+    assert again == got
+
+
+def test_lm_gains_on_held_out_texts(spark):
+    at = "/root/testdata/sf0.01"
+    out = crc_mod(F.col("doc_id"), 5) == 1
+    got = lm.scored(spark.read.parquet(f"{at}/documents.parquet"), ~out).filter(out).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (got[0] - got[1]) / got[2] > 0.04  # log10 a token
