@@ -1,0 +1,155 @@
+"""``corpus_pipeline.run`` against a plain Python version of its five stages."""
+
+import random
+import re
+from itertools import combinations
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tessera.llm import mixing
+
+EXTRA = {"k1": "mine", "cuts": "own", "place": "here", "blob": "x", "lang_pred": "y", "salt": 3}
+
+
+@pytest.fixture(scope="module")
+def planted(spark, sf, tmp_path_factory):
+    """Real documents, with planted ones of ids from a million on: ``name -> ids`` and the folder."""
+    rng = random.Random(5)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null and lang is not null")
+    real = [r for r in docs.orderBy("doc_id").collect() if len(r.text.split()) < 800]
+    vocabulary = {g: [w for r in real if r.lang == g for w in re.findall(r"[^\W\d_]+", r.text)] for g in ("en", "de", "fr", "es")}
+    text = lambda g, n=60: " ".join(rng.choices(vocabulary[g], k=n))
+    items = [text("en", 25) for _ in range(6)]
+    rows, names = [], {}
+
+    def add(name, t, lang="en", source="web", copies=1):
+        i = 1_000_000 + len({r["doc_id"] for r in rows})
+        names.setdefault(name, []).append(i)
+        rows.extend([{"doc_id": i, "text": t, "lang": lang, "source": source, "n_chars": None if t is None else len(t)}] * copies)
+
+    for g in vocabulary:
+        add("clean", text(g), g)
+        add("clean", text(g), None)
+    add("mixed", text("en") + " " + text("de") + " " + text("fr"), None)
+    base = text("en", 120).split()
+    add("first", " ".join(base))
+    for k in (20, 60):
+        add("near", " ".join(base[:k] + ["changed"] + base[k + 1 :]))
+    add("repeated", text("fr"), "fr", copies=3)
+    for t in items:
+        x = list(t)
+        x[rng.randrange(len(x))] = "#"
+        add("leaks", text("en", 30) + " " + "".join(x).upper() + " " + text("en", 30))
+    add("secret", text("es") + " password=abcdefgh12 " + text("es"), "es")
+    add("no_letters", "12 34 ... --- 56", None)
+    add("no_letters", None)
+    add("no_letters", "")
+    add("noise", " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 10))) for _ in range(120)), None)
+    add("null_source", text("de"), "de", None)
+    folder = str(tmp_path_factory.mktemp("tables"))
+    own = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    every = docs.filter(F.col("doc_id").isin([r.doc_id for r in real])).select(own.columns).unionByName(own)
+    every.withColumns({k: F.lit(v) for k, v in EXTRA.items()}).write.parquet(f"{folder}/documents.parquet")
+    bench = [(i, t) for i, t in enumerate(items)] + [(50, None), (51, "")]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder, names, [r.asDict() for r in real], rows
+
+
+def shingles(t):
+    ws = t.encode().lower().split()
+    return {tuple(ws)} if 0 < len(ws) < 5 else {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+
+
+def normal(t):
+    return " ".join(t.lower().split())
+
+
+def within(item, t, k):
+    row = [0] * (len(t) + 1)
+    for ch in item:
+        new = [row[0] + 1]
+        for j, x in enumerate(t):
+            new.append(min(row[j] + (x != ch), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row) <= k
+
+
+def test_run_equals_plain_python(spark, planted):
+    folder, names, real, own = planted
+    reject = set(names["no_letters"] + names["noise"])
+    docs = {}
+    for r in real + own:
+        if r["doc_id"] not in reject and re.search(r"[^\W\d_]", r["text"] or ""):
+            docs[r["doc_id"]] = (r["source"], r["text"])
+    # near duplicates: single links, the smallest id stays
+    sets = {i: shingles(t) for i, (_, t) in docs.items()}
+    comp = {i: i for i in docs}
+    for i, j in combinations(sorted(docs), 2):
+        if comp[i] != comp[j] and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            lo, hi = sorted((comp[i], comp[j]))
+            comp = {n: lo if c == hi else c for n, c in comp.items()}
+    docs = {i: docs[i] for i in docs if comp[i] == i}
+    # contamination: only the planted texts and the real ones that share many letters with an item are aligned in full
+    items = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").filter("item_id < 50").collect()]
+    for i in list(docs):
+        t = normal(docs[i][1])
+        grams = {t[j : j + 4] for j in range(len(t) - 3)}
+        for item in map(normal, items):
+            own_grams = {item[j : j + 4] for j in range(len(item) - 3)}
+            if len(own_grams & grams) > len(own_grams) / 3 and within(item, t, len(item) // 10):
+                docs.pop(i)
+                break
+    assert not set(names["leaks"] + names["near"]) & set(docs)
+    assert set(names["clean"] + names["mixed"] + names["first"] + names["repeated"] + names["secret"] + names["null_source"]) <= set(docs)
+    secret = names["secret"][0]
+    docs[secret] = (docs[secret][0], docs[secret][1].replace("password=abcdefgh12", "[assign]"))
+
+    got = corpus_pipeline.run(spark, folder).collect()
+    sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, (_, t) in docs.items()}
+    assert sorted((r.doc_id, r.source or "", r.size) for r in got) == sorted((i, s or "", sizes[i]) for i, (s, _) in docs.items())
+    total, by = sum(sizes.values()), {}
+    for i, (s, _) in docs.items():
+        by[s] = by.get(s, 0) + sizes[i]
+    order = sorted(s for s in by if s is not None) + [None] * (None in by)
+    weight = {s: (5, 2, 1)[n % 3] for n, s in enumerate(order)}
+    target, free = {}, set(by)
+    while over := {s for s in free if (total - sum(target.values())) * weight[s] / sum(weight[x] for x in free) > 3 * by[s]}:
+        target |= {s: 3 * by[s] for s in over}
+        free -= over
+    left = total - sum(target.values())
+    target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+    taken = {}
+    for r in got:
+        assert r.source_size == by[r.source] and abs(r.target - target[r.source]) < 1e-6 and 0 <= r.taken <= 3 * r.size
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken[s] - target[s]) <= 0.05 * target[s] + 3 * mixing.BLOCK for s in by)
+
+
+def test_stages_hand_on_columns_and_changes(spark, planted):
+    folder, names, _, _ = planted
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, folder)
+    assert kept.columns == docs.columns
+    langs = {r.doc_id: r.lang for r in kept.select("doc_id", "lang").collect()}
+    assert [langs[i] for i in names["clean"]] == ["en", "en", "de", "de", "fr", "fr", "es", "es"] and langs[names["mixed"][0]] in ("en", "de", "fr")
+    assert not set(names["no_letters"] + names["noise"]) & set(langs)
+    few = docs.filter(F.col("doc_id").isin(names["first"] + names["near"] + names["repeated"] + names["secret"]))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        few = stage(spark, few, folder)
+        assert few.columns == docs.columns, name
+        rows = few.collect()
+        assert sorted(r.doc_id for r in rows) == sorted(names["first"] + names["repeated"] + names["secret"]), name
+        assert all({k: r[k] for k in EXTRA} == EXTRA for r in rows), name
+    (secret,) = [r for r in rows if r.doc_id == names["secret"][0]]
+    assert "[assign]" in secret.text and "abcdefgh12" not in secret.text and secret.n_chars == len(secret.text)
+
+
+def test_stages_of_an_empty_table(spark, planted):
+    folder, _, _, _ = planted
+    none = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, folder)
+        assert out.count() == 0, name
+        assert name == "mixing" or out.columns == none.columns
