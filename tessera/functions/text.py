@@ -19,7 +19,7 @@ ALIASES = {
     "nvidia": "NVIDIA Corp.",
 }
 
-#: Replacements that make a name canonical, in order.
+# Replacements that make a name canonical, in order, and what keeps its final dot.
 NAME_RULES = (
     (r"^\s+|\s+$", ""),
     (r"""^[,;:()"'!?]+|[,;:()"'!?]+$""", ""),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import canonical
+from tessera.functions.text import canonical, seeds_by_capitals
 
 # Patterns, lexicon and confidences; (?i) where letter case doesn't count.
 ORGANIZATION = r"\b([A-Z][a-zA-Z0-9_\-]+(?:\s+[A-Z][a-zA-Z0-9_\-]+)*\s+(?:Inc\.?|Corp\.?|LLC|Ltd\.?|Group|Technologies|Holdings|Bank|Labs|Systems|AI))\b"
@@ -21,17 +23,12 @@ TRIGGERS = (
     ("REPORTED_METRIC", 0.9, r"(?i)([A-Z][A-Za-z0-9\s]+?(?:\s+(?:Inc\.?|Corp\.?|LLC|Ltd\.?))?)\s+(?:reported revenue of|generated)\s+(\$[0-9]+[\w\s]*)"),
     ("LOCATED_IN", 0.9, r"(?i)([A-Z][A-Za-z0-9\s]+?(?:\s+(?:Inc\.?|Corp\.?|LLC|Ltd\.?))?)\s+(?:is located in|headquartered in|based in)\s+([A-Z][A-Za-z0-9\s]+)"),
 )
-# The words of which a trigger needs one; a cheap test before its pattern runs.
-TRIGGER_WORDS = {
-    "ACQUIRED": "acquired|purchased|bought",
-    "SUBSIDIARY_OF": "is a subsidiary of|owned by",
-    "PARTNERS_WITH": "partnered with|collaborated with|signed agreement with",
-    "DEVELOPS_AND_OWNS": "developed|built|launched|created|released|owns|controls|powers",
-    "DEPENDS_ON": "depends on|relies on|integrates with",
-    "INCREASED_BY": "increased by|grew by|surged",
-    "REPORTED_METRIC": "reported revenue of|generated",
-    "LOCATED_IN": "is located in|headquartered in|based in",
-}
+# A pattern's verbs, all alternatives of which hold one of the words; a cheap test before it runs.
+TRIGGER_WORDS = {kind: re.search(r"\\s\+\(\?:(?!Inc|formally)([^()]*)\)|\\s\*\(\?:([^()]*)\)", pattern) for kind, _, pattern in TRIGGERS}
+TRIGGER_WORDS = {kind: m[1] or m[2] for kind, m in TRIGGER_WORDS.items()}
+#: What no trigger's match can contain: all but word characters, white space, $ and %, and dots
+#: that end no legal form. A text is split there, and patterns run on the pieces that hold a verb.
+CLAUSE_END = r"(?i)[^\w\s.$%]|(?<!Inc|Corp|Ltd)\."
 CONFIDENCE = {"ORGANIZATION": 0.92, "TECHNOLOGY": 0.95, "METRIC": 0.88}
 INFERRED = 0.80
 
@@ -57,18 +54,22 @@ def entity_arrays(chunks: DataFrame) -> DataFrame:
 
 
 def annotated(chunks: DataFrame) -> DataFrame:
-    """``chunks`` with ``found``, ``known`` and ``triples``: all that the patterns find, evaluated once.
+    """``chunks`` with ``found``, ``known`` and ``triples``: all that the patterns find.
 
-    An end of a triple that holds the name of an entity found in the chunk is the first such entity.
+    Chunks that have these columns already, from a stored table, are returned as they are. An end of a triple that holds the name of an entity found in the chunk is the first such entity.
     """
 
+    if {"found", "known", "triples"} <= set(chunks.columns):
+        return chunks
+
     def named(raw: Column) -> Column:
         hit = F.get(F.filter("known", lambda k: F.contains(raw, k)), F.lit(0))
         return F.coalesce(hit, canonical(raw))
 
     def of_trigger(nth: int, kind: str, confidence: float, pattern: str) -> Column:
         # the groups are read from the matched parts, which are short
-        whole = F.when(F.col("text").rlike(f"(?i){TRIGGER_WORDS[kind]}"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        said = F.filter("clauses", lambda c: c.rlike(f"(?i){TRIGGER_WORDS[kind]}"))
+        whole = F.flatten(F.transform(said, lambda c: F.regexp_extract_all(c, F.lit(pattern), F.lit(0))))
 
         def one(m: Column, i: Column) -> Column:
             return F.struct(
@@ -82,7 +83,8 @@ def annotated(chunks: DataFrame) -> DataFrame:
         return F.struct(*(r[c].alias(c) for c in ("position", "relation_type", "source_raw", "target_raw", "confidence")), named(r["source_raw"]).alias("source"), named(r["target_raw"]).alias("target"))
 
     raw = F.concat(*(of_trigger(n, *t) for n, t in enumerate(TRIGGERS)))
-    return entity_arrays(chunks).withColumn("triples", F.transform(raw, with_names))
+    split = entity_arrays(chunks).withColumn("clauses", F.split("text", CLAUSE_END))
+    return split.withColumn("triples", F.transform(raw, with_names)).drop("clauses")
 
 
 def relations(chunks: DataFrame) -> DataFrame:
@@ -127,6 +129,29 @@ def merge_entities(mentions: DataFrame) -> DataFrame:
     return merged.select("canonical_name", "e.name", "e.entity_type", "e.confidence", "n_chunks", "n_docs", F.col("e.chunk_id").alias("first_chunk"))
 
 
+def entity_sources(mentions: DataFrame) -> DataFrame:
+    """``canonical_name, source, id``: the chunks and the documents of each entity, each once.
+
+    The lists of a merged entity as rows: those of a common name are as long as the corpus.
+    """
+    of = lambda source: mentions.select("canonical_name", F.lit(source).alias("source"), F.col(f"{source}_id").alias("id")).distinct()
+    return of("chunk").unionByName(of("doc"))
+
+
+def question_seeds(queries: DataFrame) -> DataFrame:
+    """``query_id, ord, seed`` of ``queries(query_id, question)``.
+
+    All entities that the patterns find in a question, ends of relations included, in the order
+    of mentions; where there is none, its first capitalised words.
+    """
+    asked = queries.select(F.col("query_id").alias("chunk_id"), F.col("query_id").alias("doc_id"), F.col("question").alias("text"))
+    found = mentions(asked).select(F.col("chunk_id").alias("query_id"), F.struct("ord", "canonical_name").alias("m"))
+    lists = found.groupBy("query_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
+    some = F.transform("m", lambda x: x["canonical_name"])
+    seeds = queries.join(lists, "query_id", "left").select("query_id", F.when(F.col("m").isNotNull(), some).otherwise(seeds_by_capitals(F.col("question"))).alias("s"))
+    return seeds.select("query_id", F.posexplode("s").alias("ord", "seed")).filter("seed <> ''")
+
+
 def merge_relations(relations: DataFrame) -> DataFrame:
     """One edge per source, target and type; the last chunk's description, weight and confidence."""
     last = F.max(F.struct("chunk_id", "position", "description", "weight", "confidence")).alias("r")

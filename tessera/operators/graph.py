@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.scratch import stored
+
 
 def undirected(relations: DataFrame) -> DataFrame:
     one = relations.select(F.col("source").alias("src"), F.col("target").alias("dst"))
@@ -20,7 +22,7 @@ def mention_edges(mentions: DataFrame) -> DataFrame:
     """Undirected edges between entities and the chunks that mention them, chunks as ``chunk:<id>``."""
     chunk = F.concat(F.lit("chunk:"), F.col("chunk_id").cast("string"))
     one = mentions.select(chunk.alias("src"), F.col("canonical_name").alias("dst"))
-    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
 def bfs(seeds: DataFrame, edges: DataFrame, entities: DataFrame, max_hops: int = 2) -> DataFrame:
@@ -28,6 +30,8 @@ def bfs(seeds: DataFrame, edges: DataFrame, entities: DataFrame, max_hops: int =
 
     ``seeds(query_id, seed)``; seeds that are no entity don't count. The distance is that to the
     nearest seed. ``edges(src, dst)`` are undirected and may pass through other kinds of nodes.
+    From the second hop on each frontier is written out before the next one is joined, so that
+    the plan grows by one join a hop.
     """
     start = seeds.join(entities, seeds["seed"] == entities["canonical_name"], "left_semi")
     seen = start.select("query_id", F.col("seed").alias("node")).distinct().withColumn("hop_distance", F.lit(0))
@@ -35,6 +39,8 @@ def bfs(seeds: DataFrame, edges: DataFrame, entities: DataFrame, max_hops: int =
     for hop in range(1, max_hops + 1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("query_id", F.col("dst").alias("node")).distinct()
         frontier = step.join(seen, ["query_id", "node"], "left_anti").withColumn("hop_distance", F.lit(hop))
+        if hop < max_hops:
+            frontier = stored(frontier)
         seen = seen.unionByName(frontier)
     return seen.join(entities.select(F.col("canonical_name").alias("node"), "entity_type"), "node").select("query_id", "node", "entity_type", "hop_distance")
 
@@ -49,10 +55,7 @@ def induced_edges(nodes: DataFrame, relations: DataFrame, limit: int | None = 25
     e = relations.join(n.withColumnRenamed("node", "source"), "source").join(n.withColumnRenamed("node", "target"), ["query_id", "target"])
     e = e.groupBy("query_id", "source", "target", F.col("relation_type").alias("relation")).agg(F.min(F.struct("description", "weight")).alias("d"))
     e = e.select("query_id", "source", "target", "relation", "d.description", "d.weight")
-    if limit is None:
-        return e
-    w = Window.partitionBy("query_id").orderBy("source", "relation", "target")
-    return e.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
+    return _first(e, limit, "source", "relation", "target")
 
 
 def match_seeds(seeds: DataFrame, entities: DataFrame) -> DataFrame:
@@ -62,19 +65,31 @@ def match_seeds(seeds: DataFrame, entities: DataFrame) -> DataFrame:
     return by_canonical.union(by_name).distinct()
 
 
-def neighbours(seeds: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """One-hop neighbours of matched seeds; a seed without any keeps a row of nulls."""
+def _first(rows: DataFrame, limit: int | None, *order: str) -> DataFrame:
+    if limit is None:
+        return rows
+    w = Window.partitionBy("query_id").orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
+
+
+def neighbours(seeds: DataFrame, entities: DataFrame, relations: DataFrame, limit: int | None = None) -> DataFrame:
+    """One-hop neighbours of matched seeds; a seed without any keeps a row of nulls.
+
+    At most ``limit`` rows a query, by source, type and target.
+    """
     r = relations.select(F.col("source").alias("canonical_name"), "relation_type", "description", "weight", F.col("target").alias("other"))
     back = relations.select(F.col("target").alias("canonical_name"), "relation_type", "description", "weight", F.col("source").alias("other"))
     kinds = entities.select(F.col("canonical_name").alias("other"), F.col("entity_type").alias("target_type"))
     out = match_seeds(seeds, entities).join(r.unionByName(back).join(kinds, "other"), "canonical_name", "left")
-    return out.select("query_id", F.col("canonical_name").alias("source"), "relation_type", "description", "weight", F.col("other").alias("target"), "target_type")
+    out = out.select("query_id", F.col("canonical_name").alias("source"), "relation_type", "description", "weight", F.col("other").alias("target"), "target_type")
+    return _first(out, limit, "source", "relation_type", "target", "description")
 
 
-def two_hop_edges(seeds: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+def two_hop_edges(seeds: DataFrame, entities: DataFrame, relations: DataFrame, limit: int | None = None) -> DataFrame:
     """Distinct edges, in stored direction, on paths of one or two edges from matched seeds.
 
-    That is, edges at a seed or at a neighbour of a seed.
+    That is, edges at a seed or at a neighbour of a seed. At most ``limit`` a query, by source,
+    type and target.
     """
     start = match_seeds(seeds, entities).select("query_id", F.col("canonical_name").alias("node"))
     both = undirected(relations)
@@ -82,7 +97,8 @@ def two_hop_edges(seeds: DataFrame, entities: DataFrame, relations: DataFrame) -
     reached = start.union(near).distinct()
     at = lambda end: relations.join(reached, relations[end] == reached["node"]).select("query_id", "source", F.col("relation_type").alias("relation"), "description", "weight", "target")
     kinds = entities.select(F.col("canonical_name").alias("target"), F.col("entity_type").alias("target_type"))
-    return at("source").union(at("target")).distinct().join(kinds, "target").select("query_id", "source", "relation", "description", "weight", "target", "target_type")
+    out = at("source").union(at("target")).distinct().join(kinds, "target").select("query_id", "source", "relation", "description", "weight", "target", "target_type")
+    return _first(out, limit, "source", "relation", "target", "description")
 
 
 def shortest_paths(starts: DataFrame, ends: DataFrame, relations: DataFrame, most: int = 4) -> DataFrame:
@@ -98,6 +114,8 @@ def shortest_paths(starts: DataFrame, ends: DataFrame, relations: DataFrame, mos
         step = frontier.join(both, frontier["node"] == both["src"]).select("start", F.col("dst").alias("node"), F.concat_ws(" > ", "path", "dst").alias("path"))
         step = step.join(seen.select("start", "node"), ["start", "node"], "left_anti")
         frontier = step.groupBy("start", "node").agg(F.min("path").alias("path")).withColumn("hop_length", F.lit(hop))
+        if hop < most:
+            frontier = stored(frontier)
         seen = seen.unionByName(frontier)
     found = seen.filter("hop_length > 0").join(ends.select(F.col("end").alias("node")).distinct(), "node", "left_semi")
     return found.select("start", F.col("node").alias("end"), "hop_length", "path")
@@ -121,12 +139,13 @@ def grounded_chunks(seeds: DataFrame, mentions: DataFrame, k: int = 5, by_confid
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bridges(seeds: DataFrame, mentions: DataFrame, chunks: DataFrame, limit: int = 5, both_orders: bool = False) -> DataFrame:
+def bridges(seeds: DataFrame, mentions: DataFrame, chunks: DataFrame, limit: int = 5, both_orders: bool = False, documents: DataFrame | None = None) -> DataFrame:
     """Pairs of chunks of different documents that mention one seed; the first ``limit`` a query.
 
     Order: the seed's place, then the two chunk ids. Only the first ``limit`` chunks of each of
     the first ``limit + 1`` documents of an entity can be in that many pairs, so no more are
-    paired, however often an entity is mentioned.
+    paired, however often an entity is mentioned. With ``documents(doc_id, title)`` the pairs have
+    ``title1`` and ``title2``: null for a document without title, the id for an unknown document.
     """
     hit = mentions.select("chunk_id", "doc_id", "canonical_name").distinct().join(seeds.select(F.col("seed").alias("canonical_name")).distinct(), "canonical_name", "left_semi")
     in_doc = Window.partitionBy("canonical_name", "doc_id").orderBy("chunk_id")
@@ -142,7 +161,12 @@ def bridges(seeds: DataFrame, mentions: DataFrame, chunks: DataFrame, limit: int
     pairs = pairs.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= limit)
     text = lambda n: chunks.select(F.col("chunk_id").alias(f"chunk{n}_id"), F.left("text", F.lit(200)).alias(f"chunk{n}_text"))
     out = pairs.join(text(1), "chunk1_id", "left").join(text(2), "chunk2_id", "left")
-    return out.select("query_id", "nth", F.col("canonical_name").alias("shared_entity"), "doc1", "chunk1_id", "chunk1_text", "doc2", "chunk2_id", "chunk2_text")
+    titles = []
+    for n in (1, 2) if documents is not None else ():
+        named = documents.select(F.col("doc_id").alias(f"doc{n}"), F.struct("title").alias(f"known{n}"))
+        out = out.join(named, f"doc{n}", "left")
+        titles.append(F.when(F.col(f"known{n}").isNull(), F.col(f"doc{n}").cast("string")).otherwise(F.col(f"known{n}.title")).alias(f"title{n}"))
+    return out.select("query_id", "nth", F.col("canonical_name").alias("shared_entity"), "doc1", "chunk1_id", "chunk1_text", "doc2", "chunk2_id", "chunk2_text", *titles)
 
 
 def dangling_entities(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -157,14 +181,32 @@ def guarded_mentions(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def all_edges(chunks: DataFrame, mentions: DataFrame, relations: DataFrame) -> DataFrame:
-    """``src, dst, rel_type, explicit_rel``: the four kinds of edges of the property graph."""
+    """``src, dst, rel_type, explicit_rel, page``: the four kinds of edges of the property graph.
+
+    ``page`` is the page of a document's chunk, for CONTAINS_CHUNK edges.
+    """
     tag = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     w = Window.partitionBy("doc_id").orderBy("page_number", "chunk_id")
     nxt = chunks.withColumn("next_id", F.lead("chunk_id").over(w)).filter("next_id IS NOT NULL")
-    none = F.lit(None).cast("string").alias("explicit_rel")
+    none, no_page = F.lit(None).cast("string").alias("explicit_rel"), F.lit(None).cast("int").alias("page")
     return (
-        chunks.select(tag("doc", "doc_id").alias("src"), tag("chunk", "chunk_id").alias("dst"), F.lit("CONTAINS_CHUNK").alias("rel_type"), none)
-        .unionByName(nxt.select(tag("chunk", "chunk_id").alias("src"), tag("chunk", "next_id").alias("dst"), F.lit("NEXT_CHUNK").alias("rel_type"), none))
-        .unionByName(mentions.select(tag("chunk", "chunk_id").alias("src"), tag("entity", "canonical_name").alias("dst"), F.lit("MENTIONS").alias("rel_type"), none))
-        .unionByName(relations.select(tag("entity", "source").alias("src"), tag("entity", "target").alias("dst"), F.lit("RELATION").alias("rel_type"), F.col("relation_type").alias("explicit_rel")))
+        chunks.select(tag("doc", "doc_id").alias("src"), tag("chunk", "chunk_id").alias("dst"), F.lit("CONTAINS_CHUNK").alias("rel_type"), none, F.col("page_number").cast("int").alias("page"))
+        .unionByName(nxt.select(tag("chunk", "chunk_id").alias("src"), tag("chunk", "next_id").alias("dst"), F.lit("NEXT_CHUNK").alias("rel_type"), none, no_page))
+        .unionByName(mentions.select(tag("chunk", "chunk_id").alias("src"), tag("entity", "canonical_name").alias("dst"), F.lit("MENTIONS").alias("rel_type"), none, no_page))
+        .unionByName(relations.select(tag("entity", "source").alias("src"), tag("entity", "target").alias("dst"), F.lit("RELATION").alias("rel_type"), F.col("relation_type").alias("explicit_rel"), no_page))
     )
+
+
+def traversal_edges(chunks: DataFrame, mentions: DataFrame, relations: DataFrame, max_hops: int = 2) -> DataFrame:
+    """Undirected ``(src, dst)`` over the whole graph; entities keep their names as node ids.
+
+    Edges between chunks, and between documents and chunks, connect entities from three hops on,
+    and are left out for shorter searches.
+    """
+    rel = relations.select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    one = rel.unionByName(rel.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).unionByName(mention_edges(mentions))
+    if max_hops < 3:
+        return one
+    none = mentions.select("chunk_id", "doc_id", "canonical_name").limit(0)
+    e = all_edges(chunks, none, relations.select("source", "target", "relation_type").limit(0)).select("src", "dst")
+    return one.unionByName(e).unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))

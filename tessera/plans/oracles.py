@@ -52,40 +52,49 @@ def _matches(pattern: str, kind: str, nth: int, raw: bool = False) -> str:
     return f"list_transform(regexp_extract_all(text, {_str(pattern)}, 1), lambda m: {{'c': {canon}, 'n': {name}, 't': '{kind}', 'f': {CONFIDENCE[kind]}::DOUBLE}})"
 
 
-_TRIGGER_ROWS = " UNION ALL ".join(
-    f"SELECT chunk_id, doc_id, known, {1000 * n} + CAST(i AS INTEGER) - 1 AS position, '{kind}' AS relation_type, {_trim(f'regexp_extract_all(text, {_str(p)}, 1)[i]')} AS source_raw, "
-    f"{_trim(f'regexp_extract_all(text, {_str(p)}, 2)[i]')} AS target_raw, CAST({c} AS DOUBLE) AS confidence FROM found, unnest(range(1, len(regexp_extract_all(text, {_str(p)}, 1)) + 1)) r(i)"
-    for n, (kind, c, p) in enumerate(TRIGGERS)
-)
+def _trigger_rows(found: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT chunk_id, doc_id, known, {1000 * n} + CAST(i AS INTEGER) - 1 AS position, '{kind}' AS relation_type, {_trim(f'regexp_extract_all(text, {_str(p)}, 1)[i]')} AS source_raw, "
+        f"{_trim(f'regexp_extract_all(text, {_str(p)}, 2)[i]')} AS target_raw, CAST({c} AS DOUBLE) AS confidence FROM {found}, unnest(range(1, len(regexp_extract_all(text, {_str(p)}, 1)) + 1)) r(i)"
+        for n, (kind, c, p) in enumerate(TRIGGERS)
+    )
 
 
 def _named(raw: str) -> str:
     return f"coalesce(list_filter(known, lambda k: contains({raw}, k))[1], {canonical(raw)})"
 
 
-EXTRACTED = f"""
-{REPORTS},
-found0 AS (
-  SELECT *, list_concat(list_concat({_matches(ORGANIZATION, "ORGANIZATION", 0)}, {_matches(TECHNOLOGY, "TECHNOLOGY", 1)}), {_matches(METRIC, "METRIC", 2, True)}) AS found FROM reports),
-found AS (
-  SELECT *, list_transform(list_filter(list_transform(range(1, len(found) + 1), lambda i: {{'c': found[i].c, 'first': list_position(list_transform(found, lambda e: e.c), found[i].c) = i}}), lambda e: e.first), lambda e: e.c) AS known FROM found0),
-triggers AS ({_TRIGGER_ROWS}),
-rel0 AS (SELECT *, {_named("source_raw")} AS source, {_named("target_raw")} AS target FROM triggers),
-relations AS (SELECT *, source || ' ' || relation_type || ' ' || target AS description, CAST(1.0 AS DOUBLE) AS weight FROM rel0),
-ments0 AS (
-  SELECT chunk_id, doc_id, i - 1 AS ord, found[i].c AS canonical_name, found[i].n AS name, found[i].t AS entity_type, found[i].f AS confidence FROM found, unnest(range(1, len(found) + 1)) r(i)
-  UNION ALL SELECT chunk_id, doc_id, 1000000 + 2 * position, source, source_raw, 'CONCEPT', 0.8 FROM relations WHERE length(source) > 2
-  UNION ALL SELECT chunk_id, doc_id, 1000000 + 2 * position + 1, target, target_raw, CASE WHEN starts_with(target, '$') THEN 'METRIC' ELSE 'CONCEPT' END, 0.8 FROM relations WHERE length(target) > 1),
-mentions AS (
+def extraction(source: str, p: str = "") -> str:
+    """Tables of what the patterns find in ``source(chunk_id, doc_id, text)``, names prefixed with ``p``."""
+    return f"""
+{p}found0 AS (
+  SELECT *, list_concat(list_concat({_matches(ORGANIZATION, "ORGANIZATION", 0)}, {_matches(TECHNOLOGY, "TECHNOLOGY", 1)}), {_matches(METRIC, "METRIC", 2, True)}) AS found FROM {source}),
+{p}found AS (
+  SELECT *, list_transform(list_filter(list_transform(range(1, len(found) + 1), lambda i: {{'c': found[i].c, 'first': list_position(list_transform(found, lambda e: e.c), found[i].c) = i}}), lambda e: e.first), lambda e: e.c) AS known FROM {p}found0),
+{p}triggers AS ({_trigger_rows(p + "found")}),
+{p}rel0 AS (SELECT *, {_named("source_raw")} AS source, {_named("target_raw")} AS target FROM {p}triggers),
+{p}relations AS (SELECT *, source || ' ' || relation_type || ' ' || target AS description, CAST(1.0 AS DOUBLE) AS weight FROM {p}rel0),
+{p}ments0 AS (
+  SELECT chunk_id, doc_id, i - 1 AS ord, found[i].c AS canonical_name, found[i].n AS name, found[i].t AS entity_type, found[i].f AS confidence FROM {p}found, unnest(range(1, len(found) + 1)) r(i)
+  UNION ALL SELECT chunk_id, doc_id, 1000000 + 2 * position, source, source_raw, 'CONCEPT', 0.8 FROM {p}relations WHERE length(source) > 2
+  UNION ALL SELECT chunk_id, doc_id, 1000000 + 2 * position + 1, target, target_raw, CASE WHEN starts_with(target, '$') THEN 'METRIC' ELSE 'CONCEPT' END, 0.8 FROM {p}relations WHERE length(target) > 1),
+{p}mentions AS (
   SELECT chunk_id, doc_id, canonical_name, ord, name, entity_type, confidence FROM (
-    SELECT *, row_number() OVER (PARTITION BY chunk_id, canonical_name ORDER BY ord) AS rn FROM ments0) WHERE rn = 1),
+    SELECT *, row_number() OVER (PARTITION BY chunk_id, canonical_name ORDER BY ord) AS rn FROM {p}ments0) WHERE rn = 1)
+"""
+
+
+EXTRACTED = f"""
+{REPORTS}, {extraction("reports")},
 entities AS (
   SELECT canonical_name, name, entity_type, confidence, n_chunks, n_docs, chunk_id AS first_chunk FROM (
     SELECT *, row_number() OVER (PARTITION BY canonical_name ORDER BY chunk_id, ord) AS rn, count(DISTINCT chunk_id) OVER (PARTITION BY canonical_name) AS n_chunks,
       count(DISTINCT doc_id) OVER (PARTITION BY canonical_name) AS n_docs FROM mentions) WHERE rn = 1),
 edges1 AS (
   SELECT source, target, relation_type, description, weight, confidence FROM (
-    SELECT *, row_number() OVER (PARTITION BY source, target, relation_type ORDER BY chunk_id DESC, position DESC) AS rn FROM relations) WHERE rn = 1)
+    SELECT *, row_number() OVER (PARTITION BY source, target, relation_type ORDER BY chunk_id DESC, position DESC) AS rn FROM relations) WHERE rn = 1),
+mention_edges AS (SELECT 'chunk:' || chunk_id AS src, canonical_name AS dst FROM mentions UNION ALL SELECT canonical_name, 'chunk:' || chunk_id FROM mentions),
+near_edges AS (SELECT source AS src, target AS dst FROM edges1 UNION SELECT target, source FROM edges1 UNION SELECT * FROM mention_edges)
 """
 
 TRADE = """
@@ -115,10 +124,11 @@ bench AS (SELECT item_id AS query_id, CAST(i - 1 AS INTEGER) AS ord, s[i] AS see
 
 _TOOL = f"{_list(TOOLS)}[n_nationkey % {len(TOOLS)} + 1]"
 QUESTIONS = f"""
+q0 AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, 'Nation' || {_LETTERS.format("n_nationkey")} || ' Systems LLC' AS org, {_TOOL} AS tool, {_LETTERS.format("n_nationkey")} AS nth FROM nation),
 q AS (
-  SELECT CAST(n_nationkey AS BIGINT) AS query_id, 'Nation' || {_LETTERS.format("n_nationkey")} || ' Systems LLC' AS s0, {_TOOL} AS s1,
-    'Who works with Nation' || {_LETTERS.format("n_nationkey")} || ' Systems LLC, and does it use ' || {_TOOL} || '?' AS question FROM nation),
-seeds AS (SELECT query_id, 0 AS ord, s0 AS seed FROM q UNION ALL SELECT query_id, 1, s1 FROM q)
+  SELECT query_id, CASE WHEN query_id % 5 = 1 THEN 'Who says that Cust' || nth || ' Corp acquired ' || org || ' for ' || tool || '?' ELSE 'Who works with ' || org || ', and does it use ' || tool || '?' END AS question FROM q0),
+{extraction("(SELECT query_id AS chunk_id, query_id AS doc_id, question AS text FROM q)", "q_")},
+seeds AS (SELECT chunk_id AS query_id, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY ord) - 1 AS INTEGER) AS ord, canonical_name AS seed FROM q_mentions)
 """
 
 _COSINE = "round(coalesce(list_cosine_similarity(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])), 0), 6)"
@@ -218,8 +228,7 @@ fused AS (
 
 RETRIEVED = f"""
 WITH RECURSIVE {EXTRACTED}, {QUESTIONS},
-both_ways AS (SELECT source AS src, target AS dst FROM edges1 UNION SELECT target, source FROM edges1),
-{BFS.format(seeds="seeds", edges="both_ways", hops=1)}, {INDUCED.format(relations="edges1")},
+{BFS.format(seeds="seeds", edges="near_edges", hops=2)}, {INDUCED.format(relations="edges1")},
 qhits AS (
   SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
@@ -244,25 +253,28 @@ SELECT {by} count(value) AS count, round(coalesce(quantile_cont(value, 0.5), 0),
 FROM events {rest}
 """
 
-SPANS = """
-w AS (SELECT page_id, t.text, CAST(t.n - 1 AS INTEGER) AS n FROM (
-  SELECT page_id, unnest(s) AS text, generate_subscripts(s, 1) AS n FROM (SELECT page_id, string_split(regexp_extract(html, '<h1>([^<]*)</h1>', 1), ' ') AS s FROM pages)) t),
+SPANS = r"""
+tags AS (SELECT page_id, unnest(t) AS tag, unnest(x) AS text, generate_subscripts(t, 1) - 1 AS k FROM (
+  SELECT page_id, regexp_extract_all(html, '<([a-z0-9]+)[^<>]*>([^<>]+)', 1) AS t, regexp_extract_all(html, '<([a-z0-9]+)[^<>]*>([^<>]+)', 2) AS x FROM pages)),
+w AS (SELECT page_id, tag, k, unnest(s) AS text, generate_subscripts(s, 1) - 1 AS n FROM (SELECT page_id, tag, k, string_split(text, ' ') AS s FROM tags)),
 spans AS (
-  SELECT page_id, CAST(n // 4 AS INTEGER) AS block_no, (n % 4) // 2 AS line_no, n % 2 AS span_no, CAST(((n // 4) * 37) % 50 AS DOUBLE) AS x, CAST(((n // 4) * 53) % 97 AS DOUBLE) AS y,
-    CAST(CASE WHEN (n + page_id) % 7 = 0 THEN 20 WHEN (n + page_id) % 5 = 0 THEN 16 ELSE 10 END AS DOUBLE) AS size, text FROM w),
+  SELECT page_id, CAST(k AS INTEGER) AS block_no, n // 8 AS line_no, n % 8 AS span_no, CAST((k * 37) % 50 AS DOUBLE) AS x, CAST((k * 53) % 97 AS DOUBLE) AS y,
+    CAST(CASE WHEN tag = 'h1' THEN 24 WHEN tag = 'h2' OR (n + k) % 11 = 0 THEN 16 ELSE 10 END AS DOUBLE) AS size, text || ' ' AS text FROM w),
 sized AS (SELECT *, coalesce(avg(CASE WHEN trim(text) <> '' THEN size END) OVER (PARTITION BY page_id), 11.0) AS avg_size FROM spans),
+lines0 AS (
+  SELECT page_id, block_no, line_no, min(x) AS x, min(y) AS y, max(CASE WHEN size > 1.3 * avg_size THEN [line_no, span_no, CASE WHEN size > 1.6 * avg_size THEN 1 ELSE 2 END] END) AS head,
+    regexp_replace(string_agg(text, '' ORDER BY span_no), '^\s+|\s+$', '', 'g') AS line FROM sized GROUP BY page_id, block_no, line_no),
 blocks0 AS (
-  SELECT page_id, block_no, min(x) AS x, min(y) AS y, bool_or(size > 1.3 * avg_size) AS is_heading,
-    coalesce(arg_max(CASE WHEN size > 1.6 * avg_size THEN 1 ELSE 2 END, line_no * 2 + span_no) FILTER (WHERE size > 1.3 * avg_size), 0) AS heading_level,
-    string_agg(text, ' ' ORDER BY line_no, span_no) AS body FROM sized GROUP BY page_id, block_no),
-blocks AS (SELECT page_id, block_no, x, y, is_heading, heading_level, CASE WHEN heading_level > 0 THEN repeat('#', heading_level) || ' ' ELSE '' END || body AS text FROM blocks0)
+  SELECT page_id, block_no, min(x) AS x, min(y) AS y, max(head) IS NOT NULL AS is_heading, CAST(coalesce(max(head)[3], 0) AS INTEGER) AS heading_level,
+    string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE line <> '') AS body FROM lines0 GROUP BY page_id, block_no),
+blocks AS (SELECT page_id, block_no, x, y, is_heading, heading_level, CASE WHEN heading_level > 0 THEN repeat('#', heading_level) || ' ' ELSE '' END || body AS text FROM blocks0 WHERE body IS NOT NULL)
 """
 
 _MENTIONS_OF = "WITH " + EXTRACTED + " SELECT chunk_id, canonical_name, name, entity_type, confidence FROM mentions WHERE entity_type = "
 
 ORACLE_SQL: dict[str, str] = {
     "vector_topk_batch": f"WITH {VECTORS} SELECT * FROM hits",
-    "vector_topk_payload": f"WITH {VECTORS} SELECT query_id, rank, vec_id AS chunk_id, score, left(text, 200) AS text FROM hits JOIN documents ON vec_id = doc_id",
+    "vector_topk_payload": f"WITH {VECTORS} SELECT query_id, rank, vec_id AS chunk_id, score, length(text) AS text_chars, md5(text) AS text_md5 FROM hits JOIN documents ON vec_id = doc_id",
     "vector_missing_payload": f"WITH {VECTORS} SELECT query_id, rank, vec_id AS chunk_id, score, coalesce(left(url, 1000), '') AS text FROM hits LEFT JOIN pages ON vec_id = page_id",
     "vector_upsert_last_wins": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1",
     "query_cache_key": "SELECT sha256(lower(trim(text))) AS cache_key, count(*) AS n_asked FROM conversations WHERE role = 'user' GROUP BY 1",
@@ -272,16 +284,17 @@ ORACLE_SQL: dict[str, str] = {
     "chunk_text": f"WITH RECURSIVE {LINES.format(_DOC_PAGES)}, {HEADINGS}, {FOLD.format(size=384, overlap=64)} SELECT doc_id, chunk_no, token_count, section_title, md5(text) AS text_md5 FROM chunks",
     "chunk_sections": f"WITH RECURSIVE {REPORTS}, {LINES.format('reports')}, {HEADINGS}, {FOLD.format(size=16, overlap=4)} SELECT doc_id, page_number, chunk_no, token_count, section_title, text FROM chunks",
     "chunk_links": "SELECT conv_id, turn, lag(turn) OVER w AS prev_turn, lead(turn) OVER w AS next_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
-    "chunk_context": "SELECT conv_id, turn, left(text, 100) AS text, lag(left(text, 100)) OVER w AS prev_text, lead(left(text, 100)) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
+    "chunk_context": "SELECT conv_id, turn, text, lag(text) OVER w AS prev_text, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "extract_org": _MENTIONS_OF + "'ORGANIZATION'",
     "extract_tech": _MENTIONS_OF + "'TECHNOLOGY'",
-    "extract_metric": _MENTIONS_OF + "'METRIC'" + " AND confidence > 0.85",
+    "extract_metric": _MENTIONS_OF + "'METRIC'",
     "canonicalize": f"""
 SELECT p_partkey, {canonical("raw")} AS canonical_name, {canonical("ali")} AS alias_name FROM (
   SELECT p_partkey, ' (' || upper(split_part(p_name, ' ', 1)[1]) || split_part(p_name, ' ', 1)[2:] || '  ' || p_brand || [' Inc', ' Corp.', ' LLC.', ' Ltd', ' Co.', '.', '!?', ''][p_partkey % 8 + 1] || ' ' AS raw,
     [' google ', 'Apple', 'NVIDIA', 'meta.', 'other'][p_partkey % 5 + 1] AS ali FROM part)""",
     "relation_triggers": f"WITH {EXTRACTED} SELECT chunk_id, source, target, relation_type, position, description, weight, confidence FROM relations",
     "entity_merge": f"WITH {EXTRACTED} SELECT canonical_name, entity_type, confidence, n_chunks, n_docs, first_chunk FROM entities",
+    "entity_sources": f"WITH {EXTRACTED} SELECT DISTINCT canonical_name, 'chunk' AS source, chunk_id AS id FROM mentions UNION ALL SELECT DISTINCT canonical_name, 'doc', doc_id FROM mentions",
     "relation_merge": f"WITH {EXTRACTED} SELECT * FROM edges1",
     "query_seeds_fallback": f"WITH {LEXICON} SELECT * FROM bench",
     "grounded_chunks": f"WITH {LEXICON} {GROUNDED.format(seeds='bench', mentions='lex', score='count(*)')}",
@@ -294,15 +307,31 @@ s AS (SELECT s_suppkey AS query_id, s_name AS seed FROM supplier),
 m AS (SELECT query_id, canonical_name FROM s JOIN entities ON seed = canonical_name UNION SELECT query_id, canonical_name FROM s JOIN entities ON seed = name),
 r AS (SELECT source AS a, target AS b, relation_type, description, weight FROM relations UNION ALL SELECT target, source, relation_type, description, weight FROM relations)
 SELECT query_id, m.canonical_name AS source, relation_type, description, weight, b AS target, e.entity_type AS target_type FROM m LEFT JOIN (r JOIN entities e ON e.canonical_name = b) ON a = m.canonical_name""",
+    "neighbors_limited": f"""WITH {TRADE},
+s AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, n_name AS seed FROM nation),
+m AS (SELECT query_id, canonical_name FROM s JOIN entities ON seed = name),
+r AS (SELECT source AS a, target AS b, relation_type, description, weight FROM relations UNION ALL SELECT target, source, relation_type, description, weight FROM relations)
+SELECT query_id, m.canonical_name AS source, relation_type, description, weight, b AS target, e.entity_type AS target_type FROM m LEFT JOIN (r JOIN entities e ON e.canonical_name = b) ON a = m.canonical_name
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY m.canonical_name, relation_type, b, description) <= 10""",
+    "subgraph_limited": f"""WITH {TRADE},
+s AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, 'nation:' || n_nationkey AS seed FROM nation),
+near AS (SELECT query_id, seed AS node FROM s UNION SELECT query_id, dst FROM s JOIN both_ways ON src = seed),
+d AS (
+  SELECT DISTINCT query_id, source, relation_type AS relation, description, weight, target, entity_type AS target_type FROM near JOIN relations ON node IN (source, target) JOIN entities ON canonical_name = target)
+SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY source, relation, target, description) <= 25""",
     "subgraph_2hop": f"""WITH {TRADE},
 near AS (SELECT query_id, seed AS node FROM seeds UNION SELECT query_id, dst FROM seeds JOIN both_ways ON src = seed)
 SELECT DISTINCT query_id, source, relation_type AS relation, description, weight, target, entity_type AS target_type
 FROM near JOIN relations ON node IN (source, target) JOIN entities ON canonical_name = target""",
     "bfs_nodes": f"WITH RECURSIVE {TRADE}, {BFS.format(seeds='seeds', edges='both_ways', hops=2)} SELECT * FROM nodes",
     "bfs_edges": f"WITH RECURSIVE {TRADE}, {BFS.format(seeds='seeds', edges='both_ways', hops=2)}, {INDUCED.format(relations='relations')} SELECT * FROM graph_edges",
-    "bfs_mentions": f"""WITH RECURSIVE {EXTRACTED}, {QUESTIONS}, first_seed AS (SELECT * FROM seeds WHERE ord = 0),
-m_edges AS (SELECT 'chunk:' || chunk_id AS src, canonical_name AS dst FROM mentions UNION SELECT canonical_name, 'chunk:' || chunk_id FROM mentions),
-{BFS.format(seeds="first_seed", edges="m_edges", hops=2)} SELECT * FROM nodes""",
+    "bfs_mentions": f"WITH RECURSIVE {EXTRACTED}, {QUESTIONS}, {BFS.format(seeds='seeds', edges='mention_edges', hops=2)} SELECT * FROM nodes",
+    "bfs_whole_graph": f"""WITH RECURSIVE {EXTRACTED},
+rseeds AS (SELECT CAST(r_regionkey AS BIGINT) AS query_id, 'Cust' || {_LETTERS.format("(r_regionkey * 5 + 1)")} || ' Corp.' AS seed FROM region),
+nxt AS (SELECT 'chunk:' || chunk_id AS src, 'chunk:' || lead(chunk_id) OVER (PARTITION BY doc_id ORDER BY page_number) AS dst FROM reports),
+links AS (SELECT * FROM nxt WHERE dst IS NOT NULL UNION ALL SELECT 'doc:' || doc_id, 'chunk:' || chunk_id FROM reports),
+every_edge AS (SELECT * FROM near_edges UNION SELECT * FROM links UNION SELECT dst, src FROM links),
+{BFS.format(seeds="rseeds", edges="every_edge", hops=3)} SELECT * FROM nodes""",
     "shortest_path": f"""WITH RECURSIVE {TRADE},
 walk AS (
   SELECT seed AS start, seed AS node, seed AS path, 0 AS d FROM seeds
@@ -315,11 +344,11 @@ WHERE c NOT IN (SELECT canonical_name FROM entities WHERE entity_type <> 'NATION
     "mention_guard": f"WITH {LEXICON} SELECT doc_id, count(*) AS n_mentions FROM lex WHERE chunk_id IN (SELECT doc_id FROM labels) GROUP BY doc_id",
     "graph_edges": f"""WITH {EXTRACTED},
 e AS (
-  SELECT 'doc:' || doc_id AS src, 'chunk:' || chunk_id AS dst, 'CONTAINS_CHUNK' AS rel_type, NULL AS explicit_rel FROM reports
-  UNION ALL SELECT * FROM (SELECT 'chunk:' || chunk_id, 'chunk:' || lead(chunk_id) OVER (PARTITION BY doc_id ORDER BY page_number) AS nxt, 'NEXT_CHUNK', NULL FROM reports) WHERE nxt IS NOT NULL
-  UNION ALL SELECT 'chunk:' || chunk_id, 'entity:' || canonical_name, 'MENTIONS', NULL FROM mentions
-  UNION ALL SELECT 'entity:' || source, 'entity:' || target, 'RELATION', relation_type FROM relations)
-SELECT rel_type, explicit_rel, count(*) AS n_edges, count(DISTINCT src) AS n_src, count(DISTINCT dst) AS n_dst FROM e GROUP BY ALL""",
+  SELECT 'doc:' || doc_id AS src, 'chunk:' || chunk_id AS dst, 'CONTAINS_CHUNK' AS rel_type, NULL AS explicit_rel, page_number AS page FROM reports
+  UNION ALL SELECT * FROM (SELECT 'chunk:' || chunk_id, 'chunk:' || lead(chunk_id) OVER (PARTITION BY doc_id ORDER BY page_number) AS nxt, 'NEXT_CHUNK', NULL, NULL FROM reports) WHERE nxt IS NOT NULL
+  UNION ALL SELECT 'chunk:' || chunk_id, 'entity:' || canonical_name, 'MENTIONS', NULL, NULL FROM mentions
+  UNION ALL SELECT 'entity:' || source, 'entity:' || target, 'RELATION', relation_type, NULL FROM relations)
+SELECT rel_type, explicit_rel, count(*) AS n_edges, count(DISTINCT src) AS n_src, count(DISTINCT dst) AS n_dst, CAST(sum(page) AS BIGINT) AS pages FROM e GROUP BY ALL""",
     "rrf_fuse": f"""WITH {LEXICON}, {VECTORS},
 d0 AS (SELECT doc_id, {CAPITALS.format("text")} AS s FROM documents WHERE doc_id % 50 = 0),
 dseeds AS (SELECT doc_id AS query_id, CAST(i - 1 AS INTEGER) AS ord, s[i] AS seed FROM d0, unnest(range(1, len(s) + 1)) r(i) WHERE s[i] <> ''),
@@ -340,8 +369,13 @@ SELECT query_id, CASE WHEN f IS NULL AND x IS NULL THEN 'No relevant information
   'Based on hybrid multi-document retrieval for ''' || question || ''':' || chr(10),
   'Key Entity & Relational Insights:' || chr(10) || array_to_string(list_transform(f[1:8], lambda e: '  • ' || e), chr(10)) || chr(10),
   'Supporting Evidence:' || chr(10) || array_to_string(x[1:3], chr(10)) || chr(10), 'Sources: ' || coalesce(sources, '')) END AS response,
-  CAST(coalesce(len(x), 0) AS BIGINT) AS n_chunks, CAST(coalesce(len(f), 0) AS INTEGER) AS n_edges
-FROM q LEFT JOIN facts USING (query_id) LEFT JOIN cited USING (query_id)""",
+  CAST(coalesce(len(x), 0) AS BIGINT) AS n_chunks, CAST(coalesce(len(f), 0) AS INTEGER) AS n_edges, provenance_documents, paths
+FROM q LEFT JOIN facts USING (query_id) LEFT JOIN cited USING (query_id)
+LEFT JOIN (SELECT query_id, string_agg(DISTINCT doc, ', ' ORDER BY doc) AS provenance_documents FROM {_SHOWN} GROUP BY query_id) USING (query_id)
+LEFT JOIN (SELECT query_id, string_agg(source || ' | ' || relation || ' | ' || target, chr(10) ORDER BY source, relation, target) AS paths FROM graph_edges GROUP BY query_id) USING (query_id)""",
+    "scored_nodes": f"""{RETRIEVED}
+SELECT query_id, rank, CAST(chunk_id AS VARCHAR) AS id, md5(text) AS text_md5, fused_score AS score, filename, CAST(page_number AS VARCHAR) AS page_number, 'General' AS section_title, vector_score, graph_score
+FROM fused JOIN reports USING (chunk_id)""",
     "llm_prompts": f"""{RETRIEVED}, ctx AS ({CONTEXT}),
 docs AS (SELECT query_id, string_agg('Chunk ' || rank || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS docs FROM {_SHOWN} GROUP BY query_id)
 SELECT query_id, length(p) AS prompt_chars, md5(p) AS prompt_md5 FROM (
@@ -366,8 +400,9 @@ SELECT count(DISTINCT doc_id) AS total_documents, count(*) AS total_pages, (SELE
     "heading_level": f"WITH {SPANS} SELECT * FROM blocks",
     "layout_blocks_order": f"WITH {SPANS} SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY round_even(y / 10, 0) * 10, x, block_no) AS text FROM blocks GROUP BY page_id",
     "ocr_select": """
-SELECT doc_id, CASE WHEN length(trim(t)) < 50 AND length(trim(o)) > length(trim(t)) THEN o ELSE t END AS text FROM (
-  SELECT doc_id, left(text, 55) AS o, CASE WHEN doc_id % 2 = 0 THEN left(text, 20) ELSE left(text, 60) END AS t FROM documents)""",
+SELECT doc_id, length(t) AS text_chars, md5(t) AS text_md5 FROM (
+  SELECT a.doc_id, CASE WHEN length(trim(coalesce(a.text, ''))) < 50 AND length(trim(b.text)) > length(trim(coalesce(a.text, ''))) THEN b.text ELSE a.text END AS t
+  FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1)""",
     "metadata_defaults": f"""WITH {REPORTS}
 SELECT doc_id, coalesce(nullif(min(title), ''), min(filename)) AS title, left(coalesce(nullif(min(title), ''), 'General'), 12) AS section FROM reports GROUP BY doc_id""",
     "synthetic_corpus": f"WITH {REPORTS} SELECT * FROM reports",
@@ -379,6 +414,8 @@ starts AS (SELECT * FROM hit WHERE canonical_name IN (SELECT canonical_name FROM
 ranked AS (
   SELECT s.query_id, row_number() OVER (PARTITION BY s.query_id ORDER BY s.ord, a.chunk_id, b.chunk_id) AS nth, s.seed AS shared_entity,
     a.doc_id AS doc1, a.chunk_id AS chunk1_id, b.doc_id AS doc2, b.chunk_id AS chunk2_id
-  FROM seeds s JOIN starts a ON a.canonical_name = s.seed JOIN hit b ON b.canonical_name = s.seed AND a.doc_id <> b.doc_id)
-SELECT query_id, CAST(nth AS INTEGER) AS nth, shared_entity, doc1, chunk1_id, doc2, chunk2_id FROM ranked WHERE nth <= 5""",
+  FROM seeds s JOIN starts a ON a.canonical_name = s.seed JOIN hit b ON b.canonical_name = s.seed AND a.doc_id <> b.doc_id),
+titles AS (SELECT doc_id, nullif(min(title), '') AS title FROM reports GROUP BY doc_id)
+SELECT query_id, CAST(nth AS INTEGER) AS nth, shared_entity, doc1, chunk1_id, doc2, chunk2_id, t1.title AS title1, t2.title AS title2
+FROM ranked JOIN titles t1 ON t1.doc_id = doc1 JOIN titles t2 ON t2.doc_id = doc2 WHERE nth <= 5""",
 }

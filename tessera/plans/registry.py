@@ -1,17 +1,22 @@
 """Name -> query, and name -> DuckDB SQL, of every retrieval operator.
 
 Each query reads the driver's tables, or corpora that Spark derives from them, whole. The SQL is
-in :mod:`tessera.plans.oracles`, under the same names.
+in :mod:`tessera.plans.oracles`, under the same names. Queries over the graph of the reports read
+its tables as an ingestion leaves them, which the first such query of a session writes.
 """
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fx
 from tessera.operators import answer, chunking, extraction, fusion, graph, layout, metrics, vector
+from tessera.plans import pipeline
 from tessera.plans.oracles import ORACLE_SQL as _SQL
+from tessera.sources.scratch import exists, scratch, stored
 from tessera.sources.tables import TOOLS, document_pages, letters, reports, table, trade_graph
 
 QUERIES: dict = {}
@@ -39,25 +44,41 @@ def benchmark_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question per nation, about its company and a tool: ``query_id, question``."""
+    """A question per nation, about its company and a tool or a customer: ``query_id, question``."""
     n = table(spark, sf_dir, "nation")
     tool = F.element_at(F.array(*map(F.lit, TOOLS)), (F.col("n_nationkey") % len(TOOLS) + 1).cast("int"))
-    q = F.concat(F.lit("Who works with Nation"), letters(F.col("n_nationkey")), F.lit(" Systems LLC, and does it use "), tool, F.lit("?"))
-    return n.select(F.col("n_nationkey").cast("long").alias("query_id"), q.alias("question"))
+    org = F.concat(F.lit("Nation"), letters(F.col("n_nationkey")), F.lit(" Systems LLC"))
+    plain = F.concat(F.lit("Who works with "), org, F.lit(", and does it use "), tool, F.lit("?"))
+    deal = F.concat(F.lit("Who says that Cust"), letters(F.col("n_nationkey")), F.lit(" Corp acquired "), org, F.lit(" for "), tool, F.lit("?"))
+    return n.select(F.col("n_nationkey").cast("long").alias("query_id"), F.when(F.col("n_nationkey") % 5 == 1, deal).otherwise(plain).alias("question"))
+
 
+_GRAPHS: dict = {}
 
-def question_seeds(q: DataFrame) -> DataFrame:
-    """Entities that the patterns find in a question, else its capitalised words."""
-    found = extraction.entity_arrays(q.withColumn("text", F.col("question"))).withColumn(
-        "seeds", F.when(F.size("known") > 0, F.col("known")).otherwise(fx.seeds_by_capitals(F.col("question")))
-    )
-    return found.select("query_id", F.posexplode("seeds").alias("ord", "seed"))
+
+def report_graph(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
+    """``pages, mentions, entities, triples, relations`` of the reports, extracted once a session and stored."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _GRAPHS or not all(exists(spark, t.stored_at) for t in vars(_GRAPHS[key]).values()):
+        _GRAPHS.clear()
+        pages = reports(spark, sf_dir)
+        with scratch(spark) as s:
+            noted = stored(extraction.annotated(pages))
+            g = SimpleNamespace(pages=stored(pages), mentions=stored(extraction.mentions(noted)), triples=stored(extraction.relations(noted)))
+            g.entities, g.relations = stored(extraction.merge_entities(g.mentions)), stored(extraction.merge_relations(g.triples))
+            s.keep(*vars(g).values())
+        _GRAPHS[key] = g
+    return _GRAPHS[key]
 
 
 def _regions(spark, sf_dir):
     return table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("seed"))
 
 
+def _nations(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_name").alias("seed"))
+
+
 # --- vectors ----------------------------------------------------------------------------------
 
 
@@ -73,8 +94,9 @@ def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def vector_topk_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = vector.top_k(_vector_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), k=5)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.left("text", F.lit(200)).alias("text"))
-    return vector.with_payload(hits, docs).select("query_id", "rank", "chunk_id", "score", "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    whole = vector.with_payload(hits, docs)
+    return whole.select("query_id", "rank", "chunk_id", "score", F.length("text").cast("long").alias("text_chars"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
 @query
@@ -139,8 +161,7 @@ def chunk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.left("text", F.lit(100)).alias("text"))
-    return chunking.links(short, "conv_id", "turn", key="text")
+    return chunking.links(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", key="text")
 
 
 # --- extraction -------------------------------------------------------------------------------
@@ -163,7 +184,7 @@ def extract_tech(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def extract_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _extracted(spark, sf_dir, "METRIC").filter("confidence > 0.85")
+    return _extracted(spark, sf_dir, "METRIC")
 
 
 @query
@@ -185,6 +206,11 @@ def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.merge_entities(extraction.mentions(reports(spark, sf_dir))).select("canonical_name", "entity_type", "confidence", "n_chunks", "n_docs", "first_chunk")
 
 
+@query
+def entity_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.entity_sources(extraction.mentions(reports(spark, sf_dir)))
+
+
 @query
 def relation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.merge_relations(extraction.relations(reports(spark, sf_dir)))
@@ -205,8 +231,8 @@ def grounded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def grounded_chunks_conf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = question_seeds(questions(spark, sf_dir))
-    return graph.grounded_chunks(seeds, extraction.mentions(reports(spark, sf_dir)), by_confidence=True)
+    seeds = extraction.question_seeds(questions(spark, sf_dir))
+    return graph.grounded_chunks(seeds, report_graph(spark, sf_dir).mentions, by_confidence=True)
 
 
 @query
@@ -217,9 +243,10 @@ def multi_doc_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def multi_doc_bridges_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = reports(spark, sf_dir)
-    m = extraction.mentions(pages).persist()
-    return graph.bridges(question_seeds(questions(spark, sf_dir)), m, pages, both_orders=True).drop("chunk1_text", "chunk2_text")
+    g = report_graph(spark, sf_dir)
+    titles = g.pages.groupBy("doc_id").agg(F.nullif(F.min("title"), F.lit("")).alias("title"))
+    seeds = extraction.question_seeds(questions(spark, sf_dir))
+    return graph.bridges(seeds, g.mentions, g.pages, both_orders=True, documents=titles).drop("chunk1_text", "chunk2_text")
 
 
 @query
@@ -229,6 +256,18 @@ def neighbors_1hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbours(seeds, entities, relations)
 
 
+@query
+def neighbors_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, relations = trade_graph(spark, sf_dir)
+    return graph.neighbours(_nations(spark, sf_dir), entities, relations, limit=10)
+
+
+@query
+def subgraph_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, relations = trade_graph(spark, sf_dir)
+    return graph.two_hop_edges(_nations(spark, sf_dir), entities, relations, limit=25)
+
+
 @query
 def subgraph_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities, relations = trade_graph(spark, sf_dir)
@@ -243,10 +282,16 @@ def bfs_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bfs_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = extraction.mentions(reports(spark, sf_dir)).persist()
-    entities = extraction.merge_entities(m)
-    seeds = question_seeds(questions(spark, sf_dir)).filter("ord = 0")
-    return graph.bfs(seeds, graph.mention_edges(m), entities, max_hops=2)
+    g = report_graph(spark, sf_dir)
+    return graph.bfs(extraction.question_seeds(questions(spark, sf_dir)), graph.mention_edges(g.mentions), g.entities, max_hops=2)
+
+
+@query
+def bfs_whole_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hops from each region's company, through documents and neighbouring chunks as well."""
+    g = report_graph(spark, sf_dir)
+    seeds = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), F.concat(F.lit("Cust"), letters(F.col("r_regionkey") * 5 + 1), F.lit(" Corp.")).alias("seed"))
+    return graph.bfs(seeds, graph.traversal_edges(g.pages, g.mentions, g.relations, 3), g.entities, max_hops=3)
 
 
 @query
@@ -278,29 +323,27 @@ def mention_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = reports(spark, sf_dir)
-    e = graph.all_edges(pages, extraction.mentions(pages), extraction.relations(pages))
-    return e.groupBy("rel_type", "explicit_rel").agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_src"), F.countDistinct("dst").alias("n_dst"))
+    g = report_graph(spark, sf_dir)
+    e = graph.all_edges(g.pages, g.mentions, g.triples)
+    return e.groupBy("rel_type", "explicit_rel").agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_src"), F.countDistinct("dst").alias("n_dst"), F.sum("page").alias("pages"))
 
 
 # --- fusion and answers -----------------------------------------------------------------------
 
 
 def _retrieved(spark: SparkSession, sf_dir: str, k: int | None = 5):
-    """Questions, chunks, fused hits and edges of the batch over the reports."""
-    pages, q = reports(spark, sf_dir), questions(spark, sf_dir)
-    mentions = extraction.mentions(pages).persist()  # read by three branches of the plan
-    entities = extraction.merge_entities(mentions)
-    relations = extraction.merge_relations(extraction.relations(pages)).persist()
-    seeds = question_seeds(q)
+    """Questions, chunks, fused hits and edges of the batch over the reports: two hops on the whole graph."""
+    g, q = report_graph(spark, sf_dir), questions(spark, sf_dir)
+    seeds = stored(extraction.question_seeds(q))
     e = table(spark, sf_dir, "embeddings")
     q_vectors = e.join(q, F.col("vec_id") == F.col("query_id"), "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
-    known = e.join(pages, F.col("vec_id") == F.col("chunk_id"), "left_semi")
+    known = e.join(g.pages, F.col("vec_id") == F.col("chunk_id"), "left_semi")
     hits = vector.top_k(q_vectors, known, k=5).withColumnRenamed("vec_id", "chunk_id")
-    nodes = graph.bfs(seeds.select("query_id", "seed"), graph.undirected(relations), entities, max_hops=1)
-    edges = graph.induced_edges(nodes, relations, limit=25)
-    fused = fusion.fuse(hits, graph.grounded_chunks(seeds, mentions), nodes, k=k)
-    return q, pages, fused, edges
+    # read by the bonus and by both ends of the edges
+    nodes = stored(graph.bfs(seeds.select("query_id", "seed"), graph.traversal_edges(g.pages, g.mentions, g.relations, 2), g.entities, max_hops=2))
+    edges = graph.induced_edges(nodes, g.relations, limit=25)
+    fused = stored(fusion.fuse(hits, graph.grounded_chunks(seeds, g.mentions), nodes, k=k))
+    return q, g.pages, fused, edges
 
 
 @query
@@ -337,7 +380,21 @@ def provenance_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, pages, fused, edges = _retrieved(spark, sf_dir)
-    return answer.answers(q, fused, edges, pages)
+    edges = stored(edges)
+    out = answer.answers(q, fused, edges, pages)
+    return out.join(answer.provenance(fused, pages), "query_id", "left").join(answer.multi_hop_paths(edges), "query_id", "left")
+
+
+@query
+def scored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused chunks as JSON objects, of which the fields are read back."""
+    _, pages, fused, _ = _retrieved(spark, sf_dir)
+    nodes = pipeline.scored_nodes(fused, pages.withColumn("section_title", F.lit("General")))
+    of = lambda path: F.get_json_object("node", path)
+    return nodes.select(
+        "query_id", "rank", of("$.id").alias("id"), F.md5(F.encode(of("$.text"), "UTF-8")).alias("text_md5"), of("$.score").cast("double").alias("score"), of("$.metadata.filename").alias("filename"),
+        of("$.metadata.page_number").alias("page_number"), of("$.metadata.section_title").alias("section_title"), of("$.metadata.vector_score").cast("double").alias("vector_score"), of("$.metadata.graph_score").cast("double").alias("graph_score"),
+    )
 
 
 @query
@@ -379,21 +436,20 @@ def latency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = reports(spark, sf_dir)
-    m = extraction.mentions(pages)
-    c = chunking.chunk_ranges(chunking.lines(pages))
-    return metrics.ingest_stats(pages, c, extraction.merge_entities(m), extraction.relations(pages), elapsed=12.5, ocr=F.length("text") < 150)
+    g = report_graph(spark, sf_dir)
+    c = chunking.chunk_ranges(chunking.lines(g.pages))
+    return metrics.ingest_stats(g.pages, c, g.entities, g.triples, elapsed=12.5, ocr=F.length("text") < 150)
 
 
 def _spans(spark, sf_dir):
-    """Words of each page's title as spans of sizes that depend on their places."""
-    title = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
-    w = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split(title, " ")).alias("n", "text"))
-    n, p = F.col("n"), F.col("page_id")
-    size = F.when((n + p) % 7 == 0, 20.0).when((n + p) % 5 == 0, 16.0).otherwise(10.0)
+    """All words of each page's texts between tags as spans of sizes and places that depend on their tag and order."""
+    html = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit(r"<([a-z0-9]+)[^<>]*>([^<>]+)"), F.lit(1)).alias("tags"), F.regexp_extract_all("html", F.lit(r"<([a-z0-9]+)[^<>]*>([^<>]+)"), F.lit(2)).alias("texts"))
+    b = html.select("page_id", F.posexplode(F.arrays_zip("tags", "texts")).alias("block_no", "b"))
+    w = b.select("page_id", "block_no", "b.tags", F.posexplode(F.split("b.texts", " ")).alias("n", "text"))
+    n, k = F.col("n"), F.col("block_no")
+    size = F.when(F.col("tags") == "h1", 24.0).when((F.col("tags") == "h2") | ((n + k) % 11 == 0), 16.0).otherwise(10.0)
     return w.select(
-        "page_id", F.floor(n / 4).cast("int").alias("block_no"), F.floor(n % 4 / 2).cast("int").alias("line_no"), (n % 2).alias("span_no"),
-        ((F.floor(n / 4) * 37) % 50).cast("double").alias("x"), ((F.floor(n / 4) * 53) % 97).cast("double").alias("y"), size.alias("size"), "text",
+        "page_id", "block_no", F.floor(n / 8).cast("int").alias("line_no"), (n % 8).alias("span_no"), ((k * 37) % 50).cast("double").alias("x"), ((k * 53) % 97).cast("double").alias("y"), size.alias("size"), F.concat("text", F.lit(" ")).alias("text"),
     )
 
 
@@ -409,9 +465,11 @@ def layout_blocks_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ocr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(60)).alias("text"), F.left("text", F.lit(55)).alias("ocr"))
-    short = d.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.left("text", F.lit(20))).otherwise(F.col("text")))
-    return short.select("doc_id", layout.with_ocr(F.col("text"), F.col("ocr")).alias("text"))
+    """Each text against that of the next document as what OCR has found, whole."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    other = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("ocr"))
+    chosen = d.join(other, "doc_id", "left").select("doc_id", layout.with_ocr(F.col("text"), F.col("ocr")).alias("text"))
+    return chosen.select("doc_id", F.length("text").cast("long").alias("text_chars"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
 @query

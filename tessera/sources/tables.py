@@ -17,7 +17,7 @@ def letters(number: Column) -> Column:
 
 
 SUFFIXES = ("Technologies Inc.", "Corp", "LLC", "Labs", "Holdings")
-TOOLS = ("Neo4j", "Pinecone", "LlamaIndex", "Transformers", "PyTorch", "CUDA")
+TOOLS = ("Kubernetes", "PostgreSQL", "Redis", "Docker", "Milvus", "FastAPI", "BERT")
 VERBS = (
     "acquired", "is a subsidiary of", "partnered with", "developed", "depends on", "is located in", "officially bought", "relies on",
 )

@@ -132,9 +132,40 @@ def test_latency_summary(spark):
     assert (e["count"], e.p50_ms, e.sla_compliance_pct) == (0, 0.0, 100.0)
 
 
+def test_percentiles_of_groups_ties_and_negatives(spark):
+    import numpy as np
+
+    rng = np.random.RandomState(3)
+    rows = [(g, float(v)) for g in ("a", None, "b") for v in np.round(rng.randn(400) * (1 if g else 900), 2 if g == "a" else 0)] + [("c", 5.0), ("d", None)]
+    log = spark.createDataFrame(rows, "g string, ms double")
+    got = {r.g: r for r in metrics.latency_summary(log, F.col("ms"), "g").collect()}
+    for g in ("a", None, "b", "c"):
+        x = [v for k, v in rows if k == g]
+        assert all(abs(got[g][f"p{p}_ms"] - np.percentile(x, p)) <= 0.0051 for p in (50, 95, 99)), g
+    assert got["d"]["count"] == 0 and got["d"].p99_ms == 0.0
+
+
+def test_clauses_change_no_match(spark):
+    """Patterns run on clauses find what they find in whole texts."""
+    import random
+
+    rng = random.Random(2)
+    bits = ["Alpha", "Beta Corp.", "Inc.", "acquired", "Ltd", ".", ",", " ", "\n", "owns", "the", "grew by", "$5", "12%", "_x", "bought", "is located in", "Paris", "é", "LLC", "Zinc.", "generated", "$1_0 a"]
+    texts = [" ".join(rng.choices(bits, k=14)) for _ in range(250)]
+    c = chunk(spark, *texts)
+    whole = c
+    for n, (_, _, pattern) in enumerate(extraction.TRIGGERS):
+        whole = whole.withColumn(f"w{n}", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    want = {r.chunk_id: sum(len(r[f"w{n}"]) for n in range(8)) for r in whole.collect()}
+    got = {r.chunk_id: len(r.triples) for r in extraction.annotated(c).select("chunk_id", "triples").collect()}
+    assert got == want and sum(want.values()) > 200
+
+
 def test_layout_headings_and_order(spark):
     rows = [(1, 0, 0, 0, 0.0, 52.0, 10.0, "body"), (1, 1, 0, 0, 5.0, 11.0, 30.0, "Big"), (1, 1, 0, 1, 5.0, 11.0, 10.0, "small"), (1, 2, 0, 0, 1.0, 12.0, 10.0, "left"), (1, 3, 0, 0, 1.0, 90.0, 10.0, " ")]
     s = spark.createDataFrame(rows, "page_id long, block_no int, line_no int, span_no int, x double, y double, size double, text string")
     b = layout.heading_levels(s)
     assert {r.block_no: (r.is_heading, r.heading_level) for r in b.collect()}[1] == (True, 1)
-    assert layout.reading_order(b).first().text == "left\n\n# Big small\n\nbody\n\n "
+    assert layout.reading_order(b).first().text == "left\n\n# Bigsmall\n\nbody"
+    page = spark.createDataFrame([("t", ["|a|", " "]), ("t", [])], "text string, tables array<string>")
+    assert [r[0] for r in page.select(layout.with_tables(F.col("text"), F.col("tables"))).collect()] == ["t\n\n\n### Structured Tables:\n|a|", "t"]

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tessera.operators import extraction, vector
 from tessera.plans import pipeline
 from tessera.plans.settings import Settings
 
@@ -10,6 +11,41 @@ PAGES = [
 ]
 
 
+def counts(store):
+    return {t: getattr(store, t).count() for t in ("chunks", "vectors", "mentions", "entities", "relations")}
+
+
+def test_ingestion_may_be_repeated_and_split(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "doc_id long, page_number int, filename string, text string")
+    s = Settings(vector_width=16)
+    once = counts(pipeline.ingest(pages, f"{tmp_path}/once", s))
+    pipeline.ingest(pages.filter("doc_id = 1"), f"{tmp_path}/split", s)
+    split = pipeline.ingest(pages.filter("doc_id > 1"), f"{tmp_path}/split", s)
+    assert counts(split) == once
+    again = pipeline.ingest(pages.filter("doc_id > 1"), f"{tmp_path}/split", s)
+    assert counts(again) == once and again.vectors.select("vec_id").distinct().count() == once["vectors"]
+    q = spark.createDataFrame([(1, "what")], "query_id long, question string")
+    hits = vector.top_k(pipeline.query_vectors(q, pipeline.default_embedding(16)), again.vectors, 5).collect()
+    assert len({h.vec_id for h in hits}) == len(hits) == 2
+    changed = spark.createDataFrame([(2, 1, "b.pdf", "## Places.\nGamma Labs uses Redis."), (2, 2, "b.pdf", "more")], pages.schema)
+    new = pipeline.ingest(changed, f"{tmp_path}/split", s)
+    names = {r.canonical_name for r in new.entities.collect()}
+    assert "Gamma Labs" in names and "San Francisco" not in names and new.chunks.count() == 3
+    links = {r.page_number: (r.prev_chunk_id, r.chunk_id, r.next_chunk_id) for r in new.chunks.filter("doc_id = 2").collect()}
+    assert links[1][2] == links[2][1] and links[2][0] == links[1][1] and links[1][0] is None
+    # an ingestion that stopped before its entities doesn't count
+    (tmp_path / "split" / "v00000009" / "chunks").mkdir(parents=True)
+    assert counts(pipeline.Store.open(spark, f"{tmp_path}/split")) == counts(new)
+
+
+def test_seeds_of_questions(spark):
+    q = spark.createDataFrame([(1, "Who says that Alpha Labs acquired Beta Group?"), (2, "what about Zed, or Amy?"), (3, "")], "query_id long, question string")
+    got = {}
+    for r in extraction.question_seeds(q).orderBy("query_id", "ord").collect():
+        got.setdefault(r.query_id, []).append(r.seed)
+    assert got == {1: ["Alpha Labs", "Beta Group", "Be"], 2: ["Zed", "Amy"]}
+
+
 def test_ingest_and_answer(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "doc_id long, page_number int, filename string, text string")
     s = Settings(vector_width=16)
@@ -23,5 +59,5 @@ def test_ingest_and_answer(spark, tmp_path):
     v = {r.query_id: r.embedding for r in pipeline.query_vectors(q, pipeline.default_embedding(4)).collect()}
     assert v[2] == v[3] != v[1]
     fused, nodes, _ = pipeline.retrieve(q, store, Settings(vector_width=16, mode="relations", max_hops=1))
-    assert {r.node for r in nodes.filter("query_id = 1").collect()} == {"Beta Systems Corp.", "San Francisco"}
+    assert {r.node for r in nodes.filter("query_id = 1").collect()} == {"Beta Systems Corp.", "San Francisco", "Be", "Alpha Technologies Inc."}  # "Be" ends a relation of the question
     assert pipeline.scored_nodes(fused, store.chunks).filter(F.col("node").contains('"section_title":"Deals."')).count() > 0

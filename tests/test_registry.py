@@ -5,7 +5,6 @@ import __spark_entry__
 from tessera.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"provenance_docs", "llm_prompts", "rrf_centrality", "bfs_mentions", "grounded_chunks_conf"}  # covered by answer_batch and unit tests
 
 
 def test_entry_has_rows(spark):
@@ -25,7 +24,7 @@ def duck(sf):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_sql(spark, sf, duck, tmp_path, name):
     registry.QUERIES[name](spark, sf).write.parquet(str(tmp_path / "out"))
     spark.catalog.clearCache()
@@ -38,6 +37,29 @@ def test_query_equals_sql(spark, sf, duck, tmp_path, name):
         assert not duck.execute(f"SELECT {of} FROM {a} EXCEPT ALL SELECT {of} FROM {b} LIMIT 3").fetchall()
 
 
-def test_pseudo_embedding_depends_on_the_text_only(spark, sf):
+def test_pseudo_embedding_equals_its_definition(spark, sf):
+    import hashlib
+
+    import numpy as np
+
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     rows = registry.QUERIES["pseudo_embedding"](spark, sf).collect()
-    assert len(rows) == 40 and all(len(r.embedding.split(",")) == 8 for r in rows)
+    assert len(rows) == len(texts) == 40
+    for r in rows:
+        seed = int(hashlib.sha256(texts[r.item_id].encode()).hexdigest()[:8], 16)
+        v = np.random.RandomState(seed).randn(8)
+        assert np.allclose([float(x) for x in r.embedding.split(",")], v / np.linalg.norm(v), atol=1e-6)
+
+
+def test_patterns_are_those_expected():
+    """The SQL takes patterns from the operators; some literals, so that a slip doesn't pass on both sides."""
+    from tessera.functions.text import ALIASES
+    from tessera.operators import extraction, fusion, layout
+
+    assert [(k, c) for k, c, _ in extraction.TRIGGERS] == [
+        ("ACQUIRED", 1.0), ("SUBSIDIARY_OF", 0.95), ("PARTNERS_WITH", 0.9), ("DEVELOPS_AND_OWNS", 0.95), ("DEPENDS_ON", 0.9), ("INCREASED_BY", 0.9), ("REPORTED_METRIC", 0.9), ("LOCATED_IN", 0.9),
+    ]
+    assert extraction.TRIGGER_WORDS["PARTNERS_WITH"] == "partnered with|collaborated with|signed agreement with"
+    assert extraction.CONFIDENCE == {"ORGANIZATION": 0.92, "TECHNOLOGY": 0.95, "METRIC": 0.88} and len(ALIASES) == 8
+    assert (fusion.RRF_K, fusion.VECTOR_WEIGHT, fusion.GRAPH_WEIGHT, fusion.BONUS) == (60, 0.55, 0.45, 0.15)
+    assert (layout.DEFAULT_SIZE, layout.HEADING, layout.TOP_HEADING, layout.OCR_CHARS) == (11.0, 1.3, 1.6, 50)

@@ -10,17 +10,23 @@ def test_folder_of_files(spark, tmp_path):
     def parser(content: bytes) -> dict:
         if content == b"bad":
             raise ValueError("no pdf")
+        if content == b"laid":
+            spans = [(0, 0, 0, 0.0, 60.0, 10.0, "body "), (0, 0, 1, 9.0, 60.0, 10.0, "text"), (1, 0, 0, 0.0, 5.0, 30.0, "Head")] + [(2, n, 0, 0.0, 90.0, 10.0, f"line {n}") for n in range(5)]
+            return {"pages": [{"spans": spans, "tables": ["|x|"]}, {"text": "", "ocr": "found by OCR"}, {"spans": [], "text": "plain"}]}
         return {"pages": content.decode().split("|") if content != b"none" else [], "n_pages": 2, "title": ""}
 
     (tmp_path / "sub").mkdir()
-    for name, data in (("a.pdf", b"one|two"), ("sub/b.pdf", b"bad"), ("c.pdf", b"none"), ("d.txt", b"x")):
+    for name, data in (("a.pdf", b"one|two"), ("sub/b.pdf", b"bad"), ("c.pdf", b"none"), ("d.txt", b"x"), ("e.pdf", b"laid")):
         (tmp_path / name).write_bytes(data)
     pages = pdf.parse(pdf.scan(spark, str(tmp_path)), parser).cache()
     docs = {r.filename: r for r in pdf.documents(pages).collect()}
-    assert set(docs) == {"a.pdf", "b.pdf", "c.pdf"}
+    assert set(docs) == {"a.pdf", "b.pdf", "c.pdf", "e.pdf"}
+    laid = {r.page_number: (r.text, r.ocr_applied) for r in pages.filter("filename = 'e.pdf'").collect()}
+    assert laid[1] == ("# Head\n\nbody text\n\nline 0\nline 1\nline 2\nline 3\nline 4\n\n\n### Structured Tables:\n|x|", False)
+    assert laid[2] == ("found by OCR", True) and laid[3] == ("plain", False)
     assert docs["a.pdf"].raw_text == "--- Page 1 ---\none\n\n--- Page 2 ---\ntwo" and docs["a.pdf"].title == "a" and docs["a.pdf"].author == "Unknown"
     assert docs["b.pdf"].error.startswith("ValueError") and docs["c.pdf"].raw_text == ""
-    assert pdf.chunkable(pages).count() == 2
+    assert pdf.chunkable(pages).count() == 5
     empty = tmp_path / "none"
     empty.mkdir()
     assert pdf.parse(pdf.scan(spark, str(empty)), parser).count() == 0
