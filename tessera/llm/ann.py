@@ -1,14 +1,21 @@
 """Nearest neighbours by randomly rotated one-bit codes (RaBitQ, Gao and Long 2024).
 
-A vector is centred, normalised, padded to at least ``BITS`` dimensions and rotated; its code is
-the sign of each rotated component, kept as packed bits with two scalars (its norm and the inner
-product with its own code). The inner product of a query with the code, over the second scalar,
-estimates that with the vector, within ``EPSILON`` standard deviations of the known error.
-
-A block of vectors is scanned by its codes. The (k + 1)-th smallest upper bound of the distance,
-or the (k + 1)-th distance found in earlier blocks if that is less, is a query's reach; only
-vectors whose lower bound is within it are reranked by their exact distance. Each task hands on
-the k + 1 nearest of each query. Vectors of other dimensions than the query are not compared.
+Vectors are dealt to the nearest of some cells' centres (k-means on a bounded sample; about
+``CELL`` vectors a cell, at most ``MOST_CELLS``). A vector less its centre is normalised, padded to
+at least ``BITS`` dimensions and rotated; its code is the sign of each rotated component, kept as
+packed bits with three scalars (its norm, the inner product with its own code, its number of set
+bits). A query is held against its ``PROBES`` nearest cells: less the cell's centre and rotated,
+its components are rounded to ``PLANES`` bits, so that its inner product with a code is a weighted
+sum of bit counts of the code and each plane. Divided by the second scalar it estimates that with
+the vector, within ``EPSILON`` standard deviations of the known error and the rounding's bound.
+
+The (k + 1)-th smallest upper bound of the distance is a query's reach, first of what a task has
+seen, then of all its candidates; only vectors whose lower bound is within it are joined to their
+components and reranked by exact distance. Vectors of other dimensions than the query are not
+compared. Blocks of codes and of queries meet by an equi-join on cells; codes carry no vectors.
+
+With at most ``PROBES`` cells, that is up to 131,072 vectors, every vector is held against every
+query, and only the error bounds decide; beyond that also the probes do.
 
 Equal vectors are coded once. Of their ids the k + 1 smallest are kept, since no others can be
 among the k nearest of any query: at equal distance the smaller id comes first.
@@ -22,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import handing_back, stored
+from tessera.llm.common import handing_back, scratch, stored
 
-BITS = 512
+BITS, PLANES = 256, 6
 EPSILON = 2.5
-SAMPLE = 4096  # vectors that the centre is taken from
-BLOCK = 2048  # vectors of a block of codes
-QUERY_BLOCK, BROADCAST_QUERIES = 512, 8192
+SAMPLE = 16_384  # vectors that the centres are taken from
+CELL, MOST_CELLS, PROBES = 2048, 1024, 64
+STEPS = 6  # of k-means
+BLOCK, QUERY_BLOCK = 2048, 256  # rows of a block of codes, and of queries
+PIECE = 2_000_000  # codes of a cell that are dealt to one task
 SEED = 7
 
 
@@ -38,6 +47,21 @@ def rotation(dim: int) -> np.ndarray:
     return np.linalg.qr(np.random.RandomState(SEED).randn(bits, bits))[0][:dim].astype(np.float32)
 
 
+def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (x**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * x @ centres.T
+
+
+def centres_of(x: np.ndarray, cells: int) -> np.ndarray:
+    """Centres of ``cells`` clusters of the rows of x; a cluster that runs empty keeps its centre."""
+    c = x[:cells].copy()
+    for _ in range(STEPS if cells > 1 else 1):
+        own = np.concatenate([_squared(x[at : at + 4096], c).argmin(axis=1) for at in range(0, len(x), 4096)])
+        n = np.bincount(own, minlength=len(c))
+        total = np.stack([np.bincount(own, x[:, k], len(c)) for k in range(x.shape[1])], axis=1)
+        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c).astype(np.float32)
+    return c
+
+
 def valid(vectors: DataFrame) -> DataFrame:
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     e = F.col("embedding")
@@ -58,89 +82,134 @@ def _by_dim(part, column: str):
         yield int(dim), part.filter(pa.array(size == dim))
 
 
+def _centre(centres: dict, dim: int) -> np.ndarray:
+    return centres.get(dim, np.zeros((1, dim), np.float32))
+
+
 def _encode(centres):
     def run(batches):
         turn: dict[int, np.ndarray] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 for dim, part in _by_dim(batch.slice(at, BLOCK), "embedding"):
-                    p = turn.setdefault(dim, rotation(dim))
-                    x = _arrays(part, "embedding") - centres.value.get(dim, np.zeros(dim, np.float32))
+                    p, c = turn.setdefault(dim, rotation(dim)), _centre(centres.value, dim)
+                    x = _arrays(part, "embedding")
+                    cell = _squared(x, c).argmin(axis=1)
+                    x = x - c[cell]
                     norm = np.linalg.norm(x, axis=1)
                     r = (x / np.maximum(norm, 1e-30)[:, None]) @ p
                     own = np.abs(r).sum(axis=1) / np.sqrt(r.shape[1])
-                    ids = part.column("class_id").to_numpy()
+                    codes = np.packbits(r > 0, axis=1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([dim]), *(pa.array([v], pa.binary()) for v in (ids.tobytes(), np.packbits(r > 0, axis=1).tobytes(), norm.astype(np.float32).tobytes(), own.astype(np.float32).tobytes(), _arrays(part, "embedding", float).tobytes()))],
-                        ["dim", "ids", "codes", "norm", "own", "vectors"],
-                    )
+                        [
+                            pa.array(np.full(len(x), dim)), pa.array(cell.astype(np.int32)), part.column("class_id"), pa.array([v.tobytes() for v in codes], pa.binary()),
+                            pa.array(norm.astype(np.float32)), pa.array(own.astype(np.float32)),
+                        ],
+                        ["dim", "cell", "class_id", "code", "norm", "own"],
+                    )
 
     return run
 
 
 def _queries(centres):
-    """Blocks of rotated queries; a centred query is not normalised, its norm follows from it."""
+    """A row for each query and probed cell: its planes, and what scales their counts."""
 
     def run(batches):
+        turn: dict[int, np.ndarray] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, QUERY_BLOCK):
                 for dim, part in _by_dim(batch.slice(at, QUERY_BLOCK), "embedding"):
-                    x = _arrays(part, "embedding") - centres.value.get(dim, np.zeros(dim, np.float32))
-                    ids = part.column("vec_id").to_numpy()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([dim]), *(pa.array([v], pa.binary()) for v in (ids.tobytes(), (x @ rotation(dim)).astype(np.float32).tobytes(), _arrays(part, "embedding", float).tobytes()))],
-                        ["dim", "q_ids", "q", "q_vectors"],
-                    )
+                    p, c = turn.setdefault(dim, rotation(dim)), _centre(centres.value, dim)
+                    x = _arrays(part, "embedding")
+                    probes = np.argsort(_squared(x, c), axis=1, kind="stable")[:, :PROBES]
+                    n, cell = np.repeat(np.arange(len(x)), probes.shape[1]), probes.ravel()
+                    for lo in range(0, len(n), 4096):
+                        i, k = n[lo : lo + 4096], cell[lo : lo + 4096]
+                        q = (x[i] - c[k]) @ p
+                        low = q.min(axis=1)
+                        step = np.maximum(q.max(axis=1) - low, 1e-30) / (2**PLANES - 1)
+                        u = np.rint((q - low[:, None]) / step[:, None]).astype(np.uint8)
+                        gap = np.linalg.norm(q - low[:, None] - step[:, None] * u, axis=1)
+                        planes = np.stack([np.packbits((u >> b) & 1, axis=1) for b in range(PLANES)], axis=1)
+                        scale = np.stack([low, step, u.sum(axis=1), np.linalg.norm(q, axis=1), gap], axis=1).astype(np.float64)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(i), dim)), pa.array(k.astype(np.int32)), part.column("vec_id").take(pa.array(i)), pa.array([v.tobytes() for v in planes], pa.binary()), pa.array([v.tobytes() for v in scale], pa.binary())],
+                            ["dim", "cell", "query_id", "planes", "scale"],
+                        )
 
     return run
 
 
-def _bounds(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, class ids, and lower and upper bounds of all squared distances between them."""
-    ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
-    norm, own = (np.frombuffer(row[c], np.float32).astype(np.float64) for c in ("norm", "own"))
-    q = np.frombuffer(row["q"], np.float32).reshape(len(q_ids), -1)
-    bits = q.shape[1]
-    sign = np.unpackbits(np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), axis=1, count=bits).astype(np.float32) * 2 - 1
-    q_norm = np.linalg.norm(q.astype(np.float64), axis=1)
-    inner = (q @ sign.T).astype(np.float64) / np.sqrt(bits) / np.maximum(own, 1e-9) * norm
-    error = EPSILON * np.sqrt(np.maximum(1 - own**2, 0)) / np.maximum(own, 1e-9) / np.sqrt(bits - 1) * norm
-    middle = q_norm[:, None] ** 2 + norm**2 - 2 * inner
-    slack = 2 * q_norm[:, None] * error + 1e-5 * (q_norm[:, None] ** 2 + norm**2)
-    return q_ids, ids, middle - slack, middle + slack
+def _blocks(columns: dict[str, str], size: int):
+    """Consecutive rows of one dimension and cell as blocks: ids and fixed-size values end to end."""
 
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        key, n = None, 0
 
-def _rerank(k: int):
-    """``query_id, class_id`` of the k + 1 nearest (and what ties with them) of a task's blocks."""
+        def out():
+            rows = pa.Table.from_batches(held)
+            values = [b"".join(v if isinstance(v, bytes) else v.tobytes() for v in ([rows.column(c).to_numpy()] if k != "binary" else rows.column(c).to_pylist())) for c, k in columns.items()]
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], ["dim", "cell", *(f"{c}s" for c in columns)])
+
+        for batch in batches:
+            dim, cell = batch.column("dim").to_numpy(), batch.column("cell").to_numpy()
+            cuts = np.flatnonzero(np.append(True, (dim[1:] != dim[:-1]) | (cell[1:] != cell[:-1]))) if len(dim) else []
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(dim))):
+                own = (int(dim[lo]), int(cell[lo]))
+                if held and own != key:
+                    yield out()
+                    held, n = [], 0
+                key = own
+                while lo < hi:
+                    take = int(min(hi - lo, size - n))
+                    held.append(batch.slice(lo, take).select(list(columns)))
+                    lo, n = lo + take, n + take
+                    if n == size:
+                        yield out()
+                        held, n = [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _estimates(row: dict):
+    """Of each query of a pair of blocks its id and the lower and upper bounds of its squared distances."""
+    norm, own = (np.frombuffer(row[c], np.float32).astype(np.float64) for c in ("norms", "owns"))
+    codes = np.frombuffer(row["codes"], np.uint8).reshape(len(norm), -1).view(np.uint64)
+    bits = codes.shape[1] * 64
+    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
+    q_ids = np.frombuffer(row["query_ids"], np.int64)
+    planes = np.frombuffer(row["planess"], np.uint8).reshape(len(q_ids), PLANES, -1).view(np.uint64)
+    scale = np.frombuffer(row["scales"], np.float64).reshape(len(q_ids), 5)
+    own = np.maximum(own, 1e-9)
+    spread = EPSILON * np.sqrt(np.maximum(1 - own**2, 0)) / own / np.sqrt(bits - 1)
+    for n, (low, step, total, q_norm, gap) in enumerate(scale.tolist()):
+        both = np.zeros(len(norm), np.int64)
+        for b in range(PLANES):
+            both += np.bitwise_count(codes & planes[n, b]).sum(axis=1, dtype=np.int64) << b
+        inner = (low * (2 * ones - bits) + step * (2 * both - total)) / np.sqrt(bits) / own * norm
+        middle = q_norm**2 + norm**2 - 2 * inner
+        slack = 2 * norm * (q_norm * spread + gap / own) + 1e-5 * (q_norm**2 + norm**2)
+        yield int(q_ids[n]), middle - slack, middle + slack
+
+
+def _candidates(k: int):
+    """``query_id, class_id, lower, upper`` of the vectors within the reach of what the task has seen."""
 
     def run(batches):
-        near: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        none = (np.empty(0), np.empty(0, np.int64))
+        best: dict[int, np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                q_ids, ids, lower, upper = _bounds(row)
-                held = [near.get(q, none) for q in q_ids.tolist()]
-                reach = np.array([d[k] if len(d) > k else np.inf for d, _ in held])
-                if len(ids) > k:
-                    reach = np.minimum(reach, np.partition(upper, k, axis=1)[:, k])
-                i, j = np.nonzero(lower <= reach[:, None] * (1 + 1e-9))
-                x = np.frombuffer(row["vectors"]).reshape(len(ids), -1)
-                y = np.frombuffer(row["q_vectors"]).reshape(len(q_ids), -1)
-                exact = np.empty(len(i))
-                for at in range(0, len(i), 1 << 14):
-                    part = slice(at, at + (1 << 14))
-                    exact[part] = ((y[i[part]] - x[j[part]]) ** 2).sum(axis=1)
-                cut = np.searchsorted(i, np.arange(len(q_ids) + 1))
-                for n, q in enumerate(q_ids.tolist()):
-                    own = slice(cut[n], cut[n + 1])
-                    d, c = np.append(held[n][0], exact[own]), np.append(held[n][1], ids[j[own]])
-                    order = np.argsort(d, kind="stable")
-                    d, c = d[order], c[order]
-                    keep = d <= d[k] * (1 + 1e-9) if len(d) > k else np.ones(len(d), bool)
-                    near[q] = d[keep], c[keep]
-        ids = np.repeat(np.array(list(near), np.int64), [len(d) for d, _ in near.values()])
-        classes = np.concatenate([c for _, c in near.values()]) if near else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(classes)], ["query_id", "class_id"])
+                ids = np.frombuffer(row["class_ids"], np.int64)
+                out = []
+                for q, lower, upper in _estimates(row):
+                    seen = np.append(best.get(q, np.empty(0)), upper)
+                    best[q] = seen = np.partition(seen, k)[: k + 1] if len(seen) > k + 1 else seen
+                    near = np.flatnonzero(lower <= seen.max()) if len(seen) > k else np.arange(len(ids))
+                    out.append((np.full(len(near), q), ids[near], lower[near], upper[near]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "class_id", "lower", "upper"])
 
     return run
 
@@ -155,29 +224,39 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     one id each counts. Queries with less than k candidates get all of them. Empty tables give an
     empty result. Columns besides ``vec_id`` and ``embedding`` are ignored.
     """
+    with scratch(vectors.sparkSession) as s:
+        found = _nearest(vectors, queries, k)
+        s.keep(found)
+    return found
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     spark = vectors.sparkSession
     rows = valid(vectors).dropDuplicates()
     by_vector = Window.partitionBy("embedding").orderBy("vec_id")
     rows = stored(rows.withColumn("nth", F.row_number().over(by_vector)).filter(F.col("nth") <= k + 1))
     # one id may stand for several vectors, so a class is named by a number of its own
-    classes = rows.filter("nth = 1").select(F.monotonically_increasing_id().alias("class_id"), "embedding")
-    classes = stored(classes)
+    classes = stored(rows.filter("nth = 1").select(F.monotonically_increasing_id().alias("class_id"), "embedding"))
     members = rows.select("vec_id", "embedding").join(classes, "embedding").select("class_id", "vec_id")
 
-    sample = classes.orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).select("embedding").collect()
+    n = classes.count()
     groups: dict[int, list] = {}
-    for r in sample:
+    for r in classes.orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).select("embedding").collect():
         groups.setdefault(len(r[0]), []).append(r[0])
-    centres = spark.sparkContext.broadcast({d: np.mean(np.array(v, np.float32), axis=0) for d, v in groups.items()})
-    codes = stored(classes.mapInArrow(handing_back(_encode(centres)), "dim long, ids binary, codes binary, norm binary, own binary, vectors binary"))
-
-    asked = stored(valid(queries).dropDuplicates().withColumn("block", F.floor(F.abs(F.xxhash64("vec_id") / 2) % 1e6)))
-    chunks = -(-asked.count() // (BROADCAST_QUERIES // 2)) or 1  # half full on average
-    pairs = None
-    for c in range(chunks):
-        part = asked.filter(F.col("block") % chunks == c).mapInArrow(handing_back(_queries(centres)), "dim long, q_ids binary, q binary, q_vectors binary")
-        got = codes.join(F.broadcast(part), "dim").mapInArrow(handing_back(_rerank(k)), "query_id long, class_id long")
-        pairs = got if pairs is None else pairs.unionByName(got)
+    size = lambda v: max(1, min(n * len(v) // min(n, SAMPLE) // CELL, MOST_CELLS, len(v)))
+    centres = spark.sparkContext.broadcast({d: centres_of(np.array(v, np.float32), size(v)) for d, v in groups.items()})
+
+    codes = classes.mapInArrow(handing_back(_encode(centres)), "dim long, cell int, class_id long, code binary, norm float, own float")
+    piece = F.pmod("class_id", F.lit(-(-n // PIECE) or 1))
+    codes = codes.repartition("dim", "cell", piece).sortWithinPartitions("dim", "cell")
+    codes = codes.mapInArrow(_blocks({"class_id": "long", "code": "binary", "norm": "float", "own": "float"}, BLOCK), "dim long, cell int, class_ids binary, codes binary, norms binary, owns binary")
+    asked = stored(valid(queries).dropDuplicates())
+    probes = asked.mapInArrow(handing_back(_queries(centres)), "dim long, cell int, query_id long, planes binary, scale binary").repartition("dim", "cell").sortWithinPartitions("dim", "cell")
+    probes = probes.mapInArrow(_blocks({"query_id": "long", "planes": "binary", "scale": "binary"}, QUERY_BLOCK), "dim long, cell int, query_ids binary, planess binary, scales binary")
+    near = stored(codes.join(probes, ["dim", "cell"]).mapInArrow(handing_back(_candidates(k)), "query_id long, class_id long, lower double, upper double"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("upper"))
+    reach = near.select("query_id", "upper").withColumn("nth", nth).filter(F.col("nth") <= k + 1).groupBy("query_id").agg(F.max("upper").alias("reach"), F.count("*").alias("n"))
+    pairs = near.join(reach, "query_id").filter((F.col("n") <= k) | (F.col("lower") <= F.col("reach"))).select("query_id", "class_id")
 
     exact = pairs.join(classes, "class_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
     exact = exact.filter(F.size("q") == F.size("embedding"))
@@ -185,4 +264,4 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     exact = exact.select("query_id", "class_id", F.sqrt(F.aggregate(gap, F.lit(0.0), lambda acc, x: acc + x)).alias("score"))
     found = exact.join(members, "class_id").filter("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return stored(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

@@ -260,6 +260,50 @@ def test_neighbours_equal_brute_force_on_ties_and_odd_vectors(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_cells_and_probes_reach_nine_of_ten(spark, monkeypatch):
+    """More cells than probes, on clustered vectors: recall against brute force."""
+    monkeypatch.setattr(ann, "CELL", 40)
+    monkeypatch.setattr(ann, "PROBES", 8)
+    rng = np.random.RandomState(4)
+    x = (rng.randn(60, 32)[rng.randint(0, 60, 3000)] + 0.4 * rng.randn(3000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    got = {}
+    for r in ann.nearest(df, df.filter("vec_id % 50 = 0"), 10).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hits = 0
+    for q in range(0, 3000, 50):
+        d = np.sqrt(((x[q].astype(float) - x.astype(float)) ** 2).sum(axis=1))
+        d[q] = np.inf
+        want = set(np.argsort(d, kind="stable")[:10].tolist())
+        mine = sorted(got[q])
+        assert [r for r, _, _ in mine] == list(range(1, 11)) and all(abs(s - d[v]) < 1e-9 for _, v, s in mine)
+        hits += len(want & {v for _, v, _ in mine})
+    assert hits / 600 >= 0.9
+    assert len(ann.centres_of(x, 75)) == 75
+
+
+def test_bounds_hold_for_packed_codes(spark):
+    """Estimates from bit counts lie around the true squared distances, within their bounds."""
+    rng = np.random.RandomState(6)
+    x, q = rng.randn(400, 48).astype(np.float32), rng.randn(30, 48).astype(np.float32)
+    centre = {48: x.mean(axis=0, keepdims=True)}
+    shared = type("B", (), {"value": centre})
+    rows = lambda run, a, name: [b.to_pylist() for b in run([__import__("pyarrow").RecordBatch.from_pydict({name: np.arange(len(a)), "embedding": a.tolist()})])]
+    coded, asked = sum(rows(ann._encode(shared), x, "class_id"), []), sum(rows(ann._queries(shared), q, "vec_id"), [])
+    row = {
+        "norms": np.array([r["norm"] for r in coded], np.float32).tobytes(), "owns": np.array([r["own"] for r in coded], np.float32).tobytes(), "codes": b"".join(r["code"] for r in coded),
+        "query_ids": np.array([r["query_id"] for r in asked]).tobytes(), "planess": b"".join(r["planes"] for r in asked), "scales": b"".join(r["scale"] for r in asked),
+    }
+    assert len(row["codes"]) == 400 * ann.BITS // 8
+    inside = total = 0
+    for n, lower, upper in ann._estimates(row):
+        true = ((x.astype(float) - q[n].astype(float)) ** 2).sum(axis=1)
+        inside += ((lower <= true) & (true <= upper)).sum()
+        total += len(true)
+        assert np.corrcoef((lower + upper) / 2, true)[0, 1] > 0.85
+    assert inside / total > 0.985
+
+
 # --- archives ---
 
 
