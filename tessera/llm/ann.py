@@ -9,9 +9,9 @@ its components are rounded to ``PLANES`` bits, so that its inner product with a
 sum of bit counts of the code and each plane. Divided by the second scalar it estimates that with
 the vector, within ``EPSILON`` standard deviations of the known error and the rounding's bound.
 
-The (k + 1)-th smallest upper bound of the distance is a query's reach, first of what a task has
-seen, then of all its candidates; only vectors whose lower bound is within it are joined to their
-components and reranked by exact distance. Vectors of other dimensions than the query are not
+Within a task the (k + 1)-th smallest upper bound seen is a query's reach; over all its candidates
+the (k + 1)-th smallest exact distance of those that look nearest. Only vectors whose lower bound
+is within it are joined to their components and reranked by exact distance. Vectors of other dimensions than the query are not
 compared. Blocks of codes and of queries meet by an equi-join on cells; codes carry no vectors.
 
 With at most ``PROBES`` cells, that is up to 131,072 vectors, every vector is held against every
@@ -31,12 +31,14 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import handing_back, scratch, stored
 
-BITS, PLANES = 256, 6
+BITS, PLANES = 512, 6
 EPSILON = 2.5
 SAMPLE = 16_384  # vectors that the centres are taken from
 CELL, MOST_CELLS, PROBES = 2048, 1024, 64
 STEPS = 6  # of k-means
 BLOCK, QUERY_BLOCK = 2048, 256  # rows of a block of codes, and of queries
+FIRST = 4  # times k + 1 vectors of least upper bound give a query's reach
+HELD = 1_000_000  # candidates that a task holds before it hands them on
 PIECE = 2_000_000  # codes of a cell that are dealt to one task
 SEED = 7
 
@@ -200,16 +202,32 @@ def _candidates(k: int):
 
     def run(batches):
         best: dict[int, np.ndarray] = {}
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        rows = 0
+
+        def out():
+            parts = []
+            for q, own in held.items():
+                ids, lower, upper = (np.concatenate(x) for x in zip(*own))
+                near = lower <= best[q].max() if len(best[q]) > k else np.ones(len(ids), bool)
+                parts.append((np.full(near.sum(), q), ids[near], lower[near], upper[near]))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["query_id", "class_id", "lower", "upper"])
+
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["class_ids"], np.int64)
-                out = []
                 for q, lower, upper in _estimates(row):
                     seen = np.append(best.get(q, np.empty(0)), upper)
                     best[q] = seen = np.partition(seen, k)[: k + 1] if len(seen) > k + 1 else seen
                     near = np.flatnonzero(lower <= seen.max()) if len(seen) > k else np.arange(len(ids))
-                    out.append((np.full(len(near), q), ids[near], lower[near], upper[near]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "class_id", "lower", "upper"])
+                    held.setdefault(q, []).append((ids[near], lower[near], upper[near]))
+                    rows += len(near)
+                if rows > HELD:
+                    yield out()
+                    rows = 0
+        if held:
+            yield out()
 
     return run
 
@@ -254,14 +272,21 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     probes = asked.mapInArrow(handing_back(_queries(centres)), "dim long, cell int, query_id long, planes binary, scale binary").repartition("dim", "cell").sortWithinPartitions("dim", "cell")
     probes = probes.mapInArrow(_blocks({"query_id": "long", "planes": "binary", "scale": "binary"}, QUERY_BLOCK), "dim long, cell int, query_ids binary, planess binary, scales binary")
     near = stored(codes.join(probes, ["dim", "cell"]).mapInArrow(handing_back(_candidates(k)), "query_id long, class_id long, lower double, upper double"))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("upper"))
-    reach = near.select("query_id", "upper").withColumn("nth", nth).filter(F.col("nth") <= k + 1).groupBy("query_id").agg(F.max("upper").alias("reach"), F.count("*").alias("n"))
-    pairs = near.join(reach, "query_id").filter((F.col("n") <= k) | (F.col("lower") <= F.col("reach"))).select("query_id", "class_id")
-
-    exact = pairs.join(classes, "class_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
-    exact = exact.filter(F.size("q") == F.size("embedding"))
+    sides = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     gap = F.zip_with(F.col("q").cast("array<double>"), F.col("embedding").cast("array<double>"), lambda x, y: (x - y) * (x - y))
-    exact = exact.select("query_id", "class_id", F.sqrt(F.aggregate(gap, F.lit(0.0), lambda acc, x: acc + x)).alias("score"))
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(classes, "class_id").join(sides, "query_id").filter(F.size("q") == F.size("embedding"))
+        return both.select("query_id", "class_id", F.aggregate(gap, F.lit(0.0), lambda acc, x: acc + x).alias("squared"))
+
+    def least(rows: DataFrame, by: str, n: int) -> DataFrame:
+        return rows.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(by))).filter(F.col("nth") <= n)
+
+    # the reach of a query: the exact distance of the (k + 1)-th of those that look nearest
+    first = least(near.select("query_id", "class_id", "upper"), "upper", FIRST * (k + 1)).select("query_id", "class_id")
+    reach = least(exact(first), "squared", k + 1).groupBy("query_id").agg(F.max("squared").alias("reach"), F.count("*").alias("n"))
+    pairs = near.join(reach, "query_id").filter((F.col("n") <= k) | (F.col("lower") <= F.col("reach"))).select("query_id", "class_id")
+    exact = exact(pairs).select("query_id", "class_id", F.sqrt("squared").alias("score"))
     found = exact.join(members, "class_id").filter("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return stored(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
