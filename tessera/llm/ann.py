@@ -7,11 +7,12 @@ packed bits with three scalars (its norm, the inner product with its own code, i
 bits). A query is held against its ``PROBES`` nearest cells: less the cell's centre and rotated,
 its components are rounded to ``PLANES`` bits, so that its inner product with a code is a weighted
 sum of bit counts of the code and each plane. Divided by the second scalar it estimates that with
-the vector, within ``EPSILON`` standard deviations of the known error and the rounding's bound.
+the vector, within ``EPSILON`` standard deviations of the known error and of the rounding's.
 
-Within a task the (k + 1)-th smallest upper bound seen is a query's reach; over all its candidates
-the (k + 1)-th smallest exact distance of those that look nearest. Only vectors whose lower bound
-is within it are joined to their components and reranked by exact distance. Vectors of other dimensions than the query are not
+A first pass over the codes hands on the k + 1 vectors of least upper bound of each query and task;
+the (k + 1)-th smallest exact distance of those that look nearest is a query's reach. A second
+pass finds the vectors whose lower bound is within it, and only those are joined to their
+components and reranked by exact distance. Vectors of other dimensions than the query are not
 compared. Blocks of codes and of queries meet by an equi-join on cells; codes carry no vectors.
 
 With at most ``PROBES`` cells, that is up to 131,072 vectors, every vector is held against every
@@ -38,7 +39,6 @@ CELL, MOST_CELLS, PROBES = 2048, 1024, 64
 STEPS = 6  # of k-means
 BLOCK, QUERY_BLOCK = 2048, 256  # rows of a block of codes, and of queries
 FIRST = 4  # times k + 1 vectors of least upper bound give a query's reach
-HELD = 1_000_000  # candidates that a task holds before it hands them on
 PIECE = 2_000_000  # codes of a cell that are dealt to one task
 SEED = 7
 
@@ -135,7 +135,7 @@ def _queries(centres):
                         planes = np.stack([np.packbits((u >> b) & 1, axis=1) for b in range(PLANES)], axis=1)
                         scale = np.stack([low, step, u.sum(axis=1), np.linalg.norm(q, axis=1), gap], axis=1).astype(np.float64)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(i), dim)), pa.array(k.astype(np.int32)), part.column("vec_id").take(pa.array(i)), pa.array([v.tobytes() for v in planes], pa.binary()), pa.array([v.tobytes() for v in scale], pa.binary())],
+                            [pa.array(np.full(len(i), dim)), pa.array(k.astype(np.int32)), part.column("ask_id").take(pa.array(i)), pa.array([v.tobytes() for v in planes], pa.binary()), pa.array([v.tobytes() for v in scale], pa.binary())],
                             ["dim", "cell", "query_id", "planes", "scale"],
                         )
 
@@ -193,45 +193,42 @@ def _estimates(row: dict):
             both += np.bitwise_count(codes & planes[n, b]).sum(axis=1, dtype=np.int64) << b
         inner = (low * (2 * ones - bits) + step * (2 * both - total)) / np.sqrt(bits) / own * norm
         middle = q_norm**2 + norm**2 - 2 * inner
-        slack = 2 * norm * (q_norm * spread + gap / own) + 1e-5 * (q_norm**2 + norm**2)
+        slack = 2 * norm * (q_norm * spread + EPSILON * gap / np.sqrt(bits) / own) + 1e-5 * (q_norm**2 + norm**2)
         yield int(q_ids[n]), middle - slack, middle + slack
 
 
-def _candidates(k: int):
-    """``query_id, class_id, lower, upper`` of the vectors within the reach of what the task has seen."""
+def _likely(k: int):
+    """``query_id, class_id, upper``: of each query the k + 1 vectors of least upper bound that the task has seen."""
 
     def run(batches):
-        best: dict[int, np.ndarray] = {}
-        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
-        rows = 0
-
-        def out():
-            parts = []
-            for q, own in held.items():
-                ids, lower, upper = (np.concatenate(x) for x in zip(*own))
-                near = lower <= best[q].max() if len(best[q]) > k else np.ones(len(ids), bool)
-                parts.append((np.full(near.sum(), q), ids[near], lower[near], upper[near]))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["query_id", "class_id", "lower", "upper"])
-
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["class_ids"], np.int64)
-                for q, lower, upper in _estimates(row):
-                    seen = np.append(best.get(q, np.empty(0)), upper)
-                    best[q] = seen = np.partition(seen, k)[: k + 1] if len(seen) > k + 1 else seen
-                    near = np.flatnonzero(lower <= seen.max()) if len(seen) > k else np.arange(len(ids))
-                    held.setdefault(q, []).append((ids[near], lower[near], upper[near]))
-                    rows += len(near)
-                if rows > HELD:
-                    yield out()
-                    rows = 0
-        if held:
-            yield out()
+                for q, _, upper in _estimates(row):
+                    u, c = upper, ids
+                    if q in best:
+                        u, c = np.append(best[q][0], u), np.append(best[q][1], c)
+                    if len(u) > k + 1:
+                        keep = np.argpartition(u, k)[: k + 1]
+                        u, c = u[keep], c[keep]
+                    best[q] = u, c
+        if best:
+            ids = np.repeat(np.array(list(best), np.int64), [len(u) for u, _ in best.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([c for _, c in best.values()])), pa.array(np.concatenate([u for u, _ in best.values()]))], ["query_id", "class_id", "upper"])
 
     return run
 
 
+def _within(batches):
+    """``query_id, class_id`` of the vectors whose lower bound is within the query's reach."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids, reach = np.frombuffer(row["class_ids"], np.int64), np.frombuffer(row["reachs"])
+            near = [(q, ids[lower <= r]) for (q, lower, _), r in zip(_estimates(row), reach)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([q for q, _ in near], np.int64), [len(c) for _, c in near])), pa.array(np.concatenate([c for _, c in near]))], ["query_id", "class_id"])
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest rows of ``vectors`` to each query.
 
@@ -267,26 +264,32 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     codes = classes.mapInArrow(handing_back(_encode(centres)), "dim long, cell int, class_id long, code binary, norm float, own float")
     piece = F.pmod("class_id", F.lit(-(-n // PIECE) or 1))
     codes = codes.repartition("dim", "cell", piece).sortWithinPartitions("dim", "cell")
-    codes = codes.mapInArrow(_blocks({"class_id": "long", "code": "binary", "norm": "float", "own": "float"}, BLOCK), "dim long, cell int, class_ids binary, codes binary, norms binary, owns binary")
-    asked = stored(valid(queries).dropDuplicates())
-    probes = asked.mapInArrow(handing_back(_queries(centres)), "dim long, cell int, query_id long, planes binary, scale binary").repartition("dim", "cell").sortWithinPartitions("dim", "cell")
-    probes = probes.mapInArrow(_blocks({"query_id": "long", "planes": "binary", "scale": "binary"}, QUERY_BLOCK), "dim long, cell int, query_ids binary, planess binary, scales binary")
-    near = stored(codes.join(probes, ["dim", "cell"]).mapInArrow(handing_back(_candidates(k)), "query_id long, class_id long, lower double, upper double"))
-    sides = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    codes = stored(codes.mapInArrow(_blocks({"class_id": "long", "code": "binary", "norm": "float", "own": "float"}, BLOCK), "dim long, cell int, class_ids binary, codes binary, norms binary, owns binary"))
+    asked = stored(valid(queries).dropDuplicates().withColumn("ask_id", F.monotonically_increasing_id()))
+    probes = stored(asked.mapInArrow(handing_back(_queries(centres)), "dim long, cell int, query_id long, planes binary, scale binary"))
+
+    def met(probes: DataFrame, run, schema: str, **more: str) -> DataFrame:
+        by_cell = probes.repartition("dim", "cell").sortWithinPartitions("dim", "cell")
+        kinds = {"query_id": "long", "planes": "binary", "scale": "binary", **more}
+        blocks = by_cell.mapInArrow(_blocks(kinds, QUERY_BLOCK), "dim long, cell int, " + ", ".join(f"{c}s binary" for c in kinds))
+        return codes.join(blocks, ["dim", "cell"]).mapInArrow(handing_back(run), schema)
+
+    sides = asked.select(F.col("ask_id").alias("query_id"), F.col("vec_id").alias("asked_id"), F.col("embedding").alias("q"))
     gap = F.zip_with(F.col("q").cast("array<double>"), F.col("embedding").cast("array<double>"), lambda x, y: (x - y) * (x - y))
 
     def exact(pairs: DataFrame) -> DataFrame:
         both = pairs.join(classes, "class_id").join(sides, "query_id").filter(F.size("q") == F.size("embedding"))
-        return both.select("query_id", "class_id", F.aggregate(gap, F.lit(0.0), lambda acc, x: acc + x).alias("squared"))
+        return both.select("query_id", "asked_id", "class_id", F.aggregate(gap, F.lit(0.0), lambda acc, x: acc + x).alias("squared"))
 
     def least(rows: DataFrame, by: str, n: int) -> DataFrame:
         return rows.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(by))).filter(F.col("nth") <= n)
 
     # the reach of a query: the exact distance of the (k + 1)-th of those that look nearest
-    first = least(near.select("query_id", "class_id", "upper"), "upper", FIRST * (k + 1)).select("query_id", "class_id")
+    first = least(met(probes, _likely(k), "query_id long, class_id long, upper double"), "upper", FIRST * (k + 1)).select("query_id", "class_id")
     reach = least(exact(first), "squared", k + 1).groupBy("query_id").agg(F.max("squared").alias("reach"), F.count("*").alias("n"))
-    pairs = near.join(reach, "query_id").filter((F.col("n") <= k) | (F.col("lower") <= F.col("reach"))).select("query_id", "class_id")
-    exact = exact(pairs).select("query_id", "class_id", F.sqrt("squared").alias("score"))
-    found = exact.join(members, "class_id").filter("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    reach = reach.select("query_id", F.when(F.col("n") > k, F.col("reach")).otherwise(float("inf")).alias("reach"))
+    pairs = stored(met(probes.join(reach, "query_id"), _within, "query_id long, class_id long", reach="double"))
+    found = exact(pairs).select(F.col("asked_id").alias("query_id"), "class_id", F.sqrt("squared").alias("score"))
+    found = found.join(members, "class_id").filter("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return stored(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

@@ -289,7 +289,7 @@ def test_bounds_hold_for_packed_codes(spark):
     centre = {48: x.mean(axis=0, keepdims=True)}
     shared = type("B", (), {"value": centre})
     rows = lambda run, a, name: [b.to_pylist() for b in run([__import__("pyarrow").RecordBatch.from_pydict({name: np.arange(len(a)), "embedding": a.tolist()})])]
-    coded, asked = sum(rows(ann._encode(shared), x, "class_id"), []), sum(rows(ann._queries(shared), q, "vec_id"), [])
+    coded, asked = sum(rows(ann._encode(shared), x, "class_id"), []), sum(rows(ann._queries(shared), q, "ask_id"), [])
     row = {
         "norms": np.array([r["norm"] for r in coded], np.float32).tobytes(), "owns": np.array([r["own"] for r in coded], np.float32).tobytes(), "codes": b"".join(r["code"] for r in coded),
         "query_ids": np.array([r["query_id"] for r in asked]).tobytes(), "planess": b"".join(r["planes"] for r in asked), "scales": b"".join(r["scale"] for r in asked),
