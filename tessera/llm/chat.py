@@ -33,7 +33,8 @@ def row_events(rows: DataFrame) -> DataFrame:
     """Rows ``(conv_id, turn, role, text)`` as a log: each opens a message and streams its halves.
 
     A null text is empty, a null role is the empty role. Every row is a message of its own, also
-    where rows repeat a turn.
+    where rows repeat a turn. Columns besides these four are ignored, whatever their names; an
+    empty table makes an empty log.
     """
     text = F.coalesce("text", F.lit(""))
     half = (F.length(text) / 2).cast("int")
@@ -51,7 +52,8 @@ def fold(events: DataFrame) -> DataFrame:
 
     Only the entries from a message's last ``message``, ``edit`` or ``regenerate`` on make its
     text; its role is the first that is given. Entries at one place are taken in order of kind
-    and text. A message that only has deltas is made of all of them.
+    and text. A message that only has deltas is made of all of them. A null text is empty, a
+    message without role has the empty one. Other columns are ignored.
     """
     folded = events.groupBy("conv_id", "message_id").agg(
         F.sort_array(F.collect_list(F.struct("seq", "sub", "kind", "text", "role"))).alias("log")
@@ -69,7 +71,11 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """``(conv_id, formatted)``: the turns of each conversation in order of place, role and text."""
+    """``(conv_id, formatted)``: the turns of each conversation in order of place, role and text.
+
+    The result is one text a conversation, so that a conversation is as long as one value may be.
+    Rows without conv_id are one conversation. Other columns are ignored.
+    """
     turns = F.sort_array(F.collect_list(F.struct("seq", "sub", "role", "text")))
 
     def shown(m: Column) -> Column:

@@ -204,6 +204,17 @@ def test_chat_round_trip_of_control_strings(spark):
     assert chat.render(chat.fold(chat.row_events(df.limit(0)))).count() == 0
 
 
+def test_chat_ignores_other_columns(spark):
+    names = ["seq", "sub", "message_id", "kind", "log", "last", "turns", "formatted", "loss", "e", "events", "half"]
+    plain = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "<s>"), (2, 0, None, None)], "conv_id long, turn long, role string, text string")
+    more = plain.select("*", *(F.lit("mine").alias(n) for n in names))
+    clash = chat.row_events(more).select("*", *(F.lit("own").alias(n) for n in ("log", "last", "turns", "e")))
+    done = lambda messages: sorted(chat.digest(chat.parse(chat.render(messages))).collect())
+    want = done(chat.fold(chat.row_events(plain)))
+    assert len(want) == 2 and done(chat.fold(clash)) == want
+    assert done(chat.fold(clash).select("*", F.lit("own").alias("turns"), F.lit("own").alias("formatted"))) == want
+
+
 # --- mixing ---
 
 
