@@ -38,12 +38,18 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     return n.select(key, F.ceil(F.col("n") / most).cast("int").alias("parts"))
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
-    """``many`` joined to ``one``, which holds each key at most once; rows of hot keys are dealt over tasks."""
+def salted_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, how: str = "inner", by: str | None = None) -> DataFrame:
+    """``many`` joined to ``one``, which holds each key at most once; rows of hot keys are dealt over tasks.
+
+    They are dealt by the hash of the column ``by``; without one by their place in ``many``, which
+    must then be read from a table and not from a shuffle: a task that runs again after an
+    executor is lost has to deal its rows as it did before.
+    """
     n, salt = fresh(many, "parts"), fresh(many, "salt")
     hot = F.broadcast(hot.withColumnRenamed("parts", n))
     parts = F.coalesce(n, F.lit(1))
-    left = many.join(hot, key, "left").withColumn(salt, (F.monotonically_increasing_id() % parts).cast("int")).drop(n)
+    deal = F.xxhash64(by) if by else F.monotonically_increasing_id()
+    left = many.join(hot, key, "left").withColumn(salt, F.pmod(deal, parts).cast("int")).drop(n)
     right = one.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), parts - 1))).drop(n)
     return left.join(right.hint("merge"), [key, salt], how).drop(salt)
 

@@ -275,9 +275,9 @@ def _components(docs: DataFrame, shingle: int, num: int, den: int) -> tuple[Data
         """Those of ``pairs(hub, other)`` that reach the similarity, as ``(u, v)``."""
         pairs = stored(pairs)
         hot = hot_keys(pairs, "hub").persist()
-        near = salted_join(pairs.join(sided("other").hint("merge"), "other"), sided("hub"), "hub", hot).filter(_plausible("hub", "other", num, den)).select("hub", "other")
+        near = salted_join(pairs.join(sided("other").hint("merge"), "other"), sided("hub"), "hub", hot, by="other").filter(_plausible("hub", "other", num, den)).select("hub", "other")
         side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text"))
-        both = salted_join(near.join(side("other").hint("merge"), "other"), side("hub"), "hub", hot)
+        both = salted_join(near.join(side("other").hint("merge"), "other"), side("hub"), "hub", hot, by="other")
         out = stored(both.mapInArrow(handing_back(_confirm(shingle, num, den)), "u long, v long"))
         hot.unpersist()
         return out
