@@ -6,8 +6,8 @@ language, the sum of hashed character n-gram log-probabilities within it and its
 Viterbi with a switching penalty labels the words of a text with spans of languages.
 
 The model is counted from a bounded sample of labelled rows (``SAMPLE`` per language, those with
-the smallest hash of id and text, of texts of at most ``LONGEST`` characters), in numpy on the driver, and broadcast; its size is fixed by the
-table of n-grams and the number of languages.
+the smallest hash of id and text, of texts of at most ``LONGEST`` characters), in numpy on the
+driver, and broadcast; its size is fixed by the table of n-grams and the number of languages.
 """
 
 from __future__ import annotations
@@ -373,5 +373,3 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", "text").mapInArrow(handing_back(run), "doc_id long, start long, end long, lang string")
-
-

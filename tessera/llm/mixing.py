@@ -3,7 +3,9 @@
 A source's documents, in the order of the md5 of their ids, form a stream of words that repeats
 up to ``MOST`` times and is cut into blocks of ``BLOCK`` words. Slot ``t`` of the mix has the
 point ``t * G mod 2^31`` (a golden-ratio sequence in integers, so that every point is exact); the
-cumulative targets map points to sources, and the r-th slot of a source takes its block r.
+cumulative targets map points to sources, and the r-th slot of a source takes its block r. After
+``PERIOD`` slots, 1.4e11 words, every point has come once and the sequence begins again, which
+leaves the shares as they are.
 
 Nothing is ordered over a whole source in one task: documents and slots are numbered within
 buckets of bounded size, and only the buckets' totals are added up per source. What is held per

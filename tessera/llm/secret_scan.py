@@ -174,7 +174,7 @@ def redacted(docs: DataFrame, rules: dict = RULES, ledger: str | None = None) ->
     if _read(docs.sparkSession, ledger, "findings", _FINDING).count() <= BROADCAST_SPANS:
         joined = named.join(F.broadcast(found), blob, "left")
     else:
-        joined = salted_join(named, found, blob, hot_keys(named.select(blob), blob), "left")
+        joined = salted_join(named, found, blob, hot_keys(named.select(blob), blob), "left", by="doc_id" if "doc_id" in docs.columns else None)
     # what follows the last cut stays open; a cut that begins before that point only moves it
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
     part = lambda lo, n: F.substring(joined["text"], (lo + 1).cast("int"), n.cast("int"))

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.near_dup import deduplicated, near_duplicates
@@ -99,3 +100,21 @@ def test_hub_and_copies_are_dealt_over_tasks(spark, monkeypatch):
     one = spark.createDataFrame([(1, "a"), (3, "c")], "k long, t string")
     assert sorted(r.v for r in common.salted_join(pairs, one, "k", hot).collect()) == list(range(100))
     assert common.salted_join(pairs, one, "k", hot, "left").count() == 101
+
+
+def test_dealing_by_hash_does_not_depend_on_order(spark):
+    """A task that runs again may read its rows in another order, and must deal them alike."""
+    from tessera.llm import common
+
+    pairs = spark.range(200).selectExpr("1L AS k", "id AS v").repartition(3)
+    hot = spark.createDataFrame([(1, 8)], "k long, parts int")
+    one = spark.createDataFrame([(1, "a")], "k long, t string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dealt = []
+        for order in (F.asc("v"), F.desc("v")):
+            out = common.salted_join(pairs.sortWithinPartitions(order), one, "k", hot, by="v")
+            dealt.append({r.v: r.p for r in out.select("v", F.spark_partition_id().alias("p")).collect()})
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert dealt[0] == dealt[1] and len(dealt[0]) == 200 and len(set(dealt[0].values())) > 1

@@ -175,6 +175,16 @@ def test_redaction(spark):
     assert short.columns == ["text", "cuts"] and short.count() == 4
 
 
+def test_redaction_by_shuffle_equals_broadcast(spark, monkeypatch):
+    rows = [(i, "a token=abcdefgh b") for i in range(40)] + [(i, f"secret: value{i:04d} end") for i in range(50, 60)] + [(70, "clean"), (71, None), (71, None)]
+    columns = ["doc_id", "text", "n_chars", "salt"]
+    of = lambda df: sorted(map(tuple, df.select(columns).collect()), key=str)
+    want = of(secret_scan.redacted(docs(spark, rows)))
+    monkeypatch.setattr(secret_scan, "BROADCAST_SPANS", 0)
+    monkeypatch.setattr("tessera.llm.common.HOT_ROWS", 10)
+    assert of(secret_scan.redacted(docs(spark, rows).repartition(3, "text"))) == want and len(want) == 53
+
+
 # --- chat ---
 
 
