@@ -76,6 +76,8 @@ class Words:
         self.begin, self.stop = begins, stops
         self.text = np.searchsorted(ends, begins, "right")
         self.word_script = Words.script[raw[begins]] if len(begins) else np.empty(0, np.uint8)
+        digit = (raw >= 0x30) & (raw <= 0x39)
+        self.code = digit[begins - 1] | digit[stops]  # of keys, hashes and part numbers
 
     def cells(self, n: int) -> np.ndarray:
         """Cell of the n-gram that ends one after each position; a gram of only spaces has cell 0."""
@@ -148,15 +150,19 @@ class Model:
         return out, grams
 
     def fits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text: log-likelihood over the background of its words, each in the language it is labelled with, and the number of their grams."""
+        """Of each text: log-likelihood over the background of its words, each in the language it is labelled with, and the number of their grams.
+
+        Letters next to a digit are of no language and don't count, where a text has others.
+        """
         parts = []
         for at, upto in _runs(texts, CHUNK_CHARS):
             w = Words(texts[at:upto])
-            parts.append((w.text + at, self.score(w), *self.level(w)))
-        text, score, level, grams = (np.concatenate(x) for x in zip(*parts))
+            parts.append((w.text + at, self.score(w), *self.level(w), w.code))
+        text, score, level, grams, code = (np.concatenate(x) for x in zip(*parts))
         label = viterbi(text, score, PENALTY)
         own = score[np.arange(len(label)), label] if self.langs else np.zeros(len(label))
-        return np.bincount(text, own + level, len(texts)), np.bincount(text, grams, len(texts))
+        counts = ~code | (np.bincount(text, ~code, len(texts)) == 0)[text]
+        return np.bincount(text, (own + level) * counts, len(texts)), np.bincount(text, grams * counts, len(texts))
 
     def accepts(self, texts: list[str | None]) -> np.ndarray:
         """Which texts have letters and words that fit the languages they are labelled with."""
