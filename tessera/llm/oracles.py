@@ -86,3 +86,39 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> target THEN target END AS refers_to
 FROM m
 """
+
+# CRC-32 of an id in decimal, bit by bit
+_CRC = (
+    "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), "
+    "lambda c, x: list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)), 4294967295)"
+)
+
+TRIE = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+    md5(length(role) || ':' || role || text) AS digest, octet_length(encode(text)) AS size FROM t),
+c AS (SELECT DISTINCT conv_id, {_CRC} % 9 AS h FROM t),
+r AS (
+  SELECT c.conv_id, 0 AS own, pos, digest, size FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 5 AND pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, digest, size FROM c JOIN o ON o.conv_id = c.conv_id AND pos > h),
+p AS (
+  SELECT conv_id, row_number() OVER w AS depth, md5(string_agg(digest, '') OVER w) AS key, size
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, md5(''), 0 FROM c),
+q AS (SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p),
+n AS (
+  SELECT key, depth, min(conv_id) AS conv_id, min(parent) AS parent, count(*) AS n_convs, min(size) AS size,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM q GROUP BY key, depth),
+k AS (SELECT parent AS key, count(*) AS n_children FROM n GROUP BY parent),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (key)),
+below AS (SELECT DISTINCT a.key AS top, b.key AS key FROM q a JOIN q b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+s AS (
+  SELECT top AS key, CAST(count(*) FILTER (WHERE n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * size) AS BIGINT) AS saved_tokens
+  FROM below JOIN f USING (key) GROUP BY top)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(f.n_convs AS BIGINT) AS n_convs, CAST(f.n_children AS BIGINT) AS n_children,
+  n_leaves, saved_tokens, f.ends_sha256
+FROM f JOIN s USING (key) LEFT JOIN n up ON up.key = f.parent
+"""

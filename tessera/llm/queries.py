@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, decontaminate, language_id, lm, mixing, oracles, quality, secret_scan, warc
+from tessera.llm import ann, chat, decontaminate, language_id, license_scan, lm, mixing, oracles, prefix_trie, quality, secret_scan, token_align, warc
 from tessera.llm.common import crc_mod, stored, table
 from tessera.llm.near_dup import near_duplicates
 
@@ -100,3 +100,21 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op2_warc"] = oracles.WARC
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.aligned(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op12_prefix_trie"] = oracles.TRIE
+
+
+@query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licensed(table(spark, sf_dir, "documents"))
