@@ -137,6 +137,9 @@ class Pair:
         shown = {chr(c): c for c in plain} | {chr(256 + n): c for n, c in enumerate(sorted(set(range(256)) - set(plain)))}
         self.bytes_a = [bytes(shown[c] for c in self.a.id_to_token(n)) for n in range(self.a.get_vocab_size())]
         self.bytes_b = [bytes([int(self.b.id_to_piece(n)[1:-1], 16)]) if self.b.is_byte(n) else self.b.id_to_piece(n).replace("▁", " ").encode() for n in range(self.b.get_piece_size())]
+        self.ranked = _ranked(os.path.join(path, a), self.bytes_a)
+        # ids as they are shown: within a group, and at the end of its tokens of A or B
+        self.shown = [f"{n}{c}" for n in range(len(self.bytes_a)) for c in ",|"] + [f"{n}{c}" for n in range(len(self.bytes_b)) for c in ",;"]
         self.size_a, self.size_b = (np.array([len(x) for x in known], np.int64) for known in (self.bytes_a, self.bytes_b))
 
     def encode(self, raw: list[bytes | None]) -> list[tuple[list[int], list[int]]]:
@@ -144,19 +147,47 @@ class Pair:
         texts = [(t or b"").decode("utf-8", "replace") for t in raw]
         some = [n for n, t in enumerate(texts) if t]
         out: list[tuple[list[int], list[int]]] = [([], [])] * len(raw)
-        a = self.a.encode_batch([" " + texts[n] for n in some], add_special_tokens=False)
+        if self.ranked:
+            a = [self.ranked.encode_ordinary(" " + texts[n]) for n in some]
+        else:
+            a = [x.ids for x in self.a.encode_batch([" " + texts[n] for n in some], add_special_tokens=False)]
         for n, x, y in zip(some, a, self.b.encode([texts[n] for n in some], num_threads=1)):
-            x, whole = x.ids, b" " + raw[n]
+            whole = b" " + raw[n]
             if b"".join(map(self.bytes_a.__getitem__, x)) == whole and b"".join(map(self.bytes_b.__getitem__, y)) == whole:
                 out[n] = x, y
         return out
 
 
-def _shown(a: list[int], b: list[int], of_a: np.ndarray, of_b: np.ndarray, n: int) -> str:
+def _ranked(file: str, known: list[bytes]):
+    """The tokenizer of a file as ranks of byte strings, which run about three times as fast.
+
+    That is the same where the file splits by the byte-level pattern and each merge makes the next
+    id; None where it doesn't.
+    """
+    import json
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(file) as f:
+        whole = json.load(f)
+    model, split = whole["model"], whole["pre_tokenizer"] or {}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    n = len(known) - len(whole["added_tokens"]) - len(merges)
+    in_order = n == 256 and all(model["vocab"].get(x + y) == n + i for i, (x, y) in enumerate(merges))
+    if whole["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or not in_order:
+        return None
+    ranks = {b: i for i, b in enumerate(known[: n + len(merges)])}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _shown(pair: Pair, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, n: int) -> str:
     """The ids of each of ``n`` groups, ``a1,a2|b1;a3|b2,b3``."""
-    text_a, text_b = list(map(str, a)), list(map(str, b))
-    at_a, at_b = (np.searchsorted(g, np.arange(n + 1)).tolist() for g in (of_a, of_b))
-    return ";".join(f"{','.join(text_a[i:k])}|{','.join(text_b[p:q])}" for i, k, p, q in zip(at_a, at_a[1:], at_b, at_b[1:]))
+    last = lambda of: np.append(of[1:] != of[:-1], True)
+    code = np.empty(len(a) + len(b), np.int64)
+    code[np.arange(len(a)) + np.searchsorted(of_b, np.arange(n))[of_a]] = 2 * a + last(of_a)
+    code[np.arange(len(b)) + np.searchsorted(of_a, np.arange(n), "right")[of_b]] = 2 * (len(pair.bytes_a) + b) + last(of_b)
+    return "".join(map(pair.shown.__getitem__, code.tolist()))[:-1]
 
 
 _ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
@@ -195,7 +226,7 @@ def _of_text(pair: Pair, a: list[int], b: list[int]) -> tuple:
         linked.append((ia[i[together]].astype(np.int64) << 32) | ib[j[together]])
     pairs, times = np.unique(np.concatenate(linked), return_counts=True)
     cuts = common_ends(size_a, size_b)
-    shown = _shown(a, b, group_of(size_a, cuts), group_of(size_b, cuts), len(cuts))
+    shown = _shown(pair, ia, ib, group_of(size_a, cuts), group_of(size_b, cuts), len(cuts))
     return len(a), len(b), len(cuts), int(times.sum()), hashlib.sha256(shown.encode()).hexdigest(), pairs, times
 
 
