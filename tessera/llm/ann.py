@@ -37,6 +37,7 @@ EPSILON = 2.5
 SAMPLE = 16_384  # vectors that the centres are taken from
 CELL, MOST_CELLS, PROBES = 2048, 1024, 64
 STEPS = 6  # of k-means
+FAR = 1000
 BLOCK, QUERY_BLOCK = 2048, 256  # rows of a block of codes, and of queries
 FIRST = 4  # times k + 1 vectors of least upper bound give a query's reach
 PIECE = 2_000_000  # codes of a cell that are dealt to one task
@@ -46,7 +47,7 @@ SEED = 7
 def rotation(dim: int) -> np.ndarray:
     """Orthonormal rows: the first ``dim`` rows of a random rotation."""
     bits = max(BITS, -(-dim // 64) * 64)
-    return np.linalg.qr(np.random.RandomState(SEED).randn(bits, bits))[0][:dim].astype(np.float32)
+    return np.linalg.qr(np.random.RandomState(SEED).randn(bits, bits))[0][:dim]
 
 
 def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -54,13 +55,19 @@ def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def centres_of(x: np.ndarray, cells: int) -> np.ndarray:
-    """Centres of ``cells`` clusters of the rows of x; a cluster that runs empty keeps its centre."""
+    """Centres of ``cells`` clusters of the rows of x; a cluster that runs empty keeps its centre.
+
+    Rows that are ``FAR`` times as long as the median one would pull a centre away from all others,
+    and make their bounds useless; they are indexed like others, but have no say.
+    """
+    size = np.linalg.norm(x, axis=1)
+    x = x[size <= FAR * np.median(size)]
     c = x[:cells].copy()
     for _ in range(STEPS if cells > 1 else 1):
         own = np.concatenate([_squared(x[at : at + 4096], c).argmin(axis=1) for at in range(0, len(x), 4096)])
         n = np.bincount(own, minlength=len(c))
         total = np.stack([np.bincount(own, x[:, k], len(c)) for k in range(x.shape[1])], axis=1)
-        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c).astype(np.float32)
+        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
     return c
 
 
@@ -72,10 +79,10 @@ def valid(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _arrays(part, column: str, kind=np.float32) -> np.ndarray:
-    """Vectors of one length as a matrix."""
+def _arrays(part, column: str) -> np.ndarray:
+    """Vectors of one length as a matrix, in double precision: squares of floats may be too large for floats."""
     a = part.column(column)
-    return a.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(a), -1)
+    return a.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(a), -1)
 
 
 def _by_dim(part, column: str):
@@ -85,7 +92,7 @@ def _by_dim(part, column: str):
 
 
 def _centre(centres: dict, dim: int) -> np.ndarray:
-    return centres.get(dim, np.zeros((1, dim), np.float32))
+    return centres.get(dim, np.zeros((1, dim)))
 
 
 def _encode(centres):
@@ -105,7 +112,7 @@ def _encode(centres):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(x), dim)), pa.array(cell.astype(np.int32)), part.column("class_id"), pa.array([v.tobytes() for v in codes], pa.binary()),
-                            pa.array(norm.astype(np.float32)), pa.array(own.astype(np.float32)),
+                            pa.array(norm), pa.array(own.astype(np.float32)),
                         ],
                         ["dim", "cell", "class_id", "code", "norm", "own"],
                     )
@@ -178,7 +185,7 @@ def _blocks(columns: dict[str, str], size: int):
 
 def _estimates(row: dict):
     """Of each query of a pair of blocks its id and the lower and upper bounds of its squared distances."""
-    norm, own = (np.frombuffer(row[c], np.float32).astype(np.float64) for c in ("norms", "owns"))
+    norm, own = np.frombuffer(row["norms"], np.float64), np.frombuffer(row["owns"], np.float32).astype(np.float64)
     codes = np.frombuffer(row["codes"], np.uint8).reshape(len(norm), -1).view(np.uint64)
     bits = codes.shape[1] * 64
     ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
@@ -192,9 +199,11 @@ def _estimates(row: dict):
         for b in range(PLANES):
             both += np.bitwise_count(codes & planes[n, b]).sum(axis=1, dtype=np.int64) << b
         inner = (low * (2 * ones - bits) + step * (2 * both - total)) / np.sqrt(bits) / own * norm
-        middle = q_norm**2 + norm**2 - 2 * inner
-        slack = 2 * norm * (q_norm * spread + EPSILON * gap / np.sqrt(bits) / own) + 1e-5 * (q_norm**2 + norm**2)
-        yield int(q_ids[n]), middle - slack, middle + slack
+        middle = q_norm * q_norm + norm**2 - 2 * inner
+        slack = 2 * norm * (q_norm * spread + EPSILON * gap / np.sqrt(bits) / own) + 1e-5 * (q_norm * q_norm + norm**2)
+        # a bound that can't be had in double precision excludes nothing
+        lower, upper = np.nan_to_num(middle - slack, nan=-np.inf, posinf=np.inf, neginf=-np.inf), np.nan_to_num(middle + slack, nan=np.inf, posinf=np.inf, neginf=np.inf)
+        yield int(q_ids[n]), lower, upper
 
 
 def _likely(k: int):
@@ -259,12 +268,12 @@ def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     for r in classes.orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).select("embedding").collect():
         groups.setdefault(len(r[0]), []).append(r[0])
     size = lambda v: max(1, min(n * len(v) // min(n, SAMPLE) // CELL, MOST_CELLS, len(v)))
-    centres = spark.sparkContext.broadcast({d: centres_of(np.array(v, np.float32), size(v)) for d, v in groups.items()})
+    centres = spark.sparkContext.broadcast({d: centres_of(np.array(v, np.float64), size(v)) for d, v in groups.items()})
 
-    codes = classes.mapInArrow(handing_back(_encode(centres)), "dim long, cell int, class_id long, code binary, norm float, own float")
+    codes = classes.mapInArrow(handing_back(_encode(centres)), "dim long, cell int, class_id long, code binary, norm double, own float")
     piece = F.pmod("class_id", F.lit(-(-n // PIECE) or 1))
     codes = codes.repartition("dim", "cell", piece).sortWithinPartitions("dim", "cell")
-    codes = stored(codes.mapInArrow(_blocks({"class_id": "long", "code": "binary", "norm": "float", "own": "float"}, BLOCK), "dim long, cell int, class_ids binary, codes binary, norms binary, owns binary"))
+    codes = stored(codes.mapInArrow(_blocks({"class_id": "long", "code": "binary", "norm": "double", "own": "float"}, BLOCK), "dim long, cell int, class_ids binary, codes binary, norms binary, owns binary"))
     asked = stored(valid(queries).dropDuplicates().withColumn("ask_id", F.monotonically_increasing_id()))
     probes = stored(asked.mapInArrow(handing_back(_queries(centres)), "dim long, cell int, query_id long, planes binary, scale binary"))
 

@@ -113,7 +113,7 @@ class Model:
                     table[:, k] += np.bincount(cells[at_], minlength=CELLS)
                 scripts[:, k] += np.bincount(w.word_script, minlength=len(NAMES))
         out, levels = [], []
-        for table in tables:
+        for table in tables if langs else ():
             p = np.log(table / table.sum(axis=0))
             mean = p.mean(axis=1, keepdims=True)
             out.append((p - mean).astype(np.float32))
@@ -213,7 +213,8 @@ def viterbi(text: np.ndarray, score: np.ndarray, penalty: float) -> np.ndarray:
     All texts step together: step t takes word t of every text that has one.
     """
     n, langs = score.shape
-    label = np.zeros(n, np.int8)
+    kind = np.int8 if langs < 128 else np.int32
+    label = np.zeros(n, kind)
     if not n or not langs:
         return label
     starts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
@@ -222,8 +223,8 @@ def viterbi(text: np.ndarray, score: np.ndarray, penalty: float) -> np.ndarray:
     starts, count = starts[order], count[order]
     alive = np.searchsorted(-count, -np.arange(count[0]), "left")  # texts with more than t words
     best = score[starts].astype(np.float64)
-    came = np.zeros((n, langs), np.int8)
-    stay = np.arange(langs, dtype=np.int8)
+    came = np.zeros((n, langs), kind)
+    stay = np.arange(langs, dtype=kind)
     for t in range(1, int(count[0])):
         m = int(alive[t])
         b = best[:m]
@@ -233,7 +234,7 @@ def viterbi(text: np.ndarray, score: np.ndarray, penalty: float) -> np.ndarray:
         at = starts[:m] + t
         came[at] = np.where(switch, top[:, None], stay)
         best[:m] = np.where(switch, move[:, None], b) + score[at]
-    now = best.argmax(axis=1).astype(np.int8)
+    now = best.argmax(axis=1).astype(kind)
     label[starts + count - 1] = now
     for t in range(int(count[0]) - 1, 0, -1):
         m = int(alive[t])
@@ -349,7 +350,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
                     if kinds and kept.column(where).null_count:
                         lang = kept.column(where).to_pylist()
                         pred = _document(m, [texts[i] if g is None else None for i, g in zip(fine, lang)])[0]
-                        kept = kept.set_column(where, kept.schema.field(where), pa.array([g or p for g, p in zip(lang, pred)], kept.schema.field(where).type))
+                        kept = kept.set_column(where, kept.schema.field(where), pa.array([p if g is None else g for g, p in zip(lang, pred)], kept.schema.field(where).type))
                     yield kept
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
