@@ -129,6 +129,29 @@ def merge_entities(mentions: DataFrame) -> DataFrame:
     return merged.select("canonical_name", "e.name", "e.entity_type", "e.confidence", "n_chunks", "n_docs", F.col("e.chunk_id").alias("first_chunk"))
 
 
+def entity_parts(mentions: DataFrame, key: list[str]) -> DataFrame:
+    """What the documents of one bucket say of each name: ``canonical_name, doc_bucket, e, n_chunks, n_docs``."""
+    first = F.min(F.struct("chunk_id", "ord", "name", "entity_type", "confidence"))
+    by_doc = mentions.groupBy(*key, "doc_bucket", "doc_id").agg(first.alias("e"), F.count("*").alias("n_chunks"))
+    return by_doc.groupBy(*key, "doc_bucket").agg(F.min("e").alias("e"), F.sum("n_chunks").alias("n_chunks"), F.count("*").alias("n_docs"))
+
+
+def entities_of_parts(parts: DataFrame, key: list[str]) -> DataFrame:
+    """``merge_entities`` from the parts of all buckets; a document is in one of them only."""
+    merged = parts.groupBy(*key).agg(F.min("e").alias("e"), F.sum("n_chunks").alias("n_chunks"), F.sum("n_docs").alias("n_docs"))
+    return merged.select(*key, "e.name", "e.entity_type", "e.confidence", "n_chunks", "n_docs", F.col("e.chunk_id").alias("first_chunk"))
+
+
+def relation_parts(relations: DataFrame, key: list[str]) -> DataFrame:
+    """The last relation of each source, target and type in the documents of one bucket, as ``r``."""
+    return relations.groupBy(*key, "doc_bucket").agg(F.max(F.struct("chunk_id", "position", "description", "weight", "confidence")).alias("r"))
+
+
+def relations_of_parts(parts: DataFrame, key: list[str]) -> DataFrame:
+    """``merge_relations`` from the parts of all buckets."""
+    return parts.groupBy(*key).agg(F.max("r").alias("r")).select(*key, "r.description", "r.weight", "r.confidence")
+
+
 def entity_sources(mentions: DataFrame) -> DataFrame:
     """``canonical_name, source, id``: the chunks and the documents of each entity, each once.
 

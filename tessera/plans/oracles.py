@@ -272,6 +272,29 @@ blocks AS (SELECT page_id, block_no, x, y, is_heading, heading_level, CASE WHEN
 
 _MENTIONS_OF = "WITH " + EXTRACTED + " SELECT chunk_id, canonical_name, name, entity_type, confidence FROM mentions WHERE entity_type = "
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+BM25 = f"""
+dterms AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+dstats AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM dterms),
+tf AS (SELECT doc_id, dl, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM dterms) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+qterms AS (SELECT DISTINCT item_id AS query_id, unnest({_TERMS}) AS term FROM benchmark),
+bm25 AS (
+  SELECT query_id, doc_id AS chunk_id,
+    round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS score
+  FROM qterms JOIN tf USING (term) JOIN df USING (term), dstats GROUP BY ALL),
+khits AS (SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm25))
+"""
+
+_INCREMENTS = rf"""
+WITH RECURSIVE {REPORTS},
+now AS (SELECT * REPLACE (CASE WHEN page_number % 3 = 1 THEN text ELSE regexp_replace(text, '#+ [^\n]*', '', 'g') END AS text) FROM reports),
+{LINES.format("now")}, {HEADINGS}, {FOLD.format(size=384, overlap=64)}
+"""
+_INCREMENTS_FOUND = f"{_INCREMENTS}, {extraction('(SELECT doc_id * 1000 + page_number AS chunk_id, doc_id, text FROM chunks)')}"
+
+
 ORACLE_SQL: dict[str, str] = {
     "vector_topk_batch": f"WITH {VECTORS} SELECT * FROM hits",
     "vector_topk_payload": f"WITH {VECTORS} SELECT query_id, rank, vec_id AS chunk_id, score, length(text) AS text_chars, md5(text) AS text_md5 FROM hits JOIN documents ON vec_id = doc_id",
@@ -296,6 +319,31 @@ SELECT p_partkey, {canonical("raw")} AS canonical_name, {canonical("ali")} AS al
     "entity_merge": f"WITH {EXTRACTED} SELECT canonical_name, entity_type, confidence, n_chunks, n_docs, first_chunk FROM entities",
     "entity_sources": f"WITH {EXTRACTED} SELECT DISTINCT canonical_name, 'chunk' AS source, chunk_id AS id FROM mentions UNION ALL SELECT DISTINCT canonical_name, 'doc', doc_id FROM mentions",
     "relation_merge": f"WITH {EXTRACTED} SELECT * FROM edges1",
+    "gazetteer_hits": f"WITH {EXTRACTED} SELECT reports.chunk_id, canonical_name, CAST(strpos(text, canonical_name) AS BIGINT) AS first_at FROM reports JOIN entities ON contains(text, canonical_name) WHERE canonical_name <> ''",
+    "fulltext_topk": f"WITH {BM25} SELECT query_id, rank, chunk_id, score FROM khits WHERE rank <= 10",
+    "rrf_three_lists": f"""WITH {LEXICON}, {BM25},
+ground AS ({GROUNDED.format(seeds="bench", mentions="lex", score="count(*)")}),
+vhits AS (
+  SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+      SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {_COSINE.format("a.embedding", "b.embedding")} AS score FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark))) WHERE rank <= 5),
+two AS (
+  SELECT coalesce(v.query_id, g.query_id) AS query_id, coalesce(v.chunk_id, g.chunk_id) AS chunk_id, v.rank AS v_rank, v.score AS vector_score, g.rank AS g_rank, g.graph_score
+  FROM vhits v FULL OUTER JOIN ground g ON v.query_id = g.query_id AND v.chunk_id = g.chunk_id),
+three AS (
+  SELECT coalesce(two.query_id, k.query_id) AS query_id, coalesce(two.chunk_id, k.chunk_id) AS chunk_id, v_rank, vector_score, g_rank, graph_score, k.rank AS k_rank, k.score AS keyword_score
+  FROM two FULL OUTER JOIN (SELECT * FROM khits WHERE rank <= 5) k ON two.query_id = k.query_id AND two.chunk_id = k.chunk_id),
+summed AS (
+  SELECT *, round(coalesce(0.55::DOUBLE * (1.0::DOUBLE / (60 + v_rank)), 0) + coalesce(0.45::DOUBLE * (1.0::DOUBLE / (60 + g_rank)), 0) + coalesce(0.45::DOUBLE * (1.0::DOUBLE / (60 + k_rank)), 0), 8) AS fused_score FROM three)
+SELECT query_id, chunk_id, coalesce(vector_score, 0) AS vector_score, coalesce(graph_score, 0) AS graph_score, coalesce(keyword_score, 0) AS keyword_score, fused_score,
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, v_rank NULLS LAST, g_rank NULLS LAST, k_rank NULLS LAST, chunk_id) AS INTEGER) AS rank FROM summed""",
+    "chunk_increments": f"""{_INCREMENTS}
+SELECT c.doc_id, c.page_number, c.chunk_no, c.token_count, c.section_title, concat_ws(' / ', h1, h2) AS section_path, 'report_' || c.doc_id || '.pdf' AS filename, c.text, true AS id_of_place,
+  row_number() OVER (PARTITION BY c.doc_id ORDER BY c.page_number, c.chunk_no) = 1 AS is_first
+FROM chunks c JOIN ranges r ON r.doc_id = c.doc_id AND r.page_number = c.page_number AND r.chunk_no = c.chunk_no
+JOIN headed h ON h.doc_id = c.doc_id AND h.page_number = c.page_number AND h.line_no = r.last_line""",
+    "store_entities": f"{_INCREMENTS_FOUND} SELECT canonical_name, count(DISTINCT chunk_id) AS n_chunks, count(DISTINCT doc_id) AS n_docs FROM mentions GROUP BY canonical_name",
+    "store_relations": f"{_INCREMENTS_FOUND} SELECT DISTINCT source, target, relation_type, description, weight, confidence FROM relations",
     "query_seeds_fallback": f"WITH {LEXICON} SELECT * FROM bench",
     "grounded_chunks": f"WITH {LEXICON} {GROUNDED.format(seeds='bench', mentions='lex', score='count(*)')}",
     "grounded_chunks_conf": f"WITH {EXTRACTED}, {QUESTIONS} {GROUNDED.format(seeds='seeds', mentions='mentions', score='sum(coalesce(confidence, 1.0))')}",

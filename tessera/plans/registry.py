@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fx
-from tessera.operators import answer, chunking, extraction, fusion, graph, layout, metrics, vector
+from tessera.operators import answer, chunking, extraction, fulltext, fusion, gazetteer, graph, layout, metrics, vector
 from tessera.plans import pipeline
 from tessera.plans.oracles import ORACLE_SQL as _SQL
-from tessera.sources.scratch import exists, scratch, stored
+from tessera.plans.settings import Settings
+from tessera.sources.scratch import exists, scratch, shared_dir, stored
 from tessera.sources.tables import TOOLS, document_pages, letters, reports, table, trade_graph
 
 QUERIES: dict = {}
@@ -221,6 +222,83 @@ def query_seeds_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_seeds(spark, sf_dir)
 
 
+@query
+def gazetteer_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All names that the reports' graph knows in all texts of the reports."""
+    g = report_graph(spark, sf_dir)
+    return gazetteer.occurrences(g.pages, g.entities).select("chunk_id", "canonical_name", "first_at")
+
+
+# --- full text --------------------------------------------------------------------------------
+
+
+def _bm25(spark, sf_dir, k: int):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return fulltext.top_k(fulltext.build(docs), asked, k)
+
+
+@query
+def fulltext_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of highest BM25 for each benchmark item."""
+    return _bm25(spark, sf_dir, 10)
+
+
+@query
+def rrf_three_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fusion of grounded documents and full-text hits of the benchmark items; vectors of the same ids as a third list."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = vector.top_k(asked, e, k=5).withColumnRenamed("vec_id", "chunk_id")
+    grounded = graph.grounded_chunks(benchmark_seeds(spark, sf_dir), lexicon_mentions(spark, sf_dir))
+    fused = fusion.fuse(hits, grounded, k=None, keyword_hits=_bm25(spark, sf_dir, 5))
+    return fused.select("query_id", "chunk_id", "vector_score", "graph_score", "keyword_score", "fused_score", "rank")
+
+
+# --- store ------------------------------------------------------------------------------------
+
+
+def increment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports with headings on every third page only, which carry over to the next two."""
+    bare = F.regexp_replace("text", r"#+ [^\n]*", "")
+    return reports(spark, sf_dir).withColumn("text", F.when(F.col("page_number") % 3 == 1, F.col("text")).otherwise(bare))
+
+
+_STORES: dict = {}
+
+
+def increment_store(spark: SparkSession, sf_dir: str) -> pipeline.Store:
+    """The reports in three ingestions, later pages first; drafts of a part are replaced by the last one."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORES or not exists(spark, _STORES[key]):
+        pages, folder, s = increment_pages(spark, sf_dir), shared_dir(spark), Settings(vector_width=8)
+        draft = F.lit("# Draft\nDraft Group acquired Alpha Labs.\n")
+        third = F.col("page_number") % 3
+        drafts = pages.filter((third == 1) & (F.col("doc_id") % 4 == 0)).withColumn("text", draft)
+        for part in (pages.filter(third == 0).unionByName(drafts), pages.filter(third == 2), pages.filter(third == 1)):
+            pipeline.ingest(part, folder, s)
+        _STORES[key] = folder
+    return pipeline.Store.open(spark, _STORES[key])
+
+
+@query
+def chunk_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = increment_store(spark, sf_dir).chunks
+    path = F.array_join("section_path", " / ").alias("section_path")
+    place = F.concat_ws("|", F.col("doc_id").cast("string"), "page_number", "chunk_no")
+    return c.select("doc_id", "page_number", "chunk_no", "token_count", "section_title", path, "filename", "text", (F.col("chunk_id") == F.xxhash64(place)).alias("id_of_place"), F.col("prev_chunk_id").isNull().alias("is_first"))
+
+
+@query
+def store_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return increment_store(spark, sf_dir).entities.select("canonical_name", "n_chunks", "n_docs")
+
+
+@query
+def store_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return increment_store(spark, sf_dir).relations.select("source", "target", "relation_type", "description", "weight", "confidence")
+
+
 # --- graph ------------------------------------------------------------------------------------
 
 

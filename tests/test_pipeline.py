@@ -1,7 +1,11 @@
+import os
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import extraction, vector
-from tessera.plans import pipeline
+from tessera.plans import pipeline, store
 from tessera.plans.settings import Settings
 
 PAGES = [
@@ -61,3 +65,116 @@ def test_ingest_and_answer(spark, tmp_path):
     fused, nodes, _ = pipeline.retrieve(q, store, Settings(vector_width=16, mode="relations", max_hops=1))
     assert {r.node for r in nodes.filter("query_id = 1").collect()} == {"Beta Systems Corp.", "San Francisco", "Be", "Alpha Technologies Inc."}  # "Be" ends a relation of the question
     assert pipeline.scored_nodes(fused, store.chunks).filter(F.col("node").contains('"section_title":"Deals."')).count() > 0
+
+
+SCHEMA = "doc_id long, page_number int, filename string, text string"
+TABLES = ("chunks", "vectors", "mentions", "entities", "relations")
+
+
+def contents(s):
+    """All rows of a store's tables, in order."""
+    rows = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    return {t: rows(getattr(s, t)) for t in TABLES}
+
+
+def some_page(rng, doc, page):
+    orgs, tools = ("Alpha Labs", "Beta Group", "Gamma Systems", "Delta Bank"), ("Redis", "Docker", "CUDA")
+    heading = rng.choice(("", "", f"# Part {doc}-{page}\n", f"## Sub {page}\n", f"# A\n## B{page}\n", f"## C\n# D{page}\n"))
+    said = f"{rng.choice(orgs)} acquired {rng.choice(orgs)}.\nIt runs {rng.choice(tools)}.\n" if rng.random() < 0.8 else rng.choice(("", "plain words\n"))
+    tail = rng.choice(("", "## Late\nmore about it\n"))
+    return (doc, page, f"f{doc}-{page % 2}.pdf", heading + said + tail)
+
+
+def test_section_of_split_pages(spark, tmp_path):
+    pages = lambda *rows: spark.createDataFrame([(1, n, "", t) for n, t in rows], SCHEMA)
+    s = Settings(vector_width=4)
+    pipeline.ingest(pages((1, "# Deals.\nfirst")), f"{tmp_path}/a", s)
+    a = pipeline.ingest(pages((2, "plain")), f"{tmp_path}/a", s)
+    assert {r.page_number: r.section_title for r in a.chunks.collect()} == {1: "Deals.", 2: "Deals."}
+    # an earlier page that comes later, and one that is replaced, change the sections after it
+    a = pipeline.ingest(pages((0, "# Front\n## Sub\nx"), (1, "no heading any more")), f"{tmp_path}/a", s)
+    assert {r.page_number: r.section_path for r in a.chunks.collect()} == {n: ["Front", "Sub"] for n in (0, 1, 2)}
+
+
+def test_any_series_of_ingestions_equals_one(spark, tmp_path):
+    rng = random.Random(1)
+    s = Settings(vector_width=4, chunk_size=12, chunk_overlap=3, buckets=3)
+    last = {}
+    for _ in range(3):
+        batch = {}
+        for _ in range(rng.randint(3, 9)):
+            p = some_page(rng, rng.randint(1, 6), rng.randint(1, 4))
+            batch[p[:2]] = p
+        last |= batch
+        got = pipeline.ingest(spark.createDataFrame(list(batch.values()), SCHEMA), f"{tmp_path}/many", s)
+    want = pipeline.ingest(spark.createDataFrame(list(last.values()), SCHEMA), f"{tmp_path}/one", s)
+    assert contents(got) == contents(want)
+    # merged tables are those of all rows at once
+    m = extraction.merge_entities(got.mentions)
+    assert sorted(map(repr, m.collect())) == sorted(map(repr, got.entities.select(*m.columns).collect()))
+    pipeline.rebucket(spark, f"{tmp_path}/many", 2)
+    assert store.vacuum(spark, f"{tmp_path}/many") > 0
+    assert contents(pipeline.Store.open(spark, f"{tmp_path}/many")) == contents(want)
+    assert {p for p in os.listdir(f"{tmp_path}/many") if p.startswith("v")} == {store.Snapshot.latest(spark, f"{tmp_path}/many").tables["chunks"].popitem()[1]}
+
+
+def test_an_ingestion_reads_and_writes_touched_buckets_only(spark, tmp_path, monkeypatch):
+    s = Settings(vector_width=4, buckets=64)
+    folder = str(tmp_path)
+    text = lambda d: f"# Head {d}\nOrg{chr(65 + d % 26)}{d} Labs acquired Corp{d} Holdings.\n" + "word " * 200
+    opened = []
+    read = store.Snapshot.read
+
+    def counted(self, table, buckets=None):
+        paths = self.paths(table, buckets)
+        if paths and buckets is not None:
+            opened.extend(paths)
+        assert buckets is not None or not counting
+        return read(self, table, buckets)
+
+    monkeypatch.setattr(store.Snapshot, "read", counted)
+    cost = []
+    for first in (0, 400):
+        counting = False
+        pipeline.ingest(spark.createDataFrame([(d, 1, "", text(d)) for d in range(first, 5 * first + 40)], SCHEMA), folder, s)
+        before = store.Snapshot.latest(spark, folder)
+        opened.clear()
+        monkeypatch.setattr(pipeline.Store, "open", staticmethod(lambda *_: None))
+        counting = True
+        pipeline.ingest(spark.createDataFrame([(7, 2, "", "OrgH7 Labs acquired Corp7 Holdings.")], SCHEMA), folder, s)
+        after = store.Snapshot.latest(spark, folder)
+        monkeypatch.undo()
+        monkeypatch.setattr(store.Snapshot, "read", counted)
+        changed = {t: {b for b in at if before.tables[t].get(b) != at[b]} for t, at in after.tables.items()}
+        assert all(len(changed[t]) == 1 for t in pipeline.BY_PAGE)
+        names = {r.canonical_name for r in read(after, "mentions", [int(b) for b in changed["mentions"]]).filter("doc_id = 7 AND page_number = 2").collect()}
+        assert 0 < len(changed["entities"]) <= len(names) and len(changed["relations"]) == 1
+        assert changed["entity_parts"] == changed["entities"]
+        cost.append(len(set(opened)))
+    assert max(cost) <= 2 * (len(pipeline.BY_PAGE) + 2 * (len(names) + 1))
+
+
+def test_of_two_changes_from_one_state_one_fails(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame(PAGES, "doc_id long, page_number int, filename string, text string")
+    s = Settings(vector_width=4)
+    pipeline.ingest(pages, str(tmp_path), s)
+    base = store.Snapshot.latest(spark, str(tmp_path))
+    late = store.Change(base)
+    pipeline.ingest(pages.filter("doc_id = 2"), str(tmp_path), s)
+    want = contents(pipeline.Store.open(spark, str(tmp_path)))
+    late.write("pages", base.read("pages").limit(0), ("doc_id",), range(base.buckets))
+    with pytest.raises(store.Conflict):
+        late.commit()
+    assert contents(pipeline.Store.open(spark, str(tmp_path))) == want
+    # one that fails half way leaves nothing visible
+    monkeypatch.setattr(store.Merge, "apply", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        pipeline.ingest(pages.filter("doc_id = 1"), str(tmp_path), s)
+    assert contents(pipeline.Store.open(spark, str(tmp_path))) == want
+
+
+def test_large_buckets_double(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "doc_id long, page_number int, filename string, text string")
+    got = pipeline.ingest(pages, f"{tmp_path}/a", Settings(vector_width=4, buckets=2, bucket_bytes=10))
+    assert store.Snapshot.latest(spark, f"{tmp_path}/a").buckets == 4
+    assert contents(got) == contents(pipeline.ingest(pages, f"{tmp_path}/b", Settings(vector_width=4)))
