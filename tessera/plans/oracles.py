@@ -297,6 +297,7 @@ _INCREMENTS_FOUND = f"{_INCREMENTS}, {extraction('(SELECT doc_id * 1000 + page_n
 
 ORACLE_SQL: dict[str, str] = {
     "vector_topk_batch": f"WITH {VECTORS} SELECT * FROM hits",
+    "vector_store_topk": f"WITH {VECTORS} SELECT * FROM hits",
     "vector_topk_payload": f"WITH {VECTORS} SELECT query_id, rank, vec_id AS chunk_id, score, length(text) AS text_chars, md5(text) AS text_md5 FROM hits JOIN documents ON vec_id = doc_id",
     "vector_missing_payload": f"WITH {VECTORS} SELECT query_id, rank, vec_id AS chunk_id, score, coalesce(left(url, 1000), '') AS text FROM hits LEFT JOIN pages ON vec_id = page_id",
     "vector_upsert_last_wins": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as fx
 from tessera.operators import answer, chunking, extraction, fulltext, fusion, gazetteer, graph, layout, metrics, vector
-from tessera.plans import pipeline
+from tessera.plans import pipeline, vector_store
 from tessera.plans.oracles import ORACLE_SQL as _SQL
 from tessera.plans.settings import Settings
 from tessera.sources.scratch import exists, scratch, shared_dir, stored
@@ -92,6 +92,17 @@ def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.top_k(_vector_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), k=5)
 
 
+@query
+def vector_store_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a store in cells, into which a third of the vectors came later and replaced others."""
+    e, folder = table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), shared_dir(spark)
+    late = F.col("vec_id") % 3 == 0
+    turned = F.transform("embedding", lambda x: -x)
+    vector_store.create(e.withColumn("embedding", F.when(late, turned).otherwise(F.col("embedding"))), folder)
+    vector_store.upsert(e.filter(late), folder)
+    return vector_store.top_k(_vector_queries(spark, sf_dir), folder, k=5)
+
+
 @query
 def vector_topk_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = vector.top_k(_vector_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), k=5)
