@@ -431,6 +431,7 @@ SELECT query_id, length(p) AS prompt_chars, md5(p) AS prompt_md5 FROM (
   SELECT query_id, 'Answer the user query based strictly on the verified knowledge graph and documents.' || chr(10) || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'DOCUMENT CONTEXT:' || chr(10)
     || coalesce(docs, '') || chr(10) || chr(10) || 'Query: ' || question || chr(10) || 'Answer:' AS p FROM q LEFT JOIN ctx USING (query_id) LEFT JOIN docs USING (query_id))""",
     "latency_percentiles": _LATENCY.format(by="event_type,", budget="40.0", rest="GROUP BY event_type"),
+    "latency_hours": _LATENCY.format(by="event_type,", budget="40.0", rest="WHERE day(ts) % 2 = 1 GROUP BY event_type"),
     "latency_empty": _LATENCY.format(by="", budget="400.0", rest="WHERE event_type = 'no such type'"),
     "sla_compliance": "SELECT user_id, count(*) FILTER (WHERE value <= 40) AS n_compliant, count(*) FILTER (WHERE value > 40) AS n_exceeding FROM events GROUP BY user_id",
     "stage_breakdown": "SELECT "

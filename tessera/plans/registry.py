@@ -500,6 +500,15 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.latency_summary(table(spark, sf_dir, "events"), F.col("value"), "event_type", budget=40.0)
 
 
+@query
+def latency_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two parts of the log as partials of hours, put together; the summary of those of odd days."""
+    e = table(spark, sf_dir, "events")
+    part = lambda rows: stored(metrics.latency_partials(rows, "ts", F.col("value"), "event_type"))
+    whole = metrics.merged_partials(part(e.filter("event_id % 2 = 0")), part(e.filter("event_id % 2 = 1 OR event_id IS NULL")))
+    return metrics.summary_of_partials(whole.filter(F.dayofmonth("at") % 2 == 1), "event_type", budget=40.0)
+
+
 @query
 def latency_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.latency_summary(table(spark, sf_dir, "events").filter("event_type = 'no such type'"), F.col("value"))

@@ -32,7 +32,11 @@ def new_questions(asked: DataFrame, ts: str, text: str, late: str = "1 hour") ->
 
 
 def ingest_stream(pages: DataFrame, write_batch: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Runs ``write_batch(chunks, batch_id)`` over each micro-batch of pages, chunked."""
+    """Runs ``write_batch(chunks, batch_id)`` over each micro-batch of pages, chunked.
+
+    For batches of whole documents: headings carry over the pages of a batch, not to the next one.
+    ``streaming.sections.ingest_into`` takes pages as they come.
+    """
     from tessera.operators.chunking import chunks
 
     writer = pages.writeStream.foreachBatch(lambda df, n: write_batch(chunks(df), n)).option("checkpointLocation", checkpoint)

@@ -1,9 +1,15 @@
 import datetime as dt
+import random
+import sys
 
 from pyspark.sql import functions as F
 
+from tessera.operators import chunking
+from tessera.operators import metrics as latency
+from tessera.plans import pipeline
+from tessera.plans.settings import Settings
 from tessera.sources import pdf
-from tessera.streaming import metrics
+from tessera.streaming import metrics, sections
 
 
 def test_folder_of_files(spark, tmp_path):
@@ -52,3 +58,70 @@ def test_ingest_stream(spark, tmp_path):
     out = str(tmp_path / "chunks")
     metrics.ingest_stream(pages, lambda df, n: df.write.mode("append").parquet(out), str(tmp_path / "c3")).awaitTermination(60)
     assert spark.read.parquet(out).first().section_title == "T"
+
+
+BATCHES = [
+    [(1, 3, "plain"), (1, 2, "## Sub\n x"), (2, 1, "# Two\n## A\n# B")],
+    [(1, 1, "  # One \ntext\n## Deep\n"), (2, 2, None), (2, 5, "##no heading")],
+    [(1, 2, "nothing now"), (2, 1, "#\n# \n## only second"), (1, 9, "# Nine\n## Ten")],
+]
+
+
+def _pages_as_files(spark, folder):
+    for n, rows in enumerate(BATCHES):
+        spark.createDataFrame(rows, "doc_id long, page_number int, text string").coalesce(1).write.mode("append").parquet(f"{folder}/{n}")
+    stream = spark.readStream.schema("doc_id long, page_number int, text string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+    last = {}
+    for rows in BATCHES:
+        last |= {r[:2]: r for r in rows}
+    return stream, spark.createDataFrame(list(last.values()), "doc_id long, page_number int, text string")
+
+
+def test_headings_carry_through_a_stream(spark, tmp_path):
+    stream, whole = _pages_as_files(spark, f"{tmp_path}/in")
+    seen = []
+    run = sections.carried_headings(stream).writeStream.outputMode("update").foreachBatch(lambda df, n: seen.extend((n, *r) for r in df.collect()))
+    run.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
+    got = {(d, p): (a, b) for _, d, p, a, b in sorted(seen, key=lambda r: r[0])}
+    heads = whole.select("doc_id", "page_number").join(chunking.page_headings(chunking.lines(whole)), ["doc_id", "page_number"], "left")
+    assert got == {(r.doc_id, r.page_number): (r.c1, r.c2) for r in chunking.carried(heads).collect()}
+    # pages 2 and 3 of the first document come again when page 1 does, though only that was new
+    assert [r[2] for r in seen if r[1] == 1 and r[0] == 1] == [1, 2, 3]
+
+
+def test_stream_into_a_store_equals_one_ingestion(spark, tmp_path):
+    stream, whole = _pages_as_files(spark, f"{tmp_path}/in")
+    s = Settings(vector_width=4, buckets=2)
+    sections.ingest_into(stream, f"{tmp_path}/a", f"{tmp_path}/c", s).awaitTermination(300)
+    got, want = pipeline.Store.open(spark, f"{tmp_path}/a").chunks, pipeline.ingest(whole, f"{tmp_path}/b", s).chunks
+    rows = lambda df: sorted(map(repr, df.select(*want.columns).collect()))
+    assert rows(got) == rows(want) and got.count() > 4
+
+
+def test_partials_of_any_range_equal_the_log(spark):
+    rng = random.Random(2)
+    start = dt.datetime(2024, 5, 1)
+    rows = [(start + dt.timedelta(minutes=rng.randint(0, 600)), rng.choice((None, *range(1, 60))), rng.choice("ab")) for _ in range(400)]
+    log = spark.createDataFrame([(t, None if v is None else float(v), k) for t, v, k in rows], "ts timestamp, v double, kind string")
+    parts = [latency.latency_partials(log.filter(F.pmod(F.hash("ts", "v", "kind"), F.lit(3)) == n), "ts", F.col("v"), "kind") for n in range(3)]
+    whole = latency.merged_partials(*parts)
+    assert whole.count() <= log.select(F.date_trunc("hour", "ts"), "v", "kind").distinct().count()
+    for lo, hi in ((2, 5), (20, 21)):
+        inside = lambda df, c: df.filter(F.hour(c).between(lo, hi - 1))
+        for by in ((), ("kind",)):
+            got = sorted(map(tuple, latency.summary_of_partials(inside(whole, "at"), *by, budget=30.0).collect()))
+            assert got == sorted(map(tuple, latency.latency_summary(inside(log, "ts"), F.col("v"), *by, budget=30.0).collect()))
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from tessera.__main__ import main
+
+    spark.createDataFrame([(1, 1, "# Deals.\nAlpha Labs acquired Beta Group.")], "doc_id long, page_number int, text string").write.parquet(f"{tmp_path}/p.parquet")
+    main(["ingest", f"{tmp_path}/p.parquet", "--store", f"{tmp_path}/s"])
+    assert capsys.readouterr().out.startswith("1 chunks, ")
+    main(["query", "Who bought Beta Group?", "what does Alpha Labs own?", "--store", f"{tmp_path}/s"])
+    out = capsys.readouterr().out
+    assert out.count("Alpha Labs (ACQUIRED)") == 2
+    monkeypatch.setattr(sys, "argv", ["tessera"])
+    with __import__("pytest").raises(SystemExit):
+        main()
