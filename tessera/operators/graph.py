@@ -128,15 +128,21 @@ def grounded_chunks(seeds: DataFrame, mentions: DataFrame, k: int = 5, by_confid
     again, or adds up the confidences of the mentions (a missing one is 1). Best k a query, ties
     by chunk_id.
     """
-    hit = seeds.join(mentions.select("chunk_id", "doc_id", "canonical_name", "confidence"), F.col("seed") == F.col("canonical_name"))
+    named = seeds.select("query_id", "ord", F.col("seed").alias("canonical_name"))
     if by_confidence:
-        hit = hit.dropDuplicates(["query_id", "chunk_id", "canonical_name"])
+        named = named.groupBy("query_id", "canonical_name").agg(F.min("ord").alias("ord"))
+    said = mentions.select("chunk_id", "doc_id", "canonical_name", "confidence")
+    if by_confidence:
+        said = said.join(named.select("canonical_name").distinct(), "canonical_name", "left_semi").dropDuplicates(["chunk_id", "canonical_name"])
     score = F.sum(F.coalesce("confidence", F.lit(1.0))) if by_confidence else F.count("*").cast("double")
-    out = hit.groupBy("query_id", "chunk_id", "doc_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "seed"))), lambda s: s["seed"]), ", ").alias("mentioned_entities"), F.round(score, 6).alias("graph_score")
-    )
+    # the best by score alone; names are gathered for these few only
+    best = said.join(named, "canonical_name").groupBy("query_id", "chunk_id", "doc_id").agg(F.round(score, 6).alias("graph_score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("graph_score"), "chunk_id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    best = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    hit = best.join(said, ["chunk_id", "doc_id"]).join(named, ["query_id", "canonical_name"])
+    names = F.transform(F.sort_array(F.collect_list(F.struct("ord", "canonical_name"))), lambda s: s["canonical_name"])
+    out = hit.groupBy("query_id", "chunk_id", "doc_id", "graph_score", "rank").agg(F.array_join(names, ", ").alias("mentioned_entities"))
+    return out.select("query_id", "chunk_id", "doc_id", "mentioned_entities", "graph_score", "rank")
 
 
 def bridges(seeds: DataFrame, mentions: DataFrame, chunks: DataFrame, limit: int = 5, both_orders: bool = False, documents: DataFrame | None = None) -> DataFrame:
