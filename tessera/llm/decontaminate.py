@@ -16,12 +16,14 @@ several blocks each one's result is written before the next is built.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import handing_back, stored
+from tessera.llm.common import fresh, handing_back, scratch, stored
 
 Q = 8
 RATE = 0.1
@@ -227,21 +229,35 @@ def find(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int
     return [(r, i, *hit) for (r, i), hit in sorted(found.items())]
 
 
-def original_span(text: str, start: int, end: int) -> tuple[int, int]:
-    """Where a region of the normalised text lies in the text itself."""
-    where, n, space = [], 0, False
+def origins(text: str) -> np.ndarray:
+    """For each character of the normalised text, where it comes from in the text itself."""
+    where, space = [], False
     for p, ch in enumerate(text):
         if ch.isspace():
-            space = n > 0
+            space = bool(where)
             continue
         if space:
             where.append(p - 1)
-            n += 1
             space = False
-        for _ in ch.lower():
-            where.append(p)
-            n += 1
-    return where[start], where[end - 1] + 1
+        where.extend([p] * len(ch.lower()))
+    return np.array(where, np.int64)
+
+
+def original_span(where: np.ndarray | str, start: int, end: int) -> tuple[int, int]:
+    """Where a region of the normalised text lies in the text itself; ``where`` are its ``origins``."""
+    if isinstance(where, str):
+        where = origins(where)
+    return int(where[start]), int(where[end - 1]) + 1
+
+
+def _spans(texts: list[str | None], hits: list[tuple]) -> list[tuple[int, int]]:
+    """Spans of hits, which come ordered by text: each text is walked once, however many it holds."""
+    out, last, where = [], None, None
+    for r, _, _, start, end in hits:
+        if r != last:
+            last, where = r, origins(texts[r])
+        out.append(original_span(where, start, end))
+    return out
 
 
 def _blocks(benchmark: DataFrame):
@@ -271,7 +287,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     part = batch.slice(at, 1024)
                     ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
                     hits = find(texts, block.value)
-                    spans = [original_span(texts[r], s, e) for r, _, _, s, e in hits]
+                    spans = _spans(texts, hits)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([ids[h[0]] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.int64()), pa.array([s[0] for s in spans], pa.int64()), pa.array([s[1] for s in spans], pa.int64())],
                         ["doc_id", "item_id", "edits", "start", "end"],
@@ -289,26 +305,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def _digest(text: str):
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item of the benchmark is found.
 
     Null and empty texts stay, repeated rows stay or go alike, and columns may have any names
     besides ``text``. An empty benchmark rejects nothing; an empty table stays empty.
+
+    With several blocks each one stores only digests of the texts it rejects, and the rows are
+    filtered once at the end, so that what is written doesn't grow with the number of blocks.
     """
 
-    def keep(block):
+    def marked(block, whole: bool):
+        """Rows without a hit, or in place of rows the digests of texts with one."""
+
         def run(batches):
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)
                     hit = {h[0] for h in find(part.column("text").to_pylist(), block.value)}
-                    yield part.filter(pa.array([r not in hit for r in range(part.num_rows)], pa.bool_()))
+                    chosen = part.filter(pa.array([(r in hit) != whole for r in range(part.num_rows)], pa.bool_()))
+                    yield chosen if whole else chosen.select(["digest"])
 
         return run
 
-    for n, block in _blocks(benchmark):
-        docs = docs.mapInArrow(handing_back(keep(block)), docs.schema)
-        if n > 1:
-            docs = stored(docs)
+    found = []
+    with scratch(docs.sparkSession) as s:
+        for n, block in _blocks(benchmark):
+            if n == 1:
+                return docs.mapInArrow(handing_back(marked(block, True)), docs.schema)
+            hits = docs.select("text", _digest("text").alias("digest")).mapInArrow(handing_back(marked(block, False)), "digest string")
+            found.append(stored(hits))
             block.destroy()
-    return docs
+        gone = stored(reduce(DataFrame.unionByName, found).distinct())
+        s.keep(gone)
+    digest = fresh(docs, "digest")
+    return docs.withColumn(digest, _digest("text")).join(gone.withColumnRenamed("digest", digest), digest, "left_anti").drop(digest)

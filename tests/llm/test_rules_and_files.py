@@ -105,6 +105,36 @@ def test_several_blocks_equal_one(spark, monkeypatch):
     assert sorted(r.doc_id for r in decontaminate.uncontaminated(docs(spark, rows), items).collect()) == kept
 
 
+def test_several_blocks_write_digests_of_hits_only(spark, monkeypatch):
+    """Repeated rows, null ids and a column named like the digest; what is written doesn't hold the texts."""
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60)
+    wrote, write = [], decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda df: wrote.append(df.columns) or write(df))
+    rows = [(i, f"the quick brown fox number {i} jumps over", "x") for i in range(30)] * 2 + [(None, None, "n"), (None, "brown fox number 3 jumps", "y"), (7, "", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, digest string")
+    items = spark.createDataFrame([(i, f"brown fox number {i} jumps") for i in range(10)], "item_id long, text string")
+    clean = decontaminate.uncontaminated(table, items)
+    assert clean.columns == table.columns
+    got = sorted(clean.collect(), key=str)
+    # one edit in 24 characters is within the budget of two, so that all of the fifty numbers count
+    assert [tuple(r) for r in got] == sorted([r for r in rows if not r[1] or "fox" not in r[1]], key=str)
+    assert len(wrote) > 5 and all(c == ["digest"] for c in wrote)
+
+
+def test_a_long_text_with_many_hits_is_mapped_once():
+    text = "".join(f"Some  words {n} here.\n" for n in range(9000))
+    norm, calls = decontaminate.normal(text), []
+    starts = [m.start() for m in re.finditer("words", norm)][:400]
+    walked = decontaminate.origins
+    try:
+        decontaminate.origins = lambda t: calls.append(1) or walked(t)
+        spans = decontaminate._spans([None, text], [(1, k, 0, s, s + 5) for k, s in enumerate(starts)])
+    finally:
+        decontaminate.origins = walked
+    assert len(calls) == 1 and {text[a:b] for a, b in spans} == {"words"}
+    assert [a for a, _ in spans] == [m.start() for m in re.finditer("words", text)][:400]
+
+
 def test_original_span_points_at_the_passage():
     text = "  Über\n\nden  FLUSS gehen "
     norm = decontaminate.normal(text)
