@@ -30,19 +30,29 @@ def bfs(seeds: DataFrame, edges: DataFrame, entities: DataFrame, max_hops: int =
 
     ``seeds(query_id, seed)``; seeds that are no entity don't count. The distance is that to the
     nearest seed. ``edges(src, dst)`` are undirected and may pass through other kinds of nodes.
-    From the second hop on each frontier is written out before the next one is joined, so that
-    the plan grows by one join a hop.
+    Queries travel together: a row is a node with a word of 64 bits, one for each query that has
+    come there, so that an edge is followed once for 64 queries and hubs that many queries share
+    cost as one. Words of a node are combined before they are shuffled. Each frontier but the last
+    is written out before the next one is joined, so that the plan grows by one join a hop.
     """
-    start = seeds.join(entities, seeds["seed"] == entities["canonical_name"], "left_semi")
-    seen = start.select("query_id", F.col("seed").alias("node")).distinct().withColumn("hop_distance", F.lit(0))
-    frontier = seen
+    start = seeds.join(entities, seeds["seed"] == entities["canonical_name"], "left_semi").select("query_id", F.col("seed").alias("node"))
+    # numbers have gaps, which only leaves bits unused
+    numbered = stored(start.select("query_id").distinct().withColumn("n", F.monotonically_increasing_id()))
+    numbered = numbered.select("query_id", F.shiftright("n", 6).alias("word"), F.col("n").bitwiseAND(63).cast("int").alias("bit"))
+    one = F.expr("shiftleft(1L, bit)")
+    seen = start.join(numbered, "query_id").groupBy("node", "word").agg(F.bit_or(one).alias("bits")).withColumn("hop_distance", F.lit(0))
+    frontier = seen = stored(seen)
     for hop in range(1, max_hops + 1):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select("query_id", F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, ["query_id", "node"], "left_anti").withColumn("hop_distance", F.lit(hop))
+        step = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        before = seen.groupBy("node", "word").agg(F.bit_or("bits").alias("before"))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("before", F.lit(0).cast("long"))))
+        frontier = step.join(before, ["node", "word"], "left").select("node", "word", fresh.alias("bits")).filter("bits <> 0").withColumn("hop_distance", F.lit(hop))
         if hop < max_hops:
             frontier = stored(frontier)
         seen = seen.unionByName(frontier)
-    return seen.join(entities.select(F.col("canonical_name").alias("node"), "entity_type"), "node").select("query_id", "node", "entity_type", "hop_distance")
+    found = seen.join(entities.select(F.col("canonical_name").alias("node"), "entity_type"), "node")
+    found = found.withColumn("bit", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit("bits", b) == 1)))
+    return found.join(numbered, ["word", "bit"]).select("query_id", "node", "entity_type", "hop_distance")
 
 
 def induced_edges(nodes: DataFrame, relations: DataFrame, limit: int | None = 25) -> DataFrame:
