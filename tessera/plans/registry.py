@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fx
-from tessera.operators import answer, chunking, extraction, fulltext, fusion, gazetteer, graph, layout, metrics, vector
+from tessera.operators import answer, chunking, extraction, fulltext, fusion, gazetteer, graph, layout, metrics, text_vectors, vector
 from tessera.plans import pipeline, vector_store
 from tessera.plans.oracles import ORACLE_SQL as _SQL
 from tessera.plans.settings import Settings
@@ -130,6 +130,15 @@ def pseudo_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.transform(embed("text"), lambda x: F.round(x, 6).cast("string")), ",").alias("embedding"))
 
 
+@query
+def learned_vectors_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five documents most similar to each benchmark item, by vectors learned from all documents."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    place = text_vectors.fit(docs).column
+    asked = items.select(F.col("item_id").alias("query_id"), place(F.col("text")).alias("embedding"))
+    return vector.top_k(asked, docs.select(F.col("doc_id").alias("vec_id"), place(F.col("text")).alias("embedding")), k=5)
+
+
 @query
 def query_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "conversations").filter("role = 'user'").select(fx.cache_key(F.col("text")).alias("cache_key"))
