@@ -52,9 +52,10 @@ def _rows(lists: pa.Array, idf: np.ndarray):
 def _times(texts: int, row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, q: np.ndarray) -> np.ndarray:
     """The slice's rows times ``q``."""
     out = np.zeros((texts, q.shape[1]))
-    if len(row):
-        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        out[row[first]] = np.add.reduceat(weight[:, None] * q[bucket], first)
+    edge = np.searchsorted(row, np.arange(texts + 1))
+    for r in range(texts):
+        a, b = edge[r], edge[r + 1]
+        out[r] = weight[a:b] @ q[bucket[a:b]]
     return out
 
 
@@ -69,12 +70,11 @@ def _gram(rows: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
         total = np.zeros_like(q)
         for batch in batches:
             for texts, row, bucket, weight in _rows(batch.column(0), idf):
-                if not len(row):
-                    continue
-                by = np.argsort(bucket, kind="stable")
-                part = weight[by, None] * _times(texts, row, bucket, weight, q)[row[by]]
-                first = np.flatnonzero(np.append(True, np.diff(bucket[by]) != 0))
-                total[bucket[by][first]] += np.add.reduceat(part, first)
+                placed = _times(texts, row, bucket, weight, q)
+                edge = np.searchsorted(row, np.arange(texts + 1))
+                for r in range(texts):
+                    a, b = edge[r], edge[r + 1]
+                    total[bucket[a:b]] += weight[a:b, None] * placed[r]  # buckets of a text are distinct
         some = np.flatnonzero(total.any(axis=1))
         for at in range(0, len(some), 1024):
             of = some[at : at + 1024]
