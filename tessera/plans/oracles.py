@@ -302,6 +302,16 @@ ORACLE_SQL: dict[str, str] = {
     "vector_missing_payload": f"WITH {VECTORS} SELECT query_id, rank, vec_id AS chunk_id, score, coalesce(left(url, 1000), '') AS text FROM hits LEFT JOIN pages ON vec_id = page_id",
     "vector_upsert_last_wins": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1",
     "query_cache_key": "SELECT sha256(lower(trim(text))) AS cache_key, count(*) AS n_asked FROM conversations WHERE role = 'user' GROUP BY 1",
+    "query_cache_replay": """WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(sha256(lower(trim(text))), '') AS cache_key FROM conversations WHERE role = 'user'),
+log AS (SELECT *, row_number() OVER (ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, cache_key) AS n FROM keyed),
+walk AS (
+  SELECT capacity, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS held, CAST(NULL AS BOOLEAN) AS hit, CAST(NULL AS VARCHAR) AS evicted_key FROM (VALUES (16), (128), (10000)) c(capacity)
+  UNION ALL
+  SELECT capacity, l.n, CASE WHEN list_contains(held, cache_key) THEN held WHEN len(held) >= capacity THEN list_append(held[2:], cache_key) ELSE list_append(held, cache_key) END,
+    list_contains(held, cache_key), CASE WHEN NOT list_contains(held, cache_key) AND len(held) >= capacity THEN held[1] END
+  FROM walk w JOIN log l ON l.n = w.n + 1)
+SELECT capacity, conv_id, turn, cache_key, hit, evicted_key FROM walk JOIN log USING (n)""",
     "doc_lines": f"WITH {LINES.format(_DOC_PAGES)} SELECT doc_id, line_no, n_words, md5(line) AS line_md5 FROM lines",
     "heading_state": f"WITH {REPORTS}, {LINES.format('reports')}, {HEADINGS} SELECT doc_id, page_number, line_no, coalesce(h2, h1, 'General') AS section_title, concat_ws(' / ', h1, h2) AS section_path FROM headed",
     "chunk_fold": f"WITH RECURSIVE {LINES.format(_DOC_PAGES)}, {HEADINGS}, {FOLD.format(size=384, overlap=64)} SELECT doc_id, chunk_no, start_word, token_count FROM ranges",

@@ -7,13 +7,14 @@ its tables as an ingestion leaves them, which the first such query of a session
 
 from __future__ import annotations
 
+from functools import reduce
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fx
-from tessera.operators import answer, chunking, extraction, fulltext, fusion, gazetteer, graph, layout, metrics, text_vectors, vector
+from tessera.operators import answer, chunking, extraction, fulltext, fusion, gazetteer, graph, layout, metrics, query_cache, text_vectors, vector
 from tessera.plans import pipeline, vector_store
 from tessera.plans.oracles import ORACLE_SQL as _SQL
 from tessera.plans.settings import Settings
@@ -145,6 +146,14 @@ def query_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.groupBy("cache_key").agg(F.count("*").alias("n_asked"))
 
 
+@query
+def query_cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What caches of 16, 128 and 10,000 keys do with each question of the conversations."""
+    q = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
+    runs = [query_cache.replay(q, ("conv_id", "turn"), fx.cache_key(F.col("text")), size)[0].withColumn("capacity", F.lit(size)) for size in (16, 128, query_cache.CAPACITY)]
+    return reduce(DataFrame.unionByName, runs).select("capacity", "conv_id", "turn", "cache_key", "hit", "evicted_key")
+
+
 # --- chunks -----------------------------------------------------------------------------------
 
 
