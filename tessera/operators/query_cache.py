@@ -25,7 +25,8 @@ from tessera.sources.scratch import delete, exists, scratch, stored
 
 # Fixed value: keys that the cache of questions holds.
 CAPACITY = 10_000
-SEGMENT = 65_536
+# Questions a segment holds at least; it also holds two states' worth, so that states are at most half of the log.
+SEGMENT = 8_192
 
 
 def numbered(asked: DataFrame, key: Column, order: tuple[str, ...]) -> DataFrame:
@@ -113,7 +114,7 @@ def states(log: DataFrame, capacity: int, length: int, start: list[str]) -> tupl
         guess, width, rounds = ended, 2 * width, rounds + 1
 
 
-def replay(asked: DataFrame, order: tuple[str, ...], key: Column, capacity: int = CAPACITY, start: list[str] | None = None, segment: int = SEGMENT) -> tuple[DataFrame, DataFrame]:
+def replay(asked: DataFrame, order: tuple[str, ...], key: Column, capacity: int = CAPACITY, start: list[str] | None = None, segment: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``asked`` with ``position, cache_key, hit, evicted_key``, and the keys held at the end as ``keys``.
 
     A question is a hit if its key is held; else its key comes in, and if ``capacity`` keys are
@@ -121,13 +122,12 @@ def replay(asked: DataFrame, order: tuple[str, ...], key: Column, capacity: int
     beginning, at most ``capacity``, the oldest first. Questions stand in the order of ``order``,
     nulls first, ties by key, so that rows alike in both count as any order of them. A null key
     counts as ''. Columns of ``asked`` that are named as one of the four give way. An empty log
-    leaves ``start`` as it is. A segment holds at least eight states' worth of questions, so that
-    the states kept are less than the log.
+    leaves ``start`` as it is. ``segment`` is the number of questions a segment holds.
     """
     start = list(start or [])
     if capacity < 1 or len(start) > capacity:
         raise ValueError("the capacity must be at least 1 and hold the first keys")
-    spark, length = asked.sparkSession, max(segment, 8 * capacity if segment == SEGMENT else 1)
+    spark, length = asked.sparkSession, segment or max(SEGMENT, 2 * capacity)
     with scratch(spark) as s:
         log = numbered(asked, F.coalesce(key, F.lit("")), order)
         if log.total:
@@ -142,7 +142,7 @@ def replay(asked: DataFrame, order: tuple[str, ...], key: Column, capacity: int
     return out.select(*(F.col("row")[c].alias(c) for c in asked.columns if c not in made), *made), held.filter(F.col("segment") == last).select("keys")
 
 
-def replay_stream(asked: DataFrame, order: tuple[str, ...], text: str, folder: str, checkpoint: str, capacity: int = CAPACITY, segment: int = SEGMENT, trigger: dict | None = None) -> StreamingQuery:
+def replay_stream(asked: DataFrame, order: tuple[str, ...], text: str, folder: str, checkpoint: str, capacity: int = CAPACITY, segment: int | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Replays a stream of questions, micro-batch by micro-batch, into Parquet below ``folder``/rows.
 
     The keys held after a micro-batch are stored with it, below ``folder``/held, and the next one

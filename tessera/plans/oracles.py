@@ -312,6 +312,9 @@ walk AS (
     list_contains(held, cache_key), CASE WHEN NOT list_contains(held, cache_key) AND len(held) >= capacity THEN held[1] END
   FROM walk w JOIN log l ON l.n = w.n + 1)
 SELECT capacity, conv_id, turn, cache_key, hit, evicted_key FROM walk JOIN log USING (n)""",
+    "call_ledger": """SELECT sha256('stand-in' || chr(10) || text) AS key, 'answered' AS state, length(text) || ' characters, ending in ' || right(text, 12) AS answer,
+  CASE WHEN bool_or(conv_id % 2 = 0) THEN 1 ELSE 2 END AS run, count(*) AS n_asked
+FROM conversations WHERE text IS NOT NULL GROUP BY text""",
     "doc_lines": f"WITH {LINES.format(_DOC_PAGES)} SELECT doc_id, line_no, n_words, md5(line) AS line_md5 FROM lines",
     "heading_state": f"WITH {REPORTS}, {LINES.format('reports')}, {HEADINGS} SELECT doc_id, page_number, line_no, coalesce(h2, h1, 'General') AS section_title, concat_ws(' / ', h1, h2) AS section_path FROM headed",
     "chunk_fold": f"WITH RECURSIVE {LINES.format(_DOC_PAGES)}, {HEADINGS}, {FOLD.format(size=384, overlap=64)} SELECT doc_id, chunk_no, start_word, token_count FROM ranges",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as fx
 from tessera.operators import answer, chunking, extraction, fulltext, fusion, gazetteer, graph, layout, metrics, query_cache, text_vectors, vector
-from tessera.plans import pipeline, vector_store
+from tessera.plans import calls, pipeline, vector_store
 from tessera.plans.oracles import ORACLE_SQL as _SQL
 from tessera.plans.settings import Settings
 from tessera.sources.scratch import exists, scratch, shared_dir, stored
@@ -510,6 +510,20 @@ def llm_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.prompts(q, fused, edges, pages).select("query_id", F.length("prompt").cast("long").alias("prompt_chars"), F.md5(F.encode("prompt", "UTF-8")).alias("prompt_md5"))
 
 
+def _summary(prompts: list[str]) -> list[str]:
+    """Stands in for a model: the number of characters of a prompt, and its end."""
+    return [f"{len(p)} characters, ending in {p[-12:]}" for p in prompts]
+
+
+@query
+def call_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of conversations as prompts, in two runs: what the first has called for the second doesn't."""
+    turns, folder = table(spark, sf_dir, "conversations").select("conv_id", F.col("text").alias("prompt")), shared_dir(spark)
+    calls.complete(turns.filter("conv_id % 2 = 0"), folder, _summary, model="stand-in", size=512)
+    done = calls.complete(turns, folder, _summary, model="stand-in", size=512)
+    return done.groupBy("key", "state", "answer", "run").agg(F.count("*").alias("n_asked"))
+
+
 # --- metrics and layout -----------------------------------------------------------------------
 
 
