@@ -130,8 +130,8 @@ class Model:
             return out
         for table, n in zip(self.tables, SIZES):
             g = table[w.cells(n)]
-            # grams from the edge before the word to the edge after it
-            lo, hi = w.begin - 1, np.maximum(w.stop - n + 2, w.begin)
+            # grams from the edge before the word to the edge after it; a word too short for them has none
+            lo, hi = w.begin - 1, np.maximum(w.stop - n + 2, w.begin - 1)
             for k in range(len(self.langs)):
                 total = np.append(0.0, np.cumsum(g[:, k], dtype=np.float64))
                 out[:, k] += total[hi] - total[lo]
@@ -143,7 +143,7 @@ class Model:
         """Of each word: what its score leaves out of log-likelihood over the background, and its number of grams."""
         out, grams = np.zeros(len(w.begin)), np.zeros(len(w.begin))
         for level, n in zip(self.levels, SIZES):
-            lo, hi = w.begin - 1, np.maximum(w.stop - n + 2, w.begin)
+            lo, hi = w.begin - 1, np.maximum(w.stop - n + 2, w.begin - 1)
             total = np.append(0.0, np.cumsum(level[w.cells(n)], dtype=np.float64))
             out += total[hi] - total[lo]
             grams += hi - lo
