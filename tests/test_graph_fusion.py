@@ -27,6 +27,25 @@ def test_technologies_metrics_and_merge(spark):
     assert e["Neo4j"] == (2, 0) and e["neo4j"] == (1, 0)
 
 
+def test_clauses_are_what_lies_between_ends_that_no_match_can_cross(spark):
+    import re
+
+    end = re.compile(r"[^\w\s.$%]|(?<!Inc|Ltd)(?<!Corp)\.", re.I | re.A)
+    texts = [TEXT, "A Corp. b; c.d INC.e ltd. Cor. x $4 5%.é z", "..", "Alpha Inc. " * 20_000]
+    got = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n long, t string").select("n", F.regexp_extract_all("t", F.lit(extraction.CLAUSE), F.lit(0)).alias("c"))
+    for r in got.collect():
+        assert r.c == [p for p in end.split(texts[r.n]) if p]
+
+
+def test_organisations_and_technologies_need_no_relations(spark):
+    c = chunk(spark, TEXT, "Redis Labs depends on Redis. Redis bought Gamma Ltd", "", None)
+    kinds = F.col("entity_type").isin("ORGANIZATION", "TECHNOLOGY")
+    want = extraction.mentions(c).filter(kinds).collect()
+    plan = extraction.mentions(c, ends_too=False)
+    assert sorted(plan.collect()) == sorted(want) and len(want) > 3
+    assert "acquired" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def graph_of(spark):
     entities = spark.createDataFrame([("A", "A", "ORGANIZATION"), ("B", "B", "ORGANIZATION"), ("C", "see", "CONCEPT")], "canonical_name string, name string, entity_type string")
     relations = spark.createDataFrame(
