@@ -188,3 +188,28 @@ def test_layout_headings_and_order(spark):
     assert layout.reading_order(b).first().text == "left\n\n# Bigsmall\n\nbody"
     page = spark.createDataFrame([("t", ["|a|", " "]), ("t", [])], "text string, tables array<string>")
     assert [r[0] for r in page.select(layout.with_tables(F.col("text"), F.col("tables"))).collect()] == ["t\n\n\n### Structured Tables:\n|a|", "t"]
+
+
+def test_grounded_chunks_rank_shared_seed_lists_once_and_equal_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    said = sorted({(c, c // 2, r.choice("aaabbcdef")) for c in range(60) for _ in range(3)})
+    rows = [(c, d, e, r.choice([0.5, 0.9, None])) for c, d, e in said]
+    m = spark.createDataFrame(rows, "chunk_id long, doc_id long, canonical_name string, confidence double").cache()
+    lists = {q: [r.choice("aabbcdefg") for _ in range(r.randint(1, 4))] for q in range(30)} | {30: list("fab"), 31: list("eab"), 32: list("gab")}
+    s = spark.createDataFrame([(q, n, x) for q, seeds_ in lists.items() for n, x in enumerate(seeds_)], "query_id long, ord int, seed string")
+    for by_confidence in (False, True):
+        want = set()
+        for q, asked in lists.items():
+            score = {}
+            for c, _, e, conf in rows:
+                n = asked.count(e)
+                if n:
+                    score[c] = score.get(c, 0.0) + ((1.0 if conf is None else conf) if by_confidence else n)
+            want |= {(q, c, round(x, 6), n + 1) for n, (c, x) in enumerate(sorted(score.items(), key=lambda i: (-round(i[1], 6), i[0]))[:5])}
+        got = graph.grounded_chunks(s, m, by_confidence=by_confidence)
+        assert {(x.query_id, x.chunk_id, x.graph_score, x.rank) for x in got.collect()} == want
+    # f, e and an unknown seed before the same two: three ends of lists for one
+    ends = graph._profiles(s.filter("query_id >= 30").withColumnRenamed("seed", "canonical_name"), m)
+    assert ends.filter("rest[0].canonical_name not in ('e', 'f')").select("rest").distinct().count() == 2
