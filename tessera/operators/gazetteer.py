@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import scratch, stored
+
 BLOCK = 200_000  # names of a block, but for twice as many where hashes are uneven
-HELD = 32 << 20  # bytes of texts that a task holds while one automaton after another runs over them
+HELD = 32 << 20  # characters of texts that a task holds while one automaton after another runs over them
+ROWS = 1 << 15  # occurrences that a task holds before it hands them on, but for those of one text
 
 
 def _automaton(names: list[str]):
@@ -23,17 +29,19 @@ def _automaton(names: list[str]):
 def name_blocks(names: DataFrame, block: int = BLOCK) -> list:
     """The distinct names of ``names(canonical_name)`` as broadcasts of bounded size, one read at a time.
 
-    Blocks are made by hash; each passes the driver by itself, so that its memory holds one block.
+    They are broadcast packed, since a worker keeps the value of every block that it has read. Blocks are made by hash; each passes the driver by itself, so that its memory holds one block.
     Null and empty names are left out.
     """
     known = names.select("canonical_name").filter("canonical_name <> ''").distinct()
-    n = max(1, -(-known.count() // block))
-    dealt = known.withColumn("block", F.pmod(F.xxhash64("canonical_name"), F.lit(n)))
     made = []
-    for i in range(n):
-        found = sorted(r[0] for r in dealt.filter(F.col("block") == i).select("canonical_name").collect())
-        if found:
-            made.append(names.sparkSession.sparkContext.broadcast(found))
+    with scratch(names.sparkSession):
+        known = stored(known)
+        n = max(1, -(-known.count() // block))
+        dealt = known.withColumn("block", F.pmod(F.xxhash64("canonical_name"), F.lit(n)))
+        for i in range(n):
+            found = sorted(r[0] for r in dealt.filter(F.col("block") == i).select("canonical_name").collect())
+            if found:
+                made.append(names.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(found))))
     return made
 
 
@@ -55,9 +63,13 @@ def occurrences(chunks: DataFrame, names: DataFrame, block: int = BLOCK) -> Data
         def automaton(i: int):
             if i not in built:
                 built.clear()
-                built[i] = _automaton(blocks[i].value)
+                built[i] = _automaton(pickle.loads(zlib.decompress(blocks[i].value)))
             return built[i]
 
+        def handed(rows):
+            chunk, name, first, n = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(chunk, kind), pa.array(name, pa.string()), pa.array(first, pa.int64()), pa.array(n, pa.int64())], ["chunk_id", "canonical_name", "first_at", "n_places"])
+
         def found(ids, texts):
             for i in range(len(blocks)):
                 a, rows = automaton(i), []
@@ -67,9 +79,11 @@ def occurrences(chunks: DataFrame, names: DataFrame, block: int = BLOCK) -> Data
                         seen = at.setdefault(name, [end, 0])
                         seen[1] += 1
                     rows += [(chunk, name, end - len(name) + 2, n) for name, (end, n) in at.items()]
+                    if len(rows) >= ROWS:
+                        yield handed(rows)
+                        rows = []
                 if rows:
-                    chunk, name, first, n = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(chunk, kind), pa.array(name, pa.string()), pa.array(first, pa.int64()), pa.array(n, pa.int64())], ["chunk_id", "canonical_name", "first_at", "n_places"])
+                    yield handed(rows)
 
         ids, texts, size = [], [], 0
         for batch in batches:

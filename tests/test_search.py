@@ -27,6 +27,8 @@ def test_gazetteer_equals_all_pairs(spark):
         got = [tuple(r) for r in gazetteer.occurrences(chunks, known, block).collect()]
         assert sorted(got) == sorted(want)
     assert len(gazetteer.name_blocks(known, 7)) > 3
+    # packed, since workers keep them
+    assert all(isinstance(b.value, bytes) for b in gazetteer.name_blocks(known, 7))
     assert gazetteer.occurrences(chunks, known.limit(0)).count() == 0 and gazetteer.occurrences(chunks.limit(0), known).count() == 0
 
 
