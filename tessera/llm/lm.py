@@ -24,14 +24,14 @@ from __future__ import annotations
 
 import copy
 import uuid
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import handing_back, scratch, stored, words
+from tessera.llm.common import handing_back, scratch, stored
 
 END = b"\n"  # no word has white space
 HEAD = 1 << 17
@@ -40,27 +40,50 @@ NOISE, BATCH, RATE = 64, 1024, 0.3
 SHARD_TOKENS, SEEN_TOKENS = 2_000_000, 4_000_000
 LEAST_ROUNDS, MOST_ROUNDS = 2, 12
 UNIT = 2**20  # parameters are averaged as multiples of 1 / UNIT
-COUNTER = 300_000  # distinct words that a task counts before it hands them on
+COUNTER = 2_000_000  # words that a task counts before it hands their counts on
+SLICE = 4_000_000  # bytes of text that are cut into words at once
 
 
 # --- counts -----------------------------------------------------------------------------------
 
 
+def _slices(batch: pa.RecordBatch):
+    """Parts of a batch of about ``SLICE`` bytes of text, at least a row each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts one after the other, and how many each text has; those of :func:`common.words`."""
+    # a copy: of a part of an array the kernel splits other rows (seen with pyarrow 23)
+    own = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(own))
+    flat = lists.values.cast(pa.large_binary())
+    some = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty piece
+    return flat.filter(pa.array(some)), np.diff(np.append(0, np.cumsum(some))[lists.offsets.to_numpy()])
+
+
 def _count(batches):
-    def out(c: Counter):
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "c"])
+    held, n, texts = [], 0, 0
+
+    def out():
+        pairs = pc.value_counts(pa.chunked_array([*held, pa.array([], pa.large_binary())]))
+        return pa.RecordBatch.from_arrays([pairs.field("values").cast(pa.binary()), pairs.field("counts").cast(pa.int64())], ["word", "c"])
 
-    seen: Counter = Counter()
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            texts = batch.column("text").slice(at, 256).to_pylist()
-            for t in texts:
-                seen.update(words(t))
-            seen[END] += len(texts)
-            if len(seen) > COUNTER:
-                yield out(seen)
-                seen = Counter()
-    yield out(seen)
+        for part in _slices(batch.select(["text"])):
+            flat, _ = _words(part.column("text"))
+            held.append(flat)
+            n, texts = n + len(flat), texts + part.num_rows
+            if n > COUNTER:
+                yield out()
+                held, n = [], 0
+    yield out()
+    yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([texts], pa.int64())], ["word", "c"])
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -89,32 +112,39 @@ class Vocabulary:
 
     def __init__(self, rows: list[tuple[bytes, int]], n_all: int, n_distinct: int):
         rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-        self.place = {w: i for i, (w, _) in enumerate(rows)}
+        self.head = pa.array([w for w, _ in rows], pa.large_binary())
         self.count = np.array([c for _, c in rows] + [0], np.float64)  # the last: id -1
         self.n_all, self.n_distinct = n_all, n_distinct
         self.classes = min(CLASSES, len(rows) + 1)
         top = self.count[: self.classes - 1]
         self.rest_all = n_all - float(top.sum())
         self.rest_distinct = n_distinct - len(top)
-        self.end = self.place.get(END, -1)
+        self.end = next((i for i, (w, _) in enumerate(rows) if w == END), -1)
         share = np.append(top, max(self.rest_all, 0) + 0.5) + 0.5
         self.noise = share / share.sum()
 
+    @property
+    def place(self) -> dict[bytes, int]:
+        """Words of the head and their ids."""
+        return {w: i for i, w in enumerate(self.head.to_pylist())}
+
     def training(self) -> Vocabulary:
         """What training needs of it, without the words."""
         out = copy.copy(self)
-        out.place, out.count = {}, None
+        out.head, out.count = None, None
         return out
 
-    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Token ids of the texts one after the other, where each begins, and their words."""
-        lists = [words(t) for t in texts]
-        get = self.place.get
-        flat: list[int] = []
-        for ws in lists:
-            flat += [get(w, -1) for w in ws]
-            flat.append(self.end)
-        return np.array(flat, np.int64), np.append(0, np.cumsum([len(ws) + 1 for ws in lists]))[:-1], lists
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Token ids of the texts one after the other, where each begins, and the words without an id and their texts."""
+        flat, sizes = _words(texts)
+        place = pc.fill_null(pc.index_in(flat, value_set=self.head), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        ids = np.full(len(place) + len(sizes), self.end, np.int64)
+        ids[np.arange(len(place)) + of] = place
+        unknown, lost = flat.filter(pa.array(place < 0)), of[place < 0]
+        if self.end < 0:  # no training text at all
+            unknown, lost = pa.concat_arrays([unknown, pa.array([END] * len(sizes), pa.large_binary())]), np.append(lost, np.arange(len(sizes)))
+        return ids, np.append(0, np.cumsum(sizes + 1))[:-1], unknown, lost
 
     def classes_of(self, ids: np.ndarray) -> np.ndarray:
         last = self.classes - 1
@@ -142,38 +172,62 @@ def start(v: Vocabulary) -> list[np.ndarray]:
     return [x.astype(np.float32) for x in (0.1 * rng.randn(n, WIDTH), 0.1 * rng.randn(n, WIDTH), np.eye(WIDTH), 0.5 * np.eye(WIDTH), np.log(v.noise))]
 
 
-def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places that ``at`` names, and the sums of their rows."""
     d = rows.shape[1]
-    return np.bincount((at[:, None] * d + np.arange(d)).ravel(), rows.ravel(), n * d).reshape(n, d).astype(np.float32)
+    some = np.flatnonzero(np.bincount(at, minlength=n))
+    slot = np.empty(n, np.int64)
+    slot[some] = np.arange(len(some)) * d
+    flat = (slot[at][:, None] + np.arange(d)).ravel()
+    return some, np.bincount(flat, rows.ravel(), len(some) * d).reshape(-1, d).astype(np.float32)
 
 
 class Trainer:
-    """Noise-contrastive steps with Adagrad; all tokens of a batch share ``NOISE`` noise tokens."""
+    """Noise-contrastive steps with Adagrad; all tokens of a batch share ``NOISE`` noise tokens.
+
+    A step changes only the rows of classes that it has met: the gradient of others is zero.
+    """
 
     def __init__(self, params: list[np.ndarray], memory: list[np.ndarray], noise: np.ndarray, seed: int):
         self.params, self.memory = [p.copy() for p in params], [m.copy() for m in memory]
         self.cut = np.cumsum(noise)
         self.log_noise = np.log(NOISE * noise).astype(np.float32)
         self.rng = np.random.RandomState(seed % 2**32)
+        self.false = np.empty((BATCH, NOISE), np.float32)
 
     def step(self, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         r, q, c1, c2, bias = self.params
         n = len(bias)
         x = np.minimum(np.searchsorted(self.cut, self.rng.rand(NOISE)), n - 1)
-        ra, rb = r[a], r[b]
-        h = ra @ c1 + rb @ c2
-        qw, qx = q[w], q[x]
-        true = 1 / (1 + np.exp(np.clip((h * qw).sum(axis=1) + bias[w] - self.log_noise[w], -30, 30)))
-        false = -1 / (1 + np.exp(-np.clip(h @ qx.T + (bias[x] - self.log_noise[x]), -30, 30)))
-        dh = true[:, None] * qw + false @ qx
+        ra, rb, qw, qx = r.take(a, 0), r.take(b, 0), q.take(w, 0), q.take(x, 0)
+        h = ra @ c1
+        h += rb @ c2
+        over = bias - self.log_noise
+        true = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", h, qw) + over[w], -30, 30)))
+        false = np.matmul(-h, qx.T, out=self.false[: len(w)])
+        false -= over[x]
+        np.clip(false, -30, 30, out=false)
+        np.exp(false, out=false)
+        false += 1
+        np.divide(-1, false, out=false)
+        qw *= true[:, None]
+        dh = qw
+        dh += false @ qx
         both = np.append(w, x)
-        dq = _scatter(both, np.vstack([true[:, None] * h, false.T @ h]), n)
-        db = np.bincount(both, np.append(true, false.sum(axis=0)), n).astype(np.float32)
-        dr = _scatter(np.append(a, b), np.vstack([dh @ c1.T, dh @ c2.T]), n)
-        for p, m, g in zip(self.params, self.memory, (dr, dq, ra.T @ dh, rb.T @ dh, db)):
+        dq = _scatter(both, np.concatenate([true[:, None] * h, false.T @ h]), n)
+        db = np.bincount(both, np.append(true, np.ones(len(w), np.float32) @ false), n).astype(np.float32)
+        # the second context of a token is the first one of the token before, but where texts begin
+        one, two = dh @ c1.T, dh @ c2.T
+        same = a[:-1] == b[1:]
+        one[:-1] += two[1:] * same[:, None]
+        rest = np.append(0, np.flatnonzero(~same) + 1)
+        dr = _scatter(np.append(a, b[rest]), np.concatenate([one, two[rest]]), n)
+        every = slice(None)
+        for p, m, (at, g) in zip(self.params, self.memory, (dr, dq, (every, ra.T @ dh), (every, rb.T @ dh), (every, db))):
             g /= np.float32(len(w))
-            m += g * g
-            p += np.float32(RATE) * g / np.sqrt(m)
+            now = m[at] + g * g
+            m[at] = now
+            p[at] += np.float32(RATE) * g / np.sqrt(now)
 
 
 def _encode(shared):
@@ -184,25 +238,23 @@ def _encode(shared):
         base = np.log10((v.count + 0.5) / (v.n_all + 0.5 * (v.n_distinct + 1)))
         rest = np.log10((v.count + 0.5) / (v.rest_all + 0.5 * (v.rest_distinct + 1)))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, begins, lists = v.ids(part.column("text").to_pylist())
+            for part in _slices(batch):
+                ids, begins, unknown, lost = v.ids(part.column("text"))
                 w = v.classes_of(ids)
                 known = ids >= 0
                 inside = np.where((w == v.classes - 1) & known, rest[ids], 0.0)
                 sums = [np.add.reduceat(x, begins) for x in (np.where(known, base[ids], 0.0), inside, known.astype(np.int64))]
-                place = v.place
-                tails = [Counter(x for x in ws if x not in place) for ws in lists]
-                if v.end < 0:  # no training text at all
-                    for t in tails:
-                        t[END] += 1
+                each = unknown.dictionary_encode()
+                kinds = max(1, len(each.dictionary))
+                tail, times = np.unique(lost * kinds + each.indices.to_numpy(), return_counts=True)
+                cuts = pa.array(np.searchsorted(tail, np.arange(part.num_rows + 1) * kinds), pa.int32())
                 bounds = np.append(begins, len(ids))
                 w = w.astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(c) for c in ("row", "doc_id", "k", "learn")), pa.array(np.diff(bounds)), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]),
                         pa.array([w[lo:hi].tobytes() for lo, hi in zip(bounds, bounds[1:])], pa.binary()),
-                        pa.array([list(t) for t in tails], pa.list_(pa.binary())), pa.array([list(t.values()) for t in tails], pa.list_(pa.int64())),
+                        pa.ListArray.from_arrays(cuts, each.dictionary.take(pa.array(tail % kinds)).cast(pa.binary())), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int64))),
                     ],
                     ["row", "doc_id", "k", "learn", "n_tokens", "n_known", "base_score", "inside", "classes", "tail", "times"],
                 )

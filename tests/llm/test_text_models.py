@@ -178,3 +178,27 @@ def test_lm_gains_on_held_out_texts(spark):
     out = crc_mod(F.col("doc_id"), 5) == 1
     got = lm.scored(spark.read.parquet(f"{at}/documents.parquet"), ~out).filter(out).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     assert (got[0] - got[1]) / got[2] > 0.04  # log10 a token
+
+
+def test_words_and_steps_of_the_language_model():
+    """Words cut in Arrow are those of plain Python, of parts of arrays as well; rows that a step hasn't met don't change."""
+    import pyarrow as pa
+
+    from tessera.llm.common import words
+
+    texts = [None, "", "  A b \x0b\x0c\x1c\x85 ÀB\n", "x  Y\tz", " ", "Ünder the BRIDGE"] * 50
+    whole = pa.array(texts)
+    for part in (whole, whole.slice(7, 100)):
+        flat, sizes = lm._words(part)
+        want = [words(t) for t in part.to_pylist()]
+        assert flat.to_pylist() == [w for ws in want for w in ws] and sizes.tolist() == [len(ws) for ws in want]
+    batch = pa.RecordBatch.from_arrays([whole], ["text"])
+    counts = {w.as_py(): c.as_py() for b in lm._count([batch]) for w, c in zip(b.column(0), b.column(1))}
+    assert counts == Counter(w for t in texts for w in [*words(t), lm.END])
+    v = lm.Vocabulary([(b"w%d" % i, 100 - i) for i in range(50)], 3825, 50)
+    params = lm.start(v)
+    trainer = lm.Trainer(params, [np.full_like(p, 1e-2) for p in params], v.noise, 3)
+    seen = np.array([3, 4, 5, 3], np.int64)
+    trainer.step(seen, *lm.contexts(seen, np.array([0, 2]), 50))
+    changed = np.flatnonzero((trainer.params[0] != params[0]).any(axis=1))
+    assert changed.tolist() == [3, 5, 50]  # contexts: 4 ends a text
