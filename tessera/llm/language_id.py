@@ -5,9 +5,11 @@ learned languages are written in can't be of another one. Each word then has a s
 language, the sum of hashed character n-gram log-probabilities within it and its edges, and
 Viterbi with a switching penalty labels the words of a text with spans of languages.
 
-The model is counted from a bounded sample of labelled rows (``SAMPLE`` per language, those with
-the smallest hash of id and text, of texts of at most ``LONGEST`` characters), in numpy on the
-driver, and broadcast; its size is fixed by the table of n-grams and the number of languages.
+The model of ``fit`` is counted from a bounded sample of labelled rows (``SAMPLE`` per language,
+those with the smallest hash of id and text, of texts of at most ``LONGEST`` characters), in numpy
+on the driver. That of ``calibrated``, and its threshold, come from all labelled rows, counted and
+measured in tasks. Both are broadcast; their size is fixed by the table of n-grams and the number
+of languages.
 """
 
 from __future__ import annotations
@@ -29,8 +31,11 @@ SIZES = (2, 3, 4)
 CELLS = 1 << 15
 HASH_BITS = 12
 PENALTY = 12.0
+WIDTH = 64  # counts are added up in Spark this many to a row
+HELD = 64  # languages whose counts a task holds before it hands them on
 CHUNK_CHARS = 250_000
 VITERBI_CHARS = 4_000_000
+FEW = 10_000  # values that are sorted on the driver
 #: A text fits if the mean of its grams reaches this share of what nearly all labelled texts
 #: reach; of few grams it may fall short by ``SLACK`` over the root of their number.
 FIT, SLACK = 0.4, 4.0
@@ -100,20 +105,16 @@ class Model:
     def fit(rows: list[tuple[str, str]]) -> Model:
         """Counts of ``(text, lang)`` rows; without rows the model knows no language."""
         langs = sorted({lang for _, lang in rows})
-        tables = [np.full((CELLS, len(langs)), 0.1) for _ in SIZES]
-        scripts = np.zeros((len(NAMES), len(langs)))
-        for k, lang in enumerate(langs):
-            texts = [t for t, g in rows if g == lang]
-            for at in range(0, len(texts), 200):
-                w = Words(texts[at : at + 200])
-                inside = _inside(w)
-                for table, n in zip(tables, SIZES):
-                    cells = w.cells(n)
-                    at_ = _spans(inside, n, len(cells))
-                    table[:, k] += np.bincount(cells[at_], minlength=CELLS)
-                scripts[:, k] += np.bincount(w.word_script, minlength=len(NAMES))
+        texts = [[t for t, g in rows if g == lang] for lang in langs]
+        return Model.of_counts(langs, [sum(gram_counts(ts[at : at + 200]) for at in range(0, len(ts), 200)) for ts in texts])
+
+    @staticmethod
+    def of_counts(langs: list[str], counts: list[np.ndarray]) -> Model:
+        """The model of languages in order, from the ``gram_counts`` of each."""
+        scripts = np.array([c[: len(NAMES)] for c in counts], np.float64).reshape(len(langs), len(NAMES)).T
+        tables = [np.array([c[WIDTH + k * CELLS : WIDTH + (k + 1) * CELLS] for c in counts], np.float64).T.reshape(CELLS, -1) + 0.1 for k in range(len(SIZES) if langs else 0)]
         out, levels = [], []
-        for table in tables if langs else ():
+        for table in tables:
             p = np.log(table / table.sum(axis=0))
             mean = p.mean(axis=1, keepdims=True)
             out.append((p - mean).astype(np.float32))
@@ -183,6 +184,21 @@ class Model:
         return text, begin, stop, viterbi(text, score, PENALTY)
 
 
+def gram_counts(texts: list[str | None]) -> np.ndarray:
+    """Numbers of the texts' words by script, and from ``WIDTH`` on of their grams by size and cell.
+
+    A gram may reach over one space from one word to the next, also to the next text.
+    """
+    out = np.zeros(WIDTH + len(SIZES) * CELLS, np.int64)
+    w = Words(texts)
+    inside = _inside(w)
+    out[: len(NAMES)] = np.bincount(w.word_script, minlength=len(NAMES))
+    for k, n in enumerate(SIZES):
+        cells = w.cells(n)
+        out[WIDTH + k * CELLS : WIDTH + (k + 1) * CELLS] = np.bincount(cells[_spans(inside, n, len(cells))], minlength=CELLS)
+    return out
+
+
 def _inside(w: Words) -> np.ndarray:
     edge = np.zeros(len(w.c) + 1, np.int32)
     np.add.at(edge, w.begin - 1, 1)
@@ -271,23 +287,102 @@ def fit(docs: DataFrame, learn: Column | None = None) -> Model:
     return Model.fit(training_rows(docs, F.lit(True) if learn is None else learn))
 
 
+def counted(rows: DataFrame) -> dict[tuple[str, int], np.ndarray]:
+    """``(lang, half) -> gram_counts`` of all ``rows(lang, half, text)``.
+
+    A task holds the counts of at most ``HELD`` languages' halves and hands on the blocks of
+    ``WIDTH`` that aren't all zero; there are as many tasks as the cluster has cores.
+    """
+
+    def run(batches):
+        held: dict[tuple[str, int], np.ndarray] = {}
+
+        def out():
+            for (lang, half), c in held.items():
+                parts = c.reshape(-1, WIDTH)
+                some = np.flatnonzero(parts.any(axis=1))
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(parts[some].ravel()), WIDTH).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([half] * len(some), pa.int32()), pa.array(some, pa.int32()), flat], ["lang", "half", "block", "part"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                texts: dict[tuple[str, int], list] = {}
+                for lang, half, text in zip(*(c.to_pylist() for c in batch.slice(at, 2048).columns)):
+                    # with room behind, so that no gram reaches into the next text, whichever that is
+                    texts.setdefault((lang, half), []).append(text + "  ")
+                for key, some in texts.items():
+                    if key not in held and len(held) >= HELD:
+                        yield from out()
+                        held.clear()
+                    held[key] = sum(gram_counts(some[lo:hi]) for lo, hi in _runs(some, CHUNK_CHARS)) + held.get(key, 0)
+        yield from out()
+
+    spark = rows.sparkSession
+    parts = rows.select("lang", "half", "text").coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(handing_back(run), "lang string, half int, block int, part array<long>")
+    summed = parts.groupBy("lang", "half", "block").agg(F.array(*(F.sum(F.col("part")[i]) for i in range(WIDTH))).alias("part")).toArrow()
+    found: dict[tuple[str, int], np.ndarray] = {}
+    for batch in summed.to_batches():
+        part = batch.column("part").flatten().to_numpy().reshape(-1, WIDTH)
+        for n, (lang, half, block) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lang", "half", "block")))):
+            if (lang, half) not in found:
+                found[lang, half] = np.zeros(WIDTH + len(SIZES) * CELLS, np.int64)
+            found[lang, half][block * WIDTH : (block + 1) * WIDTH] = part[n]
+    return found
+
+
+def _ranked(values: DataFrame, rank: int) -> float:
+    """The value ``x`` of that rank, from 0, of a stored table, exactly; cells that can't hold it are left out until few values stay."""
+    while True:
+        low, high, n = values.agg(F.min("x"), F.max("x"), F.count("*")).first()
+        if low == high:
+            return low
+        if n <= FEW:
+            return sorted(r.x for r in values.collect())[rank]
+        cell = F.least(F.floor((F.col("x") - low) / (high - low) * 1024), F.lit(1023))
+        for _, n, a, b in values.groupBy(cell.alias("cell")).agg(F.count("*"), F.min("x"), F.max("x")).orderBy("cell").collect():
+            if rank < n:
+                values = values.filter(F.col("x").between(a, b))
+                break
+            rank -= n
+
+
 def calibrated(docs: DataFrame) -> Model:
     """A model of all labelled rows that knows how well texts of its languages fit.
 
-    Each half of the sample is held against a model of the other half, so that no text is measured
-    by its own n-grams.
+    Texts are dealt in halves by their hash, and each is held against a model of the other half,
+    so that no text is measured by its own n-grams or those of its copies. Texts in languages that
+    the other half lacks are not measured. The threshold comes from the exact hundredth of all.
     """
-    rows = training_rows(docs, F.lit(True))
-    model, means = Model.fit(rows), []
-    for k in (0, 1):
-        texts = [t for t, _ in rows[k::2]]
-        if texts and len(rows) > 1:
-            total, grams = Model.fit(rows[1 - k :: 2]).fits(texts)
-            means.append(total[grams > 0] / grams[grams > 0])
-    means = np.concatenate([np.empty(0), *means])
-    if len(means):
-        low = np.quantile(means, 0.01)
-        model.least = float(low - (1 - FIT) * abs(low))
+    half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", half, "text")
+    counts = counted(rows)
+
+    def of(*halves: int) -> Model:
+        langs = sorted({g for g, h in counts if h in halves})
+        return Model.of_counts(langs, [sum(counts[g, h] for h in halves if (g, h) in counts) for g in langs])
+
+    model, context = of(0, 1), docs.sparkSession.sparkContext
+    if not model.langs:
+        return model
+    others = context.broadcast((of(1), of(0)))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048).to_pydict()
+                for h, m in enumerate(others.value):
+                    texts = [t for t, k, g in zip(part["text"], part["half"], part["lang"]) if k == h and g in m.langs]
+                    for lo, hi in _runs(texts, VITERBI_CHARS):
+                        total, grams = m.fits(texts[lo:hi])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.round(total[grams > 0] / grams[grams > 0], 9))], ["x"])
+
+    with scratch(docs.sparkSession):
+        means = stored(rows.mapInArrow(handing_back(run), "x double"))
+        n = means.count()
+        if n:
+            low, high = (_ranked(means, k) for k in (int(0.01 * (n - 1)), min(int(0.01 * (n - 1)) + 1, n - 1)))
+            at = low + (0.01 * (n - 1) % 1) * (high - low)
+            model.least = float(at - (1 - FIT) * abs(at))
     return model
 
 

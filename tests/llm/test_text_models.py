@@ -202,3 +202,28 @@ def test_words_and_steps_of_the_language_model():
     trainer.step(seen, *lm.contexts(seen, np.array([0, 2]), 50))
     changed = np.flatnonzero((trainer.params[0] != params[0]).any(axis=1))
     assert changed.tolist() == [3, 5, 50]  # contexts: 4 ends a text
+
+
+def test_calibrated_counts_and_measures_all_labelled_rows(spark):
+    """More texts than a sample of ``SAMPLE`` holds, one of them longer than ``LONGEST``: counts and threshold of all."""
+    rng = random.Random(3)
+    rows = [(i, sample(g, rng, 12), g) for i, g in enumerate(["en", "de"] * (language_id.SAMPLE + 50))] + [(9000, "thing zzyzx " * 20_000, "en"), (9001, None, "en"), (9002, "qqq", None)]
+    model = language_id.calibrated(docs(spark, rows).repartition(3))
+    known = [(t, g) for _, t, g in rows if t and g]
+    apart = [(t + "  ", g) for t, g in known]  # no gram reaches from one text to the next
+    want = language_id.Model.fit(apart)
+    assert model.langs == want.langs and all(np.allclose(a, b, atol=1e-6) for a, b in zip(model.tables + model.levels, want.tables + want.levels)) and (model.scripts == want.scripts).all()
+    half = {r.text: r.half for r in docs(spark, rows).select("text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")).collect()}
+    means = []
+    for k in (0, 1):
+        total, grams = language_id.Model.fit([r for r in apart if half[r[0][:-2]] != k]).fits([t for t, _ in known if half[t] == k])
+        means += (total / grams).tolist()
+    low = np.quantile(means, 0.01)
+    assert abs(model.least - (low - (1 - language_id.FIT) * abs(low))) < 1e-6
+
+
+def test_ranked_values_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "FEW", 10)
+    x = sorted([1.0] * 300 + [random.Random(4).uniform(-3, 9) for _ in range(200)] + [-1e9, 1e9])
+    values = spark.createDataFrame([(v,) for v in x], "x double")
+    assert [language_id._ranked(values, k) for k in (0, 1, 57, 150, 300, 501)] == [x[k] for k in (0, 1, 57, 150, 300, 501)]
