@@ -6,6 +6,9 @@ ignores direction. Every result that a limit cuts is totally ordered first.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,30 +22,46 @@ def undirected(relations: DataFrame) -> DataFrame:
 
 
 def mention_edges(mentions: DataFrame) -> DataFrame:
-    """Undirected edges between entities and the chunks that mention them, chunks as ``chunk:<id>``."""
+    """Undirected edges between entities and the chunks that mention them, chunks as ``chunk:<id>``.
+
+    ``to_entity`` tells which edges lead to entities.
+    """
     chunk = F.concat(F.lit("chunk:"), F.col("chunk_id").cast("string"))
-    one = mentions.select(chunk.alias("src"), F.col("canonical_name").alias("dst"))
-    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    one = mentions.select(chunk.alias("src"), F.col("canonical_name").alias("dst"), F.lit(True).alias("to_entity"))
+    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(False).alias("to_entity")))
+
+
+def _numbered(queries: DataFrame) -> DataFrame:
+    """``query_id, word, bit``: a bit of a word of 64 for each query; a stored table."""
+    # numbers have gaps, which only leaves bits unused
+    n = stored(queries.select("query_id").distinct().withColumn("n", F.monotonically_increasing_id()))
+    return n.select("query_id", F.shiftright("n", 6).alias("word"), F.col("n").bitwiseAND(63).cast("int").alias("bit"))
+
+
+def _each_bit(rows: DataFrame) -> DataFrame:
+    """A row for each bit that is set in ``bits``."""
+    return rows.withColumn("bit", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit("bits", b) == 1)))
 
 
 def bfs(seeds: DataFrame, edges: DataFrame, entities: DataFrame, max_hops: int = 2) -> DataFrame:
     """``query_id, node, entity_type, hop_distance``: entities within ``max_hops`` of a query's seeds.
 
     ``seeds(query_id, seed)``; seeds that are no entity don't count. The distance is that to the
-    nearest seed. ``edges(src, dst)`` are undirected and may pass through other kinds of nodes.
+    nearest seed. ``edges(src, dst[, to_entity])`` are undirected and may pass through other kinds
+    of nodes; the last hop follows only those that may lead ``to_entity``.
     Queries travel together: a row is a node with a word of 64 bits, one for each query that has
     come there, so that an edge is followed once for 64 queries and hubs that many queries share
     cost as one. Words of a node are combined before they are shuffled. Each frontier but the last
     is written out before the next one is joined, so that the plan grows by one join a hop.
     """
     start = seeds.join(entities, seeds["seed"] == entities["canonical_name"], "left_semi").select("query_id", F.col("seed").alias("node"))
-    # numbers have gaps, which only leaves bits unused
-    numbered = stored(start.select("query_id").distinct().withColumn("n", F.monotonically_increasing_id()))
-    numbered = numbered.select("query_id", F.shiftright("n", 6).alias("word"), F.col("n").bitwiseAND(63).cast("int").alias("bit"))
+    numbered = _numbered(start)
     one = F.expr("shiftleft(1L, bit)")
     seen = start.join(numbered, "query_id").groupBy("node", "word").agg(F.bit_or(one).alias("bits")).withColumn("hop_distance", F.lit(0))
     frontier = seen = stored(seen)
     for hop in range(1, max_hops + 1):
+        if hop == max_hops and "to_entity" in edges.columns:
+            edges = edges.filter("to_entity")
         step = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
         before = seen.groupBy("node", "word").agg(F.bit_or("bits").alias("before"))
         fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("before", F.lit(0).cast("long"))))
@@ -51,20 +70,42 @@ def bfs(seeds: DataFrame, edges: DataFrame, entities: DataFrame, max_hops: int =
             frontier = stored(frontier)
         seen = seen.unionByName(frontier)
     found = seen.join(entities.select(F.col("canonical_name").alias("node"), "entity_type"), "node")
-    found = found.withColumn("bit", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit("bits", b) == 1)))
-    return found.join(numbered, ["word", "bit"]).select("query_id", "node", "entity_type", "hop_distance")
+    return _each_bit(found).join(numbered, ["word", "bit"]).select("query_id", "node", "entity_type", "hop_distance")
+
+
+def _first_of_bits(limit: int):
+    """Of each batch the edges that are among the first ``limit`` of any query of their word."""
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.take(pc.sort_indices(batch, [(c, "ascending") for c in ("word", "source", "relation", "target")]))
+            word = rows.column("word").to_numpy()
+            held = (rows.column("bits").to_numpy()[:, None] >> np.arange(64)) & 1
+            nth = np.cumsum(held, axis=0)
+            begin = np.searchsorted(word, word)  # of the word's rows
+            nth -= np.vstack([np.zeros(64, nth.dtype), nth])[begin]
+            yield rows.filter(pa.array(((held == 1) & (nth <= limit)).any(axis=1)))
+
+    return run
 
 
 def induced_edges(nodes: DataFrame, relations: DataFrame, limit: int | None = 25) -> DataFrame:
     """``query_id, source, target, relation, description, weight``: edges between a query's nodes.
 
     One edge of each source, target and type, that with the least description; at most ``limit``
-    a query, by source, type and target.
+    a query, by source, type and target. An edge meets the queries of both ends as bits of words;
+    a task drops edges that enough earlier ones of its own precede in all of their queries before
+    there is a row for each query.
     """
-    n = nodes.select("query_id", "node")
-    e = relations.join(n.withColumnRenamed("node", "source"), "source").join(n.withColumnRenamed("node", "target"), ["query_id", "target"])
-    e = e.groupBy("query_id", "source", "target", F.col("relation_type").alias("relation")).agg(F.min(F.struct("description", "weight")).alias("d"))
-    e = e.select("query_id", "source", "target", "relation", "d.description", "d.weight")
+    numbered = _numbered(nodes)
+    n = nodes.select("query_id", "node").join(numbered, "query_id").groupBy("node", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    e = relations.groupBy("source", "target", F.col("relation_type").alias("relation")).agg(F.min(F.struct("description", "weight")).alias("d"))
+    e = e.select("source", "target", "relation", "d.description", "d.weight").join(n.select(F.col("node").alias("source"), "word", F.col("bits").alias("a")), "source")
+    e = e.join(n.select(F.col("node").alias("target"), "word", F.col("bits").alias("b")), ["target", "word"])
+    e = e.select("word", F.col("a").bitwiseAND(F.col("b")).alias("bits"), "source", "target", "relation", "description", "weight").filter("bits <> 0")
+    if limit is not None:
+        e = e.mapInArrow(_first_of_bits(limit), e.schema)
+    e = _each_bit(e).join(numbered, ["word", "bit"]).select("query_id", "source", "target", "relation", "description", "weight")
     return _first(e, limit, "source", "relation", "target")
 
 
@@ -241,15 +282,15 @@ def all_edges(chunks: DataFrame, mentions: DataFrame, relations: DataFrame) -> D
 
 
 def traversal_edges(chunks: DataFrame, mentions: DataFrame, relations: DataFrame, max_hops: int = 2) -> DataFrame:
-    """Undirected ``(src, dst)`` over the whole graph; entities keep their names as node ids.
+    """Undirected ``(src, dst, to_entity)`` over the whole graph; entities keep their names as node ids.
 
     Edges between chunks, and between documents and chunks, connect entities from three hops on,
     and are left out for shorter searches.
     """
-    rel = relations.select(F.col("source").alias("src"), F.col("target").alias("dst"))
-    one = rel.unionByName(rel.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).unionByName(mention_edges(mentions))
+    rel = relations.select(F.col("source").alias("src"), F.col("target").alias("dst"), F.lit(True).alias("to_entity"))
+    one = rel.unionByName(rel.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "to_entity")).unionByName(mention_edges(mentions))
     if max_hops < 3:
         return one
     none = mentions.select("chunk_id", "doc_id", "canonical_name").limit(0)
-    e = all_edges(chunks, none, relations.select("source", "target", "relation_type").limit(0)).select("src", "dst")
-    return one.unionByName(e).unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    e = all_edges(chunks, none, relations.select("source", "target", "relation_type").limit(0)).select("src", "dst", F.lit(False).alias("to_entity"))
+    return one.unionByName(e).unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "to_entity"))

@@ -213,3 +213,31 @@ def test_grounded_chunks_rank_shared_seed_lists_once_and_equal_brute_force(spark
     # f, e and an unknown seed before the same two: three ends of lists for one
     ends = graph._profiles(s.filter("query_id >= 30").withColumnRenamed("seed", "canonical_name"), m)
     assert ends.filter("rest[0].canonical_name not in ('e', 'f')").select("rest").distinct().count() == 2
+
+
+def test_induced_edges_of_many_queries_drop_what_no_query_keeps(spark):
+    """Queries of two words of bits: the first edges of each are those of plain Python, and batches hand on no others than may count."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    names = [f"N{i}" for i in range(30)]
+    nodes = [(q, n) for q in range(70) for n in rng.sample(names, rng.randrange(0, 12))]
+    edges = [(rng.choice(names), rng.choice(names), rng.choice("XY"), rng.choice("abc"), 1.0) for _ in range(400)]
+    r = spark.createDataFrame(edges, "source string, target string, relation_type string, description string, weight double").repartition(5)
+    n = spark.createDataFrame(nodes, "query_id long, node string")
+    for limit in (2, None):
+        got = sorted(tuple(x) for x in graph.induced_edges(n, r, limit).select("query_id", "source", "relation", "target", "description").collect())
+        want = []
+        for q in range(70):
+            own = {m for p, m in nodes if p == q}
+            least: dict = {}
+            for s, t, kind, d, _ in edges:
+                if s in own and t in own:
+                    least[s, kind, t] = min(d, least.get((s, kind, t), d))
+            want += [(q, *k, d) for k, d in sorted(least.items())[:limit]]
+        assert got == sorted(want)
+    of = {"word": [0, 0, 0, 1, 0], "bits": [3, 1, 1, 1, -(2**63)], "source": ["a", "b", "c", "a", "z"], "target": ["t"] * 5, "relation": ["r"] * 5}
+    (kept,) = graph._first_of_bits(2)([pa.RecordBatch.from_pydict(of)])
+    assert sorted(zip(*(kept.column(c).to_pylist() for c in ("word", "source")))) == [(0, "a"), (0, "b"), (0, "z"), (1, "a")]
