@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import extraction, vector
 from tessera.plans import pipeline, store
 from tessera.plans.settings import Settings
+from tessera.sources.scratch import stored
 
 PAGES = [
     (1, 1, "a.pdf", "# Deals.\nAlpha Technologies Inc. acquired Beta Systems Corp.\nIt runs Neo4j."),
@@ -178,3 +179,18 @@ def test_large_buckets_double(spark, tmp_path):
     got = pipeline.ingest(pages, f"{tmp_path}/a", Settings(vector_width=4, buckets=2, bucket_bytes=10))
     assert store.Snapshot.latest(spark, f"{tmp_path}/a").buckets == 4
     assert contents(got) == contents(pipeline.ingest(pages, f"{tmp_path}/b", Settings(vector_width=4)))
+
+
+def test_unique_chunks_need_no_shuffle_for_mentions_and_agree(spark):
+    """Rows that hold all of their chunk: mentions as by grouping, without an exchange, and the same entities."""
+    texts = [
+        "Acme Corp acquired Beta Labs. Acme Corp uses Redis, redis and 5%.", "Beta Labs relies on Acme Corp for $5 million ", None, "", "ünited Acme Group bought Zeta Bank; éAcme Labs owns x",
+        "Acme_x Corp is located in Rome and Beta LLC. is a subsidiary of Acme Inc.. Acme Corp purchased 9% of Acme Inc", "REDIS 7 % of $3 B was bought by $4.5 ",
+    ]
+    chunks = stored(spark.createDataFrame([(i, i % 3, t) for i, t in enumerate(texts)], "chunk_id long, doc_id long, text string"))
+    noted = stored(extraction.annotated(chunks))
+    one, other = extraction.mentions(noted, unique=True), extraction.mentions(noted)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(one) == rows(other) and one.count() > 15
+    assert rows(extraction.merge_entities(one, unique=True)) == rows(extraction.merge_entities(one))

@@ -2,7 +2,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.functions.text import canonical, or_else, seeds_by_capitals
+from tessera.functions.text import canonical, canonical_name, or_else, seeds_by_capitals
 from tessera.operators import chunking
 
 
@@ -65,3 +65,9 @@ def test_links_are_inverse(spark):
     rows = chunking.links(df, "g", "t", key="t").collect()
     nxt = {(r.g, r.t): r.next_t for r in rows}
     assert all(r.prev_t is None or nxt[r.g, r.prev_t] == r.t for r in rows)
+
+
+def test_canonical_of_one_name_is_that_of_a_column(spark):
+    names = ["Acme Corp", "Acme Corp.", "Acme  Labs", " Acme Inc ", "Corp", "Inc.", "x Ltd", "y LLC.", "Yes Co.", "Yes..", "(Beta)", "apple", "Meta.", "$5 million", "9%", "", "a b", "Incorp", "LLC", "big-Corp", "A\tB", "no Corp's", "Go Inc..", "tail \n"]
+    rows = spark.createDataFrame(list(enumerate(names)), "i int, n string").select("i", canonical(F.col("n")).alias("c")).collect()
+    assert {r.i: r.c for r in rows} == {i: canonical_name(n) for i, n in enumerate(names)}
