@@ -203,18 +203,19 @@ def grounded_chunks(seeds: DataFrame, mentions: DataFrame, k: int = 5, by_confid
         named = named.groupBy("query_id", "canonical_name").agg(F.min("ord").alias("ord"))
     said = mentions.select("chunk_id", "doc_id", "canonical_name", "confidence").join(named.select("canonical_name").distinct(), "canonical_name", "left_semi")
     worth = F.max(F.coalesce("confidence", F.lit(1.0))) if by_confidence else F.count("*").cast("double")
-    # read by the counts, the ranking and the names
-    said = stored(said.groupBy("chunk_id", "doc_id", "canonical_name").agg(worth.alias("worth")))
+    # shuffled once for both groupings; read by the counts, the ranking and the names
+    said = said.repartition("chunk_id", "doc_id").groupBy("chunk_id", "doc_id", "canonical_name").agg(worth.alias("worth"))
+    chunk = stored(said.groupBy("chunk_id", "doc_id").agg(F.collect_list(F.struct("canonical_name", "worth")).alias("said")))
+    said = chunk.select("chunk_id", "doc_id", F.inline("said"))
     profiles = stored(_profiles(named, said))
     tails = stored(profiles.select("rest").distinct().select("rest", F.monotonically_increasing_id().alias("tail"), F.col("rest")[0]["canonical_name"].alias("rarest")))
-    chunk = said.groupBy("chunk_id", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("canonical_name", "worth"))).alias("names"))
-    one = chunk.select("chunk_id", "doc_id", "names", F.explode(F.map_keys("names")).alias("rarest"))
+    one = chunk.select("chunk_id", "doc_id", F.map_from_entries("said").alias("names"), F.explode("said.canonical_name").alias("rarest"))
     score = F.aggregate("rest", F.lit(0.0), lambda acc, s: acc + s["weight"] * F.coalesce(F.try_element_at("names", s["canonical_name"]), F.lit(0.0)))
     ranked = one.join(tails, "rarest").select("tail", "chunk_id", "doc_id", F.round(score, 6).alias("graph_score"))
     few = Window.partitionBy("tail").orderBy(F.desc("graph_score"), "chunk_id", "doc_id")
     few = ranked.withColumn("rank", F.row_number().over(few)).filter(F.col("rank") <= k)
     candidates = profiles.join(tails.select("rest", "tail"), "rest").join(few, "tail").select("query_id", "chunk_id", "doc_id").distinct()
-    hit = candidates.join(said, ["chunk_id", "doc_id"]).join(named, ["query_id", "canonical_name"])
+    hit = candidates.join(chunk, ["chunk_id", "doc_id"]).select("query_id", "chunk_id", "doc_id", F.inline("said")).join(named, ["query_id", "canonical_name"])
     times = F.lit(1) if by_confidence else F.col("worth").cast("int")
     names = F.transform(F.sort_array(F.flatten(F.collect_list(F.array_repeat(F.struct("ord", "canonical_name"), times)))), lambda s: s["canonical_name"])
     out = hit.groupBy("query_id", "chunk_id", "doc_id").agg(F.round(F.sum("worth"), 6).alias("graph_score"), F.array_join(names, ", ").alias("mentioned_entities"))

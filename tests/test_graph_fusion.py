@@ -241,3 +241,21 @@ def test_induced_edges_of_many_queries_drop_what_no_query_keeps(spark):
     of = {"word": [0, 0, 0, 1, 0], "bits": [3, 1, 1, 1, -(2**63)], "source": ["a", "b", "c", "a", "z"], "target": ["t"] * 5, "relation": ["r"] * 5}
     (kept,) = graph._first_of_bits(2)([pa.RecordBatch.from_pydict(of)])
     assert sorted(zip(*(kept.column(c).to_pylist() for c in ("word", "source")))) == [(0, "a"), (0, "b"), (0, "z"), (1, "a")]
+
+
+def test_grounded_chunks_shuffles_mentions_once(spark, monkeypatch):
+    """All that the seeds' mentions are read for comes from one table with a row for each chunk."""
+    plans, kept = {}, graph.stored
+
+    def noted(df):
+        plans.setdefault("said" if "said" in df.columns else "other", []).append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return kept(df)
+
+    monkeypatch.setattr(graph, "stored", noted)
+    seeds = spark.createDataFrame([(1, 0, "A"), (1, 1, "B"), (2, 0, "B")], "query_id long, ord int, seed string")
+    mentions = kept(spark.createDataFrame([(10, 1, "A", 0.5), (10, 1, "B", None), (11, 1, "B", 0.9), (11, 1, "B", 0.7), (12, 2, "C", 1.0)], "chunk_id long, doc_id long, canonical_name string, confidence double"))
+    rows = graph.grounded_chunks(seeds, mentions, by_confidence=True).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.chunk_id, r.graph_score) for r in rows] == [(1, 10, 1.5), (1, 11, 0.9), (2, 10, 1.0), (2, 11, 0.9)]
+    (_, plan), = plans["said"]
+    assert plan.count("Exchange hashpartitioning(chunk_id") == 1
+    assert not any({"chunk_id", "canonical_name"} <= set(columns) for columns, _ in plans["other"])
