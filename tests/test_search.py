@@ -74,3 +74,40 @@ def test_blocks_are_packed_without_loss():
     for x in ([0], [255], [256, 1], [70_000, 3], [1 << 40], []):
         raw = fulltext.packed(np.array(x, np.int64))
         assert fulltext.unpacked(raw).tolist() == x and len(raw) <= 1 + 8 * len(x)
+
+
+def test_a_shard_hands_on_k_of_equal_scores(spark):
+    rows = [(i, "same words here" if i % 4 else "other words") for i in range(400)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string").repartition(5)
+    index = fulltext.build(chunks, block=16, shard=200)
+    shards = index.numbers.select("shard").distinct().count()
+    queries = spark.createDataFrame([(1, "same"), (2, "words other"), (3, "here SAME")], "query_id long, question string")
+    found = fulltext._searched(index, queries, 5).collect()
+    assert len(found) <= 3 * shards * 5
+    got = {}
+    for r in fulltext.top_k(index, queries, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert got == {1: [1, 2, 3, 5, 6], 2: [0, 4, 8, 12, 16], 3: [1, 2, 3, 5, 6]}
+
+
+def test_shards_are_inverted_in_parts(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = {n: " ".join(rng.choices([f"é{i}" for i in range(40)], k=rng.randint(0, 300))) for n in range(120)} | {500: None}
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id long, text string").repartition(3)
+    asked = {1: "é1 é2 É3 x", 2: "é39", 3: "é5-é6"}
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, question string")
+    whole = fulltext._pack
+    monkeypatch.setattr(fulltext, "_pack", lambda block, mean: whole(block, mean, 100))
+    index = fulltext.build(chunks, block=8, shard=50)
+    assert index.postings.groupBy("shard", "term").count().filter("count > 3").count() > 0
+    got = {}
+    for r in fulltext.top_k(index, queries, 7).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+    assert got == {q: w[:7] for q, t in asked.items() if (w := plain_bm25(texts, t))}
+    assert sorted(r.chunk_id for r in index.numbers.collect()) == sorted(texts)
+
+
+def test_runs_are_packed_as_each_alone():
+    x, begin = np.array([3, 300, 1, 70_000, 1 << 40, 0]), np.array([0, 0, 2, 3, 4, 6])
+    got = fulltext._all_packed(x, begin).to_pylist()
+    assert got == [fulltext.packed(x[a:z]) for a, z in zip(begin, [*begin[1:], 6])]
