@@ -4,6 +4,7 @@ import sys
 
 from pyspark.sql import functions as F
 
+from tessera.sources import scratch as scratch_module
 from tessera.operators import chunking
 from tessera.operators import metrics as latency
 from tessera.plans import pipeline
@@ -125,3 +126,21 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     monkeypatch.setattr(sys, "argv", ["tessera"])
     with __import__("pytest").raises(SystemExit):
         main()
+
+
+def test_a_grown_heap_is_collected_when_a_table_is_stored(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    asked = []
+    heap = SimpleNamespace(totalMemory=lambda: 600, maxMemory=lambda: 1000)
+    lang = SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: heap), System=SimpleNamespace(gc=lambda: asked.append(1)))
+    fake = SimpleNamespace(_jvm=SimpleNamespace(java=SimpleNamespace(lang=lang)))
+    monkeypatch.setattr(scratch_module, "_TRIMMED", [-10.0])
+    assert scratch_module.trim(fake) and not scratch_module.trim(fake) and asked == [1]  # not twice at once
+    monkeypatch.setattr(scratch_module, "_TRIMMED", [-10.0])
+    heap.totalMemory = lambda: 500
+    assert not scratch_module.trim(fake) and asked == [1]
+    seen = []
+    monkeypatch.setattr(scratch_module, "trim", seen.append)
+    scratch_module.stored(spark.range(3)).count()
+    assert len(seen) == 1
