@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import extraction, vector
+from tessera.operators import chunking, extraction, vector
 from tessera.plans import pipeline, store
 from tessera.plans.settings import Settings
 from tessera.sources.scratch import stored
@@ -194,3 +194,49 @@ def test_unique_chunks_need_no_shuffle_for_mentions_and_agree(spark):
     rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
     assert rows(one) == rows(other) and one.count() > 15
     assert rows(extraction.merge_entities(one, unique=True)) == rows(extraction.merge_entities(one))
+
+
+def test_pages_are_folded_where_they_are(spark):
+    """Chunks of a page without a shuffle, with the white space and line ends of the JVM's patterns."""
+    odd = ("# A \x85\nb\x1cc d e\n##   x  \n\x85 y", " \t# Top\r\none two \n\n##  Sub\x0b\nthree four five　six", "\x1c\n \n## only", "", None, "##\n# \n#no\n# One\n## Two\n# Three\nw w w w w w w w")
+    rows = stored(spark.createDataFrame([(i, 1, t) for i, t in enumerate(odd)], "doc_id long, page_number int, text string"))
+    for size, overlap in ((3, 1), (5, 0), (384, 64)):
+        folded = chunking.page_chunks(rows, size, overlap)
+        assert "Exchange" not in folded._jdf.queryExecution().executedPlan().toString()
+        got = chunking.sections(folded.select("doc_id", F.inline("chunks"), F.lit(None).cast("string").alias("c1"), F.lit(None).cast("string").alias("c2")))
+        want = chunking.chunks(rows, size, overlap)
+        columns = ["doc_id", "chunk_no", "text", "token_count", "section_title", "section_path"]
+        assert sorted(map(repr, got.select(*columns).collect())) == sorted(map(repr, want.select(*columns).collect()))
+        heads = {(r.doc_id, r.h1, r.h2) for r in folded.collect() if r.h1 is not None or r.h2 is not None}
+        assert heads == {(r.doc_id, r.h1, r.h2) for r in chunking.page_headings(chunking.lines(rows)).collect() if r.h1 is not None or r.h2 is not None}
+
+
+def test_parts_of_entities_group_numbers_and_equal_counts(spark):
+    rng = random.Random(4)
+    rows = sorted({(c, rng.choice("ABC"), c % 4) for c in range(40) for _ in range(3)})
+    rows = [(c, n, d, d % 2, rng.randint(0, 3), rng.choice((n, n.lower())), "K", 0.5) for c, n, d in rows]
+    m = stored(spark.createDataFrame(rows, "chunk_id long, canonical_name string, doc_id long, doc_bucket int, ord int, name string, entity_type string, confidence double"))
+    parts = extraction.entity_parts(m, ["canonical_name"])
+    want = {}
+    for c, n, d, b, o, spelt, *_ in rows:
+        docs, chunks, first = want.get((n, b), (set(), 0, (99, 0, "")))
+        want[n, b] = docs | {d}, chunks + 1, min(first, (c, o, spelt))
+    got = {(r.canonical_name, r.doc_bucket): (r.n_docs, r.n_chunks, (r.e.chunk_id, r.e.ord, r.e.name)) for r in parts.collect()}
+    assert got == {k: (len(docs), n, first) for k, (docs, n, first) in want.items()}
+    plan = parts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert all("count(" not in line and "doc_id" not in line for line in plan.splitlines() if "SortAggregate" in line)
+
+
+def test_verbs_and_tools_in_one_pass_equal_the_patterns():
+    import re
+
+    rng = random.Random(5)
+    bits = ["alpha", "beta corp.", "inc.", "zinc.", "acquired", "ltd", ".", ",", "-", "\n", "owns", "_x", "bought", "é", "·", "gpt-4", "roberta", "bert", "redis", "cuda", "neo4j", "owned by", "ownso", "$5", "based in"]
+    tools, clauses = extraction._compiled(extraction.TECHNOLOGY), extraction._compiled(extraction.CLAUSE)
+    for _ in range(2000):
+        text = "".join(b + rng.choice((" ", "")) for b in rng.choices(bits, k=rng.randint(1, 15)))
+        found, verbs = extraction._found(text)
+        assert found == [m.span() for m in tools.finditer(text)]
+        for nth, _, _, words, _ in extraction._RULES:
+            want = [(m.start(), m.end(), m.start() + max(m[0].rfind(w) for w in words)) for m in clauses.finditer(text) if any(w in m[0] for w in words)]
+            assert [tuple(c) for c in extraction._clauses(text.encode("latin-1").translate(extraction._PARTS), verbs.get(nth, []))] == want
