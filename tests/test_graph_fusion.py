@@ -259,3 +259,65 @@ def test_grounded_chunks_shuffles_mentions_once(spark, monkeypatch):
     (_, plan), = plans["said"]
     assert plan.count("Exchange hashpartitioning(chunk_id") == 1
     assert not any({"chunk_id", "canonical_name"} <= set(columns) for columns, _ in plans["other"])
+
+
+def test_lists_of_seeds_read_postings_as_arrays_and_equal_brute_force(monkeypatch):
+    """Blocks of a few chunks against all lists: the best of each block by its rarest seed, and only as many places as it takes."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(8)
+    monkeypatch.setattr(graph, "CHUNKS", 40)
+    monkeypatch.setattr(graph, "LISTS", 7)
+    kinds = pa.schema([("chunk_id", pa.string()), ("doc_id", pa.int64()), ("said", pa.list_(pa.struct([("canonical_name", pa.string()), ("worth", pa.float64())])))])
+    asked_kinds = pa.schema([("tail", pa.int64()), ("rest", pa.list_(pa.struct([("n", pa.int64()), ("canonical_name", pa.string()), ("weight", pa.float64())])))])
+    for worths in ((1.0,), (0.5, 0.9, 1.0, 0.0, 0.1234565)):
+        rows = [{"chunk_id": f"c{r.randint(0, 60)}", "doc_id": d, "said": [{"canonical_name": n, "worth": r.choice(worths)} for n in r.sample("abcdefgh", r.randint(1, 5))]} for d in range(110)]
+        lists = [{"tail": t, "rest": [{"n": 0, "canonical_name": n, "weight": float(r.randint(1, 2))} for n in r.sample("abcdefghxy", r.randint(1, 4))]} for t in range(30)]
+        monkeypatch.setattr(graph, "MENTIONS", r.choice((60, 1 << 20)))
+        blocks = list(graph._postings([pa.RecordBatch.from_pylist(rows[:50], kinds), pa.RecordBatch.from_pylist(rows[50:], kinds)]))
+        asked = list(graph._asked([pa.RecordBatch.from_pylist(lists, asked_kinds)]))
+        assert len(blocks) > 1 and len(asked) == 5
+        pairs = [pa.RecordBatch.from_arrays([*b.columns, *a.columns], [*b.schema.names, *a.schema.names]) for b in blocks for a in asked]
+        got = {}
+        for batch in graph._ranked(3)(pairs):
+            for x in batch.to_pylist():
+                got.setdefault(x["tail"], []).append((-round(x["score"], 6), x["chunk_id"], x["doc_id"]))
+        for t in lists:
+            first = t["rest"][0]["canonical_name"]
+            want = []
+            for row in rows:
+                said = {s["canonical_name"]: s["worth"] for s in row["said"]}
+                if first in said:
+                    want.append((-round(sum(s["weight"] * said.get(s["canonical_name"], 0.0) for s in t["rest"]), 6), row["chunk_id"], row["doc_id"]))
+            assert sorted(got.get(t["tail"], []))[:3] == sorted(want)[:3]
+    monkeypatch.undo()
+    common = [{"chunk_id": f"{n:06}", "doc_id": n, "said": [{"canonical_name": c, "worth": 1.0} for c in "ab"]} for n in range(20_000)]
+    (block,) = graph._postings([pa.RecordBatch.from_pylist(common, kinds)])
+    (row,) = [{c: block.column(c)[0] for c in block.schema.names}]
+    read, block = [], graph._Block(row)
+    worth = graph._Block.worth
+    monkeypatch.setattr(graph._Block, "worth", lambda self, i, at: read.append(len(at)) or worth(self, i, at))
+    places, score = block.best([block.names["a"], block.names["b"]], [1.0, 1.0], 5)
+    assert places.tolist() == [0, 1, 2, 3, 4] and score.tolist() == [2.0] * 5 and sum(read) < 2000
+
+
+def test_vector_blocks_that_hold_nothing_better_change_nothing():
+    """Many blocks against one block of queries, with ties, vectors that aren't numbers and scores at the edge of rounding."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.RandomState(2)
+    x = np.round(vector._unit(r.randn(900, 4)), 2)
+    x[7] = np.nan
+    q = np.round(vector._unit(r.randn(6, 4)), 2)
+    blocks = [(np.arange(n, n + 30, dtype=np.int64).tobytes(), x[n : n + 30].tobytes()) for n in range(0, 900, 30)]
+    of = lambda rows: pa.array(rows, pa.binary())
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([4] * 30), of([b[0] for b in blocks]), of([b[1] for b in blocks]), of([np.arange(6, dtype=np.int64).tobytes()] * 30), of([q.tobytes()] * 30)], ["dim", "ids", "rows", "q_ids", "q_rows"]
+    )
+    (got,) = vector._search(4, 2)(iter([batch.slice(1)]))
+    score = np.round(q @ x[30:].T, 2) + 0.0
+    want = [(n, int(i) + 30, float(score[n, i])) for n in range(6) for i in np.lexsort((np.arange(870), -score[n]))[:4]]
+    assert [tuple(d.values()) for d in got.to_pylist()] == want
