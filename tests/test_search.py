@@ -4,8 +4,10 @@ import math
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pytest
 
 from tessera.operators import fulltext, gazetteer
 
@@ -32,6 +34,36 @@ def test_gazetteer_equals_all_pairs(spark):
     assert gazetteer.occurrences(chunks, known.limit(0)).count() == 0 and gazetteer.occurrences(chunks.limit(0), known).count() == 0
 
 
+@pytest.mark.parametrize("few_hashes", (False, True))
+def test_gazetteer_hashes_texts_once_for_all_blocks(monkeypatch, few_hashes):
+    """Places that may be names are found once, whatever the number of blocks, and names of one hash are told apart."""
+    rng = random.Random(9)
+    if few_hashes:
+        monkeypatch.setattr(gazetteer._Hashes, "_mixed", lambda self, x, size: (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(61)) << np.uint64(61))
+    monkeypatch.setattr(gazetteer, "PART", 300)
+    word = lambda most: "".join(rng.choice("abcé😀 ") for _ in range(rng.randint(1, most)))
+    names = sorted({word(20) for _ in range(300)} | {"ab" * 50, "a"})
+    texts = [word(60) + rng.choice(names) + word(9) + rng.choice(("", "ab" * 51)) for _ in range(80)]
+    size = np.array([len(n) for n in names])
+    may, at = gazetteer._Known({s: int((size == s).sum()) for s in set(size.tolist())}), np.cumsum(size) - size
+    hashes = gazetteer._Hashes(gazetteer._points("".join(names)))
+    may.add(hashes, at, size)
+    h = hashes.of(at, size)
+    want = sorted((i, n, t.index(n) + 1, sum(t.startswith(n, k) for k in range(len(t)))) for i, t in enumerate(texts) for n in names if n in t)
+    searched, places = [], gazetteer._Known.places
+    monkeypatch.setattr(gazetteer._Known, "places", lambda self, points, ends: searched.append(len(points)) or places(self, points, ends))
+    for n in (1, 2, 40):
+        searched.clear()
+        of = gazetteer._block_of(h, n)
+        blocks = [SimpleNamespace(value=gazetteer._packed([x for x, b in zip(names, of) if b == i], h[of == i])) for i in range(n)]
+        held = gazetteer._Texts(may)
+        for i, t in enumerate(texts):
+            held.add(i, t)
+        got = [(int(i), x, int(first), int(k)) for text, name, at_, times in held.named(blocks) for i, x, first, k in zip(text, name.to_pylist(), at_, times)]
+        assert sorted(got) == want
+        assert sum(searched) == sum(map(len, texts)) and (few_hashes or sum(len(f[0]) for f in held.found) < 3 * sum(w[3] for w in want))
+
+
 def plain_bm25(texts, question):
     of = lambda t: re.findall(fulltext.TERM, (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     docs = {i: of(t) for i, t in texts.items()}
