@@ -196,6 +196,26 @@ def test_unique_chunks_need_no_shuffle_for_mentions_and_agree(spark):
     assert rows(extraction.merge_entities(one, unique=True)) == rows(extraction.merge_entities(one))
 
 
+def test_new_pages_meet_no_row_of_the_store(spark, tmp_path, monkeypatch):
+    """Only pages that the store knows already are looked for among its rows, and such are taken back."""
+    s = Settings(vector_width=4, buckets=2)
+    pages = lambda *rows: spark.createDataFrame([(d, n, "", f"Alpha{'x' * n} Labs acquired Beta Group.") for d, n in rows], SCHEMA)
+    pipeline.ingest(pages(*((d, 1) for d in range(6))), f"{tmp_path}/a", s)
+    joins, write = {}, store.Change.write
+
+    def noted(self, table, rows, *rest):
+        joins[table] = "LeftAnti" in rows._jdf.queryExecution().optimizedPlan().toString()
+        return write(self, table, rows, *rest)
+
+    monkeypatch.setattr(store.Change, "write", noted)
+    pipeline.ingest(pages(*((d, 2) for d in range(6))), f"{tmp_path}/a", s)
+    assert not any(joins[t] for t in pipeline.BY_PAGE)
+    got = pipeline.ingest(pages((3, 2), (3, 3)), f"{tmp_path}/a", s)
+    assert all(joins[t] for t in pipeline.BY_PAGE)
+    want = pipeline.ingest(pages(*((d, n) for d in range(6) for n in (1, 2)), (3, 3)), f"{tmp_path}/b", s)
+    assert contents(got) == contents(want)
+
+
 def test_pages_are_folded_where_they_are(spark):
     """Chunks of a page without a shuffle, with the white space and line ends of the JVM's patterns."""
     odd = ("# A \x85\nb\x1cc d e\n##   x  \n\x85 y", " \t# Top\r\none two \n\n##  Sub\x0b\nthree four five　six", "\x1c\n \n## only", "", None, "##\n# \n#no\n# One\n## Two\n# Three\nw w w w w w w w")

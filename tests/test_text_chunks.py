@@ -16,6 +16,19 @@ def test_canonical_names(spark):
     assert {r.n: r.c for r in df.collect()} == names
 
 
+def test_names_with_legal_forms_take_a_quick_path_and_agree(spark):
+    import re
+    from itertools import product
+
+    from tessera.functions import text
+
+    names = ["".join(x) for x in product(("", "Ab ", "A  b ", "meta ", "x-", "é "), ("Inc", "Corp.", "Ltd", "LLC.", "Co", "LLC"), ("", ".", " ", "\n"))]
+    assert text._FORMED.match("Ab Corp") and not text._FORMED.match("x-Corp")
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", canonical(F.col("n")).alias("c"))
+    assert {r.n: r.c for r in df.collect()} == {n: canonical_name(n) for n in names}
+    assert all(re.sub(r"\s", "", canonical_name(n)) for n in names)
+
+
 def test_seeds_and_defaults(spark):
     df = spark.createDataFrame([("Who is Ann, and Bob?", "")], "q string, t string")
     r = df.select(seeds_by_capitals(F.col("q")).alias("s"), or_else(F.col("t"), F.lit("x")).alias("d")).first()
